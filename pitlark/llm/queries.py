@@ -6,10 +6,14 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_decontaminate": "decontaminate",
+    "op2_licenses": "licenses",
     "op3_pii": "pii",
+    "op4_toxicity": "toxicity",
     "op5_simhash": "simhash",
     "op6_lm_score": "language_model",
+    "op7_quality": "quality",
     "op8_embedding_dedup": "vectors",
+    "op9_html": "pages",
     "op10_packing": "packing",
 }
 
@@ -19,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licenses import sql_licenses
+
+    return {"op2_licenses": sql_licenses()}
