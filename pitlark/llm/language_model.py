@@ -28,7 +28,7 @@ from .common import materialize, remainder, table
 
 HELD_OUT = 10
 #: Tokens after which a batch ends (with its document), and keys a shard should hold.
-BATCH_TOKENS, SHARD_KEYS = 3_000_000, 1 << 20
+BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 19
 #: Bigrams seen less often in training are no arcs.
 MIN_COUNT = 2
 END = xxhash.xxh64_intdigest(b"end", 1)
