@@ -1,6 +1,297 @@
-def queries():
-    return {}
+"""The registered queries of the research engine and the SQL they are compared with."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expr import rounded
+from ..operators import audits as A
+from ..operators import catalog as C
+from ..operators import discovery as D
+from ..operators import evaluation as E
+from ..operators import features as X
+from ..operators import panel as P
+from ..operators import walkforward as W
+from ..sources import bars as B
+from . import oracle as Q
+
+KEYS = ["ticker", "date"]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _labelled(spark, sf):
+    return P.label(P.universe(P.gate(B.bars_from_lines(spark, sf))))
+
+
+def _gated(spark, sf):
+    return P.gate(B.bars_from_lines(spark, sf))
+
+
+def _preds(spark, sf):
+    m = X.baseline(_labelled(spark, sf))
+    return m.where("ret_20d IS NOT NULL").select("date", "ticker", "fwd_ret_5d", F.round("ret_20d", 9).alias("score"))
+
+
+#: Feature families: the columns of one query each.
+_B = set(C.names(C.BASELINE))
+FAMILIES = {
+    "returns": [n for n in X.BASELINE_NAMES if n.startswith("ret_") or n in ("gap_return", "intraday_return")],
+    "candles": ["true_range_pct", "atr_14_pct", "range_pct", "body_pct", "range_z_20d", "upper_wick_pct", "lower_wick_pct", "close_position_in_day_range"],
+    "volatility": [n for n in X.BASELINE_NAMES if n.startswith("realized_vol")],
+    "trend": [n for n in X.BASELINE_NAMES if "sma" in n],
+    "extremes": [n for n in X.BASELINE_NAMES if not n.startswith("rank_") and (n.startswith(("dist_to", "drawdown", "bounce")) or n.endswith("d_range"))],
+    "rsi": ["rsi_14", "rsi_30"],
+    "volume": [n for n in X.BASELINE_NAMES if "volume" in n and not n.startswith("rank_")],
+    "calendar": ["day_of_week", "month", "year"],
+    "ranks": [f"rank_{c}" for c in C.BASELINE_RANKS],
+}
+EXPANDED_FAMILIES = {
+    "momentum": [n for n in X.EXPANDED_NAMES if n.startswith(("ret_", "log_ret", "reversal", "momentum"))],
+    "extremes": [n for n in X.EXPANDED_NAMES if n.startswith(("drawdown", "bounce", "close_position"))],
+    "days_since": [n for n in X.EXPANDED_NAMES if n.startswith("days_since")],
+    "trend": [n for n in X.EXPANDED_NAMES if n.startswith("trend_") or "sma" in n],
+    "volatility": [n for n in X.EXPANDED_NAMES if n.startswith(("realized_vol", "vol_ratio", "downside", "upside", "atr_14_z"))],
+    "volume": [n for n in X.EXPANDED_NAMES if n.startswith(("volume_", "dollar_volume_", "price_volume"))],
+    "shape": [n for n in X.EXPANDED_NAMES if n.startswith(("lower_wick", "upper_wick", "body_z", "gap_z", "large_"))],
+    "ranks": [f"rank_{c}" for c in C.EXPANDED_RANKS],
+}
+
+
+def _pick(df: DataFrame, columns: list[str]) -> DataFrame:
+    return rounded(df.select(*KEYS, *columns), KEYS)
+
+
+def _sql_pick(ctes: str, source: str, columns: list[str], keys: tuple[str, ...] = ("ticker", "date"), whole: tuple[str, ...] = ("day_of_week", "month", "year")) -> str:
+    cols = ", ".join(f'"{c}"' if c in whole or c.startswith("days_since") else f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in columns)
+    return f"WITH {ctes}\nSELECT {', '.join(keys)}, {cols} FROM {source}"
+
+
+def features_query(kind: str, columns: list[str], spark: SparkSession, sf: str) -> DataFrame:
+    labelled = _labelled(spark, sf)
+    if kind == "baseline":
+        return _pick(X.baseline(labelled), columns)
+    if kind == "expanded":
+        return _pick(X.expanded(X.baseline(labelled)), columns)
+    return _pick(X.long_only(labelled), columns)
+
+
+def bars(spark, sf):
+    return rounded(B.bars_from_lines(spark, sf), KEYS)
+
+
+def gating(spark, sf):
+    df = P.universe(_gated(spark, sf))
+    return rounded(df.select(*KEYS, "history_bars", "median_dollar_volume_20", "median_dollar_volume_60", "zero_volume_count_20", "zero_volume_count_60", "tradable", "model_eligible"), KEYS)
+
+
+def labels(spark, sf):
+    return rounded(_labelled(spark, sf).select(*KEYS, "next_open", "exit_close_5d", "exit_date_5d", "fwd_ret_5d", "split_gap_in_window", "label_valid_5d", "target_class_5d"), KEYS)
+
+
+def label_reasons(spark, sf):
+    return P.label_reasons(_labelled(spark, sf))
+
+
+def label_counts_by_year(spark, sf):
+    return P.label_counts(_labelled(spark, sf).withColumn("year", F.year("date")), "year")
+
+
+def volatility_target(spark, sf):
+    df = P.volatility_target(_labelled(spark, sf))
+    return rounded(df.select(*KEYS, "trailing_vol_60d", "fwd_ret_5d_vol_norm60", "label_valid_5d_vol_norm60", "target_class_5d_vol_norm60"), KEYS)
+
+
+def split_gaps(spark, sf):
+    return rounded(P.split_gaps(B.bars_from_lines(spark, sf)), KEYS)
+
+
+def flagship_decile_returns(spark, sf):
+    return rounded(E.bucket_profile(E.bucketed(_preds(spark, sf))), [])
+
+
+def bucket_returns(spark, sf):
+    return rounded(E.bucket_returns(E.bucketed(_preds(spark, sf))), [])
+
+
+def long_short(spark, sf):
+    return rounded(E.long_short(E.bucketed(_preds(spark, sf))), [])
+
+
+def rank_ic(spark, sf):
+    return rounded(E.rank_ic(_preds(spark, sf)), [])
+
+
+def ic_summary(spark, sf):
+    return rounded(E.ic_summary(E.rank_ic(_preds(spark, sf))), [])
+
+
+def score_stats(spark, sf):
+    return rounded(E.score_stats(_preds(spark, sf)), [])
+
+
+def turnover_top20(spark, sf):
+    return rounded(E.turnover(E.top_names(_preds(spark, sf), 20)), [])
+
+
+def lagged_control_ic(spark, sf):
+    return rounded(E.rank_ic(E.lagged_scores(_preds(spark, sf))), [])
+
+
+def random_control_ic(spark, sf):
+    return rounded(E.ic_summary(E.rank_ic(E.random_scores(_preds(spark, sf), 101))), [])
+
+
+def fold_plan(spark, sf):
+    return W.plan(_labelled(spark, sf).where("label_valid_5d"))
+
+
+RIDGE_FEATURES = ["ret_5d", "ret_20d", "realized_vol_20d", "rsi_14", "dist_sma_50d", "volume_z_20d", "range_pct", "rank_ret_20d"]
+
+
+def ridge_walk_forward(spark, sf):
+    m = X.baseline(_labelled(spark, sf))
+    return rounded(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES), [*KEYS, "fold_id"])
+
+
+def ridge_fold_metrics(spark, sf):
+    m = X.baseline(_labelled(spark, sf))
+    p = W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES)
+    ics = E.rank_ic(p, "fold_id", "date").groupBy("fold_id").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("dates"))
+    ls = E.long_short(E.bucketed(p, 10, "fold_id", "date"), 10, 1, 25.0, "fold_id", "date").groupBy("fold_id").agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"))
+    return rounded(ics.join(ls, "fold_id", "left"), ["fold_id"])
+
+
+DISCOVERED = ["ret_5d", "ret_20d", "rsi_14", "realized_vol_20d", "volume_z_20d", "dist_sma_50d"]
+
+
+def _long(spark, sf):
+    m = X.baseline(_labelled(spark, sf))
+    return D.long_form(m, W.plan(m), DISCOVERED)
+
+
+def discovery_stats(spark, sf):
+    return rounded(D.feature_stats(_long(spark, sf)), ["fold_id"])
+
+
+def discovery_daily_ic(spark, sf):
+    return rounded(D.daily_ic(_long(spark, sf)), ["fold_id"])
+
+
+def discovery_fold_ic(spark, sf):
+    return rounded(D.fold_ic(_long(spark, sf)), ["fold_id"])
+
+
+def discovery_correlations(spark, sf):
+    return rounded(D.correlations(_long(spark, sf)), [])
+
+
+def selection(spark, sf):
+    long = _long(spark, sf)
+    stats = D.feature_stats(long).groupBy("feature").agg(F.avg("non_null_pct").alias("non_null_pct"), F.avg("std").alias("std"))
+    return rounded(D.reject_reasons(D.summary(D.daily_ic(long)).join(stats, "feature")), [])
+
+
+def zero_volume(spark, sf):
+    return rounded(A.zero_volume(B.bars_from_lines(spark, sf)), [])
+
+
+def coverage_by_year(spark, sf):
+    return rounded(A.tradable_coverage(_gated(spark, sf).withColumn("year", F.year("date")), "year"), [])
+
+
+def coverage_by_ticker(spark, sf):
+    return rounded(A.tradable_coverage(_gated(spark, sf), "ticker"), [])
+
+
+def gap_impact(spark, sf):
+    return A.gap_impact(P.split_gaps(B.bars_from_lines(spark, sf)), P.universe(_gated(spark, sf)))
+
+
+def symbol_coverage(spark, sf):
+    gated = _gated(spark, sf)
+    return A.symbol_coverage(gated.select("ticker"), P.universe(gated).where("model_eligible").select("ticker"))
+
+
+def raw_validation(spark, sf):
+    """Bars as raw text with planted defects (by the bar's own values), validated; rows per reason."""
+    raw = B.raw_text_of(B.bars_from_lines(spark, sf))
+    k = F.dayofmonth(F.to_date("date", "yyyyMMdd"))
+    raw = raw.withColumns({
+        "per": F.when(k == 3, "X").otherwise(F.col("per")), "time": F.when(k == 4, "123000").when(k == 5, "0").otherwise(F.col("time")),
+        "vol": F.when(k == 6, "-1").when(k == 7, "n/a").otherwise(F.col("vol")), "high": F.when(k == 8, "0.5").otherwise(F.col("high")), "openint": F.when(k == 9, "abc").otherwise(F.col("openint")),
+    })
+    return B.reject_counts(B.validate(raw))
+
+
+def signals(spark, sf):
+    labelled = _labelled(spark, sf)
+    return rounded(W.signals(_preds(spark, sf), labelled), KEYS)
+
+
+_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals)}
+
+
+def queries() -> dict[str, Query]:
+    out = dict(_PLAIN)
+    out |= {f"features_{n}": partial(features_query, "baseline", c) for n, c in FAMILIES.items()}
+    out |= {f"expanded_{n}": partial(features_query, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
+    out["features_long_only"] = partial(features_query, "long_only", X.LONG_ONLY_NAMES)
+    return out
+
+
+def _round(ctes: str, source: str, plain: str, doubles: str) -> str:
+    cols = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+    return f"WITH {ctes}\nSELECT {plain}{', ' if plain and cols else ''}{cols} FROM {source}"
+
+
+def oracle_sql() -> dict[str, str]:
+    r = _round
+    q = Q.PREDS
+    long = f"""{Q.BASELINE}, {Q.PLAN[len(Q.LABELLED) + 2:]},
+long AS (SELECT p.fold_id, m.date, m.ticker, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date,
+  LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in DISCOVERED)}) AS u(feature, value))"""
+    daily = f"""{long},
+daily AS (SELECT fold_id, feature, avg(ic) AS mean_daily_rank_ic, count(ic) AS dates FROM (SELECT fold_id, feature, date, {Q.pearson('v', 't')} AS ic FROM
+  (SELECT fold_id, feature, date, {Q.average_rank('value', 'fold_id, feature, date')} AS v, {Q.average_rank('target', 'fold_id, feature, date')} AS t FROM long) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    out = {
+        "bars": r(Q.BARS, "bars", "ticker, date, volume", "open high low close"),
+        "gating": r(Q.GATED, "universe", "ticker, date, CAST(history_bars AS INTEGER) AS history_bars, tradable, model_eligible", "median_dollar_volume_20 median_dollar_volume_60 zero_volume_count_20 zero_volume_count_60"),
+        "labels": r(Q.LABELLED, "labelled", "ticker, date, exit_date_5d, split_gap_in_window, label_valid_5d, target_class_5d", "next_open exit_close_5d fwd_ret_5d"),
+        "label_reasons": f"WITH {Q.LABELLED}, f AS (SELECT *, CASE WHEN pre_research THEN 'pre_research' WHEN not_eligible THEN 'not_eligible' WHEN missing_future THEN 'missing_future' WHEN split_gap_in_window THEN 'split_gap_in_window' ELSE 'valid' END AS fr FROM labelled) SELECT count(*) AS total_rows, count(*) FILTER (label_valid_5d) AS valid_rows, "
+        + ", ".join(f"count(*) FILTER ({x}) AS any_{x}, count(*) FILTER (fr = '{x}') AS first_{x}" for x in P.REASONS)
+        + " FROM f",
+        "label_counts_by_year": f"WITH {Q.LABELLED} SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS total_rows, count(*) FILTER (label_valid_5d) AS valid_rows, "
+        + ", ".join(f"count(*) FILTER (label_valid_5d AND target_class_5d = {k}) AS {n}" for k, n in ((-1, "class_neg"), (0, "class_zero"), (1, "class_pos")))
+        + " FROM labelled GROUP BY 1",
+        "volatility_target": r(
+            f"""{Q.LABELLED}, v1 AS (SELECT *, close / nullif(lag(close) OVER ({Q.T}), 0) - 1 AS r FROM labelled), v2 AS (SELECT *, {Q.OPS.rstd('r', 60)} AS trailing_vol_60d FROM v1),
+v3 AS (SELECT *, CASE WHEN trailing_vol_60d > 1e-6 THEN fwd_ret_5d / trailing_vol_60d END AS fwd_ret_5d_vol_norm60, label_valid_5d AND coalesce(trailing_vol_60d > 1e-6, false) AS label_valid_5d_vol_norm60 FROM v2),
+v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 'target_class_5d_vol_norm60')}""",
+            "v4", "ticker, date, label_valid_5d_vol_norm60, target_class_5d_vol_norm60", "trailing_vol_60d fwd_ret_5d_vol_norm60",
+        ),
+        "split_gaps": r(f"{Q.BARS}, g AS (SELECT *, lag(close) OVER ({Q.T}) AS prev_close FROM bars), h AS (SELECT *, (open / nullif(prev_close, 0) - 1) * 100 AS gap_pct FROM g WHERE open / nullif(prev_close, 0) <= 0.55 OR open / nullif(prev_close, 0) >= 1.8)", "h", "ticker, date", "prev_close open gap_pct"),
+        "flagship_decile_returns": r(f"{q}, {Q.bucketed('preds')}, d AS (SELECT date, bucket, avg(fwd_ret_5d) AS m FROM bucketed GROUP BY 1, 2), e AS (SELECT bucket, count(*) AS dates, avg(m) AS mean_return FROM d GROUP BY 1)", "e", "bucket, dates", "mean_return"),
+        "bucket_returns": r(f"{q}, {Q.bucketed('preds')}, d AS (SELECT date, bucket, count(*) AS names, avg(fwd_ret_5d) AS mean_return FROM bucketed GROUP BY 1, 2)", "d", "date, bucket, names", "mean_return"),
+        "long_short": r(Q.LONG_SHORT, "long_short", "date, long_count, short_count", "long_gross short_gross long_hit_rate short_hit_rate long_net short_net gross net"),
+        "rank_ic": r(Q.IC, "ic", "date, names", "ic"),
+        "ic_summary": r(f"{Q.IC}, s AS (SELECT count(ic) AS dates, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t_stat FROM ic)", "s", "dates", "mean_ic std_ic t_stat"),
+        "score_stats": r(f"{q}, s AS (SELECT count(score) AS rows, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, " + ", ".join(f"quantile_cont(score, {x}) AS {n}" for x, n in ((0.01, "p01"), (0.05, "p05"), (0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + " FROM preds)", "s", "rows", "mean std min max p01 p05 p50 p95 p99"),
+        "turnover_top20": r(f"{q}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rn FROM preds) WHERE rn <= 20), n AS (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM t), u AS (SELECT a.date, count(*) AS names, count(*) FILTER (b.ticker IS NULL) AS new_names, avg(CAST(b.ticker IS NULL AS DOUBLE)) AS turnover FROM n a LEFT JOIN n b ON b.k = a.k - 1 AND b.ticker = a.ticker WHERE a.k > 1 GROUP BY a.date)", "u", "date, names, new_names", "turnover"),
+        "fold_plan": f"WITH {Q.PLAN} SELECT * FROM plan",
+        "discovery_stats": r(f"{long}, s AS (SELECT fold_id, feature, count(*) AS rows, avg(CAST(value IS NOT NULL AS DOUBLE)) AS non_null_pct, stddev_pop(value) AS std FROM long GROUP BY 1, 2)", "s", "fold_id, feature, rows", "non_null_pct std"),
+        "discovery_daily_ic": r(daily, "daily", "fold_id, feature, dates", "mean_daily_rank_ic"),
+        "discovery_fold_ic": r(f"{long}, s AS (SELECT fold_id, feature, {Q.pearson('v', 't')} AS mean_fold_rank_ic FROM (SELECT fold_id, feature, {Q.average_rank('value', 'fold_id, feature')} AS v, {Q.average_rank('target', 'fold_id, feature')} AS t FROM long) GROUP BY 1, 2)", "s", "fold_id, feature", "mean_fold_rank_ic"),
+        "zero_volume": r(f"{Q.BARS}, z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_rows, count(*) AS rows, count(*) FILTER (volume = 0) / count(*) AS zero_pct FROM bars GROUP BY 1)", "z WHERE zero_rows > 0", "ticker, zero_rows, rows", "zero_pct"),
+        "gap_impact": f"WITH {Q.GATED}, g AS (SELECT ticker, date FROM (SELECT *, open / nullif(lag(close) OVER ({Q.T}), 0) AS x FROM bars) WHERE x <= 0.55 OR x >= 1.8) SELECT CAST(year(g.date) AS INTEGER) AS gap_year, count(*) AS gaps, count(u.ticker) AS in_research, count(*) FILTER (u.model_eligible) AS eligible, count(*) FILTER (NOT u.model_eligible) AS not_eligible FROM g LEFT JOIN universe u USING (ticker, date) GROUP BY 1",
+        "symbol_coverage": f"WITH {Q.GATED}, a AS (SELECT DISTINCT ticker FROM gated), b AS (SELECT DISTINCT ticker FROM universe WHERE model_eligible) SELECT count(*) FILTER (b.ticker IS NOT NULL) AS both, count(*) FILTER (b.ticker IS NULL) AS only_left, CAST(0 AS BIGINT) AS only_right FROM a LEFT JOIN b USING (ticker)",
+    }
+    for name, key in (("coverage_by_year", "CAST(year(date) AS INTEGER) AS year"), ("coverage_by_ticker", "ticker")):
+        out[name] = r(f"{Q.GATED}, c AS (SELECT {key}, count(*) AS rows, count(*) FILTER (tradable) AS tradable_rows, avg(CAST(tradable AS DOUBLE)) AS coverage FROM gated GROUP BY 1)", "c", f"{key.split()[-1]}, rows, tradable_rows", "coverage")
+    out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
+    out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
+    out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)
+    return out
