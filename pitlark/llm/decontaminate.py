@@ -11,9 +11,11 @@ subsequence of words of item and passage, and that of the item's answer.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -93,7 +95,7 @@ def _numbered(texts: list, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndar
     for t in texts:
         w = words_of(t)
         docs.append(w)
-        parts.append(np.fromiter((get(x, none) for x in w), np.int32, len(w)))
+        parts.append(np.fromiter(map(get, w, repeat(none)), np.int32, len(w)))
     ends = np.cumsum([0, *(len(p) for p in parts)])
     return (np.concatenate(parts) if parts else np.empty(0, np.int32)), ends, docs
 
@@ -107,9 +109,11 @@ def _tiles(ends: np.ndarray) -> np.ndarray:
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = 1000):
+    gc.disable()  # word lists by the million, and no cycles
     for batch in batches:
         for lo in range(0, batch.num_rows, size):
             yield batch.slice(lo, size)
+    gc.enable()
 
 
 def passage_counts(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
