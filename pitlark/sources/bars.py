@@ -76,7 +76,7 @@ def validate(raw: DataFrame) -> DataFrame:
         "bad_numeric_volume": v.isNull(),
         "bad_ohlc_positive": F.coalesce((o <= 0) | (h <= 0) | (l <= 0) | (c <= 0), F.lit(False)),
         "bad_volume_negative": F.coalesce(v < 0, F.lit(False)),
-        "bad_ohlc_consistency": ~((h >= F.greatest(o, l, c)) & (l <= F.least(o, h, c))),
+        "bad_ohlc_consistency": o.isNull() | h.isNull() | l.isNull() | c.isNull() | ~((h >= F.greatest(o, l, c)) & (l <= F.least(o, h, c))),
         "duplicate_ticker_date": F.col("p_date").isNotNull() & (copies > 1),
         "bad_numeric_openint": F.col("p_openint").isNull(),
     }
