@@ -24,6 +24,8 @@ from .common import materialize, table
 
 #: A node seen on fewer different pages of its host is not judged; below this importance a node's branch is removed.
 MIN_PAGES, MIN_IMPORTANCE = 8, 0.25
+#: Characters of removed paths, all hosts together, up to which their list is broadcast.
+MAX_BROADCAST = 32_000_000
 
 #: Elements without content, with raw content, that end a block, and that a new one closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,7 +166,7 @@ def node_importance(blocks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return both.where(F.col("pages") >= min_pages).select("host", "path", "pages", (content + (1 - content) * 0.1 * F.col("presentation")).alias("importance"))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars; rows one to one.
 
     Null and empty html give an empty text; a null url is a host of its own (the empty one); repeated pages count once
@@ -173,8 +175,10 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: floa
     blocks = materialize(page_blocks(pages))
     low = node_importance(blocks, min_pages).where(F.col("importance") < min_importance)
     # at most one row per host; a host's removed nodes are few, the rest is not listed
-    removed = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-    joined = blocks.join(removed, "host", "left")
+    removed = materialize(low.groupBy("host").agg(F.collect_set("path").alias("removed")))
+    weight = removed.agg(F.sum(F.length("host") + F.aggregate("removed", F.lit(0), lambda n, path: n + F.length(path)))).first()[0] or 0
+    # a small list goes to the pages; beyond the bound, pages and lists meet by host, and Spark splits a hot host's pages
+    joined = blocks.join(F.broadcast(removed) if weight <= max_broadcast else removed.hint("merge"), "host", "left")
     kept = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("removed", b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -143,9 +143,10 @@ def test_toxicity(spark):
     assert all(out[i]["predicted"] == int(i % 7 == 0) for i in range(280)) and out[999]["predicted"] == out[1000]["predicted"] == 0
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("max_broadcast", [0, pages.MAX_BROADCAST])
+def test_pages(spark, max_broadcast):
     page = lambda i: f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='x'>same line</div><p>Body {i} &amp; more<p>two  <b>bold</b> words<br>end</p><div class='comments'><p>nice</p></div><footer>f</footer><script>var a='<p>';</script></body></html>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(99, None, None), (98, "http://z.example/", "")]
-    out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast=max_broadcast).collect()}
     assert out[3]["text"] == "Body 3 & more\ntwo bold words end" and out[3]["n_chars"] == len(out[3]["text"])
     assert out[99]["text"] == out[98]["text"] == "" and len(out) == 32
