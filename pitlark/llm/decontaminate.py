@@ -37,6 +37,8 @@ MAX_SHARE = 0.05
 #: Items that one pass holds in each task; a larger benchmark takes several passes.
 BLOCK_ITEMS = 5_000
 TILE = 64
+#: Windows and pairs compared by one array operation; they bound its memory and change no result.
+WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 20_000
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 
 
@@ -108,6 +110,13 @@ def _tiles(ends: np.ndarray) -> np.ndarray:
     return np.cumsum(fresh) - 1
 
 
+def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cell numbers in order, and how often each stands."""
+    cells = np.sort(cells)
+    first = np.nonzero(np.diff(cells, prepend=-1))[0]
+    return cells[first], np.diff(np.append(first, len(cells)))
+
+
 def _text_batches(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = 1000):
     gc.disable()  # word lists by the million, and no cycles
     for batch in batches:
@@ -127,7 +136,7 @@ def passage_counts(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int, np.nd
                 tile = _tiles(ends)
                 counts[-1] += tile[-1] + 1
                 hit = tokens < len(terms)
-                pairs = np.unique(tile[hit] * len(terms) + tokens[hit])
+                pairs, _ = _counted(tile[hit] * len(terms) + tokens[hit])
                 counts[:-1] += np.bincount(pairs % len(terms), minlength=len(terms))
         at = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
@@ -162,7 +171,7 @@ def latent_space(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, insi
             hit = np.nonzero(np.append(inside, False)[tokens])[0]
             if not len(hit):
                 continue
-            pair, tf = np.unique(tile[hit] * n + tokens[hit], return_counts=True)
+            pair, tf = _counted(tile[hit] * n + tokens[hit])
             row, term = pair // n, pair % n
             value = (np.sqrt(tf) * idf[term] / np.sqrt(norm[row])).astype(np.float32)
             cut = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
@@ -206,7 +215,7 @@ class Retrieval:
             self.at[w] = ([k for k, _ in owners], q.astype(np.float32), image, rest)
 
     def search(self, texts: list, min_cosine: float) -> Iterator[tuple]:
-        """(place of the text, item's place, cosine, window's start, window's length) of every passage pair found."""
+        """(place of the text, item's place, cosine, window's start, window's length, words) of every passage pair found."""
         tokens, ends, docs = _numbered(texts, self.terms)
         whole, mine = (np.concatenate([[0.0], np.cumsum(w[tokens])]) for w in (self.idf2, self.mine2))
         sizes = np.diff(ends)
@@ -219,19 +228,34 @@ class Retrieval:
             start = ends[:-1][doc] + step * STRIDE
             end = np.minimum(start + w, ends[1:][doc])
             norm2, mass2 = whole[end] - whole[start], mine[end] - mine[start]
-            for i in np.nonzero((mass2 > 0) & (mass2 >= min_cosine**2 * norm2))[0]:  # no cosine can exceed this share
-                t, tf = np.unique(tokens[start[i] : end[i]], return_counts=True)
-                t, tf = (t[:-1], tf[:-1]) if t[-1] == len(self.terms) else (t, tf)
-                x = np.sqrt(tf * self.mine2[t])
-                norm = np.sqrt(norm2[i])
-                latent = x @ self.space[t]
-                left = np.sqrt(max(0.0, mass2[i] - latent @ latent))
-                close = np.nonzero(image @ latent + rest * left >= min_cosine * norm - 1e-9)[0]
-                if len(close):
-                    cosine = q[close][:, t] @ x / norm
-                    for c, k in zip(cosine, close):
-                        if c >= min_cosine - 1e-9:
-                            yield int(doc[i]), owners[k], float(c), int(start[i] - ends[doc[i]]), w, docs[doc[i]]
+            able = np.nonzero((mass2 > 0) & (mass2 >= min_cosine**2 * norm2))[0]  # no cosine can exceed this share
+            for lo in range(0, len(able), WINDOWS_AT_ONCE):
+                some = able[lo : lo + WINDOWS_AT_ONCE]
+                for i, p, cosine in self._close(tokens, start[some], end[some], np.sqrt(norm2[some]), mass2[some], q, image, rest, min_cosine):
+                    at = some[i]
+                    yield int(doc[at]), owners[p], cosine, int(start[at] - ends[doc[at]]), w, docs[doc[at]]
+
+    def _close(self, tokens, start, end, norm, mass2, q, image, rest, min_cosine: float) -> Iterator[tuple]:
+        """(window, passage, cosine) of the pairs that reach the threshold: bounded in the latent space, then exact."""
+        size = end - start
+        window = np.repeat(np.arange(len(start)), size)
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + start[window]
+        known = tokens[inner] < len(self.terms)
+        cells, tf = _counted(window[known] * len(self.terms) + tokens[inner[known]])
+        row, t = np.divmod(cells, len(self.terms))
+        x = np.sqrt(tf * self.mine2[t])
+        head = np.searchsorted(row, np.arange(len(start)))  # every window has a known term, as its mass is positive
+        latent = np.add.reduceat(x[:, None] * self.space[t], head)
+        left = np.sqrt(np.maximum(0.0, mass2 - (latent**2).sum(1)))
+        near, passage = np.nonzero(latent @ image.T + left[:, None] * rest >= min_cosine * norm[:, None] - 1e-9)
+        width = np.diff(np.append(head, len(row)))
+        for lo in range(0, len(near), PAIRS_AT_ONCE):
+            i, p = near[lo : lo + PAIRS_AT_ONCE], passage[lo : lo + PAIRS_AT_ONCE]
+            first = np.cumsum(width[i]) - width[i]
+            at = np.arange(width[i].sum()) - np.repeat(first - head[i], width[i])
+            cosine = np.add.reduceat(q[np.repeat(p, width[i]), t[at]] * x[at], first) / norm[i]
+            for k in np.nonzero(cosine >= min_cosine - 1e-9)[0]:
+                yield int(i[k]), int(p[k]), float(cosine[k])
 
     def verified(self, texts: list, min_cosine: float) -> dict[tuple[int, int], tuple]:
         """(text's place, item's place) -> cosine, common share, answer share, first word; the best passage of each."""
