@@ -141,6 +141,8 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(280)], "doc_id long, toxic int")
     out = {r["doc_id"]: r for r in toxicity.toxicity_scores(spark.createDataFrame(rows, DOCS), labels).collect()}
     assert all(out[i]["predicted"] == int(i % 7 == 0) for i in range(280)) and out[999]["predicted"] == out[1000]["predicted"] == 0
+    none = toxicity.toxicity_scores(spark.createDataFrame(rows, DOCS), labels.limit(0)).collect()
+    assert all(abs(r["score"] - toxicity.UNLABELLED) < 1e-12 and r["predicted"] == 0 for r in none) and len(none) == len(rows)
 
 
 @pytest.mark.parametrize("max_broadcast", [0, pages.MAX_BROADCAST])
