@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..operators import ablation as L
 from ..operators import audits as A
 from ..operators import catalog as C
 from ..operators import discovery as D
@@ -165,6 +166,33 @@ def ridge_fold_metrics(spark, sf):
     return rounded(ics.join(ls, "fold_id", "left"), ["fold_id"])
 
 
+#: The models that the ablation queries compare, and a liquidity floor that the derived bars can meet.
+MODELS = {"momentum": "ret_20d", "reversal": "-ret_5d", "calm": "-realized_vol_20d"}
+FLOOR = 30_000.0
+
+
+def _focus(spark, sf):
+    panel = _labelled(spark, sf)
+    m = X.baseline(panel)
+    folds = F.broadcast(W.plan(m).select("fold_id", "test_start_date", "test_end_date"))  # one row per fold
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.round(F.expr(x), 9).alias("score")) for n, x in MODELS.items())))
+    rows = m.join(folds, m["date"].between(F.col("test_start_date"), F.col("test_end_date"))).select("fold_id", m["date"], "ticker", "fwd_ret_5d", each.alias("e"))
+    preds = rows.select("e.*", "fold_id", "date", "ticker", "fwd_ret_5d").where("score IS NOT NULL")
+    return L.focus_daily(L.with_liquidity(preds, panel), 25, FLOOR)
+
+
+def ablation_by_year(spark, sf):
+    return rounded(L.by_period(_focus(spark, sf), "year"), ["model", "year"])
+
+
+def ablation_by_fold(spark, sf):
+    return rounded(L.by_period(_focus(spark, sf), "fold_id"), ["model", "fold_id"])
+
+
+def ablation_comparison(spark, sf):
+    return rounded(L.compared(L.profiles(_focus(spark, sf)), "reversal", "momentum"), ["model"])
+
+
 DISCOVERED = ["ret_5d", "ret_20d", "rsi_14", "realized_vol_20d", "volume_z_20d", "dist_sma_50d"]
 
 
@@ -232,7 +260,7 @@ def signals(spark, sf):
     return rounded(W.signals(_preds(spark, sf), labelled), KEYS)
 
 
-_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals)}
+_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, ablation_by_year, ablation_by_fold, ablation_comparison)}
 
 
 def queries() -> dict[str, Query]:
@@ -291,6 +319,26 @@ v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 't
     }
     for name, key in (("coverage_by_year", "CAST(year(date) AS INTEGER) AS year"), ("coverage_by_ticker", "ticker")):
         out[name] = r(f"{Q.GATED}, c AS (SELECT {key}, count(*) AS rows, count(*) FILTER (tradable) AS tradable_rows, avg(CAST(tradable AS DOUBLE)) AS coverage FROM gated GROUP BY 1)", "c", f"{key.split()[-1]}, rows, tradable_rows", "coverage")
+    focus = f"""{Q.BASELINE}, {Q.PLAN[len(Q.LABELLED) + 2:]},
+scored AS (SELECT u.model, p.fold_id, m.date, m.ticker, m.fwd_ret_5d, m.median_dollar_volume_60, round(u.score, 9) AS score FROM matrix m JOIN plan p ON m.date BETWEEN p.test_start_date AND p.test_end_date,
+  LATERAL (VALUES {', '.join(f"('{n}', {x})" for n, x in MODELS.items())}) AS u(model, score) WHERE u.score IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY model, fold_id, date ORDER BY score DESC, ticker) AS rn FROM scored),
+focus AS (SELECT model, fold_id, date, CAST(year(date) AS INTEGER) AS year, avg(fwd_ret_5d) AS gross, avg(fwd_ret_5d) - 0.0025 AS net, count(*) AS candidates FROM best WHERE rn <= 25 AND median_dollar_volume_60 >= {FLOOR} GROUP BY 1, 2, 3),
+by_year AS (SELECT model, year, avg(net) AS net, avg(gross) AS gross, avg(candidates) AS avg_candidates, count(*) AS active_days FROM focus GROUP BY 1, 2),
+by_fold AS (SELECT model, fold_id, avg(net) AS net, avg(gross) AS gross, avg(candidates) AS avg_candidates, count(*) AS active_days FROM focus GROUP BY 1, 2)"""
+    out["ablation_by_year"] = r(focus, "by_year", "model, year, active_days", "net gross avg_candidates")
+    out["ablation_by_fold"] = r(focus, "by_fold", "model, fold_id, active_days", "net gross avg_candidates")
+    out["ablation_comparison"] = r(
+        f"""{focus},
+whole AS (SELECT model, avg(gross) AS gross, avg(net) AS net, avg(gross) * 10000 AS break_even_bps, avg(candidates) AS avg_candidates FROM focus GROUP BY 1),
+year_profile AS (SELECT model, count(*) FILTER (net > 0) AS positive_years, count(*) AS total_years, arg_min(year, (net, year)) AS worst_year, min(net) AS worst_year_net FROM by_year GROUP BY 1),
+fold_profile AS (SELECT model, count(*) FILTER (net > 0) AS positive_folds, count(*) AS total_folds, arg_min(fold_id, (net, fold_id)) AS worst_fold, min(net) AS worst_fold_net FROM by_fold GROUP BY 1),
+profiles AS (SELECT * FROM whole JOIN year_profile USING (model) JOIN fold_profile USING (model)),
+benchmark_row AS (SELECT net AS b_net, positive_folds AS b_folds, positive_years AS b_years FROM profiles WHERE model = 'momentum'),
+compared AS (SELECT profiles.*, net - b_net AS net_lead, CASE WHEN model <> 'reversal' THEN NULL WHEN positive_folds > b_folds AND positive_years >= b_years AND avg_candidates >= 10 AND net >= b_net THEN 'continue_review'
+  WHEN net < b_net AND positive_folds <= b_folds THEN 'reject_variant' ELSE 'needs_review' END AS verdict FROM profiles LEFT JOIN benchmark_row ON true)""",
+        "compared", "model, positive_years, total_years, worst_year, positive_folds, total_folds, worst_fold, verdict", "gross net break_even_bps avg_candidates worst_year_net worst_fold_net net_lead",
+    )
     out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
     out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
     out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pitlark.operators import ablation as L
 from pitlark.operators import evaluation as E
 from pitlark.operators import features as X
 from pitlark.operators import panel as P
@@ -87,3 +88,10 @@ def test_agrees_with_sql(spark, name):
                 f[c] = pd.to_datetime(f[c])
     a, b = (f[sorted(a.columns)].sort_values(keys).reset_index(drop=True) for f in (a, b))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1.1e-6, rtol=0)
+
+
+def test_ablation_verdicts(spark):
+    cols = "model string, net double, avg_candidates double, positive_years int, positive_folds int"
+    verdict = lambda *v: L.compared(spark.createDataFrame([("b", 0.1, 20.0, 3, 5), ("v", *v)], cols), "v", "b").where("model = 'v'").first()
+    assert verdict(0.1, 10.0, 3, 6)["verdict"] == "continue_review" and verdict(0.05, 20.0, 3, 5)["verdict"] == "reject_variant"
+    assert verdict(0.05, 20.0, 3, 6)["verdict"] == "needs_review" and abs(verdict(0.3, 1.0, 3, 6)["net_lead"] - 0.2) < 1e-12
