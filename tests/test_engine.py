@@ -85,7 +85,7 @@ def test_agrees_with_sql(spark, name):
     for f in (a, b):
         for c in f:
             if "date" in c:
-                f[c] = pd.to_datetime(f[c])
+                f[c] = pd.to_datetime(f[c]).astype("datetime64[us]")
     a, b = (f[sorted(a.columns)].sort_values(keys).reset_index(drop=True) for f in (a, b))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1.1e-6, rtol=0)
 
