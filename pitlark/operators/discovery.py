@@ -28,10 +28,24 @@ def daily_ic(long: DataFrame) -> DataFrame:
     return ranked.groupBy(*by).agg(pearson(F.col("v"), F.col("t")).alias("ic")).groupBy("fold_id", "feature").agg(F.avg("ic").alias("mean_daily_rank_ic"), F.count("ic").alias("dates"))
 
 
+def pooled_rank(df: DataFrame, x: str, by: list[str], out: str, cells: int = 64) -> DataFrame:
+    """df with the average rank of non-null x within `by`, for groups too large to sort in one task. Values are counted first,
+    the counts are summed within cells between approximate quantiles, and whole cells below are added: exact for any cells,
+    and neither a group nor a frequent value meets in one task (the join back by value can be split)."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx(x, [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n")).join(cuts, by)
+    counts = counts.select(*by, x, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(x))).alias("_cell"))
+    below = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_t"))
+    below = below.select(*by, "_cell", (F.sum("_t").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_t")).alias("_below"))  # at most `cells` rows a group
+    upto = counts.select(*by, x, "_n", "_cell", F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(x)).alias("_upto"))
+    ranks = upto.join(below, [*by, "_cell"]).select(*by, x, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranks, [*by, x], "left")
+
+
 def fold_ic(long: DataFrame) -> DataFrame:
     """Rank correlation with ranks pooled over the whole training window."""
-    by = ("fold_id", "feature")
-    ranked = long.select(*by, average_rank("value", *by).alias("v"), average_rank("target", *by).alias("t"))
+    by = ["fold_id", "feature"]
+    ranked = pooled_rank(pooled_rank(long.select(*by, "value", "target"), "value", by, "v"), "target", by, "t")
     return ranked.groupBy(*by).agg(pearson(F.col("v"), F.col("t")).alias("mean_fold_rank_ic"))
 
 

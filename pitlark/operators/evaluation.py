@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, bucket, pearson, row_rank
@@ -57,17 +57,17 @@ def score_stats(preds: DataFrame, *by: str) -> DataFrame:
     return df.select(*by, "rows", "mean", "std", "min", "max", *(F.col("q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p50", "p95", "p99"))))
 
 
-def top_names(preds: DataFrame, n: int) -> DataFrame:
-    return preds.where("score IS NOT NULL").withColumn("rn", row_rank("score", "date", descending=True)).where(F.col("rn") <= n)
+def top_names(preds: DataFrame, n: int, *by: str) -> DataFrame:
+    return preds.where("score IS NOT NULL").withColumn("rn", row_rank("score", *by, "date", descending=True)).where(F.col("rn") <= n)
 
 
-def turnover(members: DataFrame) -> DataFrame:
+def turnover(members: DataFrame, *by: str) -> DataFrame:
     """Share of a date's names that the date before did not hold; the first date has none. Joins on a dense date number,
     so no date's names are gathered in one row."""
-    dates = members.select("date").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("date")))  # one row a date
-    now = members.select("date", "ticker").join(F.broadcast(dates), "date")
-    before = now.select((F.col("k") + 1).alias("k"), "ticker", F.lit(True).alias("held"))
-    df = now.where("k > 1").join(before, ["k", "ticker"], "left").groupBy("date")
+    dates = members.select(*by, "date").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy(*by).orderBy("date")))  # one row a date
+    now = members.select(*by, "date", "ticker").join(F.broadcast(dates), [*by, "date"])
+    before = now.select(*by, (F.col("k") + 1).alias("k"), "ticker", F.lit(True).alias("held"))
+    df = now.where("k > 1").join(before, [*by, "k", "ticker"], "left").groupBy(*by, "date")
     return df.agg(F.count("*").alias("names"), F.count_if(F.col("held").isNull()).alias("new_names"), F.avg(F.col("held").isNull().cast("double")).alias("turnover"))
 
 
@@ -77,10 +77,14 @@ def lagged_scores(preds: DataFrame) -> DataFrame:
     return preds.withColumn("score", F.lag("score").over(w)).where("score IS NOT NULL")
 
 
+def _normal(seed: int) -> Column:
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "date", "ticker"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(2))
+
+
 def random_scores(preds: DataFrame, seed: int) -> DataFrame:
     """Negative control: normal scores made of a hash of seed, date and ticker: the same for any partitioning."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "date", "ticker"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return preds.withColumn("score", F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(2)))
+    return preds.withColumn("score", _normal(seed))
 
 
 def constant_scores(preds: DataFrame) -> DataFrame:
@@ -88,6 +92,49 @@ def constant_scores(preds: DataFrame) -> DataFrame:
     return preds.withColumn("score", F.lit(0.0))
 
 
+def control_scores(preds: DataFrame, seeds: tuple[int, ...] = (101, 202)) -> DataFrame:
+    """preds(fold_id, date, ticker, fwd_ret_5d, score) once per control: the scores themselves, random ones per seed, equal ones,
+    and each name's score of its row before. One pass: the controls are columns until they are exploded."""
+    lag = F.lag("score").over(Window.partitionBy("ticker").orderBy("date", "fold_id"))
+    found = {"active": F.col("score"), **{f"random_{s}": _normal(s) for s in seeds}, "constant": F.lit(0.0), "lagged": F.col("_lag")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("control"), c.alias("score")) for n, c in found.items())))
+    return preds.withColumn("_lag", lag).select("fold_id", "date", "ticker", "fwd_ret_5d", each.alias("e")).select("e.*", "fold_id", "date", "ticker", "fwd_ret_5d")
+
+
+def fold_metrics(preds: DataFrame, buckets: int = 10, cost_bps: float = 25.0, outlier: float = 5.0, *by: str) -> DataFrame:
+    """Per fold: rows, scores, mean rank correlation, long-short returns with buckets dealt inside the fold, outlier flag."""
+    by = (*by, "fold_id")
+    df = preds.where("score IS NOT NULL AND fwd_ret_5d IS NOT NULL")
+    stats = df.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"), F.min("score").alias("score_min"), F.max("score").alias("score_max"))
+    ics = rank_ic(df, *by, "date").groupBy(*by).agg(F.avg("ic").alias("mean_rank_ic"))
+    legs = long_short(bucketed(df, buckets, *by, "date"), buckets, 1, cost_bps, *by, "date").groupBy(*by).agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"))
+    out = stats.join(ics, [*by], "left").join(legs, [*by], "left")
+    return out.withColumn("score_outlier", F.greatest(F.abs("score_min"), F.abs("score_max")) > outlier)
+
+
+def metrics(preds: DataFrame, by: str, buckets: int = 10, quintiles: int = 5, cost_bps: float = 25.0, top: int = 20) -> DataFrame:
+    """One row of metrics per value of `by` (a model or a control): rows, folds, dates with few names, rank correlation and its
+    t statistic, both legs and the long-short portfolio, the fixed top names and the turnovers. Rows without a score or a
+    return count as missing only. Every part is an aggregation by (by, date), so they share that exchange's keys."""
+    day = (by, "date")
+    df = preds.where("score IS NOT NULL AND fwd_ret_5d IS NOT NULL")
+    base = preds.groupBy(by).agg(F.count_if(F.col("score").isNull() | F.col("fwd_ret_5d").isNull()).alias("missing_rows"))
+    used = df.groupBy(by).agg(F.count("*").alias("rows"), F.countDistinct("fold_id").alias("folds"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    names = df.groupBy(*day).agg(F.count("*").alias("n")).groupBy(by).agg(F.count_if(F.col("n") < buckets).alias("dates_below_buckets"), F.count_if(F.col("n") < quintiles).alias("dates_below_quintiles"))
+    n, sd = F.count("ic"), F.stddev_samp("ic")
+    ics = rank_ic(df, *day).groupBy(by).agg(F.avg("ic").alias("mean_ic"), F.when(n > 1, F.try_divide(F.avg("ic"), F.try_divide(sd, F.sqrt(n.cast("double"))))).alias("ic_t_stat"))
+    dealt = bucketed(df, buckets, *day)
+    legs = long_short(dealt, buckets, 1, cost_bps, *day).groupBy(by).agg(*(F.avg(c).alias(c) for c in ("long_gross", "long_net", "short_gross", "short_net", "gross", "net", "long_hit_rate", "short_hit_rate")))
+    best = top_names(df, top, by)
+    fixed = best.groupBy(*day).agg(F.count("*").alias("k"), F.avg("fwd_ret_5d").alias("r")).groupBy(by).agg(F.count("*").alias("top_days"), F.avg("k").alias("top_names"), F.avg("r").alias("top_gross"), (F.avg("r") - cost_bps / 1e4).alias("top_net"))
+    changed = turnover(best, by).groupBy(by).agg(F.avg("turnover").alias("top_turnover"))
+    decile = turnover(dealt.where(F.col("bucket") == buckets), by).groupBy(by).agg(F.avg("turnover").alias("decile_turnover"))
+    out = base
+    for part in (used, names, ics, legs, fixed, changed, decile):
+        out = out.join(part, by, "left")
+    return out.fillna(0, ["rows", "folds", "dates_below_buckets", "dates_below_quintiles", "top_days"])
+
+
 #: (metric, threshold key, rule): below the threshold, or not positive, blocks.
 GATE = [("rows", "min_rows", "min"), ("folds", "min_folds", "min"), ("ic_t_stat", "min_ic_t_stat", "min"), ("mean_ic", None, "positive"), ("long_short_net", None, "positive"), ("top_net", None, "positive")]
 

@@ -122,3 +122,19 @@ def label_reasons(labelled: DataFrame) -> DataFrame:
 def label_counts(labelled: DataFrame, key: str) -> DataFrame:
     c = F.when(F.col("label_valid_5d"), F.col("target_class_5d"))
     return labelled.groupBy(key).agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("label_valid_5d").alias("valid_rows"), *(F.count_if(c == k).alias(n) for k, n in ((-1, "class_neg"), (0, "class_zero"), (1, "class_pos"))))
+
+
+def rows_by_year(research: DataFrame) -> DataFrame:
+    return research.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("rows"), F.count_if("model_eligible").alias("eligible_rows"), F.countDistinct("ticker").alias("tickers"))
+
+
+def class_agreement(df: DataFrame) -> DataFrame:
+    """One row: how far the volatility-normalized classes differ from the plain ones on rows valid in both."""
+    both = F.col("label_valid_5d") & F.col("label_valid_5d_vol_norm60")
+    a, b = F.col("target_class_5d"), F.col("target_class_5d_vol_norm60")
+    share = lambda cond, hit: F.avg(F.when(cond, hit.cast("double")))
+    return df.agg(
+        F.count("*").alias("rows"), F.count_if("label_valid_5d").alias("base_valid_rows"), F.count_if("label_valid_5d_vol_norm60").alias("valid_rows"),
+        F.count_if(~F.col("vol_denominator_valid")).alias("bad_denominator_rows"), share(both, a != b).alias("class_churn"),
+        share(both & (a == 1), b == 1).alias("long_agreement"), share(both & (a == -1), b == -1).alias("short_agreement"),
+    )

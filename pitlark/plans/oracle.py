@@ -205,3 +205,33 @@ days AS (SELECT date, count(*) AS n, row_number() OVER (ORDER BY date) - 1 AS i
 folds AS (SELECT t, ((t - 505) / 63 + 1)::INTEGER AS fold_id FROM (SELECT unnest(range(505, (SELECT max(i) FROM days) - 63 + 2, 63)) AS t)),
 plan AS (SELECT fold_id, max(CASE WHEN i = t - 505 THEN date END) AS train_start_date, max(CASE WHEN i = t - 6 THEN date END) AS train_end_date, max(CASE WHEN i = t THEN date END) AS test_start_date, max(CASE WHEN i = t + 62 THEN date END) AS test_end_date,
   CAST(sum(CASE WHEN i <= t - 6 THEN n ELSE 0 END) AS BIGINT) AS train_rows, CAST(sum(CASE WHEN i >= t THEN n ELSE 0 END) AS BIGINT) AS test_rows FROM folds JOIN days ON i BETWEEN t - 505 AND t + 62 GROUP BY fold_id)"""
+
+
+def metric_parts(key: str) -> str:
+    """CTEs over used(key, date, ticker, fwd_ret_5d, score): correlations, legs."""
+    by = f"{key}, date"
+    return f"""ic AS (SELECT {by}, {pearson('s', 'r')} AS ic FROM (SELECT {by}, {average_rank('score', by)} AS s, {average_rank('fr', by)} AS r FROM (SELECT *, round(fwd_ret_5d, 9) AS fr FROM used)) GROUP BY {by}),
+ics AS (SELECT {key}, avg(ic) AS mean_ic, CASE WHEN count(ic) > 1 THEN avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) END AS ic_t_stat FROM ic GROUP BY 1),
+{bucketed('used', by)},
+legs AS (SELECT {by}, avg(fwd_ret_5d) FILTER (bucket = 10) AS long_gross, avg(-fwd_ret_5d) FILTER (bucket = 1) AS short_gross, avg(CAST(fwd_ret_5d > 0 AS DOUBLE)) FILTER (bucket = 10) AS long_hit_rate, avg(CAST(-fwd_ret_5d > 0 AS DOUBLE)) FILTER (bucket = 1) AS short_hit_rate
+  FROM bucketed GROUP BY {by} HAVING count(*) FILTER (bucket = 10) > 0 AND count(*) FILTER (bucket = 1) > 0),
+portfolio AS (SELECT {key}, avg(long_gross) AS long_gross, avg(long_gross) - 0.0025 AS long_net, avg(short_gross) AS short_gross, avg(short_gross) - 0.0025 AS short_net, avg(long_gross + short_gross) / 2 AS gross, avg(long_gross + short_gross) / 2 - 0.0025 AS net,
+  avg(long_hit_rate) AS long_hit_rate, avg(short_hit_rate) AS short_hit_rate FROM legs GROUP BY 1)"""
+
+
+FOLD_METRICS = """fold_metrics AS (SELECT fold_id, count(*) AS rows, avg(score) AS score_mean, stddev_pop(score) AS score_std, min(score) AS score_min, max(score) AS score_max, greatest(abs(min(score)), abs(max(score))) > 5 AS score_outlier,
+  any_value(mean_ic) AS mean_rank_ic, any_value(gross) AS gross, any_value(net) AS net FROM used LEFT JOIN ics USING (fold_id) LEFT JOIN portfolio USING (fold_id) GROUP BY 1)"""
+
+
+def metrics(key: str) -> str:
+    by = f"{key}, date"
+    changed = lambda source: f"SELECT a.{key}, a.date, avg(CAST(b.ticker IS NULL AS DOUBLE)) AS t FROM {source} a LEFT JOIN {source} b ON a.{key} = b.{key} AND a.ticker = b.ticker AND b.k = a.k - 1 WHERE a.k > 1 GROUP BY 1, 2"
+    return f"""best AS (SELECT *, dense_rank() OVER (PARTITION BY {key} ORDER BY date) AS k FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, ticker) AS rn FROM used) WHERE rn <= 20),
+decile AS (SELECT *, dense_rank() OVER (PARTITION BY {key} ORDER BY date) AS k FROM bucketed WHERE bucket = 10),
+top_days AS (SELECT {key}, count(*) AS top_days, avg(n) AS top_names, avg(r) AS top_gross, avg(r) - 0.0025 AS top_net FROM (SELECT {by}, count(*) AS n, avg(fwd_ret_5d) AS r FROM best GROUP BY {by}) GROUP BY 1),
+top_change AS (SELECT {key}, avg(t) AS top_turnover FROM ({changed('best')}) GROUP BY 1),
+decile_change AS (SELECT {key}, avg(t) AS decile_turnover FROM ({changed('decile')}) GROUP BY 1),
+few AS (SELECT {key}, count(*) FILTER (n < 10) AS dates_below_buckets, count(*) FILTER (n < 5) AS dates_below_quintiles FROM (SELECT {by}, count(*) AS n FROM used GROUP BY {by}) GROUP BY 1),
+held AS (SELECT {key}, count(*) AS rows, count(DISTINCT fold_id) AS folds, min(date) AS min_date, max(date) AS max_date FROM used GROUP BY 1),
+lost AS (SELECT {key}, count(*) FILTER (score IS NULL OR fwd_ret_5d IS NULL) AS missing_rows FROM given GROUP BY 1),
+metrics AS (SELECT * FROM lost JOIN held USING ({key}) JOIN few USING ({key}) JOIN ics USING ({key}) JOIN portfolio USING ({key}) JOIN top_days USING ({key}) JOIN top_change USING ({key}) JOIN decile_change USING ({key}))"""

@@ -193,6 +193,85 @@ def ablation_comparison(spark, sf):
     return rounded(L.compared(L.profiles(_focus(spark, sf)), "reversal", "momentum"), ["model"])
 
 
+def _fold_preds(spark, sf):
+    """The momentum score over every fold's test dates."""
+    m = X.baseline(_labelled(spark, sf))
+    folds = F.broadcast(W.plan(m).select("fold_id", "test_start_date", "test_end_date"))  # one row per fold
+    return m.join(folds, m["date"].between(F.col("test_start_date"), F.col("test_end_date"))).select("fold_id", m["date"], "ticker", "fwd_ret_5d", F.round("ret_20d", 9).alias("score"))
+
+
+def fold_metrics(spark, sf):
+    return rounded(E.fold_metrics(_fold_preds(spark, sf)), ["fold_id"])
+
+
+def model_metrics(spark, sf):
+    return rounded(E.metrics(_fold_preds(spark, sf).withColumn("model", F.lit("momentum")), "model"), ["model"])
+
+
+def negative_controls(spark, sf):
+    return rounded(E.metrics(E.control_scores(_fold_preds(spark, sf)), "control"), ["control"])
+
+
+def fixed_controls(spark, sf):
+    """The controls without random scores, which SQL can compute too."""
+    return rounded(E.metrics(E.control_scores(_fold_preds(spark, sf), ()), "control"), ["control"])
+
+
+def rows_by_year(spark, sf):
+    return P.rows_by_year(P.universe(_gated(spark, sf)))
+
+
+def class_agreement(spark, sf):
+    return rounded(P.class_agreement(P.volatility_target(_labelled(spark, sf))), [])
+
+
+def feature_null_counts(spark, sf):
+    return X.null_counts(X.baseline(_labelled(spark, sf)), X.BASELINE_NAMES)
+
+
+def master_audit(spark, sf):
+    """A security master of the bars' tickers, as text, with defects planted by the ticker's number."""
+    k = F.substring("ticker", 2, 5).cast("int")
+    bars = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"))
+    flag = F.when(k % 7 == 0, "maybe").otherwise("No")
+    return A.audit_master(bars.select(
+        F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("P"), "ticker")).alias("permanent_id"), F.concat("ticker", F.lit(".US")).alias("raw_ticker"), "ticker", F.lit("stock").alias("security_type"),
+        F.when(k % 3 == 0, "n/a").otherwise(F.col("a")).alias("listing_date"), F.when(k % 2 == 0, F.col("b")).otherwise("").alias("delisting_date"),
+        F.when(k % 4 == 0, F.col("b")).otherwise(F.col("a")).alias("ticker_start_date"), F.when(k % 4 == 0, F.col("a")).otherwise(F.col("b")).alias("ticker_end_date"),
+        F.lit("X").alias("exchange"), *(flag.alias(c) for c in A.MASTER_FLAGS), F.lit("s").alias("source"), F.lit("2020-01-01").alias("source_asof_date"),
+    ))
+
+
+def corporate_actions_audit(spark, sf):
+    """Corporate actions made of the bars, as text, with defects planted by the day of the month."""
+    k = F.dayofmonth("date")
+    day = F.col("date").cast("string")
+    return A.audit_events(B.bars_from_lines(spark, sf).select(
+        F.concat("ticker", F.lit(".US")).alias("raw_ticker"), "ticker", F.when(k == 3, "2020-13-01").when(k == 4, "").otherwise(day).alias("event_date"),
+        F.when(k == 5, "rights").otherwise("Split").alias("action_type"), F.when(k == 6, "").otherwise("s").alias("source"), day.alias("source_asof_date"),
+        F.when(k == 7, "0").otherwise("2").alias("split_ratio"), F.when(k == 8, "-1").when(k == 9, "n/a").when(k == 10, "").otherwise("1.5").alias("cash_amount"),
+    ))
+
+
+def _chains(spark, sf):
+    """One option a bar, as import text; some are crossed, expired or of an unknown kind."""
+    k = F.dayofmonth("date")
+    s = lambda c: F.col(c).cast("string")
+    return A.normalize_options(B.bars_from_lines(spark, sf).select(
+        F.lower("ticker").alias("underlying"), s("date").alias("snapshot_date"), F.when(k == 3, s("date")).otherwise(F.date_add("date", 30).cast("string")).alias("expiration"),
+        s("open").alias("strike"), F.when(k == 4, "X").when(k % 2 == 0, "call").otherwise("P").alias("call_put"), F.when(k == 5, "-1").otherwise(s("low")).alias("bid"), F.when(k == 6, "0").when(k == 7, "n/a").otherwise(s("high")).alias("ask"),
+    ))
+
+
+def option_faults(spark, sf):
+    return A.option_faults(_chains(spark, sf))
+
+
+def option_coverage(spark, sf):
+    candidates = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.max("date").alias("date")).where("right(ticker, 1) IN ('1', '2')").withColumn("side", F.lit("long"))
+    return A.option_coverage(A.link_options(_chains(spark, sf), candidates), candidates)
+
+
 DISCOVERED = ["ret_5d", "ret_20d", "rsi_14", "realized_vol_20d", "volume_z_20d", "dist_sma_50d"]
 
 
@@ -260,7 +339,7 @@ def signals(spark, sf):
     return rounded(W.signals(_preds(spark, sf), labelled), KEYS)
 
 
-_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, ablation_by_year, ablation_by_fold, ablation_comparison)}
+_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
 
 
 def queries() -> dict[str, Query]:
@@ -339,6 +418,32 @@ compared AS (SELECT profiles.*, net - b_net AS net_lead, CASE WHEN model <> 'rev
   WHEN net < b_net AND positive_folds <= b_folds THEN 'reject_variant' ELSE 'needs_review' END AS verdict FROM profiles LEFT JOIN benchmark_row ON true)""",
         "compared", "model, positive_years, total_years, worst_year, positive_folds, total_folds, worst_fold, verdict", "gross net break_even_bps avg_candidates worst_year_net worst_fold_net net_lead",
     )
+    vol = out["volatility_target"]
+    agreement = vol[vol.index("WITH ") + 5:vol.rindex("\nSELECT")]
+    both = "label_valid_5d AND label_valid_5d_vol_norm60"
+    out["class_agreement"] = r(
+        f"""{agreement}, ag AS (SELECT count(*) AS rows, count(*) FILTER (label_valid_5d) AS base_valid_rows, count(*) FILTER (label_valid_5d_vol_norm60) AS valid_rows, count(*) FILTER (NOT coalesce(trailing_vol_60d > 1e-6, false)) AS bad_denominator_rows,
+avg(CAST(target_class_5d <> target_class_5d_vol_norm60 AS DOUBLE)) FILTER ({both}) AS class_churn, avg(CAST(target_class_5d_vol_norm60 = 1 AS DOUBLE)) FILTER ({both} AND target_class_5d = 1) AS long_agreement,
+avg(CAST(target_class_5d_vol_norm60 = -1 AS DOUBLE)) FILTER ({both} AND target_class_5d = -1) AS short_agreement FROM v4)""",
+        "ag", "rows, base_valid_rows, valid_rows, bad_denominator_rows", "class_churn long_agreement short_agreement",
+    )
+    out["rows_by_year"] = f"WITH {Q.GATED} SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS rows, count(*) FILTER (model_eligible) AS eligible_rows, count(DISTINCT ticker) AS tickers FROM universe GROUP BY 1"
+    out["feature_null_counts"] = f"WITH {Q.BASELINE}, n AS (SELECT " + ", ".join(f'count(*) FILTER ("{c}" IS NULL) AS "{c}"' for c in X.BASELINE_NAMES) + " FROM matrix) UNPIVOT n ON COLUMNS(*) INTO NAME feature VALUE nulls"
+    scored = f"""{Q.BASELINE}, {Q.PLAN[len(Q.LABELLED) + 2:]},
+fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d, 9) AS score FROM matrix m JOIN plan p ON m.date BETWEEN p.test_start_date AND p.test_end_date)"""
+    out["fold_metrics"] = r(f"{scored}, used AS (SELECT * FROM fold_preds WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL), {Q.metric_parts('fold_id')}, {Q.FOLD_METRICS}", "fold_metrics", "fold_id, rows, score_outlier", "score_mean score_std score_min score_max mean_rank_ic gross net")
+    for name, key, source in (
+        ("model_metrics", "model", "SELECT 'momentum' AS model, * FROM fold_preds"),
+        ("fixed_controls", "control", "SELECT 'active' AS control, * FROM fold_preds UNION ALL SELECT 'constant', * REPLACE (CAST(0 AS DOUBLE) AS score) FROM fold_preds UNION ALL SELECT 'lagged', * REPLACE (lag(score) OVER (PARTITION BY ticker ORDER BY date, fold_id) AS score) FROM fold_preds"),
+    ):
+        out[name] = r(f"{scored}, given AS ({source}), used AS (SELECT * FROM given WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL), {Q.metric_parts(key)}, {Q.metrics(key)}", "metrics", f"{key}, missing_rows, rows, folds, min_date, max_date, dates_below_buckets, dates_below_quintiles, top_days", "mean_ic ic_t_stat long_gross long_net short_gross short_net gross net long_hit_rate short_hit_rate top_names top_gross top_net top_turnover decile_turnover")
+    c = lambda cond, name: f"count(*) FILTER ({cond}) AS {name}"
+    zero = lambda *names: ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in names)
+    null = lambda *names: ", ".join(f"CAST(NULL AS BIGINT) AS {n}" for n in names)
+    out["master_audit"] = f"WITH {Q.BARS}, t AS (SELECT CAST(substr(ticker, 2, 5) AS INTEGER) AS k, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {c('k % 5 = 0', 'empty_permanent_id')}, {zero(*(f'empty_{x}' for x in A.MASTER_COLUMNS if x not in A.MASTER_OPEN + A.MASTER_FLAGS + ['permanent_id']))}, {c('k % 3 = 0', 'bad_date_listing_date')}, {zero(*(f'bad_date_{x}' for x in A.MASTER_DATES[1:]))}, {', '.join(c('k % 7 = 0', f'bad_flag_{x}') for x in A.MASTER_FLAGS)}, {zero('duplicate_identity', 'reversed_listing')}, {c('k % 4 = 0 AND b > a', 'reversed_ticker')}, {c('k % 2 = 0', 'delisted_rows')} FROM t"
+    out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
+    out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate')} FROM t"
+    out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
     out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
     out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
     out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)
