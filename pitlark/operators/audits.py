@@ -1,4 +1,4 @@
-"""Data-quality audits, coverage, and option-chain snapshots."""
+"""Data-quality audits, and coverage."""
 
 from __future__ import annotations
 
@@ -117,38 +117,3 @@ def audit_policy(policy: dict) -> list[str]:
     except ValueError:
         out.append("invalid_date:source_asof_date")
     return out
-
-
-OPTION_REQUIRED = ["underlying", "snapshot_date", "expiration", "strike", "call_put", "bid", "ask"]
-
-
-def normalize_options(raw: DataFrame) -> DataFrame:
-    """Typed option rows: CALL/PUT to C/P, mid and days to expiry where absent; unparsable values become null."""
-    text = lambda c: F.upper(F.trim(c))
-    num = lambda c: F.expr(f"try_cast(trim({c}) as double)") if c in raw.columns else F.lit(None).cast("double")
-    day = lambda c: F.try_to_timestamp(F.trim(c), F.lit("yyyy-MM-dd")).cast("date")
-    df = raw.select(text("underlying").alias("underlying"), day("snapshot_date").alias("snapshot_date"), day("expiration").alias("expiration"), num("strike").alias("strike"), F.regexp_replace(F.regexp_replace(text("call_put"), "^CALL$", "C"), "^PUT$", "P").alias("call_put"), num("bid").alias("bid"), num("ask").alias("ask"), *(num(c).alias(c) for c in ("mid", "volume", "open_interest", "implied_volatility", "delta")))
-    return df.withColumns({"mid": F.coalesce("mid", (F.col("bid") + F.col("ask")) / 2), "days_to_expiry": F.datediff("expiration", "snapshot_date")})
-
-
-def option_faults(options: DataFrame) -> DataFrame:
-    """One row: how many rows break each hard rule; an import with any is refused."""
-    keys = ["underlying", "snapshot_date", "expiration", "strike", "call_put"]
-    df = options.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    null = F.lit(False)
-    for c in OPTION_REQUIRED:
-        null = null | F.col(c).isNull()
-    return df.agg(F.count_if(null).alias("null_core"), F.count_if(~F.col("call_put").isin("C", "P")).alias("call_put"), F.count_if((F.col("bid") < 0) | (F.col("ask") < 0) | (F.col("strike") <= 0)).alias("negative"), F.count_if(F.col("ask") < F.col("bid")).alias("crossed"), F.count_if(F.col("expiration") <= F.col("snapshot_date")).alias("expired"), F.count_if(F.col("_copies") > 1).alias("duplicate"))
-
-
-def link_options(options: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Options with their underlying's candidate (one per ticker, else an error) and whether the dates match."""
-    if candidates.groupBy("ticker").count().where("count > 1").limit(1).count():
-        raise ValueError("a ticker has several candidates")
-    df = options.join(candidates.select(F.col("ticker").alias("underlying"), "side", F.col("date").alias("score_date")), "underlying", "left")
-    return df.withColumns({"is_candidate": F.col("score_date").isNotNull(), "snapshot_matches_score_date": F.coalesce(F.col("snapshot_date") == F.col("score_date"), F.lit(False))})
-
-
-def option_coverage(linked: DataFrame, candidates: DataFrame) -> DataFrame:
-    per = linked.groupBy(F.col("underlying").alias("ticker")).agg(F.countDistinct("snapshot_date").alias("snapshots"), F.count("*").alias("contracts"), F.array_join(F.array_sort(F.collect_set(F.col("snapshot_date").cast("string"))), "|").alias("dates"), F.max("snapshot_date").alias("latest"), F.bool_or("snapshot_matches_score_date").alias("matches"))
-    return candidates.join(per, "ticker", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("snapshots", "contracts")} | {"matches": F.coalesce("matches", F.lit(False))})

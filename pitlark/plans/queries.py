@@ -15,9 +15,11 @@ from ..operators import catalog as C
 from ..operators import discovery as D
 from ..operators import evaluation as E
 from ..operators import features as X
+from ..operators import options as O
 from ..operators import panel as P
 from ..operators import walkforward as W
 from ..sources import bars as B
+from ..sources.store import settled
 from . import oracle as Q
 
 KEYS = ["ticker", "date"]
@@ -200,21 +202,26 @@ def _fold_preds(spark, sf):
     return m.join(folds, m["date"].between(F.col("test_start_date"), F.col("test_end_date"))).select("fold_id", m["date"], "ticker", "fwd_ret_5d", F.round("ret_20d", 9).alias("score"))
 
 
+def _settled_preds(spark, sf):
+    """Predictions are written once: every metric reads them, none computes the panel again."""
+    return settled(_fold_preds(spark, sf))
+
+
 def fold_metrics(spark, sf):
-    return rounded(E.fold_metrics(_fold_preds(spark, sf)), ["fold_id"])
+    return rounded(E.fold_metrics(_settled_preds(spark, sf)), ["fold_id"])
 
 
 def model_metrics(spark, sf):
-    return rounded(E.metrics(_fold_preds(spark, sf).withColumn("model", F.lit("momentum")), "model"), ["model"])
+    return rounded(E.metrics(_settled_preds(spark, sf).withColumn("model", F.lit("momentum")), "model"), ["model"])
 
 
 def negative_controls(spark, sf):
-    return rounded(E.metrics(E.control_scores(_fold_preds(spark, sf)), "control"), ["control"])
+    return rounded(E.metrics(E.control_scores(_settled_preds(spark, sf)), "control"), ["control"])
 
 
 def fixed_controls(spark, sf):
     """The controls without random scores, which SQL can compute too."""
-    return rounded(E.metrics(E.control_scores(_fold_preds(spark, sf), ()), "control"), ["control"])
+    return rounded(E.metrics(E.control_scores(_settled_preds(spark, sf), ()), "control"), ["control"])
 
 
 def rows_by_year(spark, sf):
@@ -257,19 +264,19 @@ def _chains(spark, sf):
     """One option a bar, as import text; some are crossed, expired or of an unknown kind."""
     k = F.dayofmonth("date")
     s = lambda c: F.col(c).cast("string")
-    return A.normalize_options(B.bars_from_lines(spark, sf).select(
-        F.lower("ticker").alias("underlying"), s("date").alias("snapshot_date"), F.when(k == 3, s("date")).otherwise(F.date_add("date", 30).cast("string")).alias("expiration"),
+    return O.normalize(B.bars_from_lines(spark, sf).select(
+        F.lower("ticker").alias("underlying_ticker"), F.concat_ws("_", "ticker", "date").alias("option_symbol"), F.lit("bars").alias("data_source"), s("date").alias("snapshot_date"), F.when(k == 3, s("date")).otherwise(F.date_add("date", 30).cast("string")).alias("expiration"),
         s("open").alias("strike"), F.when(k == 4, "X").when(k % 2 == 0, "call").otherwise("P").alias("call_put"), F.when(k == 5, "-1").otherwise(s("low")).alias("bid"), F.when(k == 6, "0").when(k == 7, "n/a").otherwise(s("high")).alias("ask"),
     ))
 
 
 def option_faults(spark, sf):
-    return A.option_faults(_chains(spark, sf))
+    return O.faults(_chains(spark, sf))
 
 
 def option_coverage(spark, sf):
-    candidates = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.max("date").alias("date")).where("right(ticker, 1) IN ('1', '2')").withColumn("side", F.lit("long"))
-    return A.option_coverage(A.link_options(_chains(spark, sf), candidates), candidates)
+    candidates = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.max("date").alias("score_date")).where("right(ticker, 1) IN ('1', '2')").withColumn("side", F.lit("long"))
+    return O.coverage(O.link(_chains(spark, sf), candidates), candidates)
 
 
 DISCOVERED = ["ret_5d", "ret_20d", "rsi_14", "realized_vol_20d", "volume_z_20d", "dist_sma_50d"]
@@ -289,7 +296,7 @@ def discovery_daily_ic(spark, sf):
 
 
 def discovery_fold_ic(spark, sf):
-    return rounded(D.fold_ic(_long(spark, sf)), ["fold_id"])
+    return rounded(D.fold_ic(settled(_long(spark, sf))), ["fold_id"])
 
 
 def discovery_correlations(spark, sf):
@@ -442,8 +449,8 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
     null = lambda *names: ", ".join(f"CAST(NULL AS BIGINT) AS {n}" for n in names)
     out["master_audit"] = f"WITH {Q.BARS}, t AS (SELECT CAST(substr(ticker, 2, 5) AS INTEGER) AS k, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {c('k % 5 = 0', 'empty_permanent_id')}, {zero(*(f'empty_{x}' for x in A.MASTER_COLUMNS if x not in A.MASTER_OPEN + A.MASTER_FLAGS + ['permanent_id']))}, {c('k % 3 = 0', 'bad_date_listing_date')}, {zero(*(f'bad_date_{x}' for x in A.MASTER_DATES[1:]))}, {', '.join(c('k % 7 = 0', f'bad_flag_{x}') for x in A.MASTER_FLAGS)}, {zero('duplicate_identity', 'reversed_listing')}, {c('k % 4 = 0 AND b > a', 'reversed_ticker')}, {c('k % 2 = 0', 'delisted_rows')} FROM t"
     out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
-    out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate')} FROM t"
-    out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
+    out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate', 'negative_volume')} FROM t"
+    out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
     out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
     out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
     out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)
