@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
@@ -13,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='pitlark-')}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir; a temporary folder only where that is unset, as in tests) and read
     back: several readers share one computation, and a lost executor loses none of it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pitlark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local()
     path = f"{base}/pitlark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
