@@ -451,6 +451,19 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
     out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
     out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate', 'negative_volume')} FROM t"
     out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
+    out["lagged_control_ic"] = r(
+        f"""{q}, used AS (SELECT date, score, round(fwd_ret_5d, 9) AS fr FROM (SELECT date, fwd_ret_5d, lag(score) OVER (PARTITION BY ticker ORDER BY date) AS score FROM preds) WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL),
+ic AS (SELECT date, count(*) AS names, {Q.pearson('s', 'r')} AS ic FROM (SELECT date, {Q.average_rank('score', 'date')} AS s, {Q.average_rank('fr', 'date')} AS r FROM used) GROUP BY date)""",
+        "ic", "date, names", "ic",
+    )
+    ok = "coalesce(l.close >= 10 AND l.zero_volume_count_60 = 0 AND l.history_bars >= 252 AND l.median_dollar_volume_60 >= {}, false)"
+    out["signals"] = r(
+        f"""{q}, newest AS (SELECT * FROM preds WHERE date = (SELECT max(date) FROM preds)), {Q.bucketed('newest')},
+found AS (SELECT b.*, l.close, l.median_dollar_volume_60, l.zero_volume_count_60, l.history_bars, CASE WHEN b.bucket = 10 THEN 'long' ELSE 'short' END AS side, {ok.format('25e6')} AS liquid_25m, {ok.format('50e6')} AS liquid_50m
+  FROM bucketed b JOIN labelled l USING (date, ticker) WHERE b.bucket IN (1, 10))""",
+        "found", "date, ticker, bucket, CAST(history_bars AS INTEGER) AS history_bars, side, liquid_25m, liquid_50m", "fwd_ret_5d score close median_dollar_volume_60 zero_volume_count_60",
+    )
+    out["raw_validation"] = f"WITH {Q.BARS}, planted(k, reason) AS (VALUES (3, 'bad_per'), (4, 'bad_time'), (6, 'bad_volume_negative'), (7, 'bad_numeric_volume'), (8, 'bad_ohlc_consistency'), (9, 'bad_numeric_openint')) SELECT reason, count(*) AS rows, count(DISTINCT date) AS distinct_dates FROM bars JOIN planted ON day(date) = k GROUP BY 1"
     out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
     out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
     out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)
