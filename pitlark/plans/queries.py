@@ -451,6 +451,13 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
     out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
     out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate', 'negative_volume')} FROM t"
     out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
+    out["discovery_correlations"] = r(
+        f"""{long}, every AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY fold_id, feature ORDER BY date) AS d FROM long) WHERE (d - 1) % 20 = 0),
+ranks AS (SELECT fold_id, date, ticker, feature, {Q.average_rank('value', 'fold_id, feature')} AS r FROM every),
+per AS (SELECT a.fold_id, a.feature AS feature_a, b.feature AS feature_b, abs({Q.pearson('a.r', 'b.r')}) AS c FROM ranks a JOIN ranks b ON a.fold_id = b.fold_id AND a.date = b.date AND a.ticker = b.ticker AND a.feature < b.feature GROUP BY 1, 2, 3),
+correlations AS (SELECT feature_a, feature_b, count(c) AS folds, avg(c) AS mean_abs_corr, max(c) AS max_abs_corr FROM per GROUP BY 1, 2)""",
+        "correlations", "feature_a, feature_b, folds", "mean_abs_corr max_abs_corr",
+    )
     out["lagged_control_ic"] = r(
         f"""{q}, used AS (SELECT date, score, round(fwd_ret_5d, 9) AS fr FROM (SELECT date, fwd_ret_5d, lag(score) OVER (PARTITION BY ticker ORDER BY date) AS score FROM preds) WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL),
 ic AS (SELECT date, count(*) AS names, {Q.pearson('s', 'r')} AS ic FROM (SELECT date, {Q.average_rank('score', 'date')} AS s, {Q.average_rank('fr', 'date')} AS r FROM used) GROUP BY date)""",
