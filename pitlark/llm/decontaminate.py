@@ -1,12 +1,14 @@
 """Benchmark decontamination: latent semantic retrieval of TF-IDF passages, then word-order and answer checks.
 
 Passages are word windows of three lengths; a benchmark item is compared at the shortest length that holds it (longer
-items in pieces). Weights are sqrt(tf) * idf, so a window's squared norm is the sum of its tokens' idf^2. The terms of the
-benchmark are the columns of the TF-IDF matrix (any other term can only add to a passage's norm); a distributed
-randomised SVD of all corpus passages gives its leading right singular space. A window is a candidate if its cosine
-with an item, computed in that space, plus the most that the two residuals can add (the product of their norms), reaches
-the threshold: the truncation loses no candidate. Survivors' exact cosine is taken, then the longest common
-subsequence of words of item and passage, and that of the item's answer.
+items in pieces). Weights are sqrt(tf) * idf, so a passage's squared norm is the sum of its tokens' idf^2. The terms of the
+benchmark are the columns of the TF-IDF matrix; a distributed randomised SVD of all corpus passages gives its leading
+right singular space. A window is a candidate if it holds MIN_SHARE of the item's own squared norm (sum of min(tf) * idf^2
+over the item's terms): words that are not the item's count for nothing, so neither the corpus' size nor the other items
+move the gate. That share is at most the product of item and window over the item's squared norm, which is bounded by the
+product in the latent space plus the most that the two residuals can add (the product of their norms): the truncation
+loses no candidate, nor do the postings of rare terms before it. Survivors' exact share and their cosine over the item's
+terms are taken, then the longest common subsequence of words of item and passage, and that of the item's answer.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import table
 WINDOWS = (16, 32, 64)
 STRIDE = 8
 RANK = 32
-MIN_COSINE = 0.5
+#: Share of a passage's weight that a window must hold. Of two windows a stride apart that cover a verbatim passage, one
+#: holds at least half of it, whatever else stands there.
+MIN_SHARE = 0.5
 MIN_COMMON, SURE_COMMON, MIN_ANSWER = 0.6, 0.8, 0.8
 #: Items shorter than this must appear word for word.
 SHORT_ITEM = 8
@@ -38,7 +42,7 @@ MAX_SHARE = 0.05
 BLOCK_ITEMS = 5_000
 TILE = 64
 #: Windows and pairs compared by one array operation; they bound its memory and change no result.
-WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 20_000
+WINDOWS_AT_ONCE, POSTINGS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 500_000, 20_000
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 
 
@@ -195,72 +199,126 @@ def latent_space(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, insi
     return q * inside[:, None]
 
 
+class Passages:
+    """The items' passages of one window length: their terms, images in the latent space, and postings by leading term.
+
+    A passage's leading terms are its rarest ones, so many that the others hold less than `min_share` of its weight: a
+    window without any of them cannot hold the share.
+    """
+
+    def __init__(self, found: list[tuple[int, list[bytes]]], terms: dict[bytes, int], idf: np.ndarray, space: np.ndarray, min_share: float):
+        self.owners = [k for k, _ in found]
+        counted = [np.unique([terms[x] for x in p], return_counts=True) for _, p in found]
+        order = [np.argsort(-idf[t], kind="stable") for t, _ in counted]
+        self.term = np.concatenate([t[o] for (t, _), o in zip(counted, order)])
+        self.tf = np.concatenate([c[o] for (_, c), o in zip(counted, order)])
+        self.ends = np.cumsum([0, *(len(o) for o in order)])
+        weight = self.tf * idf[self.term] ** 2
+        norm2 = np.add.reduceat(weight, self.ends[:-1])
+        self.norm = np.sqrt(norm2)
+        self.image = np.add.reduceat(np.sqrt(weight)[:, None] * space[self.term], self.ends[:-1]) / self.norm[:, None]
+        self.rest = np.sqrt(np.maximum(0, 1 - (self.image**2).sum(1)))
+        owner = np.repeat(np.arange(len(found)), np.diff(self.ends))
+        run = np.concatenate([[0.0], np.cumsum(weight)])
+        after = run[self.ends[1:]][owner] - run[:-1]  # this term's weight and that of all commoner ones
+        leading = after >= min_share * norm2[owner] - 1e-9
+        self.tail = norm2 - np.bincount(owner[leading], weight[leading], len(found))
+        at = np.nonzero(leading)[0]
+        at = at[np.argsort(self.term[at], kind="stable")]
+        self.holder, self.held = owner[at], self.tf[at]
+        self.first = np.searchsorted(self.term[at], np.arange(len(terms) + 1))
+        self.leads = np.append(np.diff(self.first) > 0, False)
+
+
+def _cuts(costs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places that cost at most `limit` each, or hold one place."""
+    total, lo = np.concatenate([[0], np.cumsum(costs)]), 0
+    while lo < len(costs):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 class Retrieval:
-    """The items' side of a search, held by each task: idf, latent space, and the items' weights and images."""
-
-    def __init__(self, items: list[Item], terms: dict[bytes, int], idf: np.ndarray, top: float, space: np.ndarray):
-        self.items, self.terms, self.space = items, terms, space
-        self.idf2 = np.append(idf**2, top**2)
-        self.mine2 = np.append(idf**2, 0.0)
-        self.at: dict[int, tuple] = {}
-        for w in WINDOWS:
-            owners = [(k, p) for k, x, p in _passages(items) if x == w]
-            q = np.zeros((len(owners), len(terms)))
-            for i, (_, p) in enumerate(owners):
-                t, tf = np.unique([terms[x] for x in p], return_counts=True)
-                q[i, t] = np.sqrt(tf) * idf[t]
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-            image = q @ space
-            rest = np.sqrt(np.maximum(0, 1 - (image**2).sum(1)))
-            self.at[w] = ([k for k, _ in owners], q.astype(np.float32), image, rest)
-
-    def search(self, texts: list, min_cosine: float) -> Iterator[tuple]:
+    """The items' side of a search, held by each task: idf, latent space, and the items' terms, images and postings."""
+
+    def __init__(self, items: list[Item], terms: dict[bytes, int], idf: np.ndarray, space: np.ndarray, min_share: float):
+        self.items, self.terms, self.space, self.min_share = items, terms, space, min_share
+        self.idf2 = idf**2
+        self.at = {w: found for w in WINDOWS if (found := [(k, p) for k, x, p in _passages(items) if x == w])}
+        self.at = {w: Passages(found, terms, idf, space, min_share) for w, found in self.at.items()}
+
+    def search(self, texts: list) -> Iterator[tuple]:
         """(place of the text, item's place, cosine, window's start, window's length, words) of every passage pair found."""
         tokens, ends, docs = _numbered(texts, self.terms)
-        whole, mine = (np.concatenate([[0.0], np.cumsum(w[tokens])]) for w in (self.idf2, self.mine2))
         sizes = np.diff(ends)
-        for w, (owners, q, image, rest) in self.at.items():
-            if not owners:
-                continue
+        for w, passages in self.at.items():
+            led = np.concatenate([[0], np.cumsum(passages.leads[tokens])])
             n = np.where(sizes > 0, np.maximum(0, -(-(sizes - w) // STRIDE)) + 1, 0)
             doc = np.repeat(np.arange(len(sizes)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = ends[:-1][doc] + step * STRIDE
             end = np.minimum(start + w, ends[1:][doc])
-            norm2, mass2 = whole[end] - whole[start], mine[end] - mine[start]
-            able = np.nonzero((mass2 > 0) & (mass2 >= min_cosine**2 * norm2))[0]  # no cosine can exceed this share
+            able = np.nonzero(led[end] > led[start])[0]  # any other window holds less than the share of every item
             for lo in range(0, len(able), WINDOWS_AT_ONCE):
                 some = able[lo : lo + WINDOWS_AT_ONCE]
-                for i, p, cosine in self._close(tokens, start[some], end[some], np.sqrt(norm2[some]), mass2[some], q, image, rest, min_cosine):
+                for i, p, cosine in self._close(tokens, start[some], end[some], passages):
                     at = some[i]
-                    yield int(doc[at]), owners[p], cosine, int(start[at] - ends[doc[at]]), w, docs[doc[at]]
+                    yield int(doc[at]), passages.owners[p], cosine, int(start[at] - ends[doc[at]]), w, docs[doc[at]]
 
-    def _close(self, tokens, start, end, norm, mass2, q, image, rest, min_cosine: float) -> Iterator[tuple]:
-        """(window, passage, cosine) of the pairs that reach the threshold: bounded in the latent space, then exact."""
-        size = end - start
+    def _close(self, tokens, start, end, passages: Passages) -> Iterator[tuple]:
+        """(window, passage, cosine) of the pairs that reach the share: bounded by postings and latent space, then exact."""
+        size, n = end - start, len(self.terms)
         window = np.repeat(np.arange(len(start)), size)
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + start[window]
-        known = tokens[inner] < len(self.terms)
-        cells, tf = _counted(window[known] * len(self.terms) + tokens[inner[known]])
-        row, t = np.divmod(cells, len(self.terms))
-        x = np.sqrt(tf * self.mine2[t])
-        head = np.searchsorted(row, np.arange(len(start)))  # every window has a known term, as its mass is positive
+        known = tokens[inner] < n
+        cells, tf = _counted(window[known] * n + tokens[inner[known]])
+        row, t = np.divmod(cells, n)
+        x = np.sqrt(tf * self.idf2[t])
+        head = np.searchsorted(row, np.arange(len(start)))  # every window has a known term, as it has a leading one
         latent = np.add.reduceat(x[:, None] * self.space[t], head)
-        left = np.sqrt(np.maximum(0.0, mass2 - (latent**2).sum(1)))
-        near, passage = np.nonzero(latent @ image.T + left[:, None] * rest >= min_cosine * norm[:, None] - 1e-9)
-        width = np.diff(np.append(head, len(row)))
-        for lo in range(0, len(near), PAIRS_AT_ONCE):
-            i, p = near[lo : lo + PAIRS_AT_ONCE], passage[lo : lo + PAIRS_AT_ONCE]
-            first = np.cumsum(width[i]) - width[i]
-            at = np.arange(width[i].sum()) - np.repeat(first - head[i], width[i])
-            cosine = np.add.reduceat(q[np.repeat(p, width[i]), t[at]] * x[at], first) / norm[i]
-            for k in np.nonzero(cosine >= min_cosine - 1e-9)[0]:
-                yield int(i[k]), int(p[k]), float(cosine[k])
-
-    def verified(self, texts: list, min_cosine: float) -> dict[tuple[int, int], tuple]:
+        left = np.sqrt(np.maximum(0.0, np.add.reduceat(x**2, head) - (latent**2).sum(1)))
+        lead = np.nonzero(passages.leads[t])[0]
+        width = passages.first[t[lead] + 1] - passages.first[t[lead]]
+        for lo, hi in _cuts(np.bincount(row[lead], width, len(start)), POSTINGS_AT_ONCE):
+            some = slice(*np.searchsorted(row[lead], [lo, hi]))
+            cell, wide = lead[some], width[some]
+            at = np.arange(wide.sum()) + np.repeat(passages.first[t[cell]] - (np.cumsum(wide) - wide), wide)
+            cell = np.repeat(cell, wide)
+            pair = row[cell] * len(passages.owners) + passages.holder[at]
+            order = np.argsort(pair, kind="stable")
+            pair, cell, at = pair[order], cell[order], at[order]
+            if not len(pair):
+                continue
+            fresh = np.nonzero(np.diff(pair, prepend=-1))[0]
+            held = np.add.reduceat(np.minimum(tf[cell], passages.held[at]) * self.idf2[t[cell]], fresh)
+            near, passage = np.divmod(pair[fresh], len(passages.owners))
+            most = held + passages.tail[passage]
+            need = self.min_share * passages.norm
+            keep = np.nonzero(most >= need[passage] * passages.norm[passage] - 1e-9)[0]
+            near, passage = near[keep], passage[keep]
+            bound = np.einsum("ij,ij->i", latent[near], passages.image[passage]) + left[near] * passages.rest[passage]
+            keep = np.nonzero(bound >= need[passage] - 1e-9)[0]
+            for k in range(0, len(keep), PAIRS_AT_ONCE):
+                yield from self._exact(cells, tf, near[keep[k : k + PAIRS_AT_ONCE]], passage[keep[k : k + PAIRS_AT_ONCE]], passages)
+
+    def _exact(self, cells, tf, near, passage, passages: Passages) -> Iterator[tuple]:
+        width = passages.ends[passage + 1] - passages.ends[passage]
+        first = np.cumsum(width) - width
+        at = np.arange(width.sum()) + np.repeat(passages.ends[passage] - first, width)
+        key = np.repeat(near, width) * len(self.terms) + passages.term[at]
+        place = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+        mine, theirs, weight = passages.tf[at], np.where(cells[place] == key, tf[place], 0), self.idf2[passages.term[at]]
+        share = np.add.reduceat(np.minimum(mine, theirs) * weight, first) / passages.norm[passage] ** 2
+        length = np.sqrt(np.add.reduceat(theirs * weight, first)) * passages.norm[passage]
+        cosine = np.add.reduceat(np.sqrt(mine * theirs) * weight, first) / np.maximum(length, 1e-30)
+        for k in np.nonzero(share >= self.min_share - 1e-9)[0]:
+            yield int(near[k]), int(passage[k]), float(min(cosine[k], 1.0))
+
+    def verified(self, texts: list) -> dict[tuple[int, int], tuple]:
         """(text's place, item's place) -> cosine, common share, answer share, first word; the best passage of each."""
         found: dict[tuple[int, int], tuple] = {}
-        for d, k, cosine, start, w, doc in self.search(texts, min_cosine):
+        for d, k, cosine, start, w, doc in self.search(texts):
             item = self.items[k]
             lo, hi = max(0, start - len(item.words)), start + w + len(item.words)
             region = doc[lo:hi]
@@ -281,7 +339,7 @@ class Retrieval:
 LEAKS = "doc_id long, item_id long, cosine double, common_share double, answer_share double, first_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> one row per row of docs and leaked item.
 
     A leak: at least SURE_COMMON of the item's words stand in order in a passage of the document, or MIN_COMMON of
@@ -298,23 +356,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         known = [Item(i, words_of(t), words_of(answer_of(t)) or words_of(t)) for i, t in rows if words_of(t)]
         if known:
-            found = _search_block(docs, known, min_cosine, rank)
+            found = _search_block(docs, known, min_share, rank)
             out = found if blocks == 1 else out.unionByName(found)
     return out
 
 
-def _search_block(docs: DataFrame, items: list[Item], min_cosine: float, rank: int) -> DataFrame:
+def _search_block(docs: DataFrame, items: list[Item], min_share: float, rank: int) -> DataFrame:
     terms = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     n, counts = passage_counts(docs, terms)
     idf = np.log((n + 1) / (counts + 1)) + 0.01
     top = float(np.log(n + 1) + 0.01)
     space = latent_space(docs, terms, idf, counts <= max(1, MAX_SHARE * n), top, rank)
-    shared = docs.sparkSession.sparkContext.broadcast(Retrieval(items, terms, idf, top, space))
+    shared = docs.sparkSession.sparkContext.broadcast(Retrieval(items, terms, idf, space, min_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = shared.value
         for batch in _text_batches(batches):
-            found = finder.verified(batch.column(1).to_pylist(), min_cosine)
+            found = finder.verified(batch.column(1).to_pylist())
             if found:
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], finder.items[k].item_id, *v) for (d, k), v in sorted(found.items())]

@@ -116,6 +116,35 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_verbatim_items_amid_rare_words_at_a_large_n():
+    rng = np.random.default_rng(4)
+    share = 10 ** rng.uniform(-4, -0.3, 400)
+    terms = {b"t%03d" % i: i for i in range(400)}
+    for n in (10**3, 10**9):
+        idf = np.log((n + 1) / (n * share + 1)) + 0.01
+        items = [decontaminate.Item(k, [b"t%03d" % i for i in rng.integers(0, 400, k)], [b"t000"]) for k in (*range(1, 65), 150)]
+        space = np.linalg.qr(rng.standard_normal((400, 8)))[0]
+        finder = decontaminate.Retrieval(items, terms, idf, space, decontaminate.MIN_SHARE)
+        for place, item in enumerate(items):
+            before = int(rng.integers(0, 40))
+            text = b" ".join([b"foreign%d" % i for i in range(before)] + item.words + [b"rare%d" % i for i in range(50)]).decode()
+            found = finder.verified(["", text])
+            assert (1, place) in found and found[1, place][1] == 1
+    # the search's pairs are exactly those of brute force
+    texts = [" ".join(f"t{i:03d}" for i in rng.integers(0, 450, 90)) for _ in range(30)] + [b" ".join(x.words[::2]).decode() for x in items]
+    got = {(d, k, start) for d, k, _, start, w, _ in decontaminate.Retrieval(items, terms, idf, space, 0.3).search(texts)}
+    want = set()
+    for d, text in enumerate(texts):
+        words = decontaminate.words_of(text)
+        for k, w, p in decontaminate._passages(items):
+            for start in range(0, max(0, len(words) - w + decontaminate.STRIDE - 1) + 1, decontaminate.STRIDE):
+                mine, theirs = Counter(p), Counter(words[start : start + w])
+                weight = {t: idf[terms[t]] ** 2 for t in mine}
+                if sum(min(c, theirs[t]) * weight[t] for t, c in mine.items()) >= 0.3 * sum(c * weight[t] for t, c in mine.items()):
+                    want.add((d, k, start))
+    assert got == want and len(want) > 100
+
+
 def test_licenses(spark):
     mit, note = licenses.TEMPLATES["MIT/grant"], licenses.TEMPLATES["MIT/notice"]
     docs = [(1, "x " * 333 + note + " y" * 50, "x"), (2, "words " * 40 + mit + " more", "x"), (3, "a license of sorts", "x"), (4, None, "x"), (5, "", "x"), (6, note.upper(), "x")]
