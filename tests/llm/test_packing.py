@@ -52,3 +52,28 @@ def test_pack_is_near_the_bound(spark):
     docs = spark.range(4000).selectExpr("id doc_id", "repeat('word ', cast(1 + abs(hash(id)) % 900 as int)) text").coalesce(2)
     out = K.pack(docs).toPandas()
     assert out["sequence_id"].nunique() <= out["length"].sum() / 1024 * 1.01 + 3
+
+
+@given(st.lists(st.integers(1, 40), max_size=80))
+def test_runs_equal_best_fit_item_by_item(lengths):
+    fit = K.BestFit(40)
+    one = [(n, *fit.add(n)) for n in sorted(lengths, reverse=True)]
+    bins, runs = K.packed_runs({n: lengths.count(n) for n in lengths}, 40)
+    many = [(n, b + j // q, o + j % q * n) for n, r in runs.items() for (lo, b, o, q), hi in zip(r, [*r[1:, 0], lengths.count(n)]) for j in range(hi - lo)]
+    assert bins == fit.bins and len(many) == len(one)
+    assert sorted(n for n, _, _ in many) == sorted(lengths)
+    spans = {b: sorted((o, n) for n, c, o in many if c == b) for b in range(bins)}
+    assert all([o for o, _ in s] == [0, *np.cumsum([n for _, n in s])[:-1]] and sum(n for _, n in s) <= 40 for s in spans.values())
+
+
+def test_sequences_do_not_depend_on_partitions_or_order(spark):
+    docs = spark.range(1500).selectExpr("id doc_id", "repeat('word ', cast(1 + abs(hash(id)) % 900 as int)) text")
+    apart = docs.repartitionByRange(8, "text")  # like lengths stand together
+    out = [K.pack(d).toPandas() for d in (docs.coalesce(1), apart)]
+    fit = K.BestFit(K.SEQUENCE)
+    for n in sorted(out[0]["length"], reverse=True):
+        fit.add(n)
+    for o in out:
+        assert o["sequence_id"].nunique() == fit.bins and len(o) == len(out[0])
+        for _, g in o.sort_values("offset").groupby("sequence_id"):
+            assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= K.SEQUENCE
