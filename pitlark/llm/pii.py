@@ -1,8 +1,10 @@
 """Personal data: validated values become format-preserving pseudonyms.
 
 A value's digits and letters, read as one number in the mixed radix of its format, go through a keyed Feistel
-permutation of exactly that domain (cycle walking). Equal values get equal pseudonyms in every document, different
-values different ones; separators, letter case, and check digits keep their form, so results validate again.
+permutation of exactly that domain (cycle walking); a long value is cut into blocks that are chained in both directions,
+so every character depends on all others at linear cost. Equal values get equal pseudonyms in every document, different
+values different ones; separators, letter case, and check digits keep their form, so results validate again and the
+holder of the key can restore them.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from calendar import monthrange
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,43 +23,93 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: The session's setting that holds the secret key, and the public key of tests that stands in where it is unset.
+KEY_SETTING = "spark.pitlark.pii.key"
 KEY = b"pitlark: set a secret key of your own"
 ROUNDS = 8
+#: Characters of one block of a long value; a value has blocks of this size to twice this size.
+BLOCK = 128
+
+
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, KEY.decode()).encode()
 
 
 @lru_cache(maxsize=200_000)
-def permute(x: int, size: int, key: bytes, kind: str) -> int:
-    """A keyed permutation of 0..size-1: a balanced Feistel network over the next even number of bits, walked until it lands inside."""
+def permute(x: int, size: int, key: bytes, kind: bytes, back: bool = False) -> int:
+    """A keyed permutation of 0..size-1, or its inverse: a balanced Feistel network over the next even number of bits,
+    walked until it lands inside."""
     if size < 2:
         return x
     half = max(1, -(-(size - 1).bit_length() // 2))
-    mask = (1 << half) - 1
-    width = -(-half // 8)
+    mask, width = (1 << half) - 1, -(-half // 8)
+    head = hashlib.sha256(kind).digest() + size.to_bytes(-(-size.bit_length() // 8), "big")
+
+    def mix(value: int, r: int) -> int:
+        f = hmac.digest(key, head + bytes([r]) + value.to_bytes(width, "big"), "sha256")
+        more = f if width <= len(f) else hashlib.shake_256(f).digest(width)
+        return int.from_bytes(more[:width], "big") & mask
+
     while True:
         left, right = x >> half, x & mask
         for r in range(ROUNDS):
-            f = hmac.digest(key, b"%s|%d|%d|" % (kind.encode(), size, r) + right.to_bytes(width, "big"), "sha256")
-            more = f if width <= len(f) else hashlib.shake_256(f).digest(width)
-            left, right = right, left ^ (int.from_bytes(more[:width], "big") & mask)
+            if back:
+                left, right = right ^ mix(left, ROUNDS - 1 - r), left
+            else:
+                left, right = right, left ^ mix(right, r)
         x = left << half | right
         if x < size:
             return x
 
 
-def permute_characters(text: str, key: bytes, kind: str, hexadecimal: bool = False) -> str:
-    """Digits stay digits, letters letters of their case (or hex digits, if asked); all else stays."""
-    classes = ["0123456789abcdef", "0123456789ABCDEF"] if hexadecimal else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    of = {c: a for a in reversed(classes) for c in a}
-    spots = [(i, of[c]) for i, c in enumerate(text) if c in of]
-    x, size = 0, 1
-    for i, a in spots:
-        x, size = x * len(a) + a.index(text[i]), size * len(a)
-    x = permute(x, size, key, f"{kind}:{''.join(str(len(a)) + a[-1] for _, a in spots)}")
-    out = list(text)
-    for i, a in reversed(spots):
-        x, k = divmod(x, len(a))
-        out[i] = a[k]
-    return "".join(out)
+#: The alphabets that a character stays in.
+_PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+
+
+class Cipher:
+    """Pseudonyms under a key; `back` restores the values instead."""
+
+    def __init__(self, key: bytes, back: bool = False):
+        self.key, self.back = key, back
+
+    def number(self, x: int, size: int, kind: str, ok: Callable[[int], bool] = lambda x: True) -> int:
+        """x permuted among the numbers below size that are `ok` (x is one of them)."""
+        while True:
+            x = permute(x, size, self.key, kind.encode(), self.back)
+            if ok(x):
+                return x
+
+    def characters(self, text: str, kind: str, alphabets: tuple[str, ...] = _PLAIN) -> str:
+        """Each character stays in its alphabet; those of none stay as they are."""
+        of = {c: a for a in reversed(alphabets) for c in a}
+        spots = [(i, of[c]) for i, c in enumerate(text) if c in of]
+        values = [a.index(text[i]) for i, a in spots]
+        tag = hashlib.sha256(f"{kind}:{''.join(a[-1] for _, a in spots)}".encode()).digest()
+        blocks = max(1, len(spots) // BLOCK)
+        ranges = [(len(spots) * k // blocks, len(spots) * (k + 1) // blocks) for k in range(blocks)]
+        rounds = [(0, ranges)] if blocks == 1 else [(0, ranges), (1, ranges[::-1])]
+        for turn, order in reversed(rounds) if self.back else rounds:
+            chain = tag + bytes([turn])
+            for lo, hi in order:
+                x, size = 0, 1
+                for k in range(lo, hi):
+                    n = len(spots[k][1])
+                    x, size = x * n + values[k], size * n
+                new = permute(x, size, self.key, chain, self.back)
+                # what was written goes on into the next block; in both directions of the cipher that is the same number
+                chain = hashlib.sha256(chain + (x if self.back else new).to_bytes(-(-size.bit_length() // 8), "big")).digest()
+                for k in range(hi - 1, lo - 1, -1):
+                    new, values[k] = divmod(new, len(spots[k][1]))
+        out = list(text)
+        for (i, a), v in zip(spots, values):
+            out[i] = a[v]
+        return "".join(out)
+
+    def caseless(self, text: str, kind: str) -> str:
+        """The same pseudonym for any case, in the case of the value."""
+        low = text.lower() if text.isascii() else text
+        return "".join(n.upper() if c.isascii() and c.isupper() else n for n, c in zip(self.characters(low, kind), text))
 
 
 def luhn(digits: str) -> bool:
@@ -68,52 +120,64 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
+def _refilled(text: str, pattern: str, found: str) -> str:
+    it = iter(found)
+    return re.sub(pattern, lambda _: next(it), text)
+
+
+def _card(m: re.Match, cipher: Cipher) -> str | None:
     text = m.group()
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
         return None
-    body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card'):0{len(digits) - 1}d}"
-    found = body + next(c for c in "0123456789" if luhn(body + c))
-    it = iter(found)
-    return re.sub(r"\d", lambda _: next(it), text)
+    n = len(digits) - 1
+
+    def whole(x: int) -> str:
+        body = f"{x:0{n}d}"
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    return _refilled(text, "[0-9]", whole(cipher.number(int(digits[:-1]), 10**n, "card", lambda x: len(set(whole(x))) > 1)))
 
 
-def _iban(m: re.Match, key: bytes) -> str | None:
+def _iban(m: re.Match, cipher: Cipher) -> str | None:
     text = m.group()
     plain = text.replace(" ", "")
-    value = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or value(plain[4:] + plain[:4]) % 97 != 1:
+    check = lambda body: f"{98 - int(''.join(str(int(c, 36)) for c in body + plain[:2] + '00')) % 97:02d}"
+    if not 15 <= len(plain) <= 34 or plain[2:4] != check(plain[4:]):
         return None
-    body = permute_characters(plain[4:], key, "iban")
-    found = iter(plain[:2] + f"{98 - value(body + plain[:2] + '00') % 97:02d}" + body)
-    return re.sub(r"\S", lambda _: next(found), text)
+    body = cipher.characters(plain[4:], "iban")
+    return _refilled(text, r"\S", plain[:2] + check(body) + body)
 
 
-def _ipv4(m: re.Match, key: bytes) -> str | None:
+def _ipv4(m: re.Match, cipher: Cipher) -> str | None:
     parts = m.group().split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    x = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ipv4")
+    x = cipher.number(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ipv4")
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _phone(m: re.Match, key: bytes) -> str | None:
+#: Country calling codes of one and of two digits; all others have three.
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _phone(m: re.Match, cipher: Cipher) -> str | None:
+    """The country code stays; the national number is permuted whatever its separators, with or without the code."""
     text = m.group()
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 7 <= len(digits) <= 15:
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|", text).group()
-    return head + permute_characters(text[len(head) :], key, "phone")
+    code = next((c for c in CALLING_CODES if digits.startswith(c)), digits[:3]) if text[0] == "+" else ""
+    return _refilled(text, "[0-9]", code + cipher.characters(digits[len(code) :], "phone"))
 
 
-def _ssn(m: re.Match, key: bytes) -> str | None:
+def _ssn(m: re.Match, cipher: Cipher) -> str | None:
     area, group, serial = map(int, m.group().split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     # the 898 valid areas, numbered without a gap
     x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
-    x, serial = divmod(permute(x, 898 * 99 * 9999, key, "ssn"), 9999)
+    x, serial = divmod(cipher.number(x, 898 * 99 * 9999, "ssn"), 9999)
     area, group = divmod(x, 99)
     area += 1
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
@@ -124,50 +188,82 @@ _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
 
+def _shape(d: date) -> tuple:
+    """What a date's text shows of it: digits of month and day, whether day and month can be told apart, and whether the
+    month's name is its own abbreviation. Dates are permuted among those of one shape, whatever their format."""
+    return d.month > 9, d.day > 9, d.day > 12, d.month == 5
+
+
+@cache
+def _days() -> dict[tuple, list[int]]:
+    out: dict[tuple, list[int]] = {}
+    for k in range(_DAYS):
+        out.setdefault(_shape(_FIRST + timedelta(k)), []).append(k)
+    return out
+
+
 def _date(order: str) -> Callable:
-    def change(m: re.Match, key: bytes) -> str | None:
+    def change(m: re.Match, cipher: Cipher) -> str | None:
         g = m.groupdict()
         named = not g["m"].isdigit()
-        month = next((i + 1 for i, n in enumerate(MONTHS) if n.lower().startswith(g["m"].lower().rstrip("."))), 0) if named else int(g["m"])
+        month = next(i + 1 for i, n in enumerate(MONTHS) if n.lower().startswith(g["m"].lower())) if named else int(g["m"])
         year, day = int(g["y"]), int(g["d"])
-        if order == "?" and month > 12 >= day:
-            month, day, swap = day, month, True
-        else:
-            swap = False
-        if not (1900 <= year < 2100 and 1 <= month <= 12 and 1 <= day <= monthrange(year, month)[1]):
+        swap = order == "?" and month > 12 >= day
+        if swap:
+            month, day = day, month
+        try:
+            old = date(year, month, day)
+        except ValueError:
             return None
-        new = _FIRST + timedelta(permute((date(year, month, day) - _FIRST).days, _DAYS, key, "date"))
-        fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        if not 1900 <= year < 2100:
+            return None
+        alike = _days()[_shape(old)]
+        at = bisect_left(alike, (old - _FIRST).days)
+        new = _FIRST + timedelta(alike[cipher.number(at, len(alike), f"date{_shape(old)}")])
+        fields = {"y": f"{new.year:04d}", "m": str(new.month), "d": str(new.day)}
         if named:
-            fields["m"] = MONTHS[new.month - 1] if len(g["m"].rstrip(".")) > 3 else MONTHS[new.month - 1][:3]
-            fields["d"] = str(new.day)
+            name = MONTHS[new.month - 1] if len(g["m"]) > 3 else MONTHS[new.month - 1][:3]
+            fields["m"] = name.upper() if g["m"].isupper() else name.lower() if g["m"].islower() else name
         if swap:
             fields["m"], fields["d"] = fields["d"], fields["m"]
-        out, at = "", m.start()
+        out, place = "", m.start()
         for name in sorted("ymd", key=m.start):
-            out += m.string[at : m.start(name)] + fields[name]
-            at = m.end(name)
-        return out + m.string[at : m.end()]
+            out += m.string[place : m.start(name)] + (fields[name] if name == "m" and named else fields[name].zfill(len(g[name])))
+            place = m.end(name)
+        return out + m.string[place : m.end()]
 
     return change
 
 
-def _email(m: re.Match, key: bytes) -> str:
+def _email(m: re.Match, cipher: Cipher) -> str:
+    """The name depends on its host, the host (all but the last label) on itself; case plays no part in either."""
     local, _, host = m.group().partition("@")
-    return permute_characters(local, key, "email:" + host.lower()) + "@" + host
+    labels, _, top = host.rpartition(".")
+    labels_ = cipher.caseless(labels, "host:" + top.lower())
+    true = (labels_ if cipher.back else labels) + "." + top
+    return cipher.caseless(local, "email:" + true.lower()) + "@" + labels_ + "." + top
+
+
+def _hexadecimal(value: str) -> bool:
+    return len(value) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None and not value.isdigit() and not value.isalpha()
 
 
-def _secret(m: re.Match, key: bytes) -> str:
-    value = m.group("v")
-    hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))
-    return m.group()[: m.start("v") - m.start()] + permute_characters(value, key, "secret", hexadecimal) + m.group()[m.end("v") - m.start() :]
+def _secret(m: re.Match, cipher: Cipher) -> str:
+    name = next(n for n in "vwx" if m.group(n) is not None)
+    value = m.group(name)
+    kind = _hexadecimal(value)
+    alphabets = (_HEX[value.isupper()],) if kind else _PLAIN
+    new = cipher.characters(value, "secret", alphabets)
+    while _hexadecimal(new) != kind:
+        new = cipher.characters(new, "secret", alphabets)
+    return m.group()[: m.start(name) - m.start()] + new + m.group()[m.end(name) - m.start() :]
 
 
 #: Kind, pattern, and what makes the pseudonym (None: the match is no valid value and stays). Earlier kinds win a place.
 _NAMES = "|".join(f"{n[:3]}(?:{n[3:]})?" if len(n) > 3 else n for n in MONTHS)
 KINDS: list[tuple[str, re.Pattern, Callable]] = [
-    ("secret", re.compile(r"(?P<v>\bAKIA[0-9A-Z]{16}\b)|(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)(?P<w>[^\s\"']{6,})|(?P<x>\b(?:ghp|gho|sk|pk|xox[abp])[_-][0-9A-Za-z_-]{16,})"), _secret),
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _email),
+    ("secret", re.compile(r"\bAKIA(?P<v>[0-9A-Z]{16})\b|(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)(?P<w>[^\s\"']{6,})|\b(?:ghp|gho|sk|pk|xox[abp])[_-](?P<x>[0-9A-Za-z_-]{16,})"), _secret),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?\b"), _iban),
     ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]|\.\d)"), _card),
     ("date", re.compile(r"(?<!\d)(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?!\d)"), _date("ymd")),
@@ -183,41 +279,25 @@ _HINT = re.compile(r"[@\d]|(?i:pass|pwd|secret|token|api.?key)")
 _NEEDS = {"secret": re.compile(r"AKIA|ghp|gho|sk[_-]|pk[_-]|xox|(?i:pass|pwd|secret|token|api[_-]?key)"), "email": re.compile("@"), "date": re.compile(r"\d{4}")}
 
 
-class _Named:
-    """A match whose value is in one of several groups, seen as group v."""
-
-    def __init__(self, m: re.Match):
-        self.m, self.name = m, next(n for n in "vwx" if m.group(n) is not None)
-
-    def group(self, name: str | int = 0) -> str:
-        return self.m.group(self.name if name == "v" else name)
-
-    def start(self, name: str | int = 0) -> int:
-        return self.m.start(self.name if name == "v" else name)
-
-    def end(self, name: str | int = 0) -> int:
-        return self.m.end(self.name if name == "v" else name)
-
-
-def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of the personal values of a text, in order, without overlap."""
+def find(text: str, cipher: Cipher) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the personal values of a text, in order, without overlap; linear in the text."""
     if not _HINT.search(text):
         return []
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     for kind, pattern, change in KINDS:
         if kind in _NEEDS and not _NEEDS[kind].search(text):
             continue
         for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _, _ in found):
-                continue
-            new = change(_Named(m) if kind == "secret" else m, key)
-            if new is not None:
+            if taken.find(1, m.start(), m.end()) < 0 and (new := change(m, cipher)) is not None:
                 found.append((m.start(), m.end(), kind, new))
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     return sorted(found)
 
 
-def rewrite(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[int, int, str, str]]]:
-    found = find(text, key) if text else []
+def rewrite(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, list[tuple[int, int, str, str]]]:
+    """The text with pseudonyms (with `back`: with the values they stand for), and the places in the old text."""
+    found = find(text, Cipher(key, back)) if text else []
     if not found:
         return text, found
     out, at = [], 0
@@ -234,7 +314,8 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, text with pseudonyms, spans (places in the old text, kind, pseudonym).
 
     One row per row, whole texts, no shuffle. Null text stays null and has no spans; texts without values stay as they
-    are; repeated rows are treated alike; a null doc_id stays null; an empty table gives no rows.
+    are; repeated rows are treated alike; a null doc_id stays null; an empty table gives no rows. Values and texts of any
+    length take linear time. `key` is a secret of the caller's (queries read it from KEY_SETTING).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,5 +346,5 @@ def pseudonymized_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return found.select("doc_id", "text", F.size("spans").alias("n_values"), "spans")
