@@ -274,7 +274,7 @@ KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("ipv4", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ipv4),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), _phone),
 ]
-_HINT = re.compile(r"[@\d]|(?i:pass|pwd|secret|token|api.?key)")
+_HINT = re.compile(r"[@\d]|AKIA|ghp|gho|sk[_-]|pk[_-]|xox|(?i:pass|pwd|secret|token|api.?key)")
 #: What a match of some kind needs somewhere; cheap to look for.
 _NEEDS = {"secret": re.compile(r"AKIA|ghp|gho|sk[_-]|pk[_-]|xox|(?i:pass|pwd|secret|token|api[_-]?key)"), "email": re.compile("@"), "date": re.compile(r"\d{4}")}
 

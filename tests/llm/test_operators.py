@@ -140,6 +140,7 @@ def test_pseudonyms_are_restored():
         for form in forms:
             old = list({form() for _ in range(60)})
             found = [pii.rewrite(v, b"k")[1] for v in old]
+            assert all(found), [v for v, f in zip(old, found) if not f]
             new = [v[: f[0][0]] + f[0][3] + v[f[0][1] :] for v, f in zip(old, found)]
             assert all(len(f) == 1 and f[0][2] == kind for f in found) and len(set(new)) == len(old)
             assert [pii.rewrite(v, b"k", back=True)[0] for v in new] == old
