@@ -27,10 +27,6 @@ def _place(low: str, high: str) -> Callable:
     return lambda o: o.div(o.c("close") - o.c(low), o.c(high) - o.c(low))
 
 
-def _copy(x: str) -> Callable:
-    return lambda o: o.c(x)
-
-
 def _ratio(a: str, b: str) -> Callable:
     return lambda o: o.div(a, b)
 
@@ -60,7 +56,6 @@ BASELINE: list[Level] = [
         **{f"{v}_ratio_5d_20d": lambda o, v=v: o.div(o.rmean(v, 5), o.rmean(v, 20)) for v in ("volume", "dollar_volume")},
         "day_of_week": lambda o: o.weekday("date"),
         "month": lambda o: o.month("date"),
-        "year": lambda o: o.year("date"),
     },
     {
         "gap_return": lambda o: o.div("open", "_prev") - 1,
@@ -128,7 +123,7 @@ EXPANDED: list[Level] = [
     },
     {"downside_upside_vol_ratio_20d": lambda o: o.case((o.c("upside_vol_20d") > 1e-9, o.div("downside_vol_20d", "upside_vol_20d")))},
 ]
-EXPANDED_RANKS = ["ret_5d", "ret_60d", "realized_vol_20d", "atr_14_pct", "volume_z_60d", "dollar_volume_z_60d", "trend_consistency_20d", "close_position_in_60d_range"]
+EXPANDED_RANKS = ["ret_5d_z_60d", "ret_20d_z_252d", "drawdown_from_120d_high", "bounce_from_120d_low", "close_position_in_252d_range", "vol_ratio_20d_252d", "lower_wick_z_60d", "upper_wick_z_60d"]
 
 LONG_ONLY: list[Level] = [
     {

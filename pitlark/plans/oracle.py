@@ -1,122 +1,21 @@
-"""Independent SQL (DuckDB) for the registered queries: the same formulas on a kernel of SQL strings."""
+"""Independent SQL (DuckDB) for the registered queries, written out by hand; nothing of the engine's catalog is used."""
 
 from __future__ import annotations
 
-from ..operators import catalog as C
-
 T = "PARTITION BY ticker ORDER BY date"
 
 
-class X(str):
-    """A SQL expression; operators build larger ones."""
-
-    def _op(self, o, sign):
-        return X(f"({self} {sign} {o})")
-
-    def __add__(self, o):
-        return self._op(o, "+")
-
-    def __sub__(self, o):
-        return self._op(o, "-")
-
-    def __mul__(self, o):
-        return self._op(o, "*")
-
-    def __gt__(self, o):
-        return self._op(o, ">")
-
-    def __lt__(self, o):
-        return self._op(o, "<")
-
-    def __eq__(self, o):
-        return self._op(o, "=")
-
-    __hash__ = str.__hash__
-
-
-class SqlOps:
-    def c(self, name):
-        return X(f'"{name}"')
-
-    def lit(self, x):
-        return X(f"CAST({x} AS DOUBLE)" if isinstance(x, float) else x)
-
-    def _x(self, x):
-        return x if isinstance(x, X) else self.c(x)
-
-    def div(self, a, b):
-        return X(f"(CAST({self._x(a)} AS DOUBLE) / nullif(CAST({self._x(b)} AS DOUBLE), 0))")
-
-    def lag(self, x, k):
-        return X(f"lag({self._x(x)}, {k}) OVER ({T})")
-
-    def _rolling(self, f, x, w):
-        x = self._x(x)
-        frame = f"OVER ({T} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-        return X(f"(CASE WHEN count({x}) {frame} >= {w} THEN {f}({x}) {frame} END)")
-
-    def rmean(self, x, w):
-        return self._rolling("avg", x, w)
+def rolling(f: str, x: str, w: int) -> str:
+    """f over the last w rows, null unless all w have a value."""
+    frame = f"OVER ({T} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {frame} >= {w} THEN {f}({x}) {frame} END"
 
-    def rstd(self, x, w):
-        return self._rolling("stddev_pop", x, w)
 
-    def rmax(self, x, w):
-        return self._rolling("max", x, w)
+def zscore(x: str, w: int) -> str:
+    sd = f"({rolling('stddev_pop', x, w)})"
+    return f"CASE WHEN {sd} > 1e-9 THEN ({x} - ({rolling('avg', x, w)})) / {sd} END"
 
-    def rmin(self, x, w):
-        return self._rolling("min", x, w)
 
-    def rsum(self, x, w):
-        return self._rolling("sum", x, w)
-
-    def zscore(self, x, w):
-        sd = self.rstd(x, w)
-        return X(f"(CASE WHEN {sd} > 1e-9 THEN ({self._x(x)} - {self.rmean(x, w)}) / {sd} END)")
-
-    def bar(self):
-        return X(f"row_number() OVER ({T})")
-
-    def since(self, x, w, high):
-        frame = f"OVER ({T} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-        best = f"max(bar) FILTER (WHERE {x} = ext)"
-        del best
-        f = f"arg_max(bar, {{'a': \"{x}\", 'b': bar}}) {frame}" if high else f"arg_min(bar, {{'a': \"{x}\", 'b': -bar}}) {frame}"
-        return X(f"(bar - {f})")
-
-    def case(self, *pairs, other=None):
-        body = " ".join(f"WHEN {c} THEN {self._x(v)}" for c, v in pairs)
-        return X(f"(CASE {body}{'' if other is None else f' ELSE {self._x(other)}'} END)")
-
-    def flag(self, cond):
-        return X(f"CAST({cond} AS DOUBLE)")
-
-    def both(self, a, b):
-        return X(f"({a} AND {b})")
-
-    def greatest(self, *x):
-        return X(f"greatest({', '.join(map(self._x, x))})")
-
-    def least(self, *x):
-        return X(f"least({', '.join(map(self._x, x))})")
-
-    def abs(self, x):
-        return X(f"abs({x})")
-
-    def ln(self, x):
-        return X(f"(CASE WHEN {x} > 0 THEN ln({x}) END)")
-
-    def weekday(self, x):
-        return X(f"CAST(isodow({self._x(x)}) - 1 AS INTEGER)")
-
-    def month(self, x):
-        return X(f"CAST(month({self._x(x)}) AS INTEGER)")
-
-    def year(self, x):
-        return X(f"CAST(year({self._x(x)}) AS INTEGER)")
-
-
-OPS = SqlOps()
 KEY = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
 ROLL = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 BARS = f"""trades AS (SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS ticker, CAST(l_shipdate AS DATE) AS date, 1000 + l_extendedprice / 100 AS px, * FROM lineitem),
@@ -152,17 +51,6 @@ judged AS (SELECT *, fwd_ret_5d IS NULL AS missing_future, NOT (pre_research OR
 labelled AS {_classes('judged', 'fwd_ret_5d', 'label_valid_5d', 'target_class_5d')}"""
 
 
-def levels(source: str, name: str, levels_: list[C.Level]) -> tuple[str, str]:
-    """CTEs that add the catalog's levels to a source; and the last one's name."""
-    out = []
-    for i, level in enumerate(levels_):
-        new = f"{name}_{i}"
-        drop = f' EXCLUDE ("year")' if "year" in level and source == "labelled" and False else ""
-        out.append(f"{new} AS (SELECT *{drop}, " + ", ".join(f'{f(OPS)} AS "{n}"' for n, f in level.items()) + f" FROM {source})")
-        source = new
-    return ",\n".join(out), source
-
-
 def average_rank(x: str, by: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST) + count({x}) OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 END)"
 
@@ -173,13 +61,65 @@ def ranks(source: str, name: str, columns: list[str]) -> str:
     return f"{name} AS (SELECT *, {made} FROM (SELECT *, {inner} FROM {source}))"
 
 
-_b, _bl = levels("labelled", "base", C.BASELINE)
-BASELINE = f"{LABELLED},\n{_b},\n{ranks(_bl, 'ranked', C.BASELINE_RANKS)},\nmatrix AS (SELECT * FROM ranked WHERE label_valid_5d)"
-_e, _el = levels("matrix", "exp", C.EXPANDED)
-EXPANDED = f"{BASELINE},\n{_e},\n{ranks(_el, 'expanded', C.EXPANDED_RANKS)}"
-_l, _ll = levels(_bl, "long", C.LONG_ONLY)
-LONG_ONLY = f"""{LABELLED},\n{_b},\n{_l},
-long_only AS (SELECT * FROM (SELECT *, {average_rank('rv', 'date')} / count(*) OVER (PARTITION BY date) AS vol_regime_rank_by_date FROM (SELECT *, round(realized_vol_20d, 9) AS rv FROM {_ll})) WHERE label_valid_5d)"""
+RETURNS = ", ".join(f"close / nullif(lag(close, {w}) OVER ({T}), 0) - 1 AS ret_{w}d" for w in (1, 3, 5, 10, 20, 60))
+BASELINE = f"""{LABELLED},
+base_1 AS (SELECT *, lag(close) OVER ({T}) AS pc, {RETURNS}, close / nullif(open, 0) - 1 AS intraday_return,
+  (high - low) / nullif(close, 0) AS range_pct, (close - open) / nullif(close, 0) AS body_pct,
+  (high - greatest(open, close)) / nullif(close, 0) AS upper_wick_pct, (least(open, close) - low) / nullif(close, 0) AS lower_wick_pct, (close - low) / nullif(high - low, 0) AS close_position_in_day_range,
+  {rolling("avg", "close", 10)} AS s10, {rolling("avg", "close", 20)} AS s20, {rolling("avg", "close", 50)} AS s50, {rolling("avg", "close", 200)} AS s200,
+  {rolling("max", "high", 20)} AS h20, {rolling("max", "high", 60)} AS h60, {rolling("max", "high", 252)} AS h252, {rolling("min", "low", 20)} AS l20, {rolling("min", "low", 60)} AS l60, {rolling("min", "low", 252)} AS l252,
+  {zscore("volume", 20)} AS volume_z_20d, {zscore("volume", 60)} AS volume_z_60d, {zscore("dollar_volume", 20)} AS dollar_volume_z_20d, {zscore("dollar_volume", 60)} AS dollar_volume_z_60d,
+  ({rolling("avg", "volume", 5)}) / nullif({rolling("avg", "volume", 20)}, 0) AS volume_ratio_5d_20d, ({rolling("avg", "dollar_volume", 5)}) / nullif({rolling("avg", "dollar_volume", 20)}, 0) AS dollar_volume_ratio_5d_20d,
+  (isodow(date) - 1)::INTEGER AS day_of_week, month(date)::INTEGER AS month FROM labelled),
+base_2 AS (SELECT *, open / nullif(pc, 0) - 1 AS gap_return, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) / nullif(pc, 0) END AS true_range_pct,
+  {rolling("stddev_pop", "ret_1d", 5)} AS realized_vol_5d, {rolling("stddev_pop", "ret_1d", 10)} AS realized_vol_10d, {rolling("stddev_pop", "ret_1d", 20)} AS realized_vol_20d, {rolling("stddev_pop", "ret_1d", 60)} AS realized_vol_60d,
+  {zscore("range_pct", 20)} AS range_z_20d, close / nullif(s10, 0) - 1 AS dist_sma_10d, close / nullif(s20, 0) - 1 AS dist_sma_20d, close / nullif(s50, 0) - 1 AS dist_sma_50d, close / nullif(s200, 0) - 1 AS dist_sma_200d,
+  s20 / nullif(lag(s20, 5) OVER ({T}), 0) - 1 AS sma_20d_slope, s50 / nullif(lag(s50, 5) OVER ({T}), 0) - 1 AS sma_50d_slope, s200 / nullif(lag(s200, 5) OVER ({T}), 0) - 1 AS sma_200d_slope,
+  close / nullif(h20, 0) - 1 AS dist_to_20d_high, close / nullif(h60, 0) - 1 AS dist_to_60d_high, close / nullif(h252, 0) - 1 AS dist_to_252d_high,
+  close / nullif(l20, 0) - 1 AS dist_to_20d_low, close / nullif(l60, 0) - 1 AS dist_to_60d_low, close / nullif(l252, 0) - 1 AS dist_to_252d_low,
+  close / nullif(h60, 0) - 1 AS drawdown_from_60d_high, close / nullif(h252, 0) - 1 AS drawdown_from_252d_high, close / nullif(l20, 0) - 1 AS bounce_from_20d_low, close / nullif(l60, 0) - 1 AS bounce_from_60d_low,
+  (close - l20) / nullif(h20 - l20, 0) AS close_position_in_20d_range, (close - l60) / nullif(h60 - l60, 0) AS close_position_in_60d_range,
+  CASE WHEN close - pc > 0 THEN close - pc ELSE 0 END AS gain, CASE WHEN pc - close > 0 THEN pc - close ELSE 0 END AS loss FROM base_1),
+base_3 AS (SELECT *, {rolling("avg", "true_range_pct", 14)} AS atr_14_pct, {rolling("avg", "gain", 14)} AS g14, {rolling("avg", "loss", 14)} AS o14, {rolling("avg", "gain", 30)} AS g30, {rolling("avg", "loss", 30)} AS o30 FROM base_2),
+base AS (SELECT *, CASE WHEN o14 = 0 AND g14 > 0 THEN 100 WHEN o14 = 0 THEN 50 ELSE 100 - 100 / (1 + g14 / o14) END AS rsi_14, CASE WHEN o30 = 0 AND g30 > 0 THEN 100 WHEN o30 = 0 THEN 50 ELSE 100 - 100 / (1 + g30 / o30) END AS rsi_30 FROM base_3),
+{ranks("base", "ranked", ["ret_20d", "rsi_14", "drawdown_from_60d_high", "dist_to_60d_low", "volume_z_20d", "dollar_volume_z_20d"])},
+matrix AS (SELECT * FROM ranked WHERE label_valid_5d)"""
+
+
+def _since(x: str, w: int, newest_of: str) -> str:
+    frame = f"OVER ({T} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return f"bar - arg_max(bar, {{'a': {newest_of}{x}, 'b': bar}}) {frame}"
+
+
+#: Over the label-valid rows only: windows count those.
+EXPANDED = f"""{BASELINE},
+exp_1 AS (SELECT *, row_number() OVER ({T}) AS bar, {", ".join(f"close / nullif(lag(close, {w}) OVER ({T}), 0) - 1 AS ret_{w}d" for w in (2, 4, 15, 30, 120, 252))},
+  {", ".join(f"ln(close / nullif(lag(close, {w}) OVER ({T}), 0)) AS log_ret_{w}d" for w in (1, 5, 20))},
+  {zscore("ret_5d", 60)} AS ret_5d_z_60d, {zscore("ret_20d", 252)} AS ret_20d_z_252d, ret_5d - ret_20d AS reversal_5d_20d, ret_20d - ret_60d AS momentum_20d_60d,
+  {rolling("max", "high", 20)} AS xh20, {rolling("max", "high", 120)} AS xh120, {rolling("max", "high", 252)} AS xh252, {rolling("min", "low", 120)} AS xl120, {rolling("min", "low", 252)} AS xl252,
+  {rolling("avg", "close", 10)} AS x10, {rolling("avg", "close", 20)} AS x20, {rolling("avg", "close", 50)} AS x50, {rolling("avg", "close", 100)} AS x100, {rolling("avg", "close", 200)} AS x200,
+  (ret_1d > 0)::DOUBLE AS up, {rolling("stddev_pop", "ret_1d", 120)} AS realized_vol_120d, {rolling("stddev_pop", "ret_1d", 252)} AS realized_vol_252d, {zscore("atr_14_pct", 252)} AS atr_14_z_252d,
+  CASE WHEN ret_1d < 0 THEN ret_1d ELSE 0 END AS down_ret, CASE WHEN ret_1d > 0 THEN ret_1d ELSE 0 END AS up_ret, {zscore("volume", 120)} AS volume_z_120d, {zscore("dollar_volume", 120)} AS dollar_volume_z_120d,
+  ({rolling("avg", "volume", 20)}) / nullif({rolling("avg", "volume", 60)}, 0) AS volume_ratio_20d_60d, ({rolling("avg", "dollar_volume", 20)}) / nullif({rolling("avg", "dollar_volume", 60)}, 0) AS dollar_volume_ratio_20d_60d,
+  ret_1d * volume AS flow, {zscore("lower_wick_pct", 60)} AS lower_wick_z_60d, {zscore("upper_wick_pct", 60)} AS upper_wick_z_60d, {zscore("body_pct", 60)} AS body_z_60d, {zscore("gap_return", 60)} AS gap_z_60d,
+  (ret_1d < -2 * realized_vol_20d)::DOUBLE AS big_down, (ret_1d > 2 * realized_vol_20d)::DOUBLE AS big_up, realized_vol_20d / nullif(realized_vol_60d, 0) AS vol_ratio_20d_60d FROM matrix),
+exp_2 AS (SELECT *, close / nullif(xh20, 0) - 1 AS drawdown_from_20d_high, close / nullif(xh120, 0) - 1 AS drawdown_from_120d_high, close / nullif(xl120, 0) - 1 AS bounce_from_120d_low, close / nullif(xl252, 0) - 1 AS bounce_from_252d_low,
+  (close - xl120) / nullif(xh120 - xl120, 0) AS close_position_in_120d_range, (close - xl252) / nullif(xh252 - xl252, 0) AS close_position_in_252d_range,
+  {_since("low", 20, "-")} AS days_since_20d_low, {_since("low", 60, "-")} AS days_since_60d_low, {_since("high", 20, "")} AS days_since_20d_high, {_since("high", 60, "")} AS days_since_60d_high,
+  close / nullif(x100, 0) - 1 AS dist_sma_100d, x10 / nullif(lag(x10, 5) OVER ({T}), 0) - 1 AS sma_10d_slope, x100 / nullif(lag(x100, 5) OVER ({T}), 0) - 1 AS sma_100d_slope, x20 / nullif(x50, 0) - 1 AS sma_20_50_spread, x50 / nullif(x200, 0) - 1 AS sma_50_200_spread,
+  {rolling("avg", "up", 20)} AS trend_consistency_20d, realized_vol_20d / nullif(realized_vol_252d, 0) AS vol_ratio_20d_252d, {rolling("stddev_pop", "down_ret", 20)} AS downside_vol_20d, {rolling("stddev_pop", "up_ret", 20)} AS upside_vol_20d,
+  {rolling("sum", "flow", 20)} AS price_volume_trend_20d, {rolling("sum", "big_down", 20)} AS large_down_day_20d_count, {rolling("sum", "big_up", 20)} AS large_up_day_20d_count FROM exp_1),
+exp_3 AS (SELECT *, CASE WHEN upside_vol_20d > 1e-9 THEN downside_vol_20d / upside_vol_20d END AS downside_upside_vol_ratio_20d FROM exp_2),
+{ranks("exp_3", "expanded", ["ret_5d_z_60d", "ret_20d_z_252d", "drawdown_from_120d_high", "bounce_from_120d_low", "close_position_in_252d_range", "vol_ratio_20d_252d", "lower_wick_z_60d", "upper_wick_z_60d"])}"""
+#: Over the whole labelled panel, then the label-valid rows.
+LONG_ONLY = f"""{BASELINE},
+long_1 AS (SELECT *, ret_20d / nullif(realized_vol_20d, 0) AS mom_20d_vol_adj, ret_60d / nullif(realized_vol_60d, 0) AS mom_60d_vol_adj, (ret_1d > 0)::DOUBLE AS pos, ret_5d - ret_60d AS pullback_5d_vs_60d,
+  realized_vol_5d / nullif(realized_vol_20d, 0) AS vol_ratio_5d_20d, realized_vol_20d / nullif(realized_vol_60d, 0) AS vol_ratio_20d_60d, atr_14_pct / nullif(realized_vol_20d, 0) AS atr14_to_vol20,
+  ({rolling("avg", "dollar_volume", 20)}) / nullif({rolling("avg", "dollar_volume", 60)}, 0) AS dollar_volume_ratio_20d_60d, realized_vol_10d / nullif(realized_vol_60d, 0) AS vol_ratio_10d_60d,
+  ({rolling("avg", "true_range_pct", 20)}) / nullif({rolling("avg", "true_range_pct", 60)}, 0) AS range_compression_20d_60d, (sma_20d_slope > 0)::DOUBLE + (sma_50d_slope > 0)::DOUBLE - 1 AS sma_slope_agreement_20_50,
+  (dist_sma_20d > 0)::DOUBLE + (dist_sma_50d > 0)::DOUBLE + (dist_sma_200d > 0)::DOUBLE AS sma_stack_score_20_50_200, ({rolling("avg", "dollar_volume", 10)}) / nullif({rolling("avg", "dollar_volume", 60)}, 0) AS dollar_volume_accel_10d_60d FROM ranked),
+long_2 AS (SELECT *, {rolling("avg", "pos", 20)} AS trend_pos_ret_frac_20d, round(realized_vol_20d, 9) AS rv FROM long_1),
+long_only AS (SELECT * FROM (SELECT *, {average_rank('rv', 'date')} / count(*) OVER (PARTITION BY date) AS vol_regime_rank_by_date FROM long_2) WHERE label_valid_5d)"""
 PREDS = f"{BASELINE},\npreds AS (SELECT date, ticker, fwd_ret_5d, round(ret_20d, 9) AS score FROM matrix WHERE ret_20d IS NOT NULL)"
 
 

@@ -49,7 +49,7 @@ FAMILIES = {
     "extremes": [n for n in X.BASELINE_NAMES if not n.startswith("rank_") and (n.startswith(("dist_to", "drawdown", "bounce")) or n.endswith("d_range"))],
     "rsi": ["rsi_14", "rsi_30"],
     "volume": [n for n in X.BASELINE_NAMES if "volume" in n and not n.startswith("rank_")],
-    "calendar": ["day_of_week", "month", "year"],
+    "calendar": ["day_of_week", "month"],
     "ranks": [f"rank_{c}" for c in C.BASELINE_RANKS],
 }
 EXPANDED_FAMILIES = {
@@ -68,7 +68,7 @@ def _pick(df: DataFrame, columns: list[str]) -> DataFrame:
     return rounded(df.select(*KEYS, *columns), KEYS)
 
 
-def _sql_pick(ctes: str, source: str, columns: list[str], keys: tuple[str, ...] = ("ticker", "date"), whole: tuple[str, ...] = ("day_of_week", "month", "year")) -> str:
+def _sql_pick(ctes: str, source: str, columns: list[str], keys: tuple[str, ...] = ("ticker", "date"), whole: tuple[str, ...] = ("day_of_week", "month")) -> str:
     cols = ", ".join(f'"{c}"' if c in whole or c.startswith("days_since") else f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in columns)
     return f"WITH {ctes}\nSELECT {', '.join(keys)}, {cols} FROM {source}"
 
@@ -382,7 +382,7 @@ daily AS (SELECT fold_id, feature, avg(ic) AS mean_daily_rank_ic, count(ic) AS d
         + ", ".join(f"count(*) FILTER (label_valid_5d AND target_class_5d = {k}) AS {n}" for k, n in ((-1, "class_neg"), (0, "class_zero"), (1, "class_pos")))
         + " FROM labelled GROUP BY 1",
         "volatility_target": r(
-            f"""{Q.LABELLED}, v1 AS (SELECT *, close / nullif(lag(close) OVER ({Q.T}), 0) - 1 AS r FROM labelled), v2 AS (SELECT *, {Q.OPS.rstd('r', 60)} AS trailing_vol_60d FROM v1),
+            f"""{Q.LABELLED}, v1 AS (SELECT *, close / nullif(lag(close) OVER ({Q.T}), 0) - 1 AS r FROM labelled), v2 AS (SELECT *, {Q.rolling('stddev_pop', 'r', 60)} AS trailing_vol_60d FROM v1),
 v3 AS (SELECT *, CASE WHEN trailing_vol_60d > 1e-6 THEN fwd_ret_5d / trailing_vol_60d END AS fwd_ret_5d_vol_norm60, label_valid_5d AND coalesce(trailing_vol_60d > 1e-6, false) AS label_valid_5d_vol_norm60 FROM v2),
 v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 'target_class_5d_vol_norm60')}""",
             "v4", "ticker, date, label_valid_5d_vol_norm60, target_class_5d_vol_norm60", "trailing_vol_60d fwd_ret_5d_vol_norm60",
