@@ -1,33 +1,45 @@
 """Main text of web pages by a site style tree.
 
-Each page is parsed into blocks: runs of text at a path of elements (tag and class). The trees of a host's pages are
-merged: a node of the site tree is a path, its styles are the sequences of child elements seen there, its contents the
-block texts. Over the m different pages of a host, content that c pages share has entropy log_m c, so a node's content
-importance is the mean of 1 - log_m c over its contents; its presentation importance is the entropy of its styles. A
-node whose composite importance is low holds what the site repeats, and its branch is removed from every page. Elements
-that by their kind present no article (navigation, headers, footers, asides, forms, and the like by class or id) have
-presentation importance 0; where a page marks its article or main element, only branches under it compete.
+Each page is parsed into its tree of elements. The trees of a host's pages are merged: an element node of the site tree
+is an element below one parent node (paragraphs, items, headings and rows of one parent are one node; other elements are
+told apart by tag, class and their number among their like). Its style nodes are the sequences of children seen at it,
+its content nodes the texts that stand at it. Importance, of a node on n different pages of a host:
+
+- presentation: entropy, to base n, of the node's styles over its pages;
+- content: a text on c of the n pages has importance 1 - log_n(c); a node's own text the mean over its occurrences;
+- composite: (1 - DECAY^l) * presentation + DECAY^l * (mean of the children's composite importance and of its own
+  text's, weighted by the pages they stand on), with l children on average.
+
+A node of low composite importance goes with its branch, a content node of low importance alone. Elements that by their
+kind present no article (navigation, headers, footers, asides, forms, and the like by class or id) are a prior: their
+importance is 0 on any number of pages. Where a page marks its article or main element, that element has importance 1
+with the plain paragraphs and lists below it, and only what is under it competes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: A node seen on fewer different pages of its host is not judged; below this importance a node's branch is removed.
-MIN_PAGES, MIN_IMPORTANCE = 8, 0.25
-#: Characters of removed paths, all hosts together, up to which their list is broadcast.
-MAX_BROADCAST = 32_000_000
+#: Nodes and contents on fewer different pages of a host are kept; below this importance they are removed.
+MIN_PAGES, MIN_IMPORTANCE = 3, 0.25
+#: Weight of one more child in the composite importance.
+DECAY = 0.9
+#: Elements nested deeper are read as part of the element at this depth, as browsers bound their trees.
+MAX_DEPTH = 400
+#: Removed nodes and contents of all hosts together up to which their list is broadcast.
+MAX_BROADCAST = 1_000_000
 
-#: Elements without content, with raw content, that end a block, and that a new one closes.
+#: Elements without content, with raw content, that stand in a line, and that a new one closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title svg math iframe object select canvas video audio".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -35,153 +47,314 @@ CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 ENDS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Elements and class or id words that hold no article.
+#: Elements that repeat below one parent and are one node there, and the plain ones that an article is made of.
+REPEATED = set("p li dt dd tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption option".split())
+PLAIN = REPEATED | set("ul ol dl table thead tbody tfoot caption".split())
+#: Elements, roles, and words of class or id names that hold no article; the other words that such names are made of.
 OUTSIDE = set("nav header footer aside form head button menu dialog".split())
+OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 OUTSIDE_WORDS = set(
-    "ad ads advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer header masthead cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comments comment commentlist respond disqus replies reply form search pagination pager copyright legal disclaimer toolbar topbar bottombar skip tags".split()
+    "ad ads advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comments comment commentlist respond disqus replies reply pagination pager copyright disclaimer toolbar topbar bottombar header".split()
 )
-OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+OTHER_WORDS = set("site page main top bottom left right primary secondary global list bar box wrapper wrap container area block section posts post articles buttons button links link slot item items form form-inline thread count the of by my js is has no fixed sticky small large inner outer row col content 1 2 3 4".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+|=)*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: What the tree may do at a node: nothing, drop single contents, or also drop the branch.
+KEEP, CONTENTS, BRANCH = 0, 1, 2
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by exact lower-case name, the first of each; values are consumed, so nothing in them is read as a name."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _outside_name(name: str) -> bool:
+    """Is a class or id name made of words for what is no article, and of nothing else?"""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return not OUTSIDE_WORDS.isdisjoint(words) and all(w in OUTSIDE_WORDS or w in OTHER_WORDS for w in words)
 
 
 def _outside(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in OUTSIDE or attributes.get("role", "").lower() in OUTSIDE_ROLES or "hidden" in attributes:
+    if tag in OUTSIDE:
         return True
-    words = re.split(r"[^a-z]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-    return tag not in ("html", "body", "article", "main") and not OUTSIDE_WORDS.isdisjoint(words) or tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}.isdisjoint(words)
-
-
-def parse(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, outside, in_article) of the blocks of a page, in order. Tag soup is read as browsers do, roughly:
-    unclosed paragraphs and list items end where the next begins, stray end tags are ignored."""
-    blocks: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, outside, in_article
-    text: list[str] = []
-    at = 0
-
-    def flush() -> None:
-        if text:
-            joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            text.clear()
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in OUTSIDE_ROLES:
+        return True
+    names = (attributes.get("class", "") + " " + attributes.get("id", "")).split()
+    return any(map(_outside_name, names))
+
+
+class _Element:
+    __slots__ = ("tag", "node", "outside", "inside", "plain", "kids", "like")
+
+    def __init__(self, tag: str, node: int, outside: bool, inside: bool, plain: bool):
+        self.tag, self.node, self.outside, self.inside, self.plain = tag, node, outside, inside, plain
+        self.kids: list[str] = []
+        self.like: Counter = Counter()
+
+
+def _number(text: str) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Page:
+    """nodes: [id, parent's place, judge, sequences of children]; blocks: (node's place, text, outside, inside), in order.
+
+    Tag soup is read as browsers do, roughly: unclosed paragraphs and list items end where the next begins, stray end tags
+    are ignored. Linear in the page.
+    """
+
+    def __init__(self, html: str):
+        self.nodes: list[list] = [[_number(""), -1, CONTENTS, set()]]
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.place = {self.nodes[0][0]: 0}
+        self.stack = [_Element("", 0, False, False, False)]
+        self.open: Counter = Counter()
+        self.deeper: Counter = Counter()  # open elements beyond MAX_DEPTH
+        self.text: list[str] = []
+        self._parse(html)
+        self._flush()
+        self._pop(1)
+        self._leave(self.stack[0])
+
+    def _flush(self) -> None:
+        if self.text:
+            joined = _SPACE.sub(" ", entities.unescape("".join(self.text))).strip()
+            self.text.clear()
             if joined:
-                top = next(s for s in reversed(stack) if s[0] not in INLINE)
-                outer = stack[-1]
-                blocks.append((top[1], joined, outer[2], outer[3]))
-
-    def close(tags: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                flush()
-                del stack[k:]
+                top = self.stack[-1]
+                self.blocks.append((top.node, joined, top.outside, top.inside))
+                for e in reversed(self.stack):
+                    if e.tag not in INLINE:
+                        if not e.kids or e.kids[-1] != "#":
+                            e.kids.append("#")
+                        break
+
+    def _leave(self, e: _Element) -> None:
+        if e.tag not in INLINE:
+            self.nodes[e.node][3].add(_number("\n".join(e.kids)))
+
+    def _pop(self, k: int) -> None:
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
+            self._leave(e)
+        del self.stack[k:]
+
+    def _close(self, tags: set[str], until: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag in tags:
+                self._flush()
+                self._pop(k)
                 return
-            if stack[k][0] in until:
+            if self.stack[k].tag in until:
                 return
 
-    while True:
-        m = _TOKEN.search(html, at)
-        text.append(html[at : m.start() if m else len(html)])
-        if not m:
-            break
-        at = m.end()
-        if m.group(1):
-            tag = m.group(1).lower()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if tag not in INLINE or k and any(s[0] not in INLINE for s in stack[k:]) or k and stack[k][2] != stack[k - 1][2]:
-                flush()
-            if k and (tag not in INLINE or all(s[0] in INLINE for s in stack[k:])):
-                del stack[k:]
-        elif m.group(2):
-            tag = m.group(2).lower()
-            raw = m.group(3)
-            if tag in RAW:
-                if not raw.rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                continue
-            if tag in ENDS_P:
-                close({"p"}, {"div", "td", "li", "section", "article", "blockquote", "body", "main"})
-            if tag in CLOSES:
-                close(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
-            if tag == "br":
-                text.append(" ")
+    def _end(self, tag: str) -> None:
+        if self.deeper[tag]:
+            self.deeper[tag] -= 1
+            self._flush() if tag not in INLINE else None
+            return
+        if not self.open[tag]:
             if tag not in INLINE:
-                flush()
-            if tag in VOID:
-                continue
-            attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
-            _, path, outside, inside = stack[-1]
-            mine = _outside(tag, attributes)
-            if mine and not outside:
-                flush()
-            sign = tag + ("." + "-".join(sorted(attributes.get("class", "").lower().split())[:3]) if attributes.get("class") else "")
-            if tag in INLINE and not mine:
-                stack.append((tag, path, outside, inside))
-            else:
-                article = tag in ("article", "main") or attributes.get("role", "").lower() == "main"
-                stack.append((tag, path + "/" + sign, outside or mine, (inside or article) and not mine))
-            if len(stack) > 500:  # deeper nesting adds nothing to a path
-                del stack[250:400]
-    flush()
-    return blocks
-
-
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, host, mark (hash of the html), blocks; competing blocks only."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+                self._flush()
+            return
+        k = next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == tag)
+        plain = all(e.tag in INLINE for e in self.stack[k:])
+        if not plain or self.stack[k].outside != self.stack[k - 1].outside:
+            self._flush()
+        if tag not in INLINE or plain:
+            self._pop(k)
+
+    def _begin(self, tag: str, raw: str) -> None:
+        if tag in ENDS_P:
+            self._close({"p"}, {"div", "td", "li", "section", "article", "blockquote", "body", "main"})
+        if tag in CLOSES:
+            self._close(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
+        if tag == "br":
+            self.text.append(" ")
+        elif tag not in INLINE:
+            self._flush()
+        if tag in VOID:
+            return
+        if len(self.stack) > MAX_DEPTH:
+            self.deeper[tag] += 1
+            return
+        found = attributes_of(raw) if raw.strip() else {}
+        mine, top = _outside(tag, found), self.stack[-1]
+        if mine and not top.outside:
+            self._flush()
+        self.open[tag] += 1
+        if tag in INLINE:
+            self.stack.append(_Element(tag, top.node, top.outside or mine, top.inside and not mine, top.plain))
+            return
+        holder = next(e for e in reversed(self.stack) if e.tag not in INLINE)
+        article = tag in ("article", "main") or found.get("role", "").lower() == "main"
+        sign = " ".join([tag + "!" * article, *sorted(found.get("class", "").lower().split())])
+        if not holder.kids or holder.kids[-1] != sign:
+            holder.kids.append(sign)
+        if tag not in REPEATED:
+            holder.like[sign] += 1
+            sign += f" {holder.like[sign]}"
+        inside = (top.inside or article) and not mine
+        plain = inside and (article or top.plain and tag in PLAIN)
+        node = _number(f"{self.nodes[holder.node][0]} {sign}")
+        if node not in self.place:
+            self.place[node] = len(self.nodes)
+            judge = KEEP if plain else CONTENTS if tag in ("html", "body") else BRANCH
+            self.nodes.append([node, holder.node, judge, set()])
+        self.stack.append(_Element(tag, self.place[node], top.outside or mine, inside, plain))
+
+    def _parse(self, html: str) -> None:
+        at, last = 0, html.rfind(">")
+        while True:
+            m = _TOKEN.search(html, at, last + 1) if at <= last else None
+            self.text.append(html[at : m.start() if m else len(html)])
+            if not m:
+                return
+            at = m.end()
+            if m.group(1):
+                self._end(m.group(1).lower())
+            elif m.group(2):
+                tag = m.group(2).lower()
+                if tag not in RAW:
+                    self._begin(tag, m.group(3))
+                elif not m.group(3).rstrip().endswith("/") or tag not in ("svg", "math"):
+                    end = _ENDS[tag].search(html, at)
+                    at = end.end() if end else len(html)
+
+    def competing(self) -> tuple[list[tuple[int, str]], int]:
+        """(node's place, text) of the blocks that the prior leaves, and how many it removes."""
+        left = [b for b in self.blocks if not b[2]]
+        if any(b[3] for b in left):
+            left = [b for b in left if b[3]]
+        return [b[:2] for b in left], len(self.blocks) - len(left)
+
+    def chain(self, place: int) -> list[int]:
+        """The ids of a node and those above it, from the root."""
+        out = []
+        while place >= 0:
+            out.append(self.nodes[place][0])
+            place = self.nodes[place][1]
+        return out[::-1]
+
+
+NODE = "struct<node:long,parent:long,judge:int,style:long,texts:int>"
+PARSED = f"page_id long, url string, mark long, prior int, blocks array<struct<node:long,key:long,text:string>>, nodes array<{NODE}>, chains array<array<long>>"
+
+
+def page_trees(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) -> page_id, url, host, mark (hash of the html), prior (blocks that the prior removed), blocks
+    that compete, the page's nodes above them, and the chains of nodes that a task sees for the first time."""
+    number, whole = pa.int64(), pa.int32()
+    block = pa.list_(pa.struct([("node", number), ("key", number), ("text", pa.string())]))
+    node = pa.list_(pa.struct([("node", number), ("parent", number), ("judge", whole), ("style", number), ("texts", whole)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            out, marks = [], []
-            for h in batch.column(2).to_pylist():
-                found = [b for b in parse(h or "") if not b[2]]
-                if any(b[3] for b in found):
-                    found = [b for b in found if b[3]]
-                out.append([{"path": b[0], "text": b[1]} for b in found])
-                marks.append(zlib.crc32((h or "").encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(out, kind)], ["page_id", "url", "mark", "blocks"])
-
-    found = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, mark long, blocks array<struct<path:string,text:string>>")
+        known: set[int] = set()
+        for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
+            rows = []
+            for text in batch.column(2).to_pylist():
+                page = Page(text or "")
+                found, prior = page.competing()
+                used, own = set(), {p for p, _ in found}
+                for p in own:
+                    while p >= 0 and p not in used:
+                        used.add(p)
+                        p = page.nodes[p][1]
+                kept = [(page.nodes[p], p in own, p) for p in sorted(used)]
+                chains = [page.chain(p) for n, _, p in kept if n[0] not in known]
+                known.update(n[0] for n, _, _ in kept)
+                if len(known) > 100_000:
+                    known.clear()
+                nodes = [{"node": n[0], "parent": page.nodes[n[1]][0] if n[1] >= 0 else None, "judge": n[2], "style": _number(str(sorted(n[3]))), "texts": int(t)} for n, t, _ in kept]
+                blocks = [{"node": page.nodes[p][0], "key": _number(f"{page.nodes[p][0]} {t}"), "text": t} for p, t in found]
+                rows.append((_number(text or ""), prior, blocks, nodes, chains))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (number, whole, block, node, pa.list_(pa.list_(number))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "mark", "prior", "blocks", "nodes", "chains"])
+
+    found = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, PARSED)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return found.withColumn("host", host)
+    return found.withColumn("host", host).withColumn("row", F.monotonically_increasing_id())
 
 
-def node_importance(blocks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, path) -> pages, importance, from the merged trees of each host. Equal pages of a host count once.
+def site_tree(trees: DataFrame, decay: float = DECAY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The merged trees of all hosts: nodes (host, node, judge, pages, presentation, content, importance), contents
+    (host, node, key, c) on at least two pages, and chains (host, node, up, place), one row per node and node above it or
+    itself. Equal pages of a host count once. Everything is counted before it travels, so no host is a group of its own."""
+    once = trees.select("host", "mark", "nodes", F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["key"].alias("key")))).alias("keys")).dropDuplicates(["host", "mark"])
+    styles = once.select("host", F.explode("nodes").alias("n")).select("host", "n.*").groupBy("host", "node", "parent", "judge", "style").agg(F.count("*").alias("s"), F.sum("texts").alias("t"))
+    nodes = styles.groupBy("host", "node", "parent").agg(F.max("judge").alias("judge"), F.sum("s").alias("pages"), F.sum("t").alias("with_text"), F.sum(F.col("s") * F.log2("s")).alias("bits"))
+    flat = F.log2("pages") - F.col("bits") / F.col("pages")
+    nodes = nodes.withColumn("presentation", F.when(F.col("pages") > 1, flat / F.log2("pages")).otherwise(1.0))
+    counts = once.select("host", F.explode("keys").alias("k")).groupBy("host", "k.node", "k.key").agg(F.count("*").alias("c"))
+    own = counts.groupBy("host", "node").agg(F.sum("c").alias("shown"), F.sum(F.col("c") * F.log2("c")).alias("logs"))
+    nodes = nodes.join(own, ["host", "node"], "left")
+    text = F.when(F.col("pages") > 1, 1 - F.col("logs") / F.col("shown") / F.log2("pages")).otherwise(1.0)
+    nodes = materialize(nodes.select("host", "node", "parent", "judge", "pages", "with_text", "presentation", F.coalesce(text, F.lit(0.0)).alias("content")))
+    kids = nodes.where("parent IS NOT NULL").groupBy("host", F.col("parent").alias("node")).agg(F.sum("pages").alias("kids"))
+    full = nodes.join(kids, ["host", "node"], "left").withColumn("kids", F.coalesce("kids", F.lit(0)) + F.col("with_text"))
+    weight = F.pow(F.lit(decay), F.col("kids") / F.col("pages"))
+    full = full.withColumn("alone", (1 - weight) * F.col("presentation") + weight * F.col("with_text") / F.col("kids") * F.col("content"))
+    above = full.select("host", F.col("node").alias("parent"), (weight / F.col("kids")).alias("per_page"))
+    share = F.coalesce(F.ln(F.col("pages") * F.col("per_page")), F.lit(0.0))
+    full = materialize(full.join(above, ["host", "parent"], "left").select("host", "node", "judge", "pages", "presentation", "content", "alone", share.alias("share")))
+    chain = trees.select(F.explode("chains").alias("chain")).groupBy(F.element_at("chain", -1).alias("node")).agg(F.first("chain").alias("chain"))
+    chains = full.select("host", "node", "alone").join(chain, "node").select("host", "node", "alone", F.posexplode("chain").alias("place", "up"))
+    chains = chains.join(full.select("host", F.col("node").alias("up"), "share"), ["host", "up"])
+    # what a node adds to one above it: its own part times the shares on the way down
+    below = F.sum("share").over(Window.partitionBy("host", "node").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1))
+    chains = materialize(chains.select("host", "node", "up", "place", (F.col("alone") * F.exp(F.coalesce(below, F.lit(0.0)))).alias("part")))
+    importance = chains.groupBy("host", F.col("up").alias("node")).agg(F.sum("part").alias("importance"))
+    return full.join(importance, ["host", "node"]).select("host", "node", "judge", "pages", "presentation", "content", "importance"), counts.where("c > 1"), chains.select("host", "node", "up", "place")
 
-    Counts are aggregated before they travel, by (host, path, content), so a host of any size is no single group.
-    """
-    node = blocks.select("host", "mark", F.explode("blocks").alias("b"))
-    seen = node.select("host", "mark", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("content")).distinct()
-    shared = seen.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    # a node's style on a page: how many blocks stand at it, in powers of two
-    styles = seen.groupBy("host", "mark", "path").agg(F.floor(F.log2(F.count("*") + 0.0)).alias("style")).groupBy("host", "path", "style").agg(F.count("*").alias("s"))
-    m = styles.groupBy("host", "path").agg(F.sum("s").alias("pages"), F.sum(F.col("s") * F.log2("s")).alias("bits"))
-    m = m.withColumn("presentation", F.when(F.col("pages") > 1, (F.log2("pages") - F.col("bits") / F.col("pages")) / F.log2("pages")).otherwise(1.0))
-    logs = shared.groupBy("host", "path").agg(F.sum(F.log2("c")).alias("shared"), F.count("*").alias("contents"))
-    both = m.join(logs, ["host", "path"])
-    content = F.when(F.col("pages") > 1, 1 - F.col("shared") / F.col("contents") / F.log2("pages")).otherwise(1.0)
-    # composite: a leaf's content counts in full, what its style adds is weighted by what content leaves open
-    return both.where(F.col("pages") >= min_pages).select("host", "path", "pages", (content + (1 - content) * 0.1 * F.col("presentation")).alias("importance"))
+
+def removed_keys(trees: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    """(host, key): nodes in branches of low importance, and single contents of low importance."""
+    nodes, contents, chains = site_tree(trees)
+    nodes = materialize(nodes)
+    low = nodes.where((F.col("judge") == BRANCH) & (F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
+    branches = chains.join(low.select("host", F.col("node").alias("up")), ["host", "up"], "left_semi").select("host", F.col("node").alias("key"))
+    judged = nodes.where(F.col("judge") >= CONTENTS).select("host", "node", "pages")
+    met = contents.where(F.col("c") >= min_pages).join(judged, ["host", "node"])
+    single = met.where(1 - F.log2("c") / F.log2("pages") < min_importance).select("host", "key")
+    return branches.unionByName(single).distinct()
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """pages(page_id, url, html, ...) -> page_id, url, text, n_chars; rows one to one.
+    """pages(page_id, url, html, ...) -> page_id, url, text, n_chars, and the numbers of blocks that the prior and the tree
+    removed; rows one to one.
 
     Null and empty html give an empty text; a null url is a host of its own (the empty one); repeated pages count once
-    in their host's tree and are answered each; an empty table gives no rows.
+    in their host's tree and are answered each; an empty table gives no rows. Text at any depth is kept.
     """
-    blocks = materialize(page_blocks(pages))
-    low = node_importance(blocks, min_pages).where(F.col("importance") < min_importance)
-    # at most one row per host; a host's removed nodes are few, the rest is not listed
-    removed = materialize(low.groupBy("host").agg(F.collect_set("path").alias("removed")))
-    weight = removed.agg(F.sum(F.length("host") + F.aggregate("removed", F.lit(0), lambda n, path: n + F.length(path)))).first()[0] or 0
-    # a small list goes to the pages; beyond the bound, pages and lists meet by host, and Spark splits a hot host's pages
-    joined = blocks.join(F.broadcast(removed) if weight <= max_broadcast else removed.hint("merge"), "host", "left")
-    kept = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("removed", b["path"])))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    trees = materialize(page_trees(pages))
+    removed = materialize(removed_keys(trees, min_pages, min_importance))
+    if removed.count() <= max_broadcast:
+        # a list of a checked size goes to the pages
+        lists = removed.groupBy("host").agg(F.collect_set("key").alias("removed"))
+        joined = trees.join(F.broadcast(lists), "host", "left")
+        gone = lambda b: F.array_contains("removed", b["node"]) | F.array_contains("removed", b["key"])
+        kept = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~gone(b)))
+    else:
+        # beyond it, keys without texts meet the list, and each page gets the places it loses
+        at = trees.select("row", "host", F.posexplode("blocks").alias("place", "b"))
+        keys = at.select("row", "host", "place", F.explode(F.array("b.node", "b.key")).alias("key"))
+        lost = keys.join(removed.hint("merge"), ["host", "key"], "left_semi").groupBy("row").agg(F.collect_set("place").alias("lost"))
+        joined = trees.join(lost, "row", "left")
+        kept = F.when(F.col("lost").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.array_contains("lost", i)))
+    done = joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"), F.col("prior").alias("removed_by_prior"), (F.size("blocks") - F.size(kept)).alias("removed_by_tree"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "removed_by_prior", "removed_by_tree")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

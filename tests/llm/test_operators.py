@@ -234,8 +234,89 @@ def test_toxicity(spark):
 
 @pytest.mark.parametrize("max_broadcast", [0, pages.MAX_BROADCAST])
 def test_pages(spark, max_broadcast):
-    page = lambda i: f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='x'>same line</div><p>Body {i} &amp; more<p>two  <b>bold</b> words<br>end</p><div class='comments'><p>nice</p></div><footer>f</footer><script>var a='<p>';</script></body></html>"
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(99, None, None), (98, "http://z.example/", "")]
+    page = lambda i: f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='x'>same line</div><p>Body {i} &amp; more<p>two {i} <b>bold</b> words<br>end</p><p>Share this page</p><div class='comments'><p>nice</p></div><footer>f</footer><script>var a='<p>';</script></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(99, None, None), (98, "http://z.example/", ""), (97, "http://h.example/again", page(3))]
     out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast=max_broadcast).collect()}
-    assert out[3]["text"] == "Body 3 & more\ntwo bold words end" and out[3]["n_chars"] == len(out[3]["text"])
-    assert out[99]["text"] == out[98]["text"] == "" and len(out) == 32
+    assert out[3]["text"] == out[97]["text"] == "Body 3 & more\ntwo 3 bold words end" and out[3]["n_chars"] == len(out[3]["text"])
+    assert (out[3]["removed_by_prior"], out[3]["removed_by_tree"]) == (3, 2)
+    assert out[99]["text"] == out[98]["text"] == "" and len(out) == 33
+
+
+def test_pages_with_boilerplate_whose_classes_say_nothing(spark):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("ba", "co", "du", "fi") for b in ("lin", "tor", "mex", "sap")]
+    line = lambda n: " ".join(rng.choice(words, n))
+    rows, want = [], {}
+    for i in range(40):
+        host = ["a.example", "b.example", "few.example"][0 if i < 22 else 1 if i < 36 else 2]
+        body = [line(12) for _ in range(rng.integers(2, 6))]
+        teaser = rng.choice([f"{host} story {k}" for k in range(5)], 3)
+        menu = "".join(f"<div><a href=/{k}>{host} entry {k}</a></div>" for k in range(4))
+        shell = f"<div class=q1>{menu}</div><div class=q2><h1>{line(4)} {i}</h1>" + "".join(f"<p>{b}" for b in body) + f"</div><div class=q3><div>{' '.join(teaser)}</div><div>Operated by {host}, all rights kept by the owner of this long notice</div></div>"
+        rows.append((i, f"https://{host}/{i}", f"<body>{shell}</body>"))
+        want[i] = body
+    out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, body in want.items():
+        lines = out[i]["text"].split("\n")
+        assert lines[1 : 1 + len(body)] == body and "entry" not in out[i]["text"] and "Operated" not in out[i]["text"]
+        assert out[i]["removed_by_prior"] == 0 and out[i]["removed_by_tree"] >= 5
+
+
+def test_site_tree_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+
+    def branch(depth: int) -> str:
+        kids = "".join(rng.choice([f"<p>text {rng.integers(0, 4)}</p>", f"<div class=c{rng.integers(0, 2)}>{branch(depth - 1) if depth else 'leaf'}</div>"]) for _ in range(rng.integers(1, 4)))
+        return kids
+
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", f"<body>{branch(3)}</body>") for i in range(16)] + [(50, "http://a.example/copy", None)]
+    rows.append((51, rows[0][1], rows[0][2]))
+    trees = pages.page_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    nodes, contents, _ = pages.site_tree(trees)
+    got = {(r["host"], r["node"]): r for r in nodes.collect()}
+    tree, marks = {}, set()
+    for r in trees.collect():
+        if (r["host"], r["mark"]) in marks:
+            continue
+        marks.add((r["host"], r["mark"]))
+        for n in r["nodes"]:
+            node = tree.setdefault((r["host"], n["node"]), {"styles": [], "texts": Counter(), "with": 0, "kids": set()})
+            node["styles"].append(n["style"])
+            node["with"] += n["texts"]
+            if n["parent"] is not None:
+                tree[r["host"], n["parent"]]["kids"].add((r["host"], n["node"]))
+        for b in {(b["node"], b["key"]) for b in r["blocks"]}:
+            tree[r["host"], b[0]]["texts"][b[1]] += 1
+    for (host, _, key), c in {(r["host"], r["node"], r["key"]): r["c"] for r in contents.collect()}.items():
+        assert any(t["texts"][key] == c for (h, _), t in tree.items() if h == host)
+
+    def importance(key):
+        node = tree[key]
+        n = len(node["styles"])
+        entropy = -sum(c / n * math.log(c / n, n) for c in Counter(node["styles"]).values()) if n > 1 else 1.0
+        parts = [(len(tree[k]["styles"]), importance(k)) for k in node["kids"]]
+        if node["texts"]:
+            total = sum(node["texts"].values())
+            parts.append((node["with"], sum(c * (1 - math.log(c, n)) for c in node["texts"].values()) / total if n > 1 else 1.0))
+        size = sum(w for w, _ in parts)
+        weight = pages.DECAY ** (size / n)
+        return (1 - weight) * entropy + weight * sum(w * x for w, x in parts) / size
+
+    assert set(got) == set(tree) and len(got) > 30
+    for key in tree:
+        assert abs(got[key]["importance"] - importance(key)) < 1e-9 and got[key]["pages"] == len(tree[key]["styles"])
+
+
+def test_page_parser():
+    text = lambda h: "|".join(t for _, t in pages.Page(h).competing()[0])
+    assert text("<div aria-hidden='false'><p>a</p></div><p title='no role=form here'>b</p><div class='form-of-life'>c</div><section class=related-work>d</section>") == "a|b|c|d"
+    assert text("<p>it <a title=it's href=x>link</a> more</p><p>two</p>") == "it link more|two"
+    assert text("<div hidden>x</div><div class='site-header'>x</div><div class=cookie-banner>y</div><section class='commentList'><p>z</p></section><div role=search>s</div><p>keep") == "keep"
+    assert text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>e<br>f &lt;&eacute;&#x41;") == "a|b|c|d|e f <éA"
+    assert text("<p>x</p><!-- <p>no --><![CDATA[ z ]]><style>p{}</style><script>'</p>'</script>y") == "x|y"
+    assert text("<nav>n</nav><article><h1>t</h1><header>h</header><p>a</p><div class=share>s</div></article><p>outside</p>") == "t|a"
+    assert text("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "after") == "deep|after"
+    began = time.perf_counter()
+    for h in ("<a " * 200_000, "<a title='" * 100_001, '<a b="' * 100_001, "<![CDATA[" * 100_000, "<i>" + "<div>" * 20_000 + "</i>" * 20_000, "<p>" * 50_000, "<b>" * 50_000 + "x" + "</b>" * 50_000, "<"):
+        text(h)
+    assert time.perf_counter() - began < 30
