@@ -1,48 +1,50 @@
 """Benchmark decontamination: latent semantic retrieval of TF-IDF passages, then word-order and answer checks.
 
-Passages are word windows of three lengths; a benchmark item is compared at the shortest length that holds it (longer
-items in pieces). Weights are sqrt(tf) * idf, so a passage's squared norm is the sum of its tokens' idf^2. The terms of the
-benchmark are the columns of the TF-IDF matrix; a distributed randomised SVD of all corpus passages gives its leading
-right singular space. A window is a candidate if it holds MIN_SHARE of the item's own squared norm (sum of min(tf) * idf^2
-over the item's terms): words that are not the item's count for nothing, so neither the corpus' size nor the other items
-move the gate. That share is at most the product of item and window over the item's squared norm, which is bounded by the
-product in the latent space plus the most that the two residuals can add (the product of their norms): the truncation
-loses no candidate, nor do the postings of rare terms before it. Survivors' exact share and their cosine over the item's
-terms are taken, then the longest common subsequence of words of item and passage, and that of the item's answer.
+Words are hashed to TERMS columns. The corpus' passages (PASSAGE words of one text) are the rows of a TF-IDF matrix with
+squared idf and unit rows; a distributed randomised SVD (range finder with one power step, one pass) gives its leading
+right singular directions. Texts are cut into overlapping windows of lengths that step with the items' own; a window is a candidate
+for an item where the cosine of their images in that space reaches MIN_COSINE. Terms whose own images nearly agree (they
+stand in the same passages all over the corpus, as synonyms do) count as one word from there on: a candidate stays if the
+longest common subsequence of item and passage, equal or so related words matching, holds SURE_COMMON of the item, or
+MIN_COMMON of it with MIN_ANSWER of its answer.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-WINDOWS = (16, 32, 64)
-STRIDE = 8
-RANK = 32
-#: Share of a passage's weight that a window must hold. Of two windows a stride apart that cover a verbatim passage, one
-#: holds at least half of it, whatever else stands there.
-MIN_SHARE = 0.5
+#: Columns of the matrix, its passages' words, and the directions kept.
+TERMS, PASSAGE, RANK = 1 << 16, 64, 48
+MIN_COSINE = 0.68
 MIN_COMMON, SURE_COMMON, MIN_ANSWER = 0.6, 0.8, 0.8
-#: Items shorter than this must appear word for word.
+#: Cosine of two terms' images from which they count as one word, and the passages each must stand in.
+MIN_RELATED, MIN_SEEN = 0.8, 8
+#: Window lengths: an item is compared at the shortest that holds it, a longer one in overlapping pieces of the longest.
+WINDOWS = (12, 16, 20, 24, 28, 32, 40, 48, 56, 64)
+GRAIN = 4
+#: Words around a window that its order check reads too: windows start at every first or second grain.
+SLACK = 2 * GRAIN
+#: Items shorter than this have no passage of their own; they must appear word for word.
 SHORT_ITEM = 8
-#: Terms in more than this share of the passages stay out of the latent space (they count in the residual norms).
-MAX_SHARE = 0.05
-#: Items that one pass holds in each task; a larger benchmark takes several passes.
+#: Items that one pass holds in each task; a larger benchmark takes several passes of the search, but one SVD.
 BLOCK_ITEMS = 5_000
-TILE = 64
-#: Windows and pairs compared by one array operation; they bound its memory and change no result.
-WINDOWS_AT_ONCE, POSTINGS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 500_000, 20_000
+#: Words, and pairs, of one array operation; they bound its memory and change no result.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 60_000, 2_048, 20_000
+#: Terms are told apart by so many numbers when an item's words are counted in a window.
+HASHED = 2_048
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 
 
@@ -51,18 +53,38 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def common_words(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, by bit rows (one integer addition per word of b)."""
-    places: dict[bytes, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+class _Numbers(dict):
+    """Word -> its 32-bit number; forgets all when it grows beyond a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = zlib.crc32(word)
+        return found
+
+
+def numbers_of(words: list[bytes], memo: _Numbers | None = None) -> np.ndarray:
+    memo = _Numbers() if memo is None else memo
+    return np.fromiter(map(memo.__getitem__, words), np.uint32, len(words))
+
+
+def common_words(masks: dict[int, int], length: int, words: list[int]) -> int:
+    """Length of the longest common subsequence of a sequence of `length` words and `words`, by bit rows: masks gives the
+    places of the sequence that a word matches (one integer addition per word)."""
+    full = (1 << length) - 1
     row = full
-    for w in b:
-        hit = row & places.get(w, 0)
+    for w in words:
+        hit = row & masks.get(w, 0)
         if hit:
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return length - row.bit_count()
+
+
+def masks_of(words: np.ndarray) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for i, w in enumerate(words.tolist()):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
 
 
 def answer_of(text: str) -> str:
@@ -77,308 +99,322 @@ def answer_of(text: str) -> str:
 @dataclass
 class Item:
     item_id: int
-    words: list[bytes]
-    answer: list[bytes]
-
-
-def _passages(items: list[Item]) -> list[tuple[int, int, list[bytes]]]:
-    """(item's place, window length, words): the item, or pieces of one longer than the longest window."""
-    out = []
-    for k, item in enumerate(items):
-        w = item.words
-        if len(w) <= WINDOWS[-1]:
-            out.append((k, next(x for x in WINDOWS if len(w) <= x), w))
-        else:
-            starts = [*range(0, len(w) - WINDOWS[-1], WINDOWS[-1] // 2), len(w) - WINDOWS[-1]]
-            out += [(k, WINDOWS[-1], w[s : s + WINDOWS[-1]]) for s in starts]
-    return out
+    words: np.ndarray
+    answer: np.ndarray
+
+    @classmethod
+    def of(cls, item_id: int, text: str) -> Item:
+        words, answer = numbers_of(words_of(text)), numbers_of(words_of(answer_of(text)))
+        return cls(item_id, words, answer if len(answer) else words)
 
 
-def _numbered(texts: list, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """All tokens of a batch as term numbers (len(terms) for others), the documents' offsets, and their words."""
-    none, parts, docs = len(terms), [], []
-    get = terms.get
-    for t in texts:
-        w = words_of(t)
-        docs.append(w)
-        parts.append(np.fromiter(map(get, w, repeat(none)), np.int32, len(w)))
-    ends = np.cumsum([0, *(len(p) for p in parts)])
-    return (np.concatenate(parts) if parts else np.empty(0, np.int32)), ends, docs
+def _pieces(words: np.ndarray) -> list[np.ndarray]:
+    """The item, or overlapping pieces of one longer than the longest window."""
+    w = WINDOWS[-1]
+    if len(words) <= w:
+        return [words]
+    return [words[s : s + w] for s in [*range(0, len(words) - w, w // 2), len(words) - w]]
 
 
-def _tiles(ends: np.ndarray) -> np.ndarray:
-    """The passage number of each token: TILE words of one document."""
-    sizes = np.diff(ends)
-    at = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-    fresh = (at % TILE == 0).astype(np.int64)
-    return np.cumsum(fresh) - 1
+TOKENS = "doc_id long, words binary"
 
 
-def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cell numbers in order, and how often each stands."""
-    cells = np.sort(cells)
-    first = np.nonzero(np.diff(cells, prepend=-1))[0]
-    return cells[first], np.diff(np.append(first, len(cells)))
+def tokenized(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, words (32-bit numbers); the texts are read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Numbers()
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
+            found = [numbers_of(words_of(t), memo).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "words"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = 1000):
-    gc.disable()  # word lists by the million, and no cycles
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(term of each word, its passage) of stretches of a task's texts."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, size):
-            yield batch.slice(lo, size)
-    gc.enable()
+        parts, size = [], 0
+        for words in batch.column("words"):
+            parts.append(np.frombuffer(words.as_buffer(), "<u4") % TERMS)
+            size += len(parts[-1])
+            if size >= 4 * WORDS_AT_ONCE:
+                yield _passages(parts)
+                parts, size = [], 0
+        if size:
+            yield _passages(parts)
 
 
-def passage_counts(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
+def _passages(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts])
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate(parts), np.cumsum(at % PASSAGE == 0) - 1
+
+
+def passage_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
     """Number of corpus passages, and of those with each term; summed over the whole corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(len(terms) + 1, np.int64)
-        for batch in _text_batches(batches):
-            tokens, ends, _ = _numbered(batch.column(0).to_pylist(), terms)
-            if len(tokens):
-                tile = _tiles(ends)
-                counts[-1] += tile[-1] + 1
-                hit = tokens < len(terms)
-                pairs, _ = _counted(tile[hit] * len(terms) + tokens[hit])
-                counts[:-1] += np.bincount(pairs % len(terms), minlength=len(terms))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(TERMS + 1, np.int64)
+        for term, passage in _stretches(batches):
+            counts[-1] += passage[-1] + 1
+            cells = np.sort(passage * TERMS + term)
+            counts[:-1] += np.bincount(cells[np.diff(cells, prepend=-1) > 0] % TERMS, minlength=TERMS)
         at = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in found.collect():  # at most one row per benchmark term
+    found = tokens.select("words").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(TERMS + 1, np.int64)
+    for r in found.collect():  # at most TERMS + 1 rows
         out[r["term"]] = r["n"]
     return int(out[-1]), out[:-1]
 
 
-def latent_space(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, inside: np.ndarray, top: float, rank: int = RANK) -> np.ndarray:
-    """Orthonormal columns (terms x rank) of the corpus passages' leading right singular space.
+def term_weights(n: int, counts: np.ndarray) -> np.ndarray:
+    return np.log((n + 1) / np.maximum(counts, 1)) ** 2
+
 
-    Randomised range finder with one power step: A^T (A G) for a Gaussian G, one pass over all passages; tasks add up
-    their share and Spark sums the shares by blocks of terms. Passage rows have unit norm.
+def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """What a word adds to a passage's image (TERMS x rank), its weight times the leading right singular directions V of the
+    corpus passages; and the terms' own unit images, V times the singular values.
+
+    z = A^T (A G) for a Gaussian G, one pass over all passages; each task adds up its share, and Spark sums the shares by
+    blocks of terms in two steps, so no group grows with the number of tasks. z is
+    about V S^2 W for singular values S.
     """
-    n = len(terms)
-    rank = min(rank, max(1, int(inside.sum())))
-    g = np.random.default_rng(7).standard_normal((n, rank)).astype(np.float32)
-    block = 256
+    block, groups = 64, 64
+    shared = tokens.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, rank), np.float64)
-        weight = np.append(idf, top)
-        for batch in _text_batches(batches):
-            tokens, ends, _ = _numbered(batch.column(0).to_pylist(), terms)
-            if not len(tokens):
-                continue
-            tile = _tiles(ends)
-            norm = np.bincount(tile, weight[tokens] ** 2)
-            hit = np.nonzero(np.append(inside, False)[tokens])[0]
-            if not len(hit):
-                continue
-            pair, tf = _counted(tile[hit] * n + tokens[hit])
-            row, term = pair // n, pair % n
-            value = (np.sqrt(tf) * idf[term] / np.sqrt(norm[row])).astype(np.float32)
-            cut = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
-            y = np.add.reduceat(value[:, None] * g[term], cut)
-            y = np.repeat(y, np.diff(np.append(cut, len(row))), axis=0) * value[:, None]
-            order = np.argsort(term, kind="stable")
-            head = np.concatenate([[0], np.nonzero(np.diff(term[order]))[0] + 1])
-            total[term[order][head]] += np.add.reduceat(y[order].astype(np.float64), head)
-        for b in range(0, n, block):
-            if total[b : b + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([total[b : b + block].tobytes()])], ["block", "share"])
+        weight = shared.value
+        g = np.random.default_rng(7).standard_normal((rank, TERMS)).astype(np.float32)
+        total, task = np.zeros((rank, TERMS)), TaskContext.get().partitionId()
+        for term, passage in _stretches(batches):
+            w = weight[term]
+            norm = np.sqrt(np.bincount(passage, w**2))
+            value = (w / np.maximum(norm, 1e-9)[passage]).astype(np.float32)
+            for j in range(rank):
+                y = np.bincount(passage, value * g[j][term]).astype(np.float32)
+                total[j] += np.bincount(term, value * y[passage], TERMS)
+        share = total.T.astype(np.float32)
+        for b in range(0, TERMS, block):
+            if share[b : b + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([task % groups]), pa.array([share[b : b + block].tobytes()])], ["block", "part", "share"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": frame["block"][:1], "share": [sum(np.frombuffer(s) for s in frame["share"]).tobytes()]})
-
-    shares = docs.select(F.col("text").cast("string")).mapInArrow(run, "block long, share binary").groupBy("block").applyInPandas(add, "block long, share binary")
-    z = np.zeros((n, rank))
-    for r in shares.collect():  # terms x rank numbers, bounded by BLOCK_ITEMS
-        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"]).reshape(-1, rank)
-    q, _ = np.linalg.qr(z)
-    return q * inside[:, None]
-
+        total = np.zeros(block * rank)
+        for s in frame["share"]:
+            total += np.frombuffer(s, np.float32)
+        return pd.DataFrame({"block": frame["block"][:1], "share": [total.astype(np.float32).tobytes()]})
 
-class Passages:
-    """The items' passages of one window length: their terms, images in the latent space, and postings by leading term.
+    shares = tokens.select("words").mapInArrow(run, "block long, part long, share binary")
+    half = shares.groupBy("block", "part").applyInPandas(add, "block long, share binary")
+    z = np.zeros((TERMS, rank))
+    for r in half.groupBy("block").applyInPandas(add, "block long, share binary").collect():  # TERMS x rank numbers
+        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"], np.float32).reshape(-1, rank)
+    v, s, _ = np.linalg.svd(z, full_matrices=False)
+    v = v * (s > 1e-6 * max(s[0], 1e-30))
+    return (v * weight[:, None]).astype(np.float32), _unit((v * np.sqrt(s)).astype(np.float32))
 
-    A passage's leading terms are its rarest ones, so many that the others hold less than `min_share` of its weight: a
-    window without any of them cannot hold the share.
-    """
 
-    def __init__(self, found: list[tuple[int, list[bytes]]], terms: dict[bytes, int], idf: np.ndarray, space: np.ndarray, min_share: float):
-        self.owners = [k for k, _ in found]
-        counted = [np.unique([terms[x] for x in p], return_counts=True) for _, p in found]
-        order = [np.argsort(-idf[t], kind="stable") for t, _ in counted]
-        self.term = np.concatenate([t[o] for (t, _), o in zip(counted, order)])
-        self.tf = np.concatenate([c[o] for (_, c), o in zip(counted, order)])
-        self.ends = np.cumsum([0, *(len(o) for o in order)])
-        weight = self.tf * idf[self.term] ** 2
-        norm2 = np.add.reduceat(weight, self.ends[:-1])
-        self.norm = np.sqrt(norm2)
-        self.image = np.add.reduceat(np.sqrt(weight)[:, None] * space[self.term], self.ends[:-1]) / self.norm[:, None]
-        self.rest = np.sqrt(np.maximum(0, 1 - (self.image**2).sum(1)))
-        owner = np.repeat(np.arange(len(found)), np.diff(self.ends))
-        run = np.concatenate([[0.0], np.cumsum(weight)])
-        after = run[self.ends[1:]][owner] - run[:-1]  # this term's weight and that of all commoner ones
-        leading = after >= min_share * norm2[owner] - 1e-9
-        self.tail = norm2 - np.bincount(owner[leading], weight[leading], len(found))
-        at = np.nonzero(leading)[0]
-        at = at[np.argsort(self.term[at], kind="stable")]
-        self.holder, self.held = owner[at], self.tf[at]
-        self.first = np.searchsorted(self.term[at], np.arange(len(terms) + 1))
-        self.leads = np.append(np.diff(self.first) > 0, False)
-
-
-def _cuts(costs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of places that cost at most `limit` each, or hold one place."""
-    total, lo = np.concatenate([[0], np.cumsum(costs)]), 0
-    while lo < len(costs):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
-        yield lo, hi
-        lo = hi
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
 
 
 class Retrieval:
-    """The items' side of a search, held by each task: idf, latent space, and the items' terms, images and postings."""
-
-    def __init__(self, items: list[Item], terms: dict[bytes, int], idf: np.ndarray, space: np.ndarray, min_share: float):
-        self.items, self.terms, self.space, self.min_share = items, terms, space, min_share
-        self.idf2 = idf**2
-        self.at = {w: found for w in WINDOWS if (found := [(k, p) for k, x, p in _passages(items) if x == w])}
-        self.at = {w: Passages(found, terms, idf, space, min_share) for w, found in self.at.items()}
-
-    def search(self, texts: list) -> Iterator[tuple]:
-        """(place of the text, item's place, cosine, window's start, window's length, words) of every passage pair found."""
-        tokens, ends, docs = _numbered(texts, self.terms)
-        sizes = np.diff(ends)
-        for w, passages in self.at.items():
-            led = np.concatenate([[0], np.cumsum(passages.leads[tokens])])
-            n = np.where(sizes > 0, np.maximum(0, -(-(sizes - w) // STRIDE)) + 1, 0)
-            doc = np.repeat(np.arange(len(sizes)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = ends[:-1][doc] + step * STRIDE
-            end = np.minimum(start + w, ends[1:][doc])
-            able = np.nonzero(led[end] > led[start])[0]  # any other window holds less than the share of every item
-            for lo in range(0, len(able), WINDOWS_AT_ONCE):
-                some = able[lo : lo + WINDOWS_AT_ONCE]
-                for i, p, cosine in self._close(tokens, start[some], end[some], passages):
-                    at = some[i]
-                    yield int(doc[at]), passages.owners[p], cosine, int(start[at] - ends[doc[at]]), w, docs[doc[at]]
-
-    def _close(self, tokens, start, end, passages: Passages) -> Iterator[tuple]:
-        """(window, passage, cosine) of the pairs that reach the share: bounded by postings and latent space, then exact."""
-        size, n = end - start, len(self.terms)
-        window = np.repeat(np.arange(len(start)), size)
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + start[window]
-        known = tokens[inner] < n
-        cells, tf = _counted(window[known] * n + tokens[inner[known]])
-        row, t = np.divmod(cells, n)
-        x = np.sqrt(tf * self.idf2[t])
-        head = np.searchsorted(row, np.arange(len(start)))  # every window has a known term, as it has a leading one
-        latent = np.add.reduceat(x[:, None] * self.space[t], head)
-        left = np.sqrt(np.maximum(0.0, np.add.reduceat(x**2, head) - (latent**2).sum(1)))
-        lead = np.nonzero(passages.leads[t])[0]
-        width = passages.first[t[lead] + 1] - passages.first[t[lead]]
-        for lo, hi in _cuts(np.bincount(row[lead], width, len(start)), POSTINGS_AT_ONCE):
-            some = slice(*np.searchsorted(row[lead], [lo, hi]))
-            cell, wide = lead[some], width[some]
-            at = np.arange(wide.sum()) + np.repeat(passages.first[t[cell]] - (np.cumsum(wide) - wide), wide)
-            cell = np.repeat(cell, wide)
-            pair = row[cell] * len(passages.owners) + passages.holder[at]
-            order = np.argsort(pair, kind="stable")
-            pair, cell, at = pair[order], cell[order], at[order]
-            if not len(pair):
-                continue
-            fresh = np.nonzero(np.diff(pair, prepend=-1))[0]
-            held = np.add.reduceat(np.minimum(tf[cell], passages.held[at]) * self.idf2[t[cell]], fresh)
-            near, passage = np.divmod(pair[fresh], len(passages.owners))
-            most = held + passages.tail[passage]
-            need = self.min_share * passages.norm
-            keep = np.nonzero(most >= need[passage] * passages.norm[passage] - 1e-9)[0]
-            near, passage = near[keep], passage[keep]
-            bound = np.einsum("ij,ij->i", latent[near], passages.image[passage]) + left[near] * passages.rest[passage]
-            keep = np.nonzero(bound >= need[passage] - 1e-9)[0]
-            for k in range(0, len(keep), PAIRS_AT_ONCE):
-                yield from self._exact(cells, tf, near[keep[k : k + PAIRS_AT_ONCE]], passage[keep[k : k + PAIRS_AT_ONCE]], passages)
-
-    def _exact(self, cells, tf, near, passage, passages: Passages) -> Iterator[tuple]:
-        width = passages.ends[passage + 1] - passages.ends[passage]
-        first = np.cumsum(width) - width
-        at = np.arange(width.sum()) + np.repeat(passages.ends[passage] - first, width)
-        key = np.repeat(near, width) * len(self.terms) + passages.term[at]
-        place = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
-        mine, theirs, weight = passages.tf[at], np.where(cells[place] == key, tf[place], 0), self.idf2[passages.term[at]]
-        share = np.add.reduceat(np.minimum(mine, theirs) * weight, first) / passages.norm[passage] ** 2
-        length = np.sqrt(np.add.reduceat(theirs * weight, first)) * passages.norm[passage]
-        cosine = np.add.reduceat(np.sqrt(mine * theirs) * weight, first) / np.maximum(length, 1e-30)
-        for k in np.nonzero(share >= self.min_share - 1e-9)[0]:
-            yield int(near[k]), int(passage[k]), float(min(cosine[k], 1.0))
-
-    def verified(self, texts: list) -> dict[tuple[int, int], tuple]:
+    """The items' side of a search, held by each task: the terms' images, the items' images and words, and `one`: the term
+    that a term counts as, itself or the item's term that it is related to."""
+
+    def __init__(self, items: list[Item], images: np.ndarray, terms: np.ndarray, counts: np.ndarray, min_cosine: float = MIN_COSINE):
+        self.items, self.min_cosine = items, min_cosine
+        self.images = np.vstack([images, np.zeros((1, images.shape[1]), np.float32)])  # TERMS: no word
+        self.short: dict[int, list[int]] = {}
+        pieces = []
+        for k, item in enumerate(items):
+            if len(item.words) < SHORT_ITEM:
+                self.short.setdefault(int(item.words[0]), []).append(k)
+            else:
+                pieces += [(k, p % TERMS) for p in _pieces(item.words)]
+        self.one = self._related(np.unique(np.concatenate([i.words for i in items]) % TERMS), terms, counts)
+        self.masks = [(masks_of(self.one[i.words % TERMS]), masks_of(self.one[i.answer % TERMS])) for i in items]
+        self.at = {}
+        for low, w in zip((0, *WINDOWS), WINDOWS):
+            found = [(k, p) for k, p in pieces if low < len(p) <= w]
+            if found:
+                image = _unit(np.stack([images[p].sum(0) for _, p in found]))
+                places = np.full((len(found), w), HASHED, np.int64)
+                for row, (_, p) in zip(places, found):
+                    row[: len(p)] = self.one[p] % HASHED
+                self.at[w] = (np.array([k for k, _ in found]), np.array([len(p) for _, p in found]), [masks_of(self.one[p]) for _, p in found], image, places)
+
+    @staticmethod
+    def _related(terms: np.ndarray, unit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A term stands for itself, or for the item's term whose image is nearest if that is near enough; both stand in
+        MIN_SEEN passages at least. Of related items' terms the first stands for the others."""
+        one = np.arange(TERMS + 1)
+        known = np.nonzero(counts >= MIN_SEEN)[0]
+        terms = terms[counts[terms] >= MIN_SEEN]
+        best = np.full(TERMS, MIN_RELATED, np.float32)
+        heads: dict[int, int] = {}
+        for lo in range(0, len(terms), 500):
+            some = terms[lo : lo + 500]
+            cosine = unit[some] @ unit[known].T
+            for i, j in zip(*np.nonzero(cosine >= MIN_RELATED)):
+                a, b = int(some[i]), int(known[j])
+                if a != b and cosine[i, j] >= best[b] and (b not in heads or a < b):
+                    best[b], heads[b] = cosine[i, j], a
+        mine = set(terms.tolist())
+        for b, a in heads.items():
+            if b not in mine or a < b:
+                while a in heads and heads[a] < a and a in mine:
+                    a = heads[a]
+                one[b] = a
+        return one
+
+    def candidates(self, parts: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
+        """parts: (text, first word's place, words), stretches of texts. -> (text, item, (window length, piece of its class),
+        cosine, window's first word) of the windows whose cosine reaches the bound and that hold enough of the item's words for
+        the order check: a bound on the common subsequence, places counted by hashed terms, never too few."""
+        gap = WINDOWS[-1] // GRAIN  # grains without words after each stretch, so that windows end with it
+        grains = [-(-len(w) // GRAIN) + gap for _, _, w in parts]
+        first = np.cumsum([0, *grains])
+        words = np.full(2 * SLACK + first[-1] * GRAIN, TERMS, np.int64)
+        for (_, _, w), f in zip(parts, first):
+            words[SLACK + f * GRAIN : SLACK + f * GRAIN + len(w)] = w % TERMS
+        sums = {1: self.images[words[SLACK : SLACK + first[-1] * GRAIN]].reshape(-1, GRAIN, self.images.shape[1]).sum(1)}
+        for k in (2, 4, 8, 16):
+            sums[k] = sums[k // 2][: -(k // 2)] + sums[k // 2][k // 2 :]
+        inside = np.concatenate([np.arange(n) < n - gap for n in grains])
+        part = np.repeat(np.arange(len(parts)), grains)
+        hashed = np.where(words < TERMS, self.one[words] % HASHED, HASHED)
+        for w, (owners, lengths, _, image, places) in self.at.items():
+            wide, x, at = w // GRAIN, 0, 0
+            n = len(part) - wide
+            for k in (16, 8, 4, 2, 1):  # a window is the sum of windows of 1, 2, 4, ... grains
+                if wide & k:
+                    x, at = x + sums[k][at : at + n], at + k
+            starts = np.nonzero(inside[:n])[0] if w < 48 else np.nonzero(inside[:n] & (np.arange(n) % 2 == 0))[0]
+            x = x[starts]
+            need = self.min_cosine * np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-6
+            reach = np.arange(w + 2 * SLACK)
+            for lo in range(0, len(x), WINDOWS_AT_ONCE):
+                dot = x[lo : lo + WINDOWS_AT_ONCE] @ image.T
+                row, piece = np.nonzero(dot >= need[lo : lo + WINDOWS_AT_ONCE, None])
+                if not len(row):
+                    continue
+                windows, row_ = np.unique(row, return_inverse=True)
+                start = starts[windows + lo]
+                held = np.zeros((len(windows), HASHED + 1), bool)
+                held[np.arange(len(windows))[:, None], hashed[(start * GRAIN)[:, None] + reach]] = True
+                held[:, HASHED] = False
+                for k in range(0, len(row), PAIRS_AT_ONCE):
+                    a, p = row_[k : k + PAIRS_AT_ONCE], piece[k : k + PAIRS_AT_ONCE]
+                    count = held[a[:, None], places[p]].sum(1)
+                    for i in np.nonzero(count >= MIN_COMMON * lengths[p])[0]:
+                        s, j = start[a[i]], int(p[i])
+                        q = part[s]
+                        cosine = dot[row[k + i], j] * self.min_cosine / need[row[k + i] + lo]
+                        yield parts[q][0], int(owners[j]), (w, j), float(min(cosine, 1.0)), int(parts[q][1] + (s - first[q]) * GRAIN)
+
+    def verified(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
         """(text's place, item's place) -> cosine, common share, answer share, first word; the best passage of each."""
         found: dict[tuple[int, int], tuple] = {}
-        for d, k, cosine, start, w, doc in self.search(texts):
-            item = self.items[k]
-            lo, hi = max(0, start - len(item.words)), start + w + len(item.words)
-            region = doc[lo:hi]
-            common = common_words(item.words, region) / len(item.words)
-            if len(item.words) < SHORT_ITEM:
-                if b" " + b" ".join(item.words) + b" " not in b" " + b" ".join(region) + b" ":
+
+        def note(d: int, k: int, cosine: float, common: float, answer: float, at: int) -> None:
+            old = found.get((d, k))
+            if old is None or (common, cosine, -at) > (old[1], old[0], -old[3]):
+                found[d, k] = (cosine, common, answer, at)
+
+        if self.short:
+            heads = np.array(sorted(self.short), np.uint32)
+            for d, words in enumerate(texts):
+                for at in np.nonzero(np.isin(words, heads))[0].tolist():
+                    for k in self.short[int(words[at])]:
+                        mine = self.items[k].words
+                        if np.array_equal(words[at : at + len(mine)], mine):
+                            note(d, k, 1.0, 1.0, 1.0, at)
+        for stretch in self._stretched(texts):
+            for d, k, (w, p), cosine, start in self.candidates(stretch):
+                item, (whole, answers) = self.items[k], self.masks[k]
+                size = len(item.words)
+                lo, hi = max(0, start - SLACK), start + w + SLACK
+                region = self.one[texts[d][lo:hi] % TERMS].tolist()
+                sure = 0.0
+                if size > w:  # a piece: the piece alone, or the whole item around it
+                    piece = int(self.at[w][1][p])
+                    sure = common_words(self.at[w][2][p], piece, region) / piece
+                    region = self.one[texts[d][max(0, lo - size) : hi + size] % TERMS].tolist()
+                common = max(sure if sure >= SURE_COMMON else 0.0, common_words(whole, size, region) / size)
+                if common < MIN_COMMON:
                     continue
-            elif common < MIN_COMMON:
-                continue
-            answer = common_words(item.answer, region) / len(item.answer)
-            if common >= SURE_COMMON or answer >= MIN_ANSWER:
-                old = found.get((d, k))
-                if old is None or (common, cosine) > (old[1], old[0]):
-                    found[d, k] = (cosine, common, answer, lo)
+                answer = common_words(answers, len(item.answer), region) / len(item.answer)
+                if common >= SURE_COMMON or answer >= MIN_ANSWER:
+                    note(d, k, cosine, common, answer, lo)
         return found
 
+    @staticmethod
+    def _stretched(texts: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+        """Texts in lists of bounded size; a long one in stretches that overlap by the longest window."""
+        out, size, wide = [], 0, WORDS_AT_ONCE
+        for d, words in enumerate(texts):
+            for at in range(0, max(1, len(words) - WINDOWS[-1]), wide - WINDOWS[-1]):
+                part = words[at : at + wide]
+                if len(part):
+                    out.append((d, at, part))
+                    size += len(part)
+                if size >= wide:
+                    yield out
+                    out, size = [], 0
+        if out:
+            yield out
+
 
 LEAKS = "doc_id long, item_id long, cosine double, common_share double, answer_share double, first_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> one row per row of docs and leaked item.
 
-    A leak: at least SURE_COMMON of the item's words stand in order in a passage of the document, or MIN_COMMON of
-    them with MIN_ANSWER of its answer. Items with null, empty or wordless text match nothing; null or empty documents have no
-    leaks; repeated rows of documents give repeated rows, repeated items one row each; empty tables give no rows. A
-    benchmark larger than `block_items` rows is searched block by block, each in passes of its own.
+    A leak: at least SURE_COMMON of the item's words (or of a piece of WINDOWS[-1] words of a longer item) stand in order in
+    a passage of the document, or MIN_COMMON of them with MIN_ANSWER of its answer, related terms counting as equal; the
+    passage was retrieved by its cosine in the latent space. Items of fewer than SHORT_ITEM words must stand word for word. Items with null, empty or
+    wordless text match nothing; null or empty documents have no leaks; repeated rows of documents give repeated rows,
+    repeated items one row each; empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = -(-items.count() // block_items)
     out = spark.createDataFrame([], LEAKS)
+    if not blocks:
+        return out
+    tokens = materialize(tokenized(docs))
+    n, counts = passage_counts(tokens)
+    images, terms = latent_space(tokens, term_weights(n, counts), rank)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
-        known = [Item(i, words_of(t), words_of(answer_of(t)) or words_of(t)) for i, t in rows if words_of(t)]
+        known = [Item.of(r["item_id"], r["text"]) for r in part.toLocalIterator() if words_of(r["text"])]
         if known:
-            found = _search_block(docs, known, min_share, rank)
+            found = search(tokens, Retrieval(known, images, terms, counts, min_cosine))
             out = found if blocks == 1 else out.unionByName(found)
     return out
 
 
-def _search_block(docs: DataFrame, items: list[Item], min_share: float, rank: int) -> DataFrame:
-    terms = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
-    n, counts = passage_counts(docs, terms)
-    idf = np.log((n + 1) / (counts + 1)) + 0.01
-    top = float(np.log(n + 1) + 0.01)
-    space = latent_space(docs, terms, idf, counts <= max(1, MAX_SHARE * n), top, rank)
-    shared = docs.sparkSession.sparkContext.broadcast(Retrieval(items, terms, idf, space, min_share))
+def search(tokens: DataFrame, finder: Retrieval) -> DataFrame:
+    shared = tokens.sparkSession.sparkContext.broadcast(finder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = shared.value
-        for batch in _text_batches(batches):
-            found = finder.verified(batch.column(1).to_pylist())
+        gc.disable()  # many small objects and no cycles
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            found = finder.verified([np.frombuffer(w.as_buffer(), "<u4") for w in batch.column("words")])
             if found:
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], finder.items[k].item_id, *v) for (d, k), v in sorted(found.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i > 1 else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows))], [x.split()[0] for x in LEAKS.split(", ")])
+        gc.enable()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEAKS)
+    return tokens.mapInArrow(run, LEAKS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

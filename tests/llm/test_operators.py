@@ -169,38 +169,95 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(7, item), (8, None), (9, "...")], "item_id long, text string")
     out = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()
     assert Counter((r["doc_id"], r["item_id"]) for r in out) == {(1, 7): 2, (3, 7): 1}
-    a, b = list("axbcxd"), list("abycd")
-    assert decontaminate.common_words(a, b) == 4
+    assert decontaminate.common_words(decontaminate.masks_of(np.array([1, 9, 2, 3, 9, 4])), 6, [1, 2, 8, 3, 4]) == 4
     assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
-def test_verbatim_items_amid_rare_words_at_a_large_n():
+def _verbatim(rng, items, foreign):
+    """Each item word for word amid foreign words, as often as there are items."""
+    return [" ".join([*rng.choice(foreign, rng.integers(0, 40)), *item, *rng.choice(foreign, 50)]) for item in items]
+
+
+def test_verbatim_items_of_any_length(spark):
     rng = np.random.default_rng(4)
-    share = 10 ** rng.uniform(-4, -0.3, 400)
-    terms = {b"t%03d" % i: i for i in range(400)}
-    for n in (10**3, 10**9):
-        idf = np.log((n + 1) / (n * share + 1)) + 0.01
-        items = [decontaminate.Item(k, [b"t%03d" % i for i in rng.integers(0, 400, k)], [b"t000"]) for k in (*range(1, 65), 150)]
-        space = np.linalg.qr(rng.standard_normal((400, 8)))[0]
-        finder = decontaminate.Retrieval(items, terms, idf, space, decontaminate.MIN_SHARE)
-        for place, item in enumerate(items):
-            before = int(rng.integers(0, 40))
-            text = b" ".join([b"foreign%d" % i for i in range(before)] + item.words + [b"rare%d" % i for i in range(50)]).decode()
-            found = finder.verified(["", text])
-            assert (1, place) in found and found[1, place][1] == 1
-    # the search's pairs are exactly those of brute force
-    texts = [" ".join(f"t{i:03d}" for i in rng.integers(0, 450, 90)) for _ in range(30)] + [b" ".join(x.words[::2]).decode() for x in items]
-    got = {(d, k, start) for d, k, _, start, w, _ in decontaminate.Retrieval(items, terms, idf, space, 0.3).search(texts)}
+    vocab, foreign = [f"t{i:03d}" for i in range(400)], [f"f{i}" for i in range(3000)]
+    share = 1 / np.arange(1, 401)
+    items = [list(rng.choice(vocab, k, p=share / share.sum())) for k in (*range(1, 65), 150)]
+    docs = [(k, t, "x") for k, t in enumerate(_verbatim(rng, items, foreign))] + [(1000 + i, " ".join(rng.choice(foreign, 200)), "x") for i in range(50)]
+    docs.append((2000, " ".join(rng.choice(foreign, 130_000)) + " " + " ".join(items[40]) + " tail", "x"))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert all(out[k, k]["common_share"] == 1 for k in range(len(items))) and out[2000, 40]["common_share"] == 1
+    long = [(d, k) for d, k in out if k >= 12 and d != k and d != 2000]
+    assert not long and not [d for d, _ in out if 1000 <= d < 2000]
+
+
+def _synonyms(rng):
+    """Documents about a few of 40 concepts each; every concept has two words, and each place takes either. Items use one."""
+    concepts = [(f"a{i}", f"b{i}") for i in range(40)]
+    common = [f"c{i}" for i in range(20)]
+    about = lambda: rng.choice(40, 5, replace=False)
+    say = lambda some, n: [concepts[rng.choice(some)][rng.integers(2)] if rng.random() < 0.7 else common[rng.integers(20)] for _ in range(n)]
+    docs = [say(about(), 200) for _ in range(700)]
+    items = [[concepts[i][0] for i in rng.permutation(np.repeat(rng.choice(40, 8, replace=False), 3))] for _ in range(24)]
+    return docs, items, dict(concepts), lambda n: say(about(), n)
+
+
+def test_paraphrases_are_found_through_the_latent_space(spark):
+    rng = np.random.default_rng(12)
+    docs, items, other, say = _synonyms(rng)
+    planted = []
+    for k, item in enumerate(items):
+        reworded = [other[w] if rng.random() < 0.6 else w for w in item]
+        moved = item[4:20] + item[:4] + item[20:]  # its first words stand later
+        for form in (reworded, moved):
+            planted.append((len(docs) + len(planted), k, say(40) + form + say(40)))
+    rows = [(i, " ".join(d), "x") for i, d in enumerate(docs)] + [(i, " ".join(d), "x") for i, _, d in planted]
+    bench = spark.createDataFrame([(k, " ".join(w) + ".") for k, w in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame(rows, DOCS)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame, bench).collect()}
+    want = {(i, k) for i, k, _ in planted}
+    # brute force: every window of every text against every item, related words known from how the data were made
+    same = {b: a for a, b in other.items()}
+    brute = set()
+    for i, text, _ in rows:
+        words = [same.get(w, w) for w in text.split()]
+        for k, item in enumerate(items):
+            masks = decontaminate.masks_of(np.array([hash(w) for w in item]))
+            if any(decontaminate.common_words(masks, len(item), [hash(w) for w in words[s : s + 36]]) >= 0.8 * len(item) for s in range(0, len(words) - 24, 4)):
+                brute.add((i, k))
+    assert want <= brute and len(found & brute) >= 0.9 * len(brute) and len(found & want) >= 0.9 * len(want)
+    assert len(found - brute) <= 0.02 * len(brute)
+    # without the space nothing is retrieved
+    tokens = decontaminate.tokenized(frame).cache()
+    _, counts = decontaminate.passage_counts(tokens)
+    known = [decontaminate.Item.of(k, " ".join(w)) for k, w in enumerate(items)]
+    blind = decontaminate.Retrieval(known, *[np.zeros((decontaminate.TERMS, 8), np.float32)] * 2, counts)
+    assert decontaminate.search(tokens, blind).count() == 0
+
+
+def test_candidates_are_those_of_brute_force():
+    rng = np.random.default_rng(3)
+    images = rng.standard_normal((decontaminate.TERMS, 6)).astype(np.float32)
+    words = rng.integers(0, 2**32, 300, dtype=np.uint32)
+    items = [decontaminate.Item(k, rng.choice(words, n), rng.choice(words, 2)) for k, n in enumerate((8, 12, 13, 27, 40, 64, 150))]
+    texts = [np.concatenate([rng.choice(words, rng.integers(0, 90)), i.words[: rng.integers(5, 64)], rng.choice(words, rng.integers(0, 50))]) for i in items] + [words[:0], words[:3]]
+    finder = decontaminate.Retrieval(items, images, images, np.zeros(decontaminate.TERMS, int), 0.5)
+    got = {(d, k, w, p, s) for stretch in finder._stretched(texts) for d, k, (w, p), _, s in finder.candidates(stretch)}
     want = set()
-    for d, text in enumerate(texts):
-        words = decontaminate.words_of(text)
-        for k, w, p in decontaminate._passages(items):
-            for start in range(0, max(0, len(words) - w + decontaminate.STRIDE - 1) + 1, decontaminate.STRIDE):
-                mine, theirs = Counter(p), Counter(words[start : start + w])
-                weight = {t: idf[terms[t]] ** 2 for t in mine}
-                if sum(min(c, theirs[t]) * weight[t] for t, c in mine.items()) >= 0.3 * sum(c * weight[t] for t, c in mine.items()):
-                    want.add((d, k, start))
-    assert got == want and len(want) > 100
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    for w, (owners, lengths, _, _, _) in finder.at.items():
+        pieces = [(k, p) for k, i in enumerate(items) for p in decontaminate._pieces(i.words) if max([0, *(x for x in decontaminate.WINDOWS if x < w)]) < len(p) <= w]
+        for j, (k, p) in enumerate(pieces):
+            assert owners[j] == k and lengths[j] == len(p)
+            image = unit(images[p % decontaminate.TERMS].sum(0))
+            for d, t in enumerate(texts):
+                for s in range(0, len(t), 4 if w < 48 else 8):
+                    near = t[max(0, s - decontaminate.SLACK) : s + w + decontaminate.SLACK]
+                    if unit(images[t[s : s + w] % decontaminate.TERMS].sum(0)) @ image >= 0.5 and np.isin(p, near).sum() >= decontaminate.MIN_COMMON * len(p):
+                        want.add((d, k, w, j, s))
+    assert {g for g in got if g[2] < 48} >= {x for x in want if x[2] < 48} and len(want) > 20
+    assert {(d, k) for d, k, *_ in got} >= {(d, k) for d, k, *_ in want}
 
 
 def test_licenses(spark):
