@@ -1,13 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model over words with an end token: a state for each word, an arc for each kept bigram, and a
-failure arc from each state to the root, weighted with the mass its arcs leave; the root's arcs are smoothed unigrams.
-One pass from left to right carries the state and adds up the log-probabilities of the arcs it takes.
+States are the contexts of 0 to ORDER - 1 words that the training texts hold at least MIN_COUNT times (and the start of a
+text). A state has an arc for each word that follows it MIN_COUNT times or more, weighted with the word's smoothed
+probability there, and a failure arc to the state without its first word, weighted with the mass that its arcs leave; the
+root has an arc for every word. One pass from left to right carries the state: where it has no arc for the next word,
+failure arcs are taken until a state has one, and their weights are added up with the arc's. Probabilities are
+interpolated with absolute discounts by count (modified Kneser-Ney's), so those of each state sum to 1.
 
 Neither the counts nor the automaton are ever in one place. The corpus is cut into batches of whole documents; every
-batch counts locally and asks for totals of just its own keys. Requests travel by ranges of 64-bit key hashes (shards,
-as many as the data needs), are summed there, and each batch gets its totals back in the order asked. Three such
-exchanges (words, bigrams, left-over mass) give every batch the slice of the automaton that its own texts can reach.
+batch counts locally and asks for totals of just its own keys. Requests travel by ranges of 64-bit key hashes, are summed
+there, and each batch gets its totals back in the order asked; with many batches requests of FAN batches are merged on the
+way and answers take the same way back, so that the rows sent grow with the batches alone. One such exchange for
+the words, one for each longer order and one for the left-over mass give every batch the slice of the automaton that its
+own texts can reach. An n-gram is asked for only where its two shorter halves are frequent enough; any other occurs once,
+and is counted as such.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +35,10 @@ from .common import materialize, remainder, table
 HELD_OUT = 10
 #: Tokens after which a batch ends (with its document), and keys a shard should hold.
 BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 19
-#: Bigrams seen less often in training are no arcs.
-MIN_COUNT = 2
+#: Words of the longest n-gram; n-grams of two words or more that are seen less often in training are no arcs.
+ORDER, MIN_COUNT = 3, 2
+#: Ranges that one row of requests is cut into, and batches whose requests are merged, on each step of an exchange.
+FAN = 256
 END = xxhash.xxh64_intdigest(b"end", 1)
 
 
@@ -126,31 +134,52 @@ class Batch:
         """Per token: is its document one to learn from?"""
         return np.repeat(~self.held, self.sizes)
 
-    @property
-    def left(self) -> np.ndarray:
-        """The token before each token; the end token before a document's first."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
+    def grams(self, known: list[np.ndarray]) -> Iterator[Grams]:
+        """The n-grams of one word, of two, ...: up to one word more than there are totals (`known`, by order) for."""
         starts = np.cumsum(self.sizes) - self.sizes
-        before[starts] = np.searchsorted(self.vocabulary, np.uint64(END))
-        return before
-
-    def pairs(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams that can be arcs (both words are frequent enough), in the order of their keys:
-        keys, left words, right words; and per token the bigram's place, -1 if it cannot be one."""
-        left, n = self.left, len(self.vocabulary)
-        able = counts >= MIN_COUNT
-        at = np.nonzero(able[left] & able[self.tokens])[0]
-        code, place = np.unique(left[at].astype(np.int64) * n + self.tokens[at], return_inverse=True)
-        a, b = code // n, code % n
-        with np.errstate(over="ignore"):
-            key = _mix(_mix(self.vocabulary[a]) + self.vocabulary[b])
-        order = np.argsort(key)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        places = np.full(len(self.tokens), -1, np.int64)
-        places[at] = rank[place]
-        return key[order], a[order], b[order], places
+        first = np.zeros(len(self.tokens), bool)
+        first[starts] = True
+        place = self.tokens.astype(np.int64)
+        key = word = self.vocabulary[self.tokens]
+        shift = lambda x, fill: np.where(first, fill, np.concatenate([x[:1], x[:-1]]))
+        start = np.int64(np.searchsorted(self.vocabulary, np.uint64(END)))
+        before = shift(place, start)
+        yield Grams(self.vocabulary, place, np.zeros(0, np.int64), 0)
+        for n, total in enumerate(known, 2):
+            kept = np.concatenate([total >= MIN_COUNT, [False]])  # place -1: no n-gram
+            able = kept[place] & kept[before]
+            at = np.nonzero(able)[0]
+            last = shift(key, np.uint64(END) if n == 2 else np.uint64(0))
+            with np.errstate(over="ignore"):
+                key = _mix(_mix(last) + word)
+            keys, found = np.unique(key[at], return_inverse=True)
+            context = np.empty(len(keys), np.int64)
+            context[found] = before[at]
+            # what has an infrequent half occurs once; contexts that would begin before the text are none
+            single = int((~able & self.learned & (before >= 0)).sum()) if n == 2 else int((~able & self.learned & self._long(first, n)).sum())
+            place = np.full(len(self.tokens), -1, np.int64)
+            place[at] = found
+            before = shift(place, -1)
+            yield Grams(keys, place, context, single)
+
+    @staticmethod
+    def _long(first: np.ndarray, n: int) -> np.ndarray:
+        """Tokens with n - 1 words before them in their text, its start counted as one."""
+        out = np.ones(len(first), bool)
+        for k in range(n - 2):
+            out[np.minimum(np.nonzero(first)[0] + k, len(first) - 1)] = False
+        return out
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a batch, in the order of their keys; per token the place of the one that ends there (-1:
+    none); per n-gram the place of its context among the shorter ones; occurrences to learn from that are certainly single."""
+
+    keys: np.ndarray
+    place: np.ndarray
+    context: np.ndarray
+    single: int
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -161,76 +190,141 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-REQUEST = "shard long, batch long, keys binary, values binary"
+REQUEST = "parent long, range long, batch long, keys binary, values binary, single long"
+_REQUEST = pa.schema([("parent", pa.int64()), ("range", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("single", pa.int64())])
 
 
-def _requests(batch: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch | None:
-    """Rows of one batch's sorted keys, cut by the keys' top bits."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cuts = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(keys)]])
-    rows = [{"shard": int(shard[i]), "batch": batch, "keys": _pack_sorted(keys[i:j]), "values": _pack(values[i:j])} for i, j in zip(cuts[:-1], cuts[1:]) if j > i]
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())]))
+def _requests(batch: int, keys: np.ndarray, values: np.ndarray, shift: int, parent: int = 0, single: int = 0) -> pa.Table:
+    """Rows of one batch's sorted keys, cut by the FAN values of the bits above `shift`; one row at least."""
+    range_ = ((keys >> np.uint64(shift)) & np.uint64(FAN - 1)).astype(np.int64)
+    cuts = np.concatenate([[0], np.nonzero(np.diff(range_))[0] + 1, [len(keys)]])
+    rows = [
+        {"parent": parent, "range": int(range_[i]) if j > i else 0, "batch": batch, "keys": _pack_sorted(keys[i:j]), "values": _pack(values[i:j]), "single": 0 if i else single}
+        for i, j in zip(cuts[:-1], cuts[1:]) if j > i or not len(keys)
+    ]
+    return pa.Table.from_pylist(rows, _REQUEST)
 
 
-TOTALS = "shard long, batch long, totals binary, n1 long, n2 long, n3 long, n4 long, distinct long, total double"
+TOTALS = "parent long, range long, batch long, totals binary, n1 long, n2 long, n3 long, n4 long, distinct long, total double"
 
 
-def exchange(requests: DataFrame, kind: str, least: int = 0) -> DataFrame:
+def _merged(part: pa.Table, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    keys = [_unpack_sorted(b) for b in part.column("keys").to_pylist()]
+    values = np.concatenate([_unpack(b, kind) for b in part.column("values").to_pylist()])
+    every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return keys, every, first, inverse, np.bincount(inverse, values.astype(np.float64), len(every))
+
+
+def exchange(requests: DataFrame, kind: str, batches: int, steps: int, least: int = 0, depth: int = 1) -> DataFrame:
     """Sums the values of each key over all batches and answers every request in its order.
 
     kind "<i8": counts, answered as 2 * total + 1 for the batch that speaks for the key (the first) and 2 * total for
     the others; totals below `least` are answered as 0. kind "<f8": plain sums. A key comes once per batch, so a
-    frequent key is no larger than a rare one that every batch has.
+    frequent key is no larger than a rare one that every batch has. With more than one step, the ranges of FAN batches are
+    merged, go on as one batch each, cut finer, and what is answered to them is dealt out again.
     """
+    names = [x.split()[0] for x in TOTALS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.float64()]
 
-    def run(part: pa.Table) -> pa.Table:
+    def table_of(rows: list[list]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    def answer(part: pa.Table) -> pa.Table:
         part = part.sort_by("batch")
-        keys = [_unpack_sorted(b) for b in part.column("keys").to_pylist()]
-        values = np.concatenate([_unpack(b, kind) for b in part.column("values").to_pylist()])
-        every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        sums = np.bincount(inverse, values.astype(np.float64), len(every))
+        keys, every, first, inverse, sums = _merged(part, kind)
         stats = [int((sums == k).sum()) for k in (1, 2, 3, 4)] + [int((sums > 0).sum()), float(sums.sum())]
+        stats[0] += sum(part.column("single").to_pylist())
         if kind == "<i8":
-            kept = np.where(sums >= least, sums, 0).astype(np.int64)
-            answer = 2 * kept[inverse]
-            answer[first] += 1
+            found = 2 * np.where(sums >= least, sums, 0).astype(np.int64)[inverse]
+            found[first] += 1
         else:
-            answer = sums[inverse]
+            found = sums[inverse]
+        return dealt(part, keys, found, stats)
+
+    def dealt(part: pa.Table, keys: list[np.ndarray], found: np.ndarray, stats: list) -> pa.Table:
         at, rows = 0, []
-        for k, (shard, batch) in enumerate(zip(part.column("shard").to_pylist(), part.column("batch").to_pylist())):
-            n = len(keys[k])
-            rows.append([shard, batch, _pack(answer[at : at + n]), *(stats if not k else [0] * 6)])
-            at += n
-        names = [x.split()[0] for x in TOTALS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.float64()]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        for k, row in enumerate(part.select(["parent", "range", "batch"]).to_pylist()):
+            rows.append([row["parent"], row["range"], row["batch"], _pack(found[at : at + len(keys[k])]), *(stats if not k else [0] * 6)])
+            at += len(keys[k])
+        return table_of(rows)
+
+    bits = FAN.bit_length() - 1
+    groups = ["parent", "range"]
+    if steps == 1:
+        return materialize(requests.groupBy(*groups).applyInArrow(answer, TOTALS))
+
+    # a group of batches and a range: merged, it is one batch of the next step, whose ranges lie within this one
+    def merge(part: pa.Table) -> pa.Table:
+        part = part.sort_by("batch")
+        row = part.slice(0, 1).to_pylist()[0]
+        _, every, _, _, sums = _merged(part, kind)
+        return _requests(row["group"], every, sums.astype(kind), 64 - (depth + 1) * bits, row["parent"] * FAN + row["range"], sum(part.column("single").to_pylist()))
+
+    def spread(part: pa.Table, given: pa.Table) -> pa.Table:
+        part = part.sort_by("batch")
+        keys, every, first, inverse, _ = _merged(part, kind)
+        ordered = given.sort_by("range")
+        told = np.concatenate([_unpack(b, kind) for b in ordered.column("totals").to_pylist()]) if len(every) else np.zeros(0, kind)
+        found = told[inverse]
+        if kind == "<i8":
+            found = found & ~np.int64(1)
+            found[first] |= told & 1
+        stats = [sum(given.column(n).to_pylist()) for n in names[4:]]
+        return dealt(part, keys, found, stats)
 
-    return materialize(requests.groupBy("shard").applyInArrow(run, TOTALS))
+    merged = max(1, math.ceil(batches / FAN))
+    grouped = requests.withColumn("group", F.pmod(F.xxhash64("batch"), F.lit(merged)))
+    inner = exchange(grouped.groupBy("group", *groups).applyInArrow(merge, REQUEST), kind, merged, steps - 1, least, depth + 1)
+    # an inner batch is known by its number (the group) and its parent (this parent and range)
+    back = inner.withColumns({"group": F.col("batch"), "upper": F.floor(F.col("parent") / FAN).cast("long"), "middle": F.pmod("parent", F.lit(FAN)).cast("long")})
+    met = grouped.groupBy("group", *groups).cogroup(back.groupBy("group", "upper", "middle"))
+    return materialize(met.applyInArrow(lambda p, g: spread(p.drop_columns("group"), g.drop_columns(["group", "upper", "middle"])), TOTALS))
 
 
 def _joined(answers: pa.Table, step: str, kind: str) -> np.ndarray:
-    part = answers.filter(pa.compute.equal(answers.column("step"), step)).sort_by("shard")
+    part = answers.filter(pa.compute.equal(answers.column("step"), step)).sort_by("range")
     return np.concatenate([np.empty(0, kind), *(_unpack(b, kind) for b in part.column("totals").to_pylist())])
 
 
 @dataclass
 class Automaton:
-    """The slice of the model that one batch reaches. States and words are the batch's word numbers.
+    """The slice of the model that one batch reaches, by the length n of what is read: 1 at the root, n at a state of n - 1 words.
 
-    arc[i]: log10 probability of bigram i (NaN: no such arc); fail[state]: log10 weight of the failure arc to the
-    root; root[word]: log10 probability at the root.
+    arcs[n - 1]: per n-gram the log10 probability of its last word in the state of the others (NaN: no such arc);
+    fails[n - 1]: per n-gram, as a state, the log10 weight of its failure arc.
     """
 
-    arc: np.ndarray
-    fail: np.ndarray
-    root: np.ndarray
-
-    def run(self, tokens: np.ndarray, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, read in state states[i] (the word before: the only state a bigram model
-        can be in), with arcs[i] the number of the state's arc for it, or -1: then the failure arc is taken."""
-        direct = self.arc[arcs] if len(self.arc) else np.full(len(tokens), np.nan)
-        direct = np.where(arcs >= 0, direct, np.nan)
-        return np.where(np.isnan(direct), self.fail[states] + self.root[tokens], direct)
+    arcs: list[np.ndarray]
+    fails: list[np.ndarray]
+
+    def run(self, places: list[np.ndarray], starts: np.ndarray, start: int) -> np.ndarray:
+        """log10 probability of each token of texts that begin at `starts`, read from left to right. places[n - 1]: per token
+        its n-gram (-1: none). All tokens are read at once: the state after a token is the longest of its n-grams that has an
+        arc and is a state, whatever was carried into it; `start` is the word that stands for a text's start."""
+        n_tokens, order = len(places[0]), len(places)
+        arc = [a[p] if len(a) else np.full(n_tokens, np.nan) for a, p in zip(self.arcs, places)]
+        for a, p in zip(arc, places):
+            a[p < 0] = np.nan
+        # the state carried into each token: how many words it has, and which
+        words = np.zeros(n_tokens, np.int64)
+        for n in range(1, order):
+            words = np.where(~np.isnan(arc[n - 1]), n, words)
+        carried = np.concatenate([[0], words[:-1]])
+        carried[starts] = 1
+        held = [np.concatenate([[start], p[:-1]]) for p in places]
+        held[0][starts] = start
+        out = np.zeros(n_tokens)
+        reading = np.ones(n_tokens, bool)
+        for n in range(order, 0, -1):  # n - 1 words in the state
+            at = reading & (carried == n - 1)
+            hit = at & ~np.isnan(arc[n - 1])
+            out[hit] += arc[n - 1][hit]
+            reading &= ~hit
+            miss = at & ~hit
+            if n > 1:
+                out[miss] += self.fails[n - 2][held[n - 2][miss]]
+                carried = np.where(miss, n - 2, carried)
+        return out
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -241,82 +335,117 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([min(max(d, 0.05 * k), 0.98 * k) for k, d in enumerate(raw)])
 
 
-def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, batch_tokens: int = BATCH_TOKENS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batch_tokens: int = BATCH_TOKENS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; whole texts.
 
     Learns from documents whose crc32(doc_id as text) mod `modulus` is not 0, scores all. Null, empty and blank texts
     are one end token; repeated rows count and are scored each; a null doc_id counts as the empty text's remainder (held
     out); an empty table gives no rows; with nothing to learn from every token has probability 1 / (V + 1) = 1.
     """
-    batches = materialize(tokenize(docs, modulus, batch_tokens))
-    n_words = batches.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, 4 * n_words / shard_keys))))
-    # one shuffle by batch serves the three later passes
-    spread = batches.repartition("batch").persist()
+    # one shuffle by batch serves the later passes
+    spread = tokenize(docs, modulus, batch_tokens).repartition("batch").persist(StorageLevel.DISK_ONLY)
+    n_batches, n_words = (x or 0 for x in spread.agg(F.count("*"), F.sum("n_words")).first())
+    # so many steps that a range of the last one holds about shard_keys keys
+    steps = max(1, math.ceil(math.log(max(2.0, 4 * n_words / shard_keys), FAN)))
+    shift = 64 - FAN.bit_length() + 1
 
     def ask_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
                 b = Batch.of(row)
-                yield _requests(row["batch"], b.vocabulary, np.bincount(b.tokens[b.learned], minlength=len(b.vocabulary)), bits)
+                yield from _requests(row["batch"], b.vocabulary, np.bincount(b.tokens[b.learned], minlength=len(b.vocabulary)), shift).to_batches()
 
-    words = exchange(batches.mapInArrow(ask_words, REQUEST), "<i8")
-    n, v = (words.agg(F.sum("total"), F.sum("distinct")).first() or (0, 0))[:2]
+    totals = exchange(spread.mapInArrow(ask_words, REQUEST), "<i8", n_batches, steps)
+    n, v = (totals.agg(F.sum("total"), F.sum("distinct")).first() or (0, 0))[:2]
     n, v = float(n or 0), int(v or 0)
-    answers = words.select(F.lit("words").alias("step"), "batch", "shard", "totals")
-
-    def ask_pairs(rows: pa.Table, given: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
-        b = Batch.of(row)
-        keys, _, _, places = b.pairs(_joined(given, "words", "<i8") >> 1)
-        use = (places >= 0) & b.learned
-        return pa.Table.from_batches([_requests(row["batch"], keys, np.bincount(places[use], minlength=len(keys)), bits)])
-
-    pairs = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_pairs, REQUEST), "<i8", MIN_COUNT)
-    cut = discounts([int(x or 0) for x in pairs.agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()])
-    answers = answers.unionByName(pairs.select(F.lit("pairs").alias("step"), "batch", "shard", "totals"))
+    answer = lambda found, step: found.select(F.lit(step).alias("step"), "batch", "range", "totals")
+    answers = answer(totals, "1")
+    cuts = []
+
+    def told(given: pa.Table, k: int) -> list[np.ndarray]:
+        return [_joined(given, str(j), "<i8") for j in range(1, k + 1)]
+
+    def asking(k: int):
+        def ask(rows: pa.Table, given: pa.Table) -> pa.Table:
+            row = rows.to_pylist()[0]
+            b = Batch.of(row)
+            *_, grams = b.grams([x >> 1 for x in told(given, k - 1)])
+            use = (grams.place >= 0) & b.learned
+            return _requests(row["batch"], grams.keys, np.bincount(grams.place[use], minlength=len(grams.keys)), shift, single=grams.single)
+
+        return ask
+
+    for k in range(2, order + 1):
+        totals = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asking(k), REQUEST), "<i8", n_batches, steps, MIN_COUNT)
+        cuts.append(discounts([int(x or 0) for x in totals.agg(*(F.sum(f"n{j}") for j in (1, 2, 3, 4))).first()]))
+        answers = answers.unionByName(answer(totals, str(k)))
+
+    def states(b: Batch, given: pa.Table) -> tuple[list[Grams], list[np.ndarray], list[np.ndarray]]:
+        """The n-grams by order, their totals, and which of them this batch speaks for."""
+        found = told(given, order)
+        return list(b.grams([x >> 1 for x in found[:-1]])), [x >> 1 for x in found], [x & 1 == 1 for x in found]
+
+    def sorted_states(grams: list[Grams], totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The keys of all states in order, the order, and which n-grams are states."""
+        kept = [t >= (MIN_COUNT if k else 0) for k, t in enumerate(totals[:-1])]
+        keys = np.concatenate([g.keys[m] for g, m in zip(grams, kept)])
+        by = np.argsort(keys)
+        return keys[by], by, kept
 
     def ask_mass(rows: pa.Table, given: pa.Table) -> pa.Table:
         row = rows.to_pylist()[0]
-        b, counts = Batch.of(row), _joined(given, "words", "<i8") >> 1
-        _, left, _, _ = b.pairs(counts)
-        told = _joined(given, "pairs", "<i8")
-        total, mine = told >> 1, told & 1 == 1
-        kept = mine & (total >= MIN_COUNT)
-        mass = np.bincount(left[kept], (total - cut[np.minimum(total, 3)])[kept], len(counts)).astype(np.float64)
-        return pa.Table.from_batches([_requests(row["batch"], b.vocabulary, mass, bits)])
+        grams, totals, mine = states(Batch.of(row), given)
+        keys, by, kept = sorted_states(grams, totals)
+        used = []
+        for k in range(1, order):
+            arc = mine[k] & (totals[k] >= MIN_COUNT)
+            used.append(np.bincount(grams[k].context[arc], (totals[k] - cuts[k - 1][np.minimum(totals[k], 3)])[arc], len(totals[k - 1]))[kept[k - 1]])
+        return _requests(row["batch"], keys, np.concatenate(used)[by], shift)
 
-    mass = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_mass, REQUEST), "<f8")
-    answers = answers.unionByName(mass.select(F.lit("mass").alias("step"), "batch", "shard", "totals"))
+    mass = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_mass, REQUEST), "<f8", n_batches, steps)
+    answers = answers.unionByName(answer(mass, "mass"))
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
-        b, counts = Batch.of(rows.to_pylist()[0]), _joined(given, "words", "<i8") >> 1
-        _, left, right, places = b.pairs(counts)
-        total = _joined(given, "pairs", "<i8") >> 1
-        used = _joined(given, "mass", "<f8")
-        unigram = (counts + 0.1) / (n + 0.1 * (v + 1))
+        b = Batch.of(rows.to_pylist()[0])
+        grams, totals, _ = states(b, given)
+        keys, by, kept = sorted_states(grams, totals)
+        used = np.empty(len(keys))
+        used[by] = _joined(given, "mass", "<f8")
+        chance = (totals[0] + 0.1) / (n + 0.1 * (v + 1))
+        arcs, fails = [np.log10(chance)], []
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.where(counts > 0, 1 - used / np.maximum(counts, 1), 1.0)
-            arc = (total - cut[np.minimum(total, 3)]) / counts[left] + rest[left] * unigram[right]
-            arc = np.where(total >= MIN_COUNT, np.log10(arc), np.nan)
-            automaton = Automaton(arc, np.log10(np.maximum(rest, 1e-12)), np.log10(unigram))
-        per_token = automaton.run(b.tokens, b.left, places)
+            for k in range(1, order):
+                size, states_ = int(kept[k - 1].sum()), kept[k - 1]
+                rest = np.ones(len(states_))
+                rest[states_] = np.where(totals[k - 1][states_] > 0, 1 - used[:size] / np.maximum(totals[k - 1][states_], 1), 1.0)
+                used = used[size:]
+                fails.append(np.log10(np.maximum(rest, 1e-12)))
+                # the same word after the context without its first word: the n-gram one shorter that ends at the same token
+                shorter = np.empty(len(totals[k]), np.int64)
+                at = grams[k].place >= 0
+                shorter[grams[k].place[at]] = grams[k - 1].place[at]
+                context = grams[k].context
+                chance = (totals[k] - cuts[k - 1][np.minimum(totals[k], 3)]) / totals[k - 1][context] + rest[context] * chance[shorter]
+                arcs.append(np.where(totals[k] >= MIN_COUNT, np.log10(chance), np.nan))
         starts = np.cumsum(b.sizes) - b.sizes
+        per_token = Automaton(arcs, fails).run([g.place for g in grams], starts, int(np.searchsorted(b.vocabulary, np.uint64(END))))
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {
                 "doc_id": pa.array(b.ids, pa.int64(), mask=b.null_ids),
                 "held_out": pa.array(b.held),
                 "n_tokens": pa.array(b.sizes, pa.int64()),
-                "n_known": pa.array(add((counts[b.tokens] > 0).astype(np.int64)), pa.int64()),
+                "n_known": pa.array(add((totals[0][b.tokens] > 0).astype(np.int64)), pa.int64()),
                 "train_tokens": pa.array(np.full(len(b.ids), int(n)), pa.int64()),
-                "base_score": pa.array(add(automaton.root[b.tokens]), pa.float64()),
+                "base_score": pa.array(add(arcs[0][b.tokens]), pa.float64()),
                 "score": pa.array(add(per_token), pa.float64()),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
+    out = materialize(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema))
+    spread.unpersist()
+    return out
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,38 +54,58 @@ def test_vectors_against_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i for i in (200, 201, 202, 203, 204, 206))
 
 
-@pytest.mark.parametrize("batch_tokens", [20, 10**6])
-def test_language_model_against_brute_force(spark, batch_tokens):
+@pytest.mark.parametrize(("order", "batch_tokens", "shard_keys"), [(2, 10**6, 10**6), (3, 20, 1), (4, 60, 10**6)])
+def test_language_model_against_brute_force(spark, order, batch_tokens, shard_keys):
+    """Each text is read word by word through states and failure arcs that are written down from n-gram counts."""
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 30), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.03, 0.02])), "x") for i in range(60)] + [(70, None, "x"), (71, "zz unseen A", "x"), (None, "a b", "x")]
-    out = language_model.lm_scores(spark.createDataFrame(rows, DOCS), batch_tokens=batch_tokens, shard_keys=16).collect()
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 30), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.03, 0.02])), "x") for i in range(60)] + [(70, None, "x"), (71, "zz unseen A", "x"), (None, "a b", "x"), (72, "", "x")]
+    out = language_model.lm_scores(spark.createDataFrame(rows, DOCS), order=order, batch_tokens=batch_tokens, shard_keys=shard_keys).collect()
     import zlib
 
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     split = lambda t: (t or "").lower().split() + [None]
     train = [split(t) for i, t, _ in rows if not held(i)]
-    c = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([None, *t], t))
-    n, v = sum(c.values()), len(c)
-    p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    able = {p: k for p, k in pairs.items() if c[p[0]] >= 2 and c[p[1]] >= 2}
-    cut = language_model.discounts([sum(k == j for k in able.values()) for j in (1, 2, 3, 4)])
-    kept = {p: k for p, k in able.items() if k >= 2}
-    used = Counter()
-    for (a, _), k in kept.items():
-        used[a] += k - cut[min(k, 3)]
-
-    def p(a, b):
-        rest = 1 - used[a] / c[a] if c[a] else 1.0
-        return rest * p1(b) + ((kept[a, b] - cut[min(kept[a, b], 3)]) / c[a] if (a, b) in kept else 0)
-
-    assert abs(sum(p("a", w) for w in c) + p("a", "never seen") - 1) < 1e-9
+    c = {1: Counter((w,) for t in train for w in t)}
+    for k in range(2, order + 1):
+        c[k] = Counter(g for t in train for g in zip(*([None, *t][j:] for j in range(k))))
+    n, v = sum(c[1].values()), len(c[1])
+    cuts = {k: language_model.discounts([sum(x == j for x in c[k].values()) for j in (1, 2, 3, 4)]) for k in range(2, order + 1)}
+    # arcs[state][word] = probability; fail[state] = weight of the arc to the state without its first word
+    arcs, fail = {(): {w: (x + 0.1) / (n + 0.1 * (v + 1)) for (w,), x in c[1].items()}}, {}
+    unknown = 0.1 / (n + 0.1 * (v + 1))
+
+    def chance(state, word):
+        weight = 1.0
+        while state and word not in arcs.get(state, {}):
+            weight, state = weight * fail.get(state, 1.0), state[1:]
+        return weight * arcs[state].get(word, unknown)
+
+    for k in range(2, order + 1):
+        own = {g: x for g, x in c[k].items() if x >= 2}
+        for g, x in own.items():
+            fail[g[:-1]] = fail.get(g[:-1], 1.0) - (x - cuts[k][min(x, 3)]) / c[k - 1][g[:-1]]
+        for g, x in own.items():
+            arcs.setdefault(g[:-1], {})[g[-1]] = (x - cuts[k][min(x, 3)]) / c[k - 1][g[:-1]] + fail[g[:-1]] * chance(g[1:-1], g[-1])
+    states = set(arcs) | {g for k in range(1, order) for g, x in c[k].items() if x >= (2 if k > 1 else 0)}
+    for state in states:
+        if state[-1:] != (None,) or state == (None,):
+            assert abs(sum(chance(state, w) for (w,) in c[1]) + chance(state, "never seen") - 1) < 1e-9
+
+    def read(text):
+        state, total = (None,), 0.0
+        for w in text:
+            total += math.log10(chance(state, w))
+            state = (*state, w)[-(order - 1) :]
+            while len(state) > 1 and state not in states:
+                state = state[1:]
+        return total
+
     for r in out:
         if r["doc_id"] is not None:
             t = split(next(t for i, t, _ in rows if i == r["doc_id"]))
-            assert r["n_tokens"] == len(t) and r["train_tokens"] == n and r["held_out"] == held(r["doc_id"]) and r["n_known"] == sum(w in c for w in t)
-            assert abs(r["base_score"] - sum(math.log10(p1(w)) for w in t)) < 1e-9
-            assert abs(r["score"] - sum(math.log10(p(a, b)) for a, b in zip([None, *t], t))) < 1e-9
+            assert r["n_tokens"] == len(t) and r["train_tokens"] == n and r["held_out"] == held(r["doc_id"]) and r["n_known"] == sum((w,) in c[1] for w in t)
+            assert abs(r["base_score"] - sum(math.log10((c[1][w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-9
+            assert abs(r["score"] - read(t)) < 1e-9
     assert len(out) == len(rows) and language_model.lm_scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
