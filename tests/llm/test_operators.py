@@ -287,6 +287,24 @@ def test_licenses(spark):
     assert out == {(1, "MIT/notice"): 1.0, (2, "MIT/grant"): 1.0, (6, "MIT/notice"): 1.0}
 
 
+def test_licenses_of_any_length_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(400)]
+    long = {"long/900": " ".join(rng.choice(words, 900)), "long/300": " ".join(rng.choice(words, 300)), "short/40": " ".join(rng.choice(words, 40))}
+    text = lambda n: " ".join(rng.choice(words, n))
+    broken = long["long/900"].split()
+    broken[300:360] = ["zz"] * 60
+    spaced = long["long/300"].split()
+    half = long["short/40"].split()[:20]
+    docs = [(1, text(100) + " " + long["long/900"] + " " + text(30), "x"), (2, text(77) + " " + " ".join(broken), "x"), (3, " ".join(spaced[:150]) + " " + text(500) + " " + " ".join(spaced[150:]), "x"), (4, " ".join(half), "x"), (5, text(31) + " " + long["short/40"], "x"), (6, " ".join(broken[:600]), "x")]
+    found = {(r["doc_id"], r["template"]): (r["share"], r["first_word"]) for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS), long).collect()}
+    assert found[1, "long/900"][0] == 1 and 0.9 < found[2, "long/900"][0] < 1 and found[3, "long/300"][0] > 0.95 and found[5, "short/40"] == (1.0, 31 + 40 - 64 if 31 + 40 > 64 else 0)
+    assert set(found) == {(1, "long/900"), (2, "long/900"), (3, "long/300"), (5, "short/40")}
+    full = {k: t for k, t in licenses.TEMPLATES.items() if k.endswith("/full")}
+    out = {r["template"]: r["share"] for r in licenses.scan_licenses(spark.createDataFrame([(1, " ".join(full.values()), "x")], DOCS)).collect()}
+    assert all(out[k] == 1.0 for k in full)
+
+
 def test_ordinal_fit():
     rng = np.random.default_rng(0)
     x = rng.random((600, 6)).astype(np.float32)
