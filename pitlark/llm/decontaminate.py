@@ -18,9 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ from .common import materialize, table
 
 #: Columns of the matrix, its passages' words, and the directions kept.
 TERMS, PASSAGE, RANK = 1 << 16, 64, 48
-MIN_COSINE = 0.68
+MIN_COSINE = 0.65
 MIN_COMMON, SURE_COMMON, MIN_ANSWER = 0.6, 0.8, 0.8
 #: Cosine of two terms' images from which they count as one word, and the passages each must stand in.
 MIN_RELATED, MIN_SEEN = 0.8, 8
@@ -44,7 +42,7 @@ BLOCK_ITEMS = 5_000
 #: Words, and pairs, of one array operation; they bound its memory and change no result.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 60_000, 2_048, 20_000
 #: Terms are told apart by so many numbers when an item's words are counted in a window.
-HASHED = 2_048
+HASHED = 1_024
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 
 
@@ -148,7 +146,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 def _passages(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in parts])
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.concatenate(parts), np.cumsum(at % PASSAGE == 0) - 1
+    return np.concatenate(parts).astype(np.int64), np.cumsum(at % PASSAGE == 0) - 1
 
 
 def passage_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
@@ -178,17 +176,17 @@ def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tup
     """What a word adds to a passage's image (TERMS x rank), its weight times the leading right singular directions V of the
     corpus passages; and the terms' own unit images, V times the singular values.
 
-    z = A^T (A G) for a Gaussian G, one pass over all passages; each task adds up its share, and Spark sums the shares by
-    blocks of terms in two steps, so no group grows with the number of tasks. z is
+    z = A^T (A G) for a Gaussian G, one pass over all passages; each task adds up its share, and the shares are
+    dealt by blocks of terms and added as they stream in, so no task holds more than its blocks' sums. z is
     about V S^2 W for singular values S.
     """
-    block, groups = 64, 64
+    block = 256
     shared = tokens.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         g = np.random.default_rng(7).standard_normal((rank, TERMS)).astype(np.float32)
-        total, task = np.zeros((rank, TERMS)), TaskContext.get().partitionId()
+        total = np.zeros((rank, TERMS))
         for term, passage in _stretches(batches):
             w = weight[term]
             norm = np.sqrt(np.bincount(passage, w**2))
@@ -199,19 +197,21 @@ def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tup
         share = total.T.astype(np.float32)
         for b in range(0, TERMS, block):
             if share[b : b + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([task % groups]), pa.array([share[b : b + block].tobytes()])], ["block", "part", "share"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block * rank)
-        for s in frame["share"]:
-            total += np.frombuffer(s, np.float32)
-        return pd.DataFrame({"block": frame["block"][:1], "share": [total.astype(np.float32).tobytes()]})
-
-    shares = tokens.select("words").mapInArrow(run, "block long, part long, share binary")
-    half = shares.groupBy("block", "part").applyInPandas(add, "block long, share binary")
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([share[b : b + block].tobytes()])], ["block", "share"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[b] = sums.get(b, 0.0) + np.frombuffer(found.as_buffer(), np.float32).astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["block", "share"])
+
+    kind = "block long, share binary"
+    shares = tokens.select("words").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
     z = np.zeros((TERMS, rank))
-    for r in half.groupBy("block").applyInPandas(add, "block long, share binary").collect():  # TERMS x rank numbers
-        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"], np.float32).reshape(-1, rank)
+    for r in shares.collect():  # TERMS x rank numbers
+        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"]).reshape(-1, rank)
     v, s, _ = np.linalg.svd(z, full_matrices=False)
     v = v * (s > 1e-6 * max(s[0], 1e-30))
     return (v * weight[:, None]).astype(np.float32), _unit((v * np.sqrt(s)).astype(np.float32))
@@ -222,6 +222,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 class Retrieval:
     """The items' side of a search, held by each task: the terms' images, the items' images and words, and `one`: the term
     that a term counts as, itself or the item's term that it is related to."""
@@ -243,10 +247,13 @@ class Retrieval:
             found = [(k, p) for k, p in pieces if low < len(p) <= w]
             if found:
                 image = _unit(np.stack([images[p].sum(0) for _, p in found]))
-                places = np.full((len(found), w), HASHED, np.int64)
-                for row, (_, p) in zip(places, found):
-                    row[: len(p)] = self.one[p] % HASHED
-                self.at[w] = (np.array([k for k, _ in found]), np.array([len(p) for _, p in found]), [masks_of(self.one[p]) for _, p in found], image, places)
+                bits = np.zeros((len(found), HASHED), bool)
+                for row, (_, p) in zip(bits, found):
+                    row[self.one[p] % HASHED] = True
+                lengths = np.array([len(p) for _, p in found])
+                # so many of the bits a window must share: a bit stands for one place, or for all that its item has too many
+                least = np.ceil(MIN_COMMON * lengths).astype(int) - (lengths - bits.sum(1))
+                self.at[w] = (np.array([k for k, _ in found]), lengths, [masks_of(self.one[p]) for _, p in found], image, _packed(bits), least)
 
     @staticmethod
     def _related(terms: np.ndarray, unit: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -275,7 +282,7 @@ class Retrieval:
     def candidates(self, parts: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
         """parts: (text, first word's place, words), stretches of texts. -> (text, item, (window length, piece of its class),
         cosine, window's first word) of the windows whose cosine reaches the bound and that hold enough of the item's words for
-        the order check: a bound on the common subsequence, places counted by hashed terms, never too few."""
+        the order check: a bound on the common subsequence, hashed terms counted, never too few."""
         gap = WINDOWS[-1] // GRAIN  # grains without words after each stretch, so that windows end with it
         grains = [-(-len(w) // GRAIN) + gap for _, _, w in parts]
         first = np.cumsum([0, *grains])
@@ -288,30 +295,30 @@ class Retrieval:
         inside = np.concatenate([np.arange(n) < n - gap for n in grains])
         part = np.repeat(np.arange(len(parts)), grains)
         hashed = np.where(words < TERMS, self.one[words] % HASHED, HASHED)
-        for w, (owners, lengths, _, image, places) in self.at.items():
+        for w, (owners, _, _, image, bits, least) in self.at.items():
             wide, x, at = w // GRAIN, 0, 0
             n = len(part) - wide
             for k in (16, 8, 4, 2, 1):  # a window is the sum of windows of 1, 2, 4, ... grains
                 if wide & k:
                     x, at = x + sums[k][at : at + n], at + k
-            starts = np.nonzero(inside[:n])[0] if w < 48 else np.nonzero(inside[:n] & (np.arange(n) % 2 == 0))[0]
+            starts = np.nonzero(inside[:n])[0] if w < 28 else np.nonzero(inside[:n] & (np.arange(n) % 2 == 0))[0]
             x = x[starts]
             need = self.min_cosine * np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-6
             reach = np.arange(w + 2 * SLACK)
             for lo in range(0, len(x), WINDOWS_AT_ONCE):
                 dot = x[lo : lo + WINDOWS_AT_ONCE] @ image.T
-                row, piece = np.nonzero(dot >= need[lo : lo + WINDOWS_AT_ONCE, None])
+                row, piece = np.divmod(np.flatnonzero(dot >= need[lo : lo + WINDOWS_AT_ONCE, None]), len(owners))
                 if not len(row):
                     continue
                 windows, row_ = np.unique(row, return_inverse=True)
                 start = starts[windows + lo]
                 held = np.zeros((len(windows), HASHED + 1), bool)
                 held[np.arange(len(windows))[:, None], hashed[(start * GRAIN)[:, None] + reach]] = True
-                held[:, HASHED] = False
+                held = _packed(held[:, :HASHED])
                 for k in range(0, len(row), PAIRS_AT_ONCE):
                     a, p = row_[k : k + PAIRS_AT_ONCE], piece[k : k + PAIRS_AT_ONCE]
-                    count = held[a[:, None], places[p]].sum(1)
-                    for i in np.nonzero(count >= MIN_COMMON * lengths[p])[0]:
+                    count = np.bitwise_count(held[a] & bits[p]).sum(1, dtype=np.int64)
+                    for i in np.nonzero(count >= least[p])[0]:
                         s, j = start[a[i]], int(p[i])
                         q = part[s]
                         cosine = dot[row[k + i], j] * self.min_cosine / need[row[k + i] + lo]

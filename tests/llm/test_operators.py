@@ -266,17 +266,17 @@ def test_candidates_are_those_of_brute_force():
     got = {(d, k, w, p, s) for stretch in finder._stretched(texts) for d, k, (w, p), _, s in finder.candidates(stretch)}
     want = set()
     unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
-    for w, (owners, lengths, _, _, _) in finder.at.items():
+    for w, (owners, lengths, *_) in finder.at.items():
         pieces = [(k, p) for k, i in enumerate(items) for p in decontaminate._pieces(i.words) if max([0, *(x for x in decontaminate.WINDOWS if x < w)]) < len(p) <= w]
         for j, (k, p) in enumerate(pieces):
             assert owners[j] == k and lengths[j] == len(p)
             image = unit(images[p % decontaminate.TERMS].sum(0))
             for d, t in enumerate(texts):
-                for s in range(0, len(t), 4 if w < 48 else 8):
+                for s in range(0, len(t), 4 if w < 28 else 8):
                     near = t[max(0, s - decontaminate.SLACK) : s + w + decontaminate.SLACK]
                     if unit(images[t[s : s + w] % decontaminate.TERMS].sum(0)) @ image >= 0.5 and np.isin(p, near).sum() >= decontaminate.MIN_COMMON * len(p):
                         want.add((d, k, w, j, s))
-    assert {g for g in got if g[2] < 48} >= {x for x in want if x[2] < 48} and len(want) > 20
+    assert {g for g in got if g[2] < 28} >= {x for x in want if x[2] < 28} and len(want) > 20
     assert {(d, k) for d, k, *_ in got} >= {(d, k) for d, k, *_ in want}
 
 
