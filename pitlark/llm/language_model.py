@@ -37,6 +37,8 @@ HELD_OUT = 10
 BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 19
 #: Words of the longest n-gram; n-grams of two words or more that are seen less often in training are no arcs.
 ORDER, MIN_COUNT = 3, 2
+#: Discounts are multiples of 1 / PARTS, so that sums of them are whole numbers.
+PARTS = 256
 #: Ranges that one row of requests is cut into, and batches whose requests are merged, on each step of an exchange.
 FAN = 256
 END = xxhash.xxh64_intdigest(b"end", 1)
@@ -208,18 +210,18 @@ def _requests(batch: int, keys: np.ndarray, values: np.ndarray, shift: int, pare
 TOTALS = "parent long, range long, batch long, totals binary, n1 long, n2 long, n3 long, n4 long, distinct long, total double"
 
 
-def _merged(part: pa.Table, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _merged(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     keys = [_unpack_sorted(b) for b in part.column("keys").to_pylist()]
-    values = np.concatenate([_unpack(b, kind) for b in part.column("values").to_pylist()])
+    values = np.concatenate([_unpack(b, "<i8") for b in part.column("values").to_pylist()])
     every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return keys, every, first, inverse, np.bincount(inverse, values.astype(np.float64), len(every))
+    return keys, every, first, inverse, np.bincount(inverse, values.astype(np.float64), len(every)).astype(np.int64)  # exact below 2^53
 
 
-def exchange(requests: DataFrame, kind: str, batches: int, steps: int, least: int = 0, depth: int = 1) -> DataFrame:
+def exchange(requests: DataFrame, batches: int, steps: int, speaker: bool = True, least: int = 0, depth: int = 1) -> DataFrame:
     """Sums the values of each key over all batches and answers every request in its order.
 
-    kind "<i8": counts, answered as 2 * total + 1 for the batch that speaks for the key (the first) and 2 * total for
-    the others; totals below `least` are answered as 0. kind "<f8": plain sums. A key comes once per batch, so a
+    With `speaker`: answered as 2 * total + 1 for the batch that speaks for the key (the first) and 2 * total for
+    the others; totals below `least` are answered as 0. Without: plain sums. A key comes once per batch, so a
     frequent key is no larger than a rare one that every batch has. With more than one step, the ranges of FAN batches are
     merged, go on as one batch each, cut finer, and what is answered to them is dealt out again.
     """
@@ -231,14 +233,13 @@ def exchange(requests: DataFrame, kind: str, batches: int, steps: int, least: in
 
     def answer(part: pa.Table) -> pa.Table:
         part = part.sort_by("batch")
-        keys, every, first, inverse, sums = _merged(part, kind)
+        keys, every, first, inverse, sums = _merged(part)
         stats = [int((sums == k).sum()) for k in (1, 2, 3, 4)] + [int((sums > 0).sum()), float(sums.sum())]
         stats[0] += sum(part.column("single").to_pylist())
-        if kind == "<i8":
-            found = 2 * np.where(sums >= least, sums, 0).astype(np.int64)[inverse]
+        found = sums[inverse]
+        if speaker:
+            found = 2 * np.where(found >= least, found, 0)
             found[first] += 1
-        else:
-            found = sums[inverse]
         return dealt(part, keys, found, stats)
 
     def dealt(part: pa.Table, keys: list[np.ndarray], found: np.ndarray, stats: list) -> pa.Table:
@@ -257,16 +258,16 @@ def exchange(requests: DataFrame, kind: str, batches: int, steps: int, least: in
     def merge(part: pa.Table) -> pa.Table:
         part = part.sort_by("batch")
         row = part.slice(0, 1).to_pylist()[0]
-        _, every, _, _, sums = _merged(part, kind)
-        return _requests(row["group"], every, sums.astype(kind), 64 - (depth + 1) * bits, row["parent"] * FAN + row["range"], sum(part.column("single").to_pylist()))
+        _, every, _, _, sums = _merged(part)
+        return _requests(row["group"], every, sums, 64 - (depth + 1) * bits, row["parent"] * FAN + row["range"], sum(part.column("single").to_pylist()))
 
     def spread(part: pa.Table, given: pa.Table) -> pa.Table:
         part = part.sort_by("batch")
-        keys, every, first, inverse, _ = _merged(part, kind)
+        keys, every, first, inverse, _ = _merged(part)
         ordered = given.sort_by("range")
-        told = np.concatenate([_unpack(b, kind) for b in ordered.column("totals").to_pylist()]) if len(every) else np.zeros(0, kind)
+        told = np.concatenate([np.zeros(0, np.int64), *(_unpack(b, "<i8") for b in ordered.column("totals").to_pylist())])
         found = told[inverse]
-        if kind == "<i8":
+        if speaker:
             found = found & ~np.int64(1)
             found[first] |= told & 1
         stats = [sum(given.column(n).to_pylist()) for n in names[4:]]
@@ -274,16 +275,16 @@ def exchange(requests: DataFrame, kind: str, batches: int, steps: int, least: in
 
     merged = max(1, math.ceil(batches / FAN))
     grouped = requests.withColumn("group", F.pmod(F.xxhash64("batch"), F.lit(merged)))
-    inner = exchange(grouped.groupBy("group", *groups).applyInArrow(merge, REQUEST), kind, merged, steps - 1, least, depth + 1)
+    inner = exchange(grouped.groupBy("group", *groups).applyInArrow(merge, REQUEST), merged, steps - 1, speaker, least, depth + 1)
     # an inner batch is known by its number (the group) and its parent (this parent and range)
     back = inner.withColumns({"group": F.col("batch"), "upper": F.floor(F.col("parent") / FAN).cast("long"), "middle": F.pmod("parent", F.lit(FAN)).cast("long")})
     met = grouped.groupBy("group", *groups).cogroup(back.groupBy("group", "upper", "middle"))
     return materialize(met.applyInArrow(lambda p, g: spread(p.drop_columns("group"), g.drop_columns(["group", "upper", "middle"])), TOTALS))
 
 
-def _joined(answers: pa.Table, step: str, kind: str) -> np.ndarray:
+def _joined(answers: pa.Table, step: str) -> np.ndarray:
     part = answers.filter(pa.compute.equal(answers.column("step"), step)).sort_by("range")
-    return np.concatenate([np.empty(0, kind), *(_unpack(b, kind) for b in part.column("totals").to_pylist())])
+    return np.concatenate([np.empty(0, np.int64), *(_unpack(b, "<i8") for b in part.column("totals").to_pylist())])
 
 
 @dataclass
@@ -328,11 +329,11 @@ class Automaton:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """What is taken from counts 0, 1, 2, 3 and more: modified Kneser-Ney, from the counts of counts 1 to 4."""
+    """What is taken from counts 0, 1, 2, 3 and more: modified Kneser-Ney, from the counts of counts 1 to 4, in PARTS of one."""
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     raw = [0.0] + [k - (k + 1) * y * b / a if a and b else 0.75 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([min(max(d, 0.05 * k), 0.98 * k) for k, d in enumerate(raw)])
+    return np.round([min(max(d, 0.05 * k), 0.98 * k) * PARTS for k, d in enumerate(raw)]) / PARTS
 
 
 def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batch_tokens: int = BATCH_TOKENS, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -355,7 +356,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
                 b = Batch.of(row)
                 yield from _requests(row["batch"], b.vocabulary, np.bincount(b.tokens[b.learned], minlength=len(b.vocabulary)), shift).to_batches()
 
-    totals = exchange(spread.mapInArrow(ask_words, REQUEST), "<i8", n_batches, steps)
+    totals = exchange(spread.mapInArrow(ask_words, REQUEST), n_batches, steps)
     n, v = (totals.agg(F.sum("total"), F.sum("distinct")).first() or (0, 0))[:2]
     n, v = float(n or 0), int(v or 0)
     answer = lambda found, step: found.select(F.lit(step).alias("step"), "batch", "range", "totals")
@@ -363,7 +364,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
     cuts = []
 
     def told(given: pa.Table, k: int) -> list[np.ndarray]:
-        return [_joined(given, str(j), "<i8") for j in range(1, k + 1)]
+        return [_joined(given, str(j)) for j in range(1, k + 1)]
 
     def asking(k: int):
         def ask(rows: pa.Table, given: pa.Table) -> pa.Table:
@@ -376,7 +377,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
         return ask
 
     for k in range(2, order + 1):
-        totals = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asking(k), REQUEST), "<i8", n_batches, steps, MIN_COUNT)
+        totals = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asking(k), REQUEST), n_batches, steps, least=MIN_COUNT)
         cuts.append(discounts([int(x or 0) for x in totals.agg(*(F.sum(f"n{j}") for j in (1, 2, 3, 4))).first()]))
         answers = answers.unionByName(answer(totals, str(k)))
 
@@ -387,7 +388,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
 
     def sorted_states(grams: list[Grams], totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """The keys of all states in order, the order, and which n-grams are states."""
-        kept = [t >= (MIN_COUNT if k else 0) for k, t in enumerate(totals[:-1])]
+        kept = [t >= MIN_COUNT for t in totals[:-1]]
         keys = np.concatenate([g.keys[m] for g, m in zip(grams, kept)])
         by = np.argsort(keys)
         return keys[by], by, kept
@@ -399,10 +400,11 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
         used = []
         for k in range(1, order):
             arc = mine[k] & (totals[k] >= MIN_COUNT)
-            used.append(np.bincount(grams[k].context[arc], (totals[k] - cuts[k - 1][np.minimum(totals[k], 3)])[arc], len(totals[k - 1]))[kept[k - 1]])
-        return _requests(row["batch"], keys, np.concatenate(used)[by], shift)
+            left = PARTS * (totals[k] - cuts[k - 1][np.minimum(totals[k], 3)])
+            used.append(np.bincount(grams[k].context[arc], left[arc], len(totals[k - 1]))[kept[k - 1]])
+        return _requests(row["batch"], keys, np.round(np.concatenate(used)[by]).astype(np.int64), shift)
 
-    mass = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_mass, REQUEST), "<f8", n_batches, steps)
+    mass = exchange(spread.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_mass, REQUEST), n_batches, steps, speaker=False)
     answers = answers.unionByName(answer(mass, "mass"))
 
     def score(rows: pa.Table, given: pa.Table) -> pa.Table:
@@ -410,7 +412,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
         grams, totals, _ = states(b, given)
         keys, by, kept = sorted_states(grams, totals)
         used = np.empty(len(keys))
-        used[by] = _joined(given, "mass", "<f8")
+        used[by] = _joined(given, "mass") / PARTS
         chance = (totals[0] + 0.1) / (n + 0.1 * (v + 1))
         arcs, fails = [np.log10(chance)], []
         with np.errstate(divide="ignore", invalid="ignore"):
