@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators import discovery as D
 from .operators import features as X
 from .operators import options as O
 from .operators import panel as P
@@ -26,6 +28,10 @@ def validate(spark, a):
     found = S.settled(B.validate(raw))
     S.write_by(B.valid_bars(found), f"{a.output}/bars", "year")
     S.write_csv(B.reject_counts(found).orderBy("reason"), f"{a.output}/rejects")
+    B.reject_details(found).write.mode("overwrite").parquet(f"{a.output}/reject_details")
+    B.zero_volume_warnings(found).write.mode("overwrite").parquet(f"{a.output}/warnings")
+    S.write_csv(B.validation_summary(found).orderBy("source_file"), f"{a.output}/files")
+    S.write_csv(B.rejected_files(spark, a.input).orderBy("source_file"), f"{a.output}/rejected_files")
 
 
 def manifest(spark, a):
@@ -62,6 +68,36 @@ def folds(spark, a):
     S.write_csv(done.orderBy("fold_id"), f"{a.output}/folds")
 
 
+def matrix(spark, a):
+    """The labelled panel to the matrix of a feature set, with the registry of its columns."""
+    labelled = spark.read.parquet(a.input)
+    found, features, target = X.feature_set(labelled.drop("year"), a.set, a.scoring)
+    found.write.mode("overwrite").parquet(f"{a.output}/{a.set}")
+    groups = X.registry(found.columns, features, [target, "fwd_ret_5d", "label_valid_5d"], ["date", "ticker", "open", "high", "low", "close", "volume", "dollar_volume", "model_eligible"])
+    X.check_model_inputs(features, groups)
+    S.write_json(spark, {"features": groups.features, "targets": groups.targets, "metadata": groups.metadata, "excluded": groups.excluded}, f"{a.output}/{a.set}_columns")
+
+
+def select(spark, a):
+    """A feature matrix to the selected features: judged, pruned by correlation, and frozen in a manifest."""
+    found = S.settled(spark.read.parquet(a.input))
+    features = a.features.split(",")
+    plan = W.plan(found, W.FoldConfig(a.train, a.test, a.test, a.purge))
+    days = S.settled(D.by_date(found, features))
+    chosen = S.settled(D.selected(S.settled(K._judged(plan, days)), D.correlations(found, plan, features)))
+    S.write_csv(chosen.orderBy("rank", "feature"), f"{a.output}/selection")
+    names = [r["feature"] for r in chosen.where("selected").orderBy("rank").collect()]
+    S.write_json(spark, D.freeze(names, {"train": a.train, "test": a.test, "purge": a.purge, "candidates": len(features)}), f"{a.output}/frozen")
+
+
+def score(spark, a):
+    """A scoring matrix (all rows) to the candidates of its last date, with counts by side."""
+    panel = S.settled(spark.read.parquet(a.input))
+    found = S.settled(W.signals(W.daily_scores(panel, a.features.split(",")), panel))
+    S.write_csv(found.orderBy("bucket", "score", "ticker"), f"{a.output}/candidates")
+    S.write_csv(W.signal_counts(found).orderBy("side"), f"{a.output}/sides")
+
+
 def options(spark, a):
     """One snapshot (--snapshot), or all of a manifest: its files lie in the input folder."""
     if a.snapshot:
@@ -89,17 +125,22 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pitlark")
     subs = top.add_subparsers(required=True)
     made = {}
-    for f in (validate, manifest, export, archives, panel, folds, options, query, provenance):
+    for f in (validate, manifest, export, archives, panel, matrix, folds, select, score, options, query, provenance):
         made[f.__name__] = sub = subs.add_parser(f.__name__, help=(f.__doc__ or "").split("\n")[0])
         sub.add_argument("input")
         sub.add_argument("output")
+        sub.add_argument("--root", help="folder that outputs must lie in")
         sub.set_defaults(run=f)
     made["validate"].add_argument("--limit", type=int)
     for name in ("fold-id", "max-folds", "start-fold", "end-fold"):
         made["folds"].add_argument(f"--{name}", type=int)
-    for name, value in (("train", 500), ("test", 63), ("purge", 5)):
-        made["folds"].add_argument(f"--{name}", type=int, default=value)
-    made["folds"].add_argument("--features", default=",".join(K.RIDGE_FEATURES))
+    made["matrix"].add_argument("--set", default="baseline", choices=sorted(X.FEATURE_SETS))
+    made["matrix"].add_argument("--scoring", action="store_true")
+    for command in ("folds", "select"):
+        for name, value in (("train", 500), ("test", 63), ("purge", 5)):
+            made[command].add_argument(f"--{name}", type=int, default=value)
+    for command in ("folds", "select", "score"):
+        made[command].add_argument("--features", default=",".join(K.RIDGE_FEATURES))
     made["folds"].add_argument("--resume", action="store_true")
     one = made["options"].add_mutually_exclusive_group(required=True)
     one.add_argument("--snapshot")
@@ -110,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
+    S.guard(a.output, a.root or os.path.dirname(os.path.abspath(a.output) if "://" not in a.output else a.output), source=a.input)
     spark = SparkSession.builder.appName("pitlark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     a.run(spark, a)
     print(json.dumps({"done": a.run.__name__, "output": a.output}))

@@ -1,7 +1,16 @@
-"""Feature discovery by fold, and selection rules."""
+"""Feature discovery by fold, and selection rules.
+
+What concerns one date (a feature's rank correlation with the target, its counts and moments) is computed once per date, in
+one exchange of the matrix, and met with the folds that train on the date afterwards.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +18,66 @@ from ..functions.expr import average_rank, pearson
 from .features import LEAKAGE_TOKENS
 
 
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks of the values that are no NaN, with ties averaged; NaN for NaN."""
+    out = np.full(len(x), np.nan)
+    at = np.nonzero(~np.isnan(x))[0]
+    _, place, n = np.unique(x[at], return_inverse=True, return_counts=True)
+    out[at] = (np.cumsum(n) - (n - 1) / 2)[place]
+    return out
+
+
+def correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Of the rows where both are there; none where either does not vary."""
+    both = ~np.isnan(x) & ~np.isnan(y)
+    if not both.any():
+        return None
+    a, b = x[both] - x[both].mean(), y[both] - y[both].mean()
+    size = np.sqrt((a**2).mean() * (b**2).mean())
+    return float((a * b).mean() / size) if size > 1e-12 else None
+
+
+BY_DATE = "date date, feature string, rows long, non_null long, finite long, mean double, spread double, ic double"
+
+
+def by_date(matrix: DataFrame, features: list[str], target: str = "fwd_ret_5d") -> DataFrame:
+    """(date, feature): rows, values there and finite, their mean and sum of squared deviations, and the rank correlation with
+    the target. A date's rows (one per name) meet in one task; the target is ranked once a date."""
+    rows = matrix.select("date", F.round(target, 9).alias("_target"), *(F.round(F.col(f).cast("double"), 9).alias(f) for f in features))
+
+    def judge(part: pa.Table) -> pa.Table:
+        day = part.column("date")[0]
+        goal = average_ranks(part.column("_target").to_numpy().astype(float))
+        out = []
+        for f in features:
+            x = part.column(f).to_numpy().astype(float)
+            there, n = ~np.isnan(x), len(x)
+            finite = np.isfinite(x)
+            mean = float(x[finite].mean()) if finite.any() else None
+            out.append((day.as_py(), f, n, n - part.column(f).null_count, int(finite.sum()), mean, float(((x[finite] - mean) ** 2).sum()) if finite.any() else None, correlation(average_ranks(x), goal) if there.any() else None))
+        kinds = [pa.date32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in BY_DATE.split(", ")])
+
+    return rows.groupBy("date").applyInArrow(judge, BY_DATE)
+
+
+def _in_folds(days: DataFrame, folds: DataFrame) -> DataFrame:
+    slim = F.broadcast(folds.select("fold_id", "train_start_date", "train_end_date"))  # one row a fold
+    return days.join(slim, days["date"].between(F.col("train_start_date"), F.col("train_end_date")))
+
+
+def feature_stats(days: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold and feature: rows, shares of values there and finite, population deviation (from the dates' moments)."""
+    met = _in_folds(days, folds).withColumn("_m", F.sum(F.col("mean") * F.col("finite")).over(Window.partitionBy("fold_id", "feature")) / F.sum("finite").over(Window.partitionBy("fold_id", "feature")))
+    spread = F.sum(F.col("spread") + F.col("finite") * F.pow(F.col("mean") - F.col("_m"), 2))
+    return met.groupBy("fold_id", "feature").agg(F.sum("rows").alias("rows"), (F.sum("non_null") / F.sum("rows")).alias("non_null_pct"), (F.sum("finite") / F.sum("rows")).alias("finite_pct"), F.sqrt(F.try_divide(spread, F.sum("finite").cast("double"))).alias("std"))
+
+
+def daily_ic(days: DataFrame, folds: DataFrame) -> DataFrame:
+    """Mean over a fold's training dates of the rank correlation with the target."""
+    return _in_folds(days, folds).groupBy("fold_id", "feature").agg(F.avg("ic").alias("mean_daily_rank_ic"), F.count("ic").alias("dates"))
+
+
 def long_form(matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "fwd_ret_5d") -> DataFrame:
     """(fold_id, date, ticker, target, feature, value) over each fold's training dates; the plan is a few rows."""
     slim = F.broadcast(folds.select("fold_id", "train_start_date", "train_end_date"))
@@ -17,17 +86,6 @@ def long_form(matrix: DataFrame, folds: DataFrame, features: list[str], target:
     return met.unpivot(["fold_id", "date", "ticker", "target"], features, "feature", "value")
 
 
-def feature_stats(long: DataFrame) -> DataFrame:
-    return long.groupBy("fold_id", "feature").agg(F.count("*").alias("rows"), F.avg(F.col("value").isNotNull().cast("double")).alias("non_null_pct"), F.stddev_pop("value").alias("std"))
-
-
-def daily_ic(long: DataFrame) -> DataFrame:
-    """Mean over dates of the rank correlation with the target, per fold and feature: ranks of non-null values, then Pearson."""
-    by = ("fold_id", "feature", "date")
-    ranked = long.select(*by, average_rank("value", *by).alias("v"), average_rank("target", *by).alias("t"))
-    return ranked.groupBy(*by).agg(pearson(F.col("v"), F.col("t")).alias("ic")).groupBy("fold_id", "feature").agg(F.avg("ic").alias("mean_daily_rank_ic"), F.count("ic").alias("dates"))
-
-
 def pooled_rank(df: DataFrame, x: str, by: list[str], out: str, cells: int = 64) -> DataFrame:
     """df with the average rank of non-null x within `by`, for groups too large to sort in one task. Values are counted first,
     the counts are summed within cells between approximate quantiles, and whole cells below are added: exact for any cells,
@@ -63,18 +121,32 @@ def summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def correlations(long: DataFrame, stride: int = 20) -> DataFrame:
+CORRELATED = "fold_id int, feature_a string, feature_b string, c double"
+
+
+def correlations(matrix: DataFrame, folds: DataFrame, features: list[str], stride: int = 20) -> DataFrame:
     """|Spearman| of feature pairs per fold on every `stride`-th training date, then mean and maximum over folds.
 
-    Pairs meet by joining on (fold, date, ticker): as many rows as the sample times pairs of columns, no row pairs.
+    Dates are numbered among a fold's distinct dates (few rows), so only the sample's rows meet their fold; a fold's sample
+    is one array of (dates / stride) x names x features numbers.
     """
-    every = long.withColumn("_d", F.dense_rank().over(Window.partitionBy("fold_id", "feature").orderBy("date"))).where((F.col("_d") - 1) % stride == 0)
-    ranks = every.select("fold_id", "date", "ticker", "feature", average_rank("value", "fold_id", "feature").alias("r"))
-    wide = ranks.groupBy("fold_id", "date", "ticker").agg(F.array_sort(F.collect_list(F.struct("feature", "r"))).alias("f"))
-    pairs = F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: b["feature"] > a["feature"]), lambda b: F.struct(a["feature"].alias("a"), b["feature"].alias("b"), a["r"].alias("x"), b["r"].alias("y")))))
-    met = wide.select("fold_id", F.explode(pairs).alias("p")).select("fold_id", "p.*")
-    per = met.groupBy("fold_id", "a", "b").agg(F.abs(pearson(F.col("x"), F.col("y"))).alias("c"))
-    return per.groupBy(F.col("a").alias("feature_a"), F.col("b").alias("feature_b")).agg(F.count("c").alias("folds"), F.avg("c").alias("mean_abs_corr"), F.max("c").alias("max_abs_corr"))
+    dates = _in_folds(matrix.select("date").distinct(), folds).select("fold_id", "date")
+    chosen = dates.withColumn("_i", F.row_number().over(Window.partitionBy("fold_id").orderBy("date")) - 1).where(F.col("_i") % stride == 0)
+    rows = matrix.select("date", *(F.round(F.col(f).cast("double"), 9).alias(f) for f in features)).join(F.broadcast(chosen.drop("_i")), "date")
+
+    def judge(part: pa.Table) -> pa.Table:
+        ranks = [average_ranks(part.column(f).to_numpy().astype(float)) for f in features]
+        fold = part.column("fold_id")[0].as_py()
+        out = []
+        for i, a in enumerate(features):
+            for j in range(len(features)):
+                if a < features[j]:
+                    c = correlation(ranks[i], ranks[j])
+                    out.append((fold, a, features[j], None if c is None else abs(c)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.string(), pa.string(), pa.float64()])], names=["fold_id", "feature_a", "feature_b", "c"])
+
+    per = rows.groupBy("fold_id").applyInArrow(judge, CORRELATED)
+    return per.groupBy("feature_a", "feature_b").agg(F.count("c").alias("folds"), F.avg("c").alias("mean_abs_corr"), F.max("c").alias("max_abs_corr"))
 
 
 def reject_reasons(found: DataFrame, min_non_null: float = 0.8, min_std: float = 1e-8, min_ic: float = 0.002, min_stability: float = 0.6) -> DataFrame:
@@ -83,7 +155,7 @@ def reject_reasons(found: DataFrame, min_non_null: float = 0.8, min_std: float =
     for t in LEAKAGE_TOKENS:
         leak = leak | F.lower("feature").contains(t)
     reason = (
-        F.when(leak, "leakage_name").when(F.coalesce(F.col("non_null_pct") < min_non_null, F.lit(True)), "excessive_nulls")
+        F.when(leak, "leakage_name").when(F.coalesce(F.col("finite_pct") < F.col("non_null_pct"), F.lit(False)), "non_finite").when(F.coalesce(F.col("non_null_pct") < min_non_null, F.lit(True)), "excessive_nulls")
         .when(F.coalesce(F.col("std") < min_std, F.lit(True)), "near_zero_variance").when(F.coalesce(F.col("abs_mean_rank_ic") < min_ic, F.lit(True)), "weak_rank_ic")
         .when(F.coalesce(F.col("sign_stability") < min_stability, F.lit(True)), "unstable_sign").otherwise("")
     )
@@ -99,3 +171,21 @@ def prune(rejects: list[dict], pairs: dict[frozenset, float], limit: int = 64, m
         if all((pairs.get(frozenset((r["feature"], c))) or 0) < most for c in chosen):
             chosen.append(r["feature"])
     return chosen
+
+
+def selected(found: DataFrame, pairs: DataFrame, limit: int = 64, most: float = 0.95) -> DataFrame:
+    """reject_reasons()' rows with `rank` and `selected`, after pruning by the largest correlation of each pair. Both tables
+    hold one row a feature or pair of features."""
+    rows = [r.asDict() for r in found.collect()]
+    strongest = {frozenset((r["feature_a"], r["feature_b"])): r["max_abs_corr"] for r in pairs.collect()}
+    rank = {f: i + 1 for i, f in enumerate(prune(rows, strongest, limit, most))}
+    spark = found.sparkSession
+    marks = spark.createDataFrame([(r["feature"], rank.get(r["feature"])) for r in rows], "feature string, rank int")
+    out = found.join(F.broadcast(marks), "feature").withColumn("selected", F.col("rank").isNotNull())
+    return out.withColumn("reject_reason", F.when((F.col("reject_reason") == "") & ~F.col("selected"), "redundant_or_beyond_limit").otherwise(F.col("reject_reason")))
+
+
+def freeze(chosen: list[str], settings: dict) -> dict:
+    """A manifest of a selection: the features in order, what they were chosen with, and a digest that changes with either."""
+    body = {"features": list(chosen), "feature_count": len(chosen), "settings": dict(sorted(settings.items()))}
+    return {**body, "sha256": hashlib.sha256(json.dumps(body, sort_keys=True, default=str).encode()).hexdigest()}

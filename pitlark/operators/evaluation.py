@@ -51,10 +51,32 @@ def ic_summary(ics: DataFrame) -> DataFrame:
     return ics.agg(n.alias("dates"), F.avg("ic").alias("mean_ic"), sd.alias("std_ic"), F.when(n > 1, F.try_divide(F.avg("ic"), F.try_divide(sd, F.sqrt(n.cast("double"))))).alias("t_stat"))
 
 
-def score_stats(preds: DataFrame, *by: str) -> DataFrame:
-    q = F.percentile("score", F.array(*(F.lit(x) for x in (0.01, 0.05, 0.5, 0.95, 0.99))))
-    df = preds.groupBy(*by).agg(F.count("score").alias("rows"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), q.alias("q"))
-    return df.select(*by, "rows", "mean", "std", "min", "max", *(F.col("q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p50", "p95", "p99"))))
+QUANTILES = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def score_stats(preds: DataFrame, *by: str, cells: int = 256) -> DataFrame:
+    """Counts, moments and exact interpolated percentiles. Values are counted, the counts summed in cells between approximate
+    quantiles, and only the few cells that hold a percentile's two neighbours are looked at value by value."""
+    there = preds.where("score IS NOT NULL").withColumn("_all", F.lit(0))
+    key = [*by, "_all"]
+    stats = there.groupBy(*key).agg(F.count("score").alias("rows"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), F.percentile_approx("score", [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
+    counts = there.groupBy(*key, "score").agg(F.count("*").alias("_n")).join(F.broadcast(stats.select(*key, "rows", "_cuts")) if not by else stats.select(*key, "rows", "_cuts"), key)
+    counts = counts.withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    totals = counts.groupBy(*key, "_cell").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumn("_below", F.sum("_t").over(Window.partitionBy(*key).orderBy("_cell")) - F.col("_t"))  # at most `cells` rows a group
+    place = lambda q: F.lit(q) * (F.col("rows") - 1)
+    near = lambda q, low, high: (F.col(high) > F.floor(place(q))) & (F.col(low) <= F.ceil(place(q)))
+    some = counts.join(totals, [*key, "_cell"]).withColumn("_end", F.col("_below") + F.col("_t"))
+    wanted = F.lit(False)
+    for q in QUANTILES.values():
+        wanted = wanted | near(q, "_below", "_end")
+    at = some.where(wanted).withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy(*key, "_cell").orderBy("score")))
+    at = at.withColumn("_from", F.col("_upto") - F.col("_n"))
+    value = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("score")))
+    found = at.groupBy(*key).agg(*(c for n, q in QUANTILES.items() for c in (value(F.floor(place(q))).alias(f"_lo_{n}"), value(F.ceil(place(q))).alias(f"_hi_{n}"))))
+    out = stats.drop("_cuts").join(found, key, "left")
+    weight = lambda q: place(q) - F.floor(place(q))
+    return out.select(*by, "rows", "mean", "std", "min", "max", *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * weight(q)).alias(n) for n, q in QUANTILES.items()))
 
 
 def top_names(preds: DataFrame, n: int, *by: str) -> DataFrame:
@@ -78,7 +100,9 @@ def lagged_scores(preds: DataFrame) -> DataFrame:
 
 
 def _normal(seed: int) -> Column:
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "date", "ticker"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A normal number made of digests of seed, date and ticker (any engine with MD5 gets the same)."""
+    digest = lambda k: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), F.col("date").cast("string"), F.col("ticker")))
+    u = lambda k: (F.conv(F.substring(digest(k), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     return F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(2))
 
 
@@ -135,6 +159,8 @@ def metrics(preds: DataFrame, by: str, buckets: int = 10, quintiles: int = 5, co
     return out.fillna(0, ["rows", "folds", "dates_below_buckets", "dates_below_quintiles", "top_days"])
 
 
+#: The gate's thresholds.
+THRESHOLDS = {"min_rows": 1_000_000, "min_folds": 20, "min_ic_t_stat": 2.0}
 #: (metric, threshold key, rule): below the threshold, or not positive, blocks.
 GATE = [("rows", "min_rows", "min"), ("folds", "min_folds", "min"), ("ic_t_stat", "min_ic_t_stat", "min"), ("mean_ic", None, "positive"), ("long_short_net", None, "positive"), ("top_net", None, "positive")]
 

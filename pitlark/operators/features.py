@@ -38,10 +38,13 @@ def expanded(matrix: DataFrame) -> DataFrame:
 
 def long_only(labelled: DataFrame) -> DataFrame:
     """The 14 long-only features, over the whole panel, then only label-valid rows."""
-    df = add_levels(add_levels(labelled, C.BASELINE), C.LONG_ONLY)
-    df = df.withColumn("_rv", F.round("realized_vol_20d", 9))
+    return _with_long_only(add_levels(labelled, C.BASELINE)).where("label_valid_5d")
+
+
+def _with_long_only(base: DataFrame) -> DataFrame:
+    df = add_levels(base, C.LONG_ONLY).withColumn("_rv", F.round("realized_vol_20d", 9))
     rank = average_rank("_rv", "date") / F.count(F.lit(1)).over(Window.partitionBy("date"))
-    return df.withColumn("vol_regime_rank_by_date", rank).drop("_rv").where("label_valid_5d")
+    return df.withColumn("vol_regime_rank_by_date", rank).drop("_rv")
 
 
 BASELINE_NAMES = C.names(C.BASELINE) + [f"rank_{c}" for c in C.BASELINE_RANKS]
@@ -49,6 +52,41 @@ EXPANDED_NAMES = [n for n in C.names(C.EXPANDED)] + [f"rank_{c}" for c in C.EXPA
 LONG_ONLY_NAMES = C.names(C.LONG_ONLY) + ["vol_regime_rank_by_date"]
 
 
+#: The long-only features of the two phases, and what the ablations leave out of the first.
+PHASE1 = ["mom_20d_vol_adj", "mom_60d_vol_adj", "trend_pos_ret_frac_20d", "pullback_5d_vs_60d", "vol_ratio_5d_20d", "vol_ratio_20d_60d", "atr14_to_vol20", "dollar_volume_ratio_20d_60d"]
+PHASE2 = ["vol_ratio_10d_60d", "range_compression_20d_60d", "vol_regime_rank_by_date", "sma_slope_agreement_20_50", "sma_stack_score_20_50_200", "dollar_volume_accel_10d_60d"]
+FEATURE_SETS = {
+    "baseline": BASELINE_NAMES,
+    "expanded": BASELINE_NAMES + EXPANDED_NAMES,
+    "phase1": BASELINE_NAMES + PHASE1,
+    "phase2_core": BASELINE_NAMES + PHASE2,
+    "phase1_no_momentum_trend": BASELINE_NAMES + PHASE1[3:],
+    "phase1_vol_liq_only": BASELINE_NAMES + PHASE1[4:],
+    "vol20_60_only": BASELINE_NAMES + ["vol_ratio_20d_60d"],
+    "vol_norm60_target": BASELINE_NAMES,
+}
+
+
+def feature_set(labelled: DataFrame, name: str, scoring: bool = False) -> tuple[DataFrame, list[str], str]:
+    """(matrix, its features, the target) of a named set: label-valid rows, or with `scoring` all rows. The volatility-normalized
+    target has its own classes and validity."""
+    features = FEATURE_SETS[name]
+    if name == "expanded":
+        if scoring:
+            raise ValueError("windows of the expanded set count label-valid rows only")
+        return expanded(baseline(labelled)), features, "target_class_5d"
+    if name == "vol_norm60_target":
+        from .panel import volatility_target
+
+        found = baseline(volatility_target(labelled), keep_invalid=True)
+        return (found if scoring else found.where("label_valid_5d_vol_norm60")), features, "target_class_5d_vol_norm60"
+    if name == "baseline":
+        return baseline(labelled, keep_invalid=scoring), features, "target_class_5d"
+    found = add_ranks(add_levels(labelled, C.BASELINE), C.BASELINE_RANKS)
+    found = _with_long_only(found)
+    return (found if scoring else found.where("label_valid_5d")), features, "target_class_5d"
+
+
 @dataclass(frozen=True)
 class Registry:
     features: list[str]

@@ -152,22 +152,27 @@ def fold_plan(spark, sf):
     return W.plan(_labelled(spark, sf).where("label_valid_5d"))
 
 
-RIDGE_FEATURES = ["ret_5d", "ret_20d", "realized_vol_20d", "rsi_14", "dist_sma_50d", "volume_z_20d", "range_pct", "rank_ret_20d"]
+RIDGE_FEATURES = X.BASELINE_NAMES
 
 
 def ridge_walk_forward(spark, sf):
-    m = X.baseline(_labelled(spark, sf))
+    m = settled(X.baseline(_labelled(spark, sf)))
     return rounded(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES), [*KEYS, "fold_id"])
 
 
 def ridge_fold_metrics(spark, sf):
-    m = X.baseline(_labelled(spark, sf))
-    p = W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES)
+    m = settled(X.baseline(_labelled(spark, sf)))
+    p = settled(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES))
     ics = E.rank_ic(p, "fold_id", "date").groupBy("fold_id").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("dates"))
     ls = E.long_short(E.bucketed(p, 10, "fold_id", "date"), 10, 1, 25.0, "fold_id", "date").groupBy("fold_id").agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"))
     return rounded(ics.join(ls, "fold_id", "left"), ["fold_id"])
 
 
+def plan_summary(spark, sf):
+    m = settled(_labelled(spark, sf).where("label_valid_5d").select("date"))
+    return W.plan_summary(W.plan(m), m)
+
+
 #: The models that the ablation queries compare, and a liquidity floor that the derived bars can meet.
 MODELS = {"momentum": "ret_20d", "reversal": "-ret_5d", "calm": "-realized_vol_20d"}
 FLOOR = 30_000.0
@@ -275,7 +280,7 @@ def option_faults(spark, sf):
 
 
 def option_coverage(spark, sf):
-    candidates = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.max("date").alias("score_date")).where("right(ticker, 1) IN ('1', '2')").withColumn("side", F.lit("long"))
+    candidates = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.max("date").alias("score_date")).withColumn("side", F.lit("long"))
     return O.coverage(O.link(_chains(spark, sf), candidates), candidates)
 
 
@@ -287,12 +292,20 @@ def _long(spark, sf):
     return D.long_form(m, W.plan(m), DISCOVERED)
 
 
+def _days(spark, sf):
+    """What each date says of each feature, and the folds."""
+    m = settled(X.baseline(_labelled(spark, sf)))
+    return m, W.plan(m), settled(D.by_date(m, X.BASELINE_NAMES))
+
+
 def discovery_stats(spark, sf):
-    return rounded(D.feature_stats(_long(spark, sf)), ["fold_id"])
+    _, folds, days = _days(spark, sf)
+    return rounded(D.feature_stats(days, folds), ["fold_id"])
 
 
 def discovery_daily_ic(spark, sf):
-    return rounded(D.daily_ic(_long(spark, sf)), ["fold_id"])
+    m = settled(X.baseline(_labelled(spark, sf)))
+    return rounded(D.daily_ic(D.by_date(m, X.BASELINE_NAMES), W.plan(m)), ["fold_id"])
 
 
 def discovery_fold_ic(spark, sf):
@@ -300,13 +313,32 @@ def discovery_fold_ic(spark, sf):
 
 
 def discovery_correlations(spark, sf):
-    return rounded(D.correlations(_long(spark, sf)), [])
+    m = settled(X.baseline(_labelled(spark, sf)))
+    return rounded(D.correlations(m, W.plan(m), X.BASELINE_NAMES), [])
+
+
+def _judged(folds, days):
+    stats = D.feature_stats(days, folds).groupBy("feature").agg(F.avg("non_null_pct").alias("non_null_pct"), F.avg("finite_pct").alias("finite_pct"), F.avg("std").alias("std"))
+    return D.reject_reasons(D.summary(D.daily_ic(days, folds)).join(stats, "feature"))
 
 
 def selection(spark, sf):
-    long = _long(spark, sf)
-    stats = D.feature_stats(long).groupBy("feature").agg(F.avg("non_null_pct").alias("non_null_pct"), F.avg("std").alias("std"))
-    return rounded(D.reject_reasons(D.summary(D.daily_ic(long)).join(stats, "feature")), [])
+    _, folds, days = _days(spark, sf)
+    return rounded(_judged(folds, days).drop("fold_ics"), [])
+
+
+def selected_features(spark, sf):
+    """The selection after pruning by correlation, with the maps of fold correlations."""
+    m, folds, days = _days(spark, sf)
+    return rounded(D.selected(settled(_judged(folds, days)), D.correlations(m, folds, X.BASELINE_NAMES)), [])
+
+
+def research_gate(spark, sf):
+    """The gate over the computed metrics of the momentum score: one row."""
+    row = model_metrics(spark, sf).first().asDict()
+    found = E.gate(row | {"long_short_net": row["net"], "turnover": row["top_turnover"]}, E.THRESHOLDS)
+    facts = [(row["model"], found["status"], ";".join(found["blockers"]), ";".join(found["warnings"]), ";".join(f"{k}:{v}" for k, v in found["checks"].items()))]
+    return spark.createDataFrame(facts, "model string, status string, blockers string, warnings string, checks string")
 
 
 def zero_volume(spark, sf):
@@ -341,12 +373,18 @@ def raw_validation(spark, sf):
     return B.reject_counts(B.validate(raw))
 
 
-def signals(spark, sf):
+def momentum_signals(spark, sf):
     labelled = _labelled(spark, sf)
     return rounded(W.signals(_preds(spark, sf), labelled), KEYS)
 
 
-_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
+def signals(spark, sf):
+    """Candidates of the last date, scored by a ridge on all rows before it."""
+    panel = settled(X.baseline(_labelled(spark, sf), keep_invalid=True))
+    return rounded(W.signals(W.daily_scores(panel, RIDGE_FEATURES), panel), KEYS)
+
+
+_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, momentum_signals, plan_summary, selected_features, research_gate, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
 
 
 def queries() -> dict[str, Query]:
@@ -368,9 +406,13 @@ def oracle_sql() -> dict[str, str]:
     long = f"""{Q.BASELINE}, {Q.PLAN[len(Q.LABELLED) + 2:]},
 long AS (SELECT p.fold_id, m.date, m.ticker, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date,
   LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in DISCOVERED)}) AS u(feature, value))"""
-    daily = f"""{long},
-daily AS (SELECT fold_id, feature, avg(ic) AS mean_daily_rank_ic, count(ic) AS dates FROM (SELECT fold_id, feature, date, {Q.pearson('v', 't')} AS ic FROM
-  (SELECT fold_id, feature, date, {Q.average_rank('value', 'fold_id, feature, date')} AS v, {Q.average_rank('target', 'fold_id, feature, date')} AS t FROM long) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    every = long.replace(', '.join(f"('{f}', m.{f})" for f in DISCOVERED), ', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)).replace('long AS (', 'long AS MATERIALIZED (').replace('matrix AS (', 'matrix AS MATERIALIZED (')
+    # a date's correlation is that of every fold that trains on it
+    daily = f"""{Q.BASELINE.replace('matrix AS (', 'matrix AS MATERIALIZED (')}, {Q.PLAN[len(Q.LABELLED) + 2:]},
+every AS (SELECT m.date, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m, LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value)),
+feature_days AS MATERIALIZED (SELECT feature, date, {Q.pearson('v', 't')} AS ic FROM (SELECT feature, date, {Q.average_rank('value', 'feature, date')} AS v, {Q.average_rank('target', 'feature, date')} AS t FROM every) GROUP BY 1, 2),
+daily AS (SELECT fold_id, feature, avg(ic) AS mean_daily_rank_ic, count(ic) AS dates FROM feature_days JOIN plan ON date BETWEEN train_start_date AND train_end_date GROUP BY 1, 2)"""
+    stats = "s AS (SELECT fold_id, feature, count(*) AS rows, avg(CAST(value IS NOT NULL AS DOUBLE)) AS non_null_pct, avg(CAST(value IS NOT NULL AND isfinite(value) AS DOUBLE)) AS finite_pct, stddev_pop(value) AS std FROM long GROUP BY 1, 2)"
     out = {
         "bars": r(Q.BARS, "bars", "ticker, date, volume", "open high low close"),
         "gating": r(Q.GATED, "universe", "ticker, date, CAST(history_bars AS INTEGER) AS history_bars, tradable, model_eligible", "median_dollar_volume_20 median_dollar_volume_60 zero_volume_count_20 zero_volume_count_60"),
@@ -396,7 +438,7 @@ v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 't
         "score_stats": r(f"{q}, s AS (SELECT count(score) AS rows, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, " + ", ".join(f"quantile_cont(score, {x}) AS {n}" for x, n in ((0.01, "p01"), (0.05, "p05"), (0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + " FROM preds)", "s", "rows", "mean std min max p01 p05 p50 p95 p99"),
         "turnover_top20": r(f"{q}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rn FROM preds) WHERE rn <= 20), n AS (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM t), u AS (SELECT a.date, count(*) AS names, count(*) FILTER (b.ticker IS NULL) AS new_names, avg(CAST(b.ticker IS NULL AS DOUBLE)) AS turnover FROM n a LEFT JOIN n b ON b.k = a.k - 1 AND b.ticker = a.ticker WHERE a.k > 1 GROUP BY a.date)", "u", "date, names, new_names", "turnover"),
         "fold_plan": f"WITH {Q.PLAN} SELECT * FROM plan",
-        "discovery_stats": r(f"{long}, s AS (SELECT fold_id, feature, count(*) AS rows, avg(CAST(value IS NOT NULL AS DOUBLE)) AS non_null_pct, stddev_pop(value) AS std FROM long GROUP BY 1, 2)", "s", "fold_id, feature, rows", "non_null_pct std"),
+        "discovery_stats": r(f"{every}, {stats}", "s", "fold_id, feature, rows", "non_null_pct finite_pct std"),
         "discovery_daily_ic": r(daily, "daily", "fold_id, feature, dates", "mean_daily_rank_ic"),
         "discovery_fold_ic": r(f"{long}, s AS (SELECT fold_id, feature, {Q.pearson('v', 't')} AS mean_fold_rank_ic FROM (SELECT fold_id, feature, {Q.average_rank('value', 'fold_id, feature')} AS v, {Q.average_rank('target', 'fold_id, feature')} AS t FROM long) GROUP BY 1, 2)", "s", "fold_id, feature", "mean_fold_rank_ic"),
         "zero_volume": r(f"{Q.BARS}, z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_rows, count(*) AS rows, count(*) FILTER (volume = 0) / count(*) AS zero_pct FROM bars GROUP BY 1)", "z WHERE zero_rows > 0", "ticker, zero_rows, rows", "zero_pct"),
@@ -442,6 +484,7 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
     for name, key, source in (
         ("model_metrics", "model", "SELECT 'momentum' AS model, * FROM fold_preds"),
         ("fixed_controls", "control", "SELECT 'active' AS control, * FROM fold_preds UNION ALL SELECT 'constant', * REPLACE (CAST(0 AS DOUBLE) AS score) FROM fold_preds UNION ALL SELECT 'lagged', * REPLACE (lag(score) OVER (PARTITION BY ticker ORDER BY date, fold_id) AS score) FROM fold_preds"),
+        ("negative_controls", "control", "SELECT 'active' AS control, * FROM fold_preds UNION ALL SELECT 'constant', * REPLACE (CAST(0 AS DOUBLE) AS score) FROM fold_preds UNION ALL SELECT 'lagged', * REPLACE (lag(score) OVER (PARTITION BY ticker ORDER BY date, fold_id) AS score) FROM fold_preds" + "".join(f" UNION ALL SELECT 'random_{seed}', * REPLACE (@{seed}@ AS score) FROM fold_preds" for seed in (101, 202))),
     ):
         out[name] = r(f"{scored}, given AS ({source}), used AS (SELECT * FROM given WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL), {Q.metric_parts(key)}, {Q.metrics(key)}", "metrics", f"{key}, missing_rows, rows, folds, min_date, max_date, dates_below_buckets, dates_below_quintiles, top_days", "mean_ic ic_t_stat long_gross long_net short_gross short_net gross net long_hit_rate short_hit_rate top_names top_gross top_net top_turnover decile_turnover")
     c = lambda cond, name: f"count(*) FILTER ({cond}) AS {name}"
@@ -450,24 +493,46 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
     out["master_audit"] = f"WITH {Q.BARS}, t AS (SELECT CAST(substr(ticker, 2, 5) AS INTEGER) AS k, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {c('k % 5 = 0', 'empty_permanent_id')}, {zero(*(f'empty_{x}' for x in A.MASTER_COLUMNS if x not in A.MASTER_OPEN + A.MASTER_FLAGS + ['permanent_id']))}, {c('k % 3 = 0', 'bad_date_listing_date')}, {zero(*(f'bad_date_{x}' for x in A.MASTER_DATES[1:]))}, {', '.join(c('k % 7 = 0', f'bad_flag_{x}') for x in A.MASTER_FLAGS)}, {zero('duplicate_identity', 'reversed_listing')}, {c('k % 4 = 0 AND b > a', 'reversed_ticker')}, {c('k % 2 = 0', 'delisted_rows')} FROM t"
     out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
     out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate', 'negative_volume')} FROM t"
-    out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars WHERE right(ticker, 1) IN ('1', '2') GROUP BY 1"
+    out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars GROUP BY 1"
     out["discovery_correlations"] = r(
-        f"""{long}, every AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY fold_id, feature ORDER BY date) AS d FROM long) WHERE (d - 1) % 20 = 0),
-ranks AS (SELECT fold_id, date, ticker, feature, {Q.average_rank('value', 'fold_id, feature')} AS r FROM every),
+        f"""{every}, sampled AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY fold_id, feature ORDER BY date) AS d FROM long) WHERE (d - 1) % 20 = 0),
+ranks AS MATERIALIZED (SELECT fold_id, date, ticker, feature, {Q.average_rank('value', 'fold_id, feature')} AS r FROM sampled),
 per AS (SELECT a.fold_id, a.feature AS feature_a, b.feature AS feature_b, abs({Q.pearson('a.r', 'b.r')}) AS c FROM ranks a JOIN ranks b ON a.fold_id = b.fold_id AND a.date = b.date AND a.ticker = b.ticker AND a.feature < b.feature GROUP BY 1, 2, 3),
 correlations AS (SELECT feature_a, feature_b, count(c) AS folds, avg(c) AS mean_abs_corr, max(c) AS max_abs_corr FROM per GROUP BY 1, 2)""",
         "correlations", "feature_a, feature_b, folds", "mean_abs_corr max_abs_corr",
     )
+    leak = " OR ".join(f"contains(lower(feature), '{t}')" for t in X.LEAKAGE_TOKENS)
+    out["selection"] = r(
+        f"""{daily}, long AS MATERIALIZED (SELECT p.fold_id, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date, LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value)), {stats},
+means AS (SELECT feature, avg(mean_daily_rank_ic) AS m FROM daily GROUP BY 1),
+folded AS (SELECT feature, count(mean_daily_rank_ic) AS folds_scored, avg(mean_daily_rank_ic) AS mean_ic, abs(avg(mean_daily_rank_ic)) AS abs_mean_rank_ic, coalesce(avg(CASE WHEN m = 0 THEN 0 ELSE CAST(sign(mean_daily_rank_ic) = sign(m) AS DOUBLE) END) FILTER (mean_daily_rank_ic IS NOT NULL), 0) AS sign_stability FROM daily JOIN means USING (feature) GROUP BY 1),
+shares AS (SELECT feature, avg(non_null_pct) AS non_null_pct, avg(finite_pct) AS finite_pct, avg(std) AS std FROM s GROUP BY 1),
+chosen AS (SELECT *, CASE WHEN {leak} THEN 'leakage_name' WHEN finite_pct < non_null_pct THEN 'non_finite' WHEN coalesce(non_null_pct < 0.8, true) THEN 'excessive_nulls' WHEN coalesce(std < 1e-8, true) THEN 'near_zero_variance' WHEN coalesce(abs_mean_rank_ic < 0.002, true) THEN 'weak_rank_ic' WHEN sign_stability < 0.6 THEN 'unstable_sign' ELSE '' END AS reject_reason,
+  abs_mean_rank_ic * sign_stability * non_null_pct AS selection_score FROM folded JOIN shares USING (feature))""",
+        "chosen", "feature, folds_scored, reject_reason", "mean_ic abs_mean_rank_ic sign_stability non_null_pct finite_pct std selection_score",
+    )
+    u = lambda seed, k: f"((('0x' || substr(md5(concat_ws('|', '{seed}', '{k}', CAST(date AS VARCHAR), ticker)), 1, 10))::BIGINT + 0.5) / {1 << 40})"
+    normal = lambda seed: f"(sqrt(-2 * ln({u(seed, 1)})) * cos(2 * pi() * {u(seed, 2)}))"
+    out["random_control_ic"] = r(
+        f"""{q}, drawn AS (SELECT date, fwd_ret_5d, {normal(101)} AS score FROM preds WHERE fwd_ret_5d IS NOT NULL),
+ic AS (SELECT date, {Q.pearson('s', 'r')} AS ic FROM (SELECT date, {Q.average_rank('rs', 'date')} AS s, {Q.average_rank('fr', 'date')} AS r FROM (SELECT date, round(score, 9) AS rs, round(fwd_ret_5d, 9) AS fr FROM drawn)) GROUP BY date),
+s AS (SELECT count(ic) AS dates, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t_stat FROM ic)""",
+        "s", "dates", "mean_ic std_ic t_stat",
+    )
+    for seed in (101, 202):
+        out["negative_controls"] = out["negative_controls"].replace(f"@{seed}@", f"round({normal(seed)}, 12)")
+    out["plan_summary"] = f"WITH {Q.PLAN}, n AS (SELECT count(DISTINCT date) AS dates FROM labelled WHERE label_valid_5d) SELECT count(*) AS folds, min(train_start_date) AS first_train_date, max(test_end_date) AS last_test_date, sum(train_rows)::BIGINT AS train_rows, sum(test_rows)::BIGINT AS test_rows, any_value(dates) AS dates, CASE WHEN any_value(dates) < 568 THEN concat('insufficient_history: ', any_value(dates), ' of 568 dates') ELSE '' END AS warning FROM plan, n"
     out["lagged_control_ic"] = r(
         f"""{q}, used AS (SELECT date, score, round(fwd_ret_5d, 9) AS fr FROM (SELECT date, fwd_ret_5d, lag(score) OVER (PARTITION BY ticker ORDER BY date) AS score FROM preds) WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL),
 ic AS (SELECT date, count(*) AS names, {Q.pearson('s', 'r')} AS ic FROM (SELECT date, {Q.average_rank('score', 'date')} AS s, {Q.average_rank('fr', 'date')} AS r FROM used) GROUP BY date)""",
         "ic", "date, names", "ic",
     )
     ok = "coalesce(l.close >= 10 AND l.zero_volume_count_60 = 0 AND l.history_bars >= 252 AND l.median_dollar_volume_60 >= {}, false)"
-    out["signals"] = r(
-        f"""{q}, newest AS (SELECT * FROM preds WHERE date = (SELECT max(date) FROM preds)), {Q.bucketed('newest')},
+    settled_ctes = q.replace("labelled AS (", "labelled AS MATERIALIZED (").replace("matrix AS (", "matrix AS MATERIALIZED (").replace("preds AS (", "preds AS MATERIALIZED (")
+    out["momentum_signals"] = r(
+        f"""{settled_ctes}, last AS MATERIALIZED (SELECT max(date) AS date FROM preds), newest AS (SELECT preds.* FROM preds JOIN last USING (date)), {Q.bucketed('newest')}, today AS (SELECT labelled.* FROM labelled JOIN last USING (date)),
 found AS (SELECT b.*, l.close, l.median_dollar_volume_60, l.zero_volume_count_60, l.history_bars, CASE WHEN b.bucket = 10 THEN 'long' ELSE 'short' END AS side, {ok.format('25e6')} AS liquid_25m, {ok.format('50e6')} AS liquid_50m
-  FROM bucketed b JOIN labelled l USING (date, ticker) WHERE b.bucket IN (1, 10))""",
+  FROM bucketed b JOIN today l USING (date, ticker) WHERE b.bucket IN (1, 10))""",
         "found", "date, ticker, bucket, CAST(history_bars AS INTEGER) AS history_bars, side, liquid_25m, liquid_50m", "fwd_ret_5d score close median_dollar_volume_60 zero_volume_count_60",
     )
     out["raw_validation"] = f"WITH {Q.BARS}, planted(k, reason) AS (VALUES (3, 'bad_per'), (4, 'bad_time'), (6, 'bad_volume_negative'), (7, 'bad_numeric_volume'), (8, 'bad_ohlc_consistency'), (9, 'bad_numeric_openint')) SELECT reason, count(*) AS rows, count(DISTINCT date) AS distinct_dates FROM bars JOIN planted ON day(date) = k GROUP BY 1"

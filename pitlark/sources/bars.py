@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of raw bar files, by the names in their header.
 RAW_COLUMNS = ["ticker", "per", "date", "time", "open", "high", "low", "close", "vol", "openint"]
 
 
@@ -21,11 +22,33 @@ def bars_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line) of all raw bar files."""
+    lines = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path)
+    return lines.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.regexp_replace("value", "[\\r\\ufeff]", "").alias("line"))
+
+
+def raw_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, columns, missing) of each file: its header's names without their signs, and the columns that it lacks. One row
+    a file; a header is a line that begins with a name in angle brackets."""
+    heads = _lines(spark, path).where(F.col("line").startswith("<")).groupBy("source_file").agg(F.min("line").alias("line"))
+    columns = F.transform(F.split("line", ","), lambda c: F.lower(F.regexp_replace(F.trim(c), "[<>]", "")))
+    every = _lines(spark, path).select("source_file").distinct().join(heads, "source_file", "left").select("source_file", F.coalesce(columns, F.array().cast("array<string>")).alias("columns"))
+    return every.withColumn("missing", F.array_except(F.array(*map(F.lit, RAW_COLUMNS)), "columns"))
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, reason) of the files that lack a column: all their rows are rejected."""
+    return raw_headers(spark, path).where(F.size("missing") > 0).select("source_file", F.concat(F.lit("missing_columns:"), F.array_join("missing", ",")).alias("reason"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All-string raw bar files <TICKER>,<PER>,... with the file's name; header signs are dropped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
-    return df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """All-string raw bar files with the file's name. A file's fields are named by its own header, whatever their order; files that
+    lack a column are left out (rejected_files names them)."""
+    heads = raw_headers(spark, path).where(F.size("missing") == 0).select("source_file", "columns")
+    rows = _lines(spark, path).where(~F.col("line").startswith("<") & (F.trim("line") != "")).join(heads, "source_file")
+    named = rows.withColumn("f", F.split("line", ","))
+    return named.select(*(F.get("f", (F.array_position("columns", c) - 1).cast("int")).alias(c) for c in RAW_COLUMNS), "source_file")
 
 
 def raw_text_of(bars: DataFrame) -> DataFrame:
@@ -51,6 +74,7 @@ def time_value(x) -> F.Column:
     return F.when(F.length(t) < 6, F.lpad(t, 6, "0")).otherwise(t)
 
 
+#: The names of the rules, in order.
 REASONS = ["bad_per", "bad_time", "bad_date", "bad_numeric_ohlc", "bad_numeric_volume", "bad_ohlc_positive", "bad_volume_negative", "bad_ohlc_consistency", "duplicate_ticker_date", "bad_numeric_openint"]
 
 
@@ -88,6 +112,25 @@ def valid_bars(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("reasons") == 0).select(F.col("p_date").alias("date"), F.col("ticker").alias("raw_ticker"), F.col("p_ticker").alias("ticker"), *(F.col(f"p_{c}").alias(c) for c in ("open", "high", "low", "close")), F.col("p_vol").cast("long").alias("volume"), F.col("p_openint").cast("long").alias("openint"), "source_file", F.year("p_date").alias("year"))
 
 
+def reject_details(validated: DataFrame) -> DataFrame:
+    """One row per broken rule of a row: the file, the row's text and the reason."""
+    return validated.where(F.size("reasons") > 0).select("source_file", *RAW_COLUMNS, F.explode("reasons").alias("reason"))
+
+
+def zero_volume_warnings(validated: DataFrame) -> DataFrame:
+    """Valid rows without volume."""
+    return validated.where((F.size("reasons") == 0) & (F.col("p_vol") == 0)).select("source_file", "ticker", "date", F.lit("zero_volume_bar").alias("warning"))
+
+
+def validation_summary(validated: DataFrame) -> DataFrame:
+    """Per file: rows, valid and rejected rows, warnings, first and last valid date."""
+    ok = F.size("reasons") == 0
+    return validated.groupBy("source_file").agg(
+        F.count("*").alias("rows"), F.count_if(ok).alias("valid_rows"), F.count_if(~ok).alias("rejected_rows"), F.count_if(ok & (F.col("p_vol") == 0)).alias("zero_volume_rows"),
+        F.min(F.when(ok, F.col("p_date"))).alias("min_date"), F.max(F.when(ok, F.col("p_date"))).alias("max_date"),
+    )
+
+
 def reject_counts(validated: DataFrame) -> DataFrame:
     """Rows per broken rule (a row counts once for each)."""
     return validated.select(F.explode("reasons").alias("reason"), "date").groupBy("reason").agg(F.count("*").alias("rows"), F.countDistinct("date").alias("distinct_dates"))

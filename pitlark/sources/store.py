@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import functools
+import atexit
 import json
 import math
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,19 +15,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@functools.cache
-def _local() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='pitlark-')}"
+_ROOTS: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, removed when the driver ends. Where that is unset, a temporary folder
+    of this machine if the master is local (as in tests), an error on a cluster: its executors share no such folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='pitlark-')}"
+        _ROOTS[app] = f"{base.rstrip('/')}/pitlark-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _ROOTS[app])
+    return _ROOTS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes an application's intermediate tables; a session that is stopped already leaves them to its folder's owner."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM is gone
+        if path.startswith("file://"):
+            shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; a temporary folder only where that is unset, as in tests) and read
-    back: several readers share one computation, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local()
-    path = f"{base}/pitlark-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: several readers share one computation, and a lost executor loses none of
+    it."""
+    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,8 +61,16 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def guard(path: str, root: str, forbidden: str = "raw_txt") -> str:
-    """path, if it lies inside root and outside raw data; nothing else may be overwritten."""
+def guard(path: str, root: str, forbidden: str = "raw_txt", source: str | None = None) -> str:
+    """path, if it lies inside root, outside raw data and outside what is read; nothing else may be overwritten. Paths with a
+    scheme are compared as they stand."""
+    if "://" in path or "://" in root:
+        inside = os.path.normpath(path).startswith(os.path.normpath(root) + os.sep)
+        if not inside or forbidden in path.split("/") or (source and os.path.normpath(source).startswith(os.path.normpath(path) + os.sep)):
+            raise ValueError(f"not a place for outputs: {path}")
+        return path
+    if source and (os.path.realpath(source) + os.sep).startswith(os.path.realpath(path) + os.sep):
+        raise ValueError(f"not a place for outputs, as it holds the input: {path}")
     real, base = os.path.realpath(path), os.path.realpath(root)
     if real == base or not real.startswith(base + os.sep) or forbidden in real[len(base):].split(os.sep):
         raise ValueError(f"not a place for outputs: {path}")
