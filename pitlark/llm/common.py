@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from ..sources.store import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="spark-pitlark-"))
-    return _LOCAL[0]
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends here and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/pitlark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: the lineage ends here and survives a lost executor. The folder's tables
+    are deleted when the driver ends."""
+    return settled(df)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
@@ -50,6 +36,12 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < keep)
 
 
+def bounded_repeats(sample: DataFrame, most: int = 4) -> DataFrame:
+    """At most `most` different texts of each doc_id, for fitting on labelled rows: ids that repeat do not swell the sample."""
+    found = sample.groupBy(*(c for c in sample.columns if c != "text"), F.pmod(F.xxhash64("text"), F.lit(most)).alias("_part")).agg(F.min("text").alias("text"))
+    return found.select(sample.columns)
+
+
 def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst) links of long ids -> (node, component), component being the smallest id reachable.
 

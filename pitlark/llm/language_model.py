@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +34,13 @@ from .common import materialize, remainder, table
 
 HELD_OUT = 10
 #: Tokens after which a batch ends (with its document), and keys a shard should hold.
-BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 19
+BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 20
 #: Words of the longest n-gram; n-grams of two words or more that are seen less often in training are no arcs.
 ORDER, MIN_COUNT = 3, 2
 #: Discounts are multiples of 1 / PARTS, so that sums of them are whole numbers.
 PARTS = 256
 #: Ranges that one row of requests is cut into, and batches whose requests are merged, on each step of an exchange.
-FAN = 256
+FAN = 64
 END = xxhash.xxh64_intdigest(b"end", 1)
 
 
@@ -344,7 +344,7 @@ def lm_scores(docs: DataFrame, modulus: int = HELD_OUT, order: int = ORDER, batc
     out); an empty table gives no rows; with nothing to learn from every token has probability 1 / (V + 1) = 1.
     """
     # one shuffle by batch serves the later passes
-    spread = tokenize(docs, modulus, batch_tokens).repartition("batch").persist(StorageLevel.DISK_ONLY)
+    spread = tokenize(docs, modulus, batch_tokens).repartition("batch").persist()
     n_batches, n_words = (x or 0 for x in spread.agg(F.count("*"), F.sum("n_words")).first())
     # so many steps that a range of the last one holds about shard_keys keys
     steps = max(1, math.ceil(math.log(max(2.0, 4 * n_words / shard_keys), FAN)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_repeats, bounded_sample, table
 
 BUCKETS = 2048
 SAMPLE_ROWS = 8_000
@@ -125,7 +125,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, b
     doc_id. Features are made in Spark tasks; the driver gets sample_rows x buckets numbers."""
     rated = ratings.where("rating IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("rating").cast("double").alias("rating"))
     chosen = bounded_sample(rated, "doc_id", sample_rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "rating")
+    sample = bounded_repeats(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "rating")).select("text", "rating")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(buckets)
@@ -145,7 +145,8 @@ def grade(docs: DataFrame, model: CumulativeLink) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, expected_grade, tails (P(grade >= k) for each grade above the lowest).
 
     Null, empty and blank texts are scored like any other; rows are kept one to one; with fewer than two different
-    ratings the expected grade is the one there is (0 without any) and tails are empty.
+    ratings the expected grade is the one there is (0 without any) and tails are empty. A null doc_id stays null; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

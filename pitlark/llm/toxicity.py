@@ -2,9 +2,10 @@
 
 Voters: words of a fixed lexicon, patterns, and words and word beginnings mined from labelled rows as near-certain
 signs; each votes toxic or abstains, and one more votes clean where all abstain. The label model gives each voter a
-rate of firing on either class and a share of its evidence that correlated voters do not already give; EM over the vote patterns of all documents to learn from (a bounded table of patterns,
-counted in Spark) estimates rates, correlations and the class balance. A logistic regression on hashed text then
-learns the posterior labels of a bounded sample, and scores every whole text.
+rate of firing on either class and a share of its evidence that correlated voters do not already give. EM over the vote
+patterns of all documents to learn from estimates rates, correlations and the class balance: patterns are counted and kept
+in Spark, and each round's tasks add up the expected votes and pairs of votes of either class. A logistic regression on
+hashed text then learns the posterior labels of a bounded sample, and scores every whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder, table
+from ..functions.arrays import summed
+from .common import bounded_repeats, bounded_sample, materialize, remainder, table
 
 HELD_OUT = 5
 #: The score of every document where no label can be learnt from.
@@ -119,41 +121,64 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, anchor: np.ndarray, balance: float, rounds: int = 50) -> LabelModel:
-    """EM over distinct vote patterns (rows of 0/1) with their document counts. anchor: first guess of P(toxic) per row.
+def expected(votes: np.ndarray, counts: np.ndarray, model: LabelModel) -> np.ndarray:
+    """What a round needs of some vote patterns (rows of 0/1 with their document counts), flat: per class the documents, those
+    without a vote, the votes, and the pairs of votes."""
+    post = model.posterior(votes)
+    quiet = votes.sum(1) == 0
+    out = []
+    for w in (counts * (1 - post), counts * post):
+        out += [[w.sum(), w[quiet].sum()], w @ votes, ((votes * w[:, None]).T @ votes).ravel()]
+    return np.concatenate(out)
+
+
+def refitted(sums: np.ndarray, voters: int) -> LabelModel:
+    """The label model of expected sums.
 
     Correlation of two voters: how much more often they agree within a class than independent ones would (the larger
     of the two classes' correlations). A voter's evidence is divided by one plus its correlations with the others.
     """
-    m = votes.shape[1]
-    n = counts.sum()
-    post, share = anchor.astype(float), np.ones(m)
-    quiet = votes.sum(1) == 0
-    model = LabelModel(np.full((2, m), 0.5), share, balance, np.ones(2))
-    for k in range(rounds):
-        w1, w0 = counts * post, counts * (1 - post)
-        prior = np.clip(counts @ votes / max(n, 1), 1e-6, 0.5)
-        r1 = (w1 @ votes + 2 * np.maximum(prior, 0.01)) / (w1.sum() + 2)
-        r0 = (w0 @ votes + 0.5 * np.minimum(prior, 0.001)) / (w0.sum() + 0.5)
-        # voters only ever argue for toxic: a voter cannot fire more on clean text
-        r1 = np.clip(np.maximum(r1, 1.5 * r0), 1e-7, 0.995)
-        r0 = np.clip(r0, 1e-8, 0.99)
-        if k % 10 == 0:
-            own = np.zeros((m, m))
-            for w in (w1, w0):
-                mean = w @ votes / max(w.sum(), 1e-9)
-                cov = (votes * w[:, None]).T @ votes / max(w.sum(), 1e-9) - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                own = np.maximum(own, np.where(np.minimum.outer(mean, mean) * w.sum() > 5, cov / np.outer(sd, sd), 0))
-            np.fill_diagonal(own, 0)
-            share = 1 / (1 + np.where(own > 0.3, own, 0).sum(1))
-        balance = float(np.clip(w1.sum() / max(n, 1e-9), 0.002, 0.6))
-        silence = np.array([(w[quiet].sum() + a) / (w.sum() + 1) for w, a in ((w0, 0.9), (w1, 0.1))])
-        model = LabelModel(np.stack([r0, r1]), share, balance, silence)
-        new = model.posterior(votes)
-        if np.abs(new - post).max() < 1e-6:
+    m = voters
+    clean, toxic = sums[: len(sums) // 2], sums[len(sums) // 2 :]
+    n0, n1 = clean[0], toxic[0]
+    prior = np.clip((clean[2 : 2 + m] + toxic[2 : 2 + m]) / max(n0 + n1, 1), 1e-6, 0.5)
+    r1 = (toxic[2 : 2 + m] + 2 * np.maximum(prior, 0.01)) / (n1 + 2)
+    r0 = (clean[2 : 2 + m] + 0.5 * np.minimum(prior, 0.001)) / (n0 + 0.5)
+    # voters only ever argue for toxic: a voter cannot fire more on clean text
+    r1 = np.clip(np.maximum(r1, 1.5 * r0), 1e-7, 0.995)
+    own = np.zeros((m, m))
+    for part, n in ((toxic, n1), (clean, n0)):
+        mean, pairs = part[2 : 2 + m] / max(n, 1e-9), part[2 + m :].reshape(m, m) / max(n, 1e-9)
+        sd = np.sqrt(np.maximum(mean - mean**2, 1e-9))
+        own = np.maximum(own, np.where(np.minimum.outer(mean, mean) * n > 5, (pairs - np.outer(mean, mean)) / np.outer(sd, sd), 0))
+    np.fill_diagonal(own, 0)
+    share = 1 / (1 + np.where(own > 0.3, own, 0).sum(1))
+    balance = float(np.clip(n1 / max(n0 + n1, 1e-9), 0.002, 0.6))
+    silence = np.array([(part[1] + a) / (part[0] + 1) for part, a in ((clean, 0.9), (toxic, 0.1))])
+    return LabelModel(np.stack([np.clip(r0, 1e-8, 0.99), r1]), share, balance, silence)
+
+
+def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = 30) -> LabelModel:
+    """EM over all vote patterns, patterns(votes: numbers joined by commas, n). No pattern is left out and none leaves Spark."""
+    voters, model = start.rates.shape[1], start
+    for _ in range(rounds):
+
+        def add(batches: Iterator[pa.RecordBatch], model: LabelModel = model) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in (b.slice(lo, 5_000) for b in batches for lo in range(0, b.num_rows, 5_000)):
+                votes = np.zeros((batch.num_rows, voters))
+                for i, v in enumerate(batch.column(0).to_pylist()):
+                    votes[i, [int(x) for x in v.split(",") if x]] = 1
+                total = total + expected(votes, batch.column(1).to_numpy().astype(float), model)
+            if not isinstance(total, float):
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()])], ["key", "data"])
+
+        sums = summed(patterns.select("votes", "n").mapInArrow(add, "key long, data binary"))
+        if not sums:
+            return model
+        before, model = model, refitted(sums[0], voters)
+        if np.abs(np.log(model.rates / before.rates)).max() < 1e-3 and np.abs(model.share - before.share).max() < 1e-3:
             break
-        post = new
     return model
 
 
@@ -203,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = bounded_sample(known.where("toxic > 0"), "doc_id", sample_rows[0]).unionByName(bounded_sample(known.where("toxic <= 0"), "doc_id", sample_rows[1]))
     there = {r["bad"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).count().collect()}
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # a doc_id that repeats brings its first few rows only, so the bound on labelled rows holds for documents
+    sample = bounded_repeats(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,13 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
                 seen[",".join(map(str, sorted(mine_.votes(t, words_of(t)))))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
-    patterns = docs.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    # one row per vote pattern; the label model is fitted on the 20,000 most frequent ones
-    table_ = patterns.orderBy(F.desc("n"), "votes").limit(20_000).collect()
-    votes = np.zeros((len(table_), len(names)))
-    for i, r in enumerate(table_):
-        votes[i, [int(x) for x in r["votes"].split(",") if x]] = 1
-    counts = np.array([r["n"] for r in table_], float)
+    patterns = materialize(docs.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")))
     sample_votes = np.zeros((len(rows), len(names)))
     for i, (r, w) in enumerate(zip(rows, texts)):
         sample_votes[i, list(voters.votes(r[2], w))] = 1
@@ -243,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
     weight = np.where(truth > 0, there.get(True, 0) / n1, there.get(False, 0) / n0)
     base = float(np.clip(there.get(True, 0) / max(1, sum(there.values())), 0.005, 0.5))
     start = LabelModel(np.stack([((1 - truth) @ sample_votes + 0.05) / (n0 + 5), (truth @ sample_votes + 0.5) / (n1 + 5)]), np.ones(len(names)), base, np.array([0.9, 0.1]))
-    model = fit_label_model(votes, counts, start.posterior(votes), base)
+    model = fit_label_model(patterns, start)
     target = model.posterior(sample_votes)
     buckets = [np.unique(np.array([b for w in ws for b in buckets_of(w)], np.int64)) for ws in texts]
     return fit_classifier(buckets, target, weight)
