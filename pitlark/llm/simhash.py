@@ -9,6 +9,7 @@ Survivors are verified with the exact number of differing bits. Spark splits hot
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,13 +97,89 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the row whose doc_id is the component's id.
+#: The pipeline's stage: words of a shingle, the share of shingles from which texts are one, the bits that fingerprints of such
+#: texts may differ in (10 are expected at 0.8, one pair in 100,000 differs in more), and words of a passage and its least.
+STAGE_WORDS, MIN_SIMILARITY, MAX_APART = 5, 0.8, 22
+PASSAGE_WORDS, LEAST_WORDS = 24, 12
 
-    Rows without a doc_id stay (nothing can be said of them). Of rows that repeat a kept doc_id all stay: they are the
-    same document.
+
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> set[bytes]:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < words:
+        return {b" ".join(found)} if found else set()
+    return set(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+
+
+def similarity(a: str | None, b: str | None, words: int = STAGE_WORDS) -> float:
+    """Jaccard similarity of the texts' shingles; two wordless texts are alike."""
+    x, y = shingle_set(a, words), shingle_set(b, words)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def passages(text: str | None) -> list[int]:
+    """Hashes of the passages that a text's own words cut it into: a passage ends where two words' hash says so, every
+    PASSAGE_WORDS on average, so an edit changes the passage it is in and leaves the others. Shorter ones than LEAST_WORDS
+    are left out, unless the text has no other."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return []
+    codes = np.fromiter(map(zlib.crc32, found), np.uint32, len(found)).astype(np.uint64)
+    ends = np.nonzero((codes[:-1] * np.uint64(31) + codes[1:]) % np.uint64(PASSAGE_WORDS) == 0)[0] + 2
+    cuts = sorted({0, *ends.tolist(), len(found)})
+    out = {_signed(b" ".join(found[i:j])) for i, j in zip(cuts, cuts[1:]) if j - i >= LEAST_WORDS}
+    return sorted(out or {_signed(b" ".join(found))})
+
+
+def _signed(data: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(data, SEED), "big", signed=True)
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                rows.append((_signed(b" ".join(found)), fingerprint(text, words), len(found), passages(text)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "same", "fp", "n", "passages"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, fp long, n long, passages array<long>")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """docs without all but one document of each group of near-duplicates: the one with the smallest doc_id stays.
+
+    Near-duplicates have at least `min_similarity` of their five-word shingles in common, checked on the texts. Candidates are
+    the links of the fingerprint range join (3 bits), and each text with one other of those that share a passage with it,
+    another one for every passage, so no group is expanded into pairs; fingerprints too far apart for the similarity are
+    left out. Texts of equal words are one point. Rows without a doc_id stay (nothing can be said of them). Of rows that
+    repeat a kept doc_id all stay: they are the same document.
     """
-    marks = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    rows = materialize(_described(docs, words))
+    points = materialize(rows.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("passages").alias("passages")))
+    me = F.struct("rep", "fp", "n")
+    spots = points.select(F.explode("passages").alias("key"), me.alias("me"))
+    hubs = spots.groupBy("key").agg(F.min_by("me", F.xxhash64("key", "me.rep")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    prints = points.groupBy("fp").agg(F.min_by(me, "rep").alias("hub"))
+    far = F.bit_count(F.col("me.fp").bitwiseXOR(F.col("hub.fp")))
+    size = F.least("me.n", "hub.n") >= (min_similarity - 0.1) * F.greatest("me.n", "hub.n") - words  # words, not shingles: with a margin
+    met = spots.join(hubs, "key").where((F.col("me.rep") != F.col("hub.rep")) & (far <= MAX_APART) & size).select(F.col("me.rep").alias("a"), F.col("hub.rep").alias("b"))
+    alike = points.select("fp", "rep").join(prints, "fp").where("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
+    close = near_pairs(prints.select(F.col("hub.rep").alias("rep"), "fp")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = materialize(met.unionByName(alike).unionByName(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [similarity(x, y, words) >= min_similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["src", "dst"]).filter(pa.array(found, pa.bool_()))
+
+    links = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "text_a", "text_b").mapInArrow(verify, "src long, dst long")
+    classes = points.select("same", "rep").join(connected_components(links), F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    marks = rows.join(classes, "same").where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(marks, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -33,6 +33,30 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Texts with a few words changed here and there, copies, short texts and a passage that unlike texts share."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)]
+    shared = " ".join(rng.choice(words, 60))
+    rows = []
+    for k in range(60):
+        text = list(rng.choice(words, rng.integers(40, 500)))
+        for j in range(3):
+            edited = list(text)
+            for at in rng.integers(0, len(text), int(j * len(text) * 0.012 + (j > 0))):
+                edited[at] = "edit"
+            rows.append((10 * k + j, " ".join(edited) if k % 3 else " ".join(edited[:20] + [shared] + edited[20:]), "x"))
+    rows += [(5000, rows[7][1].upper(), "x"), (5001, None, "x"), (5002, "", "x"), (5003, "two words", "x"), (None, rows[0][1], "x")]
+    kept = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).select("doc_id").collect()}
+    text = {i: t for i, t, _ in rows if i is not None}
+    label, pairs = {i: i for i in text}, [(a, b) for a in text for b in text if a < b and simhash.similarity(text[a], text[b]) >= 0.8]
+    for _ in text:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {i for i in text if label[i] == i} | {None}
+    assert want <= kept and len(pairs) > 60 and len(kept - want) <= 0.05 * len(text.keys() - want)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((90, 8))
