@@ -165,19 +165,20 @@ def _fitted(rows: DataFrame, plan_rows: list, features: list[str], alpha: float)
     return out
 
 
-def ridge_predictions(matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "target_class_5d", alpha: float = 1.0, scoring: DataFrame | None = None) -> DataFrame:
+def ridge_predictions(matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "target_class_5d", alpha: float = 1.0, scoring: DataFrame | None = None, is_settled: bool = False) -> DataFrame:
     """Out-of-sample scores of a ridge regression per fold: medians and scales from the fold's training rows only.
 
     Missing values become the median (0 without any), columns are centred and scaled by their population deviation
     (1 where that is 0), the intercept is not penalized. Scored are the matrix's rows on the test dates, or those of
-    `scoring`. Output: fold_id, date, ticker, target, fwd_ret_5d, score and ranks.
+    `scoring`. Output: fold_id, date, ticker, target, fwd_ret_5d, score and ranks. The rows are read several times: they are
+    written once first, unless `is_settled` says that they are already.
     """
     spark = matrix.sparkSession
     cast = [F.col(f).cast("double").alias(f) for f in features]
     keep = lambda df: df.select("date", "ticker", "fwd_ret_5d", F.col(target).cast("double").alias("y"), *cast)
     plan_rows = folds.collect()  # one row a fold
     check_folds(plan_rows)
-    rows = settled(keep(matrix))
+    rows = keep(matrix) if is_settled else settled(keep(matrix))
     solved = _fitted(rows, plan_rows, features, alpha)
     schema = "fold_id int, " + ", ".join(f"m_{i} double" for i in range(len(features))) + ", " + ", ".join(f"w_{i} double" for i in range(len(features))) + ", b double"
     ends = spark.createDataFrame([(r["fold_id"], r["test_start_date"], r["test_end_date"]) for r in plan_rows], "fold_id int, test_start_date date, test_end_date date")

@@ -157,12 +157,12 @@ RIDGE_FEATURES = X.BASELINE_NAMES
 
 def ridge_walk_forward(spark, sf):
     m = settled(X.baseline(_labelled(spark, sf)))
-    return rounded(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES), [*KEYS, "fold_id"])
+    return rounded(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES, is_settled=True), [*KEYS, "fold_id"])
 
 
 def ridge_fold_metrics(spark, sf):
     m = settled(X.baseline(_labelled(spark, sf)))
-    p = settled(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES))
+    p = settled(W.ridge_predictions(m, W.plan(m), RIDGE_FEATURES, is_settled=True))
     ics = E.rank_ic(p, "fold_id", "date").groupBy("fold_id").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("dates"))
     ls = E.long_short(E.bucketed(p, 10, "fold_id", "date"), 10, 1, 25.0, "fold_id", "date").groupBy("fold_id").agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"))
     return rounded(ics.join(ls, "fold_id", "left"), ["fold_id"])
