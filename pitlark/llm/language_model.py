@@ -34,7 +34,7 @@ from .common import materialize, remainder, table
 
 HELD_OUT = 10
 #: Tokens after which a batch ends (with its document), and keys a shard should hold.
-BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 20
+BATCH_TOKENS, SHARD_KEYS = 1_200_000, 1 << 21
 #: Words of the longest n-gram; n-grams of two words or more that are seen less often in training are no arcs.
 ORDER, MIN_COUNT = 3, 2
 #: Discounts are multiples of 1 / PARTS, so that sums of them are whole numbers.
