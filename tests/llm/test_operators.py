@@ -340,6 +340,40 @@ def test_ordinal_fit():
     assert np.isfinite(quality.features(None, quality._Words(64))).all()
 
 
+def test_four_grades_against_brute_force(spark):
+    """Grades 0 to 3 by how much of a text is junk; every row's tails are those of the model's formula on its features."""
+    rng = np.random.default_rng(4)
+    good, junk = [f"word{i}" for i in range(50)], [f"zz{i}#" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(good if rng.random() < g / 3 else junk) for _ in range(60)), "x") for i, g in enumerate(rng.integers(0, 4, 400))]
+    grades = [round(3 * sum(w.startswith("word") for w in t.split()) / 60) for _, t, _ in rows]
+    docs = spark.createDataFrame([*rows, (900, None, "x"), (901, "", "x")], DOCS)
+    model = quality.train(docs.select("doc_id", "text"), spark.createDataFrame([(i, g) for (i, _, _), g in zip(rows, grades)], "doc_id long, rating int"))
+    assert model.grades.tolist() == [0, 1, 2, 3] and (np.diff(model.thresholds) > 0).all()
+    out = {r["doc_id"]: r for r in quality.grade(docs, model).collect()}
+    words = quality._Words(len(model.weights))
+    for i, t, _ in rows[:50]:
+        tails = 1 / (1 + np.exp(model.thresholds - quality.features(t, words) @ model.weights))
+        assert np.allclose(out[i]["tails"], tails, atol=1e-6) and (np.diff(out[i]["tails"]) <= 0).all() and abs(out[i]["expected_grade"] - tails.sum()) < 1e-5
+    assert np.corrcoef([out[i]["expected_grade"] for i, _, _ in rows], grades)[0, 1] > 0.9 and len(out) == 402
+
+
+def test_label_model_sums_are_those_of_all_patterns(spark):
+    """The rounds in Spark against the same rounds over one array of documents."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(3000) < 0.2
+    votes = np.array([[rng.random() < (0.6 if y else 0.002) for _ in range(5)] for y in truth], float)
+    votes[:, 4] = votes[:, 3]  # two voters that always agree
+    patterns = Counter(",".join(str(j) for j in np.nonzero(v)[0]) for v in votes)
+    start = toxicity.LabelModel(np.array([[0.05] * 5, [0.4] * 5]), np.ones(5), 0.2, np.array([0.9, 0.1]))
+    model = toxicity.fit_label_model(spark.createDataFrame(list(patterns.items()), "votes string, n long"), start, rounds=4)
+    want = start
+    for _ in range(4):
+        want = toxicity.refitted(toxicity.expected(votes, np.ones(len(votes)), want), 5)
+    assert np.allclose(model.rates, want.rates) and np.allclose(model.share, want.share) and abs(model.balance - want.balance) < 1e-9
+    assert model.share[4] < 0.7 < model.share[0] and abs(model.balance - truth.mean()) < 0.05
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     vocab = [f"{a}{b}" for a in ("ba", "co", "du") for b in ("lin", "tor", "mex", "sap", "rud")]
