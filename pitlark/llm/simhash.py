@@ -101,6 +101,8 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
 #: texts may differ in (10 are expected at 0.8, one pair in 100,000 differs in more), and words of a passage and its least.
 STAGE_WORDS, MIN_SIMILARITY, MAX_APART = 5, 0.8, 22
 PASSAGE_WORDS, LEAST_WORDS = 24, 12
+#: Orders by which the passages' common partners are chosen.
+PARTNERS = 3
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS) -> set[bytes]:
@@ -152,7 +154,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, min_similari
 
     Near-duplicates have at least `min_similarity` of their five-word shingles in common, checked on the texts. Candidates are
     the links of the fingerprint range join (3 bits), and each text with one other of those that share a passage with it,
-    another one for every passage, so no group is expanded into pairs; fingerprints too far apart for the similarity are
+    by PARTNERS orders over the passages, so no group is expanded into pairs; fingerprints too far apart for the similarity are
     left out. Texts of equal words are one point. Rows without a doc_id stay (nothing can be said of them). Of rows that
     repeat a kept doc_id all stay: they are the same document.
     """
@@ -160,7 +162,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, min_similari
     points = materialize(rows.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("passages").alias("passages")))
     me = F.struct("rep", "fp", "n")
     spots = points.select(F.explode("passages").alias("key"), me.alias("me"))
-    hubs = spots.groupBy("key").agg(F.min_by("me", F.xxhash64("key", "me.rep")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # of a group of copies the same few texts are the partners for all passages, so a member is checked a few times only
+    hubs = spots.groupBy("key").agg(F.min_by("me", F.xxhash64(F.pmod("key", F.lit(PARTNERS)), "me.rep")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     prints = points.groupBy("fp").agg(F.min_by(me, "rep").alias("hub"))
     far = F.bit_count(F.col("me.fp").bitwiseXOR(F.col("hub.fp")))
     size = F.least("me.n", "hub.n") >= (min_similarity - 0.1) * F.greatest("me.n", "hub.n") - words  # words, not shingles: with a margin
