@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import summed
 from .common import materialize, table
 
 #: Columns of the matrix, its passages' words, and the directions kept.
@@ -158,14 +159,10 @@ def passage_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
             counts[-1] += passage[-1] + 1
             cells = np.sort(passage * TERMS + term)
             counts[:-1] += np.bincount(cells[np.diff(cells, prepend=-1) > 0] % TERMS, minlength=TERMS)
-        at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([counts.astype(float).tobytes()])], ["key", "data"])
 
-    found = tokens.select("words").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(TERMS + 1, np.int64)
-    for r in found.collect():  # at most TERMS + 1 rows
-        out[r["term"]] = r["n"]
-    return int(out[-1]), out[:-1]
+    found = summed(tokens.select("words").mapInArrow(run, "key long, data binary")).get(0, np.zeros(TERMS + 1))
+    return int(found[-1]), found[:-1].astype(np.int64)
 
 
 def term_weights(n: int, counts: np.ndarray) -> np.ndarray:
@@ -205,16 +202,19 @@ def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tup
             for b, found in zip(batch.column(0).to_pylist(), batch.column(1)):
                 sums[b] = sums.get(b, 0.0) + np.frombuffer(found.as_buffer(), np.float32).astype(np.float64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["block", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.float32).tobytes() for v in sums.values()])], ["block", "share"])
 
     kind = "block long, share binary"
     shares = tokens.select("words").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
-    z = np.zeros((TERMS, rank))
+    z = np.zeros((TERMS, rank), np.float32)
     for r in shares.collect():  # TERMS x rank numbers
-        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"]).reshape(-1, rank)
-    v, s, _ = np.linalg.svd(z, full_matrices=False)
-    v = v * (s > 1e-6 * max(s[0], 1e-30))
-    return (v * weight[:, None]).astype(np.float32), _unit((v * np.sqrt(s)).astype(np.float32))
+        z[r["block"] : r["block"] + block] = np.frombuffer(r["share"], np.float32).reshape(-1, rank)
+    # left singular vectors and values of z, from the rank x rank products
+    squared, right = np.linalg.eigh((z.T @ z).astype(float))
+    s = np.sqrt(np.maximum(squared, 0))
+    kept = s > 1e-3 * max(s[-1], 1e-30)
+    v = z @ np.where(kept, right / np.where(kept, s, 1), 0).astype(np.float32)
+    return v * weight[:, None].astype(np.float32), _unit(v * np.sqrt(s).astype(np.float32))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -264,8 +264,8 @@ class Retrieval:
         terms = terms[counts[terms] >= MIN_SEEN]
         best = np.full(TERMS, MIN_RELATED, np.float32)
         heads: dict[int, int] = {}
-        for lo in range(0, len(terms), 500):
-            some = terms[lo : lo + 500]
+        for lo in range(0, len(terms), 64):  # 64 x TERMS numbers at once
+            some = terms[lo : lo + 64]
             cosine = unit[some] @ unit[known].T
             for i, j in zip(*np.nonzero(cosine >= MIN_RELATED)):
                 a, b = int(some[i]), int(known[j])
