@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -283,7 +284,7 @@ def exchange(requests: DataFrame, batches: int, steps: int, speaker: bool = True
 
 
 def _joined(answers: pa.Table, step: str) -> np.ndarray:
-    part = answers.filter(pa.compute.equal(answers.column("step"), step)).sort_by("range")
+    part = answers.filter(pc.equal(answers.column("step"), step)).sort_by("range")
     return np.concatenate([np.empty(0, np.int64), *(_unpack(b, "<i8") for b in part.column("totals").to_pylist())])
 
 

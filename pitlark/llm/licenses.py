@@ -172,8 +172,8 @@ WITH parts AS (SELECT * FROM (VALUES {values}) AS v(template, part, size, wanted
 docs AS (SELECT doc_id, {words.format('text')} AS words FROM documents WHERE text IS NOT NULL),
 every AS MATERIALIZED (SELECT doc_id, words, {cut.format('words')} AS shingles FROM docs WHERE len(words) > 0),
 hopeful AS MATERIALIZED (SELECT e.doc_id, e.shingles, len(e.words) AS n, p.template, p.part, p.size, p.wanted FROM every e, parts p WHERE len(list_intersect(list_distinct(e.shingles), p.wanted)) >= 0.4 * len(p.wanted)),
-spots AS (SELECT doc_id, template, part, size, n, wanted, unnest(list_filter(range(1, len(shingles) + 1), lambda i: list_contains(wanted, shingles[i]))) AS at, shingles FROM hopeful),
-windows AS (SELECT DISTINCT doc_id, template, part, size, unnest(range(greatest(0, at - size + 4), least(at - 1, greatest(0, n - size)) + 1)) AS start FROM spots),
+spots AS (SELECT doc_id, template, part, size, n, wanted, unnest(list_filter(range(1, len(shingles) + 1), lambda i: list_contains(wanted, shingles[i]))) AS spot, shingles FROM hopeful),
+windows AS (SELECT DISTINCT doc_id, template, part, size, unnest(range(greatest(0, spot - size + 4), least(spot - 1, greatest(0, n - size)) + 1)) AS start FROM spots),
 shares AS (SELECT w.doc_id, w.template, w.part, w.start, len(h.wanted) AS m, len(list_intersect(h.wanted, list_distinct(list_slice(h.shingles, w.start + 1, greatest(w.start + w.size - 4, w.start + 1)))))::DOUBLE / len(h.wanted) AS share
            FROM windows w JOIN hopeful h USING (doc_id, template, part)),
 best AS (SELECT doc_id, template, part, m, max(share) AS share, arg_min(start, (-share, start)) AS start FROM shares GROUP BY ALL),
