@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_embedding_dedup": "vectors",
     "op9_html": "pages",
     "op10_packing": "packing",
+    "op11_vector_codes": "codes",
 }
 
 
@@ -23,6 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .codes import sql_vector_codes
     from .licenses import sql_licenses
 
-    return {"op2_licenses": sql_licenses()}
+    return {"op2_licenses": sql_licenses(), "op11_vector_codes": sql_vector_codes()}
