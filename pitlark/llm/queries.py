@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_html": "pages",
     "op10_packing": "packing",
     "op11_vector_codes": "codes",
+    "op13_substring_dedup": "substrings",
 }
 
 
@@ -26,5 +27,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .codes import sql_vector_codes
     from .licenses import sql_licenses
+    from .substrings import sql_substring_dedup
 
-    return {"op2_licenses": sql_licenses(), "op11_vector_codes": sql_vector_codes()}
+    return {"op2_licenses": sql_licenses(), "op11_vector_codes": sql_vector_codes(), "op13_substring_dedup": sql_substring_dedup()}
