@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_html": "pages",
     "op10_packing": "packing",
     "op11_vector_codes": "codes",
+    "op12_periodic_runs": "periods",
     "op13_substring_dedup": "substrings",
 }
 
@@ -27,6 +28,12 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .codes import sql_vector_codes
     from .licenses import sql_licenses
+    from .periods import sql_periodic_runs
     from .substrings import sql_substring_dedup
 
-    return {"op2_licenses": sql_licenses(), "op11_vector_codes": sql_vector_codes(), "op13_substring_dedup": sql_substring_dedup()}
+    return {
+        "op2_licenses": sql_licenses(),
+        "op11_vector_codes": sql_vector_codes(),
+        "op12_periodic_runs": sql_periodic_runs(),
+        "op13_substring_dedup": sql_substring_dedup(),
+    }
