@@ -10,13 +10,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import discovery as D
+from .operators import evaluation as E
 from .operators import features as X
 from .operators import options as O
 from .operators import panel as P
+from .operators import rules as U
 from .operators import walkforward as W
 from .plans import queries as K
 from .sources import archives as R
 from .sources import bars as B
+from .sources import folds as L
 from .sources import store as S
 
 
@@ -62,10 +65,21 @@ def panel(spark, a):
 
 
 def folds(spark, a):
-    matrix = spark.read.parquet(a.input)
-    plan = S.select_folds(W.plan(matrix, W.FoldConfig(a.train, a.test, a.test, a.purge)), a.fold_id, a.max_folds, a.start_fold, a.end_fold)
-    done = S.run_folds(plan, lambda some: W.ridge_predictions(matrix, some, a.features.split(",")), f"{a.output}/predictions", a.resume)
+    """A feature matrix to predictions by fold, several folds side by side; what a fold came to is written when it ends."""
+    matrix, features = spark.read.parquet(a.input), a.features.split(",")
+    plan = S.settled(S.select_folds(W.plan(matrix, W.FoldConfig(a.train, a.test, a.test, a.purge)), a.fold_id, a.max_folds, a.start_fold, a.end_fold))
+    path = f"{a.output}/predictions"
+    whole = L.Ledger(L.Folder(spark, path)).whole() if a.resume else {}
+    left = plan.where(~F.col("fold_id").isin(list(whole)))  # only these are fitted
+    walk = W.RidgeWalk(matrix, left, features) if left.limit(1).count() else None
+    try:
+        done = L.run_folds(plan, lambda fold: walk.score(fold["fold_id"]), path, a.resume, a.on_error, a.at_once)
+    except L.FoldsFailed as failure:
+        S.write_csv(L.outcome_table(spark, failure.outcomes).orderBy("fold_id"), f"{a.output}/folds")
+        raise
     S.write_csv(done.orderBy("fold_id"), f"{a.output}/folds")
+    facts = done.agg(F.count("*").alias("folds_completed"), F.sum("prediction_rows").alias("total_oos_rows"), F.min("first_date").alias("min_prediction_date"), F.max("last_date").alias("max_prediction_date")).first().asDict()
+    S.write_json(spark, {**facts, "feature_count": len(features), "model_type": "ridge_regression"}, f"{a.output}/folds_summary")
 
 
 def matrix(spark, a):
@@ -79,15 +93,30 @@ def matrix(spark, a):
 
 
 def select(spark, a):
-    """A feature matrix to the selected features: judged, pruned by correlation, and frozen in a manifest."""
+    """A feature matrix to the selected features: judged by the configured rules, pruned by correlation, and frozen in a manifest."""
+    settings, rules = U.configured(a.config, U.SELECTION, U.SELECTION_RULES)
     found = S.settled(spark.read.parquet(a.input))
-    features = a.features.split(",")
+    features = [f for f in a.features.split(",") if not any(t in f.lower() for t in settings["leakage_tokens"])]
     plan = W.plan(found, W.FoldConfig(a.train, a.test, a.test, a.purge))
     days = S.settled(D.by_date(found, features))
-    chosen = S.settled(D.selected(S.settled(K._judged(plan, days)), D.correlations(found, plan, features)))
-    S.write_csv(chosen.orderBy("rank", "feature"), f"{a.output}/selection")
+    pairs = S.settled(D.correlations(found, plan, features, settings["correlation_sample_date_stride"], settings["correlation_sample_rows_per_fold"]))
+    chosen = S.settled(D.selected(S.settled(K.judged(found, plan, days, features, settings, rules["rejects"])), pairs, settings))
+    S.write_csv(pairs.orderBy(F.desc("max_abs_corr"), "feature_a", "feature_b"), f"{a.output}/correlations")
+    S.write_csv(chosen.orderBy("reject_reason", F.desc("selection_score"), "feature"), f"{a.output}/selection")
     names = [r["feature"] for r in chosen.where("selected").orderBy("rank").collect()]
-    S.write_json(spark, D.freeze(names, {"train": a.train, "test": a.test, "purge": a.purge, "candidates": len(features)}), f"{a.output}/frozen")
+    S.write_json(spark, D.freeze(names, {"train": a.train, "test": a.test, "purge": a.purge, "candidates": len(features), **settings}), f"{a.output}/frozen")
+
+
+def gate(spark, a):
+    """Predictions by fold to the metrics and the verdict of the configured gate. A file that is not there fails it."""
+    settings, rules = U.configured(a.config, U.GATE, U.GATE_RULES, "baseline_h5")
+    preds = S.read_or_empty(spark, a.input, S.FOLD_PREDICTIONS).withColumn("model", F.lit(a.model))
+    found = E.gate_inputs(S.settled(preds), "model")
+    missing = () if found.limit(1).count() else ("metrics_file_missing",)
+    if missing:
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+        found = spark.range(1).select(*(F.lit(a.model if n == "model" else None).cast(k).alias(n) for n, k in kinds.items()))
+    S.write_json(spark, E.gate(found, settings, rules, missing).first().asDict() | {"thresholds": settings}, f"{a.output}/gate")  # one model
 
 
 def score(spark, a):
@@ -125,7 +154,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pitlark")
     subs = top.add_subparsers(required=True)
     made = {}
-    for f in (validate, manifest, export, archives, panel, matrix, folds, select, score, options, query, provenance):
+    for f in (validate, manifest, export, archives, panel, matrix, folds, select, gate, score, options, query, provenance):
         made[f.__name__] = sub = subs.add_parser(f.__name__, help=(f.__doc__ or "").split("\n")[0])
         sub.add_argument("input")
         sub.add_argument("output")
@@ -139,9 +168,14 @@ def parser() -> argparse.ArgumentParser:
     for command in ("folds", "select"):
         for name, value in (("train", 500), ("test", 63), ("purge", 5)):
             made[command].add_argument(f"--{name}", type=int, default=value)
+    for command in ("select", "gate"):
+        made[command].add_argument("--config", help="settings and rules, YAML or JSON")
+    made["gate"].add_argument("--model", default="baseline")
     for command in ("folds", "select", "score"):
         made[command].add_argument("--features", default=",".join(K.RIDGE_FEATURES))
-    made["folds"].add_argument("--resume", action="store_true")
+    made["folds"].add_argument("--resume", action="store_true", help="leave folds that are whole as they are")
+    made["folds"].add_argument("--on-error", default="continue", choices=("continue", "stop"))
+    made["folds"].add_argument("--at-once", type=int, default=4, help="folds that are computed side by side")
     one = made["options"].add_mutually_exclusive_group(required=True)
     one.add_argument("--snapshot")
     one.add_argument("--manifest")
@@ -152,7 +186,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     S.guard(a.output, a.root or os.path.dirname(os.path.abspath(a.output) if "://" not in a.output else a.output), source=a.input)
-    spark = SparkSession.builder.appName("pitlark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("pitlark").config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
     a.run(spark, a)
     print(json.dumps({"done": a.run.__name__, "output": a.output}))
 

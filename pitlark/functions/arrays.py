@@ -1,25 +1,37 @@
-"""Arrays of numbers that tasks add up."""
+"""Arrays of numbers that tasks merge."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Groups of tasks whose shares of a key are merged apart, so that one key is no one task's work.
+GROUPS = 32
 
-def summed(shares: DataFrame) -> dict[int, np.ndarray]:
-    """shares(key long, data binary), data being doubles, as many for every row of a key -> per key their sum. Rows are dealt
-    by key and added as they stream in, so no task holds more than its keys' sums; the driver gets one array a key."""
+
+def merged(shares: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """shares(key long, data binary), data being doubles, as many for every row of a key -> per key all of them combined. Tasks'
+    shares of a key are merged in two steps, in GROUPS groups first, as they stream in; no task holds more than its keys'
+    results, and the driver gets one array a key."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(data.as_buffer())
-                sums[key] = sums[key] + found if key in sums else found
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["key", "data"])
+                one = np.frombuffer(data.as_buffer())
+                found[key] = combine(found[key], one) if key in found else one
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["key", "data"])
+
+    some = shares.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    once = some.repartition("key", "_group").select("key", "data").mapInArrow(add, "key long, data binary")
+    return {r["key"]: np.frombuffer(r["data"]) for r in once.repartition("key").mapInArrow(add, "key long, data binary").collect()}
 
-    return {r["key"]: np.frombuffer(r["data"]) for r in shares.repartition("key").mapInArrow(add, "key long, data binary").collect()}
+
+def summed(shares: DataFrame) -> dict[int, np.ndarray]:
+    """Per key the sum of all shares."""
+    return merged(shares, np.add)

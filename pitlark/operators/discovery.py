@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, pearson
-from .features import LEAKAGE_TOKENS
+from ..sources.store import settled
+from . import rules as R
+from .ranks import sample_correlations, sampled
 
 
 def average_ranks(x: np.ndarray) -> np.ndarray:
@@ -78,111 +79,62 @@ def daily_ic(days: DataFrame, folds: DataFrame) -> DataFrame:
     return _in_folds(days, folds).groupBy("fold_id", "feature").agg(F.avg("ic").alias("mean_daily_rank_ic"), F.count("ic").alias("dates"))
 
 
-def long_form(matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "fwd_ret_5d") -> DataFrame:
-    """(fold_id, date, ticker, target, feature, value) over each fold's training dates; the plan is a few rows."""
-    slim = F.broadcast(folds.select("fold_id", "train_start_date", "train_end_date"))
-    rows = matrix.select("date", "ticker", F.round(target, 9).alias("target"), *(F.round(F.col(f).cast("double"), 9).alias(f) for f in features))
-    met = rows.join(slim, rows["date"].between(F.col("train_start_date"), F.col("train_end_date")))
-    return met.unpivot(["fold_id", "date", "ticker", "target"], features, "feature", "value")
-
-
-def pooled_rank(df: DataFrame, x: str, by: list[str], out: str, cells: int = 64) -> DataFrame:
-    """df with the average rank of non-null x within `by`, for groups too large to sort in one task. Values are counted first,
-    the counts are summed within cells between approximate quantiles, and whole cells below are added: exact for any cells,
-    and neither a group nor a frequent value meets in one task (the join back by value can be split)."""
-    cuts = df.groupBy(*by).agg(F.percentile_approx(x, [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n")).join(cuts, by)
-    counts = counts.select(*by, x, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(x))).alias("_cell"))
-    below = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_t"))
-    below = below.select(*by, "_cell", (F.sum("_t").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_t")).alias("_below"))  # at most `cells` rows a group
-    upto = counts.select(*by, x, "_n", "_cell", F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(x)).alias("_upto"))
-    ranks = upto.join(below, [*by, "_cell"]).select(*by, x, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, [*by, x], "left")
-
-
-def fold_ic(long: DataFrame) -> DataFrame:
-    """Rank correlation with ranks pooled over the whole training window."""
-    by = ["fold_id", "feature"]
-    ranked = pooled_rank(pooled_rank(long.select(*by, "value", "target"), "value", by, "v"), "target", by, "t")
-    return ranked.groupBy(*by).agg(pearson(F.col("v"), F.col("t")).alias("mean_fold_rank_ic"))
-
-
-def summary(daily: DataFrame) -> DataFrame:
-    """Per feature over folds: mean, sign stability (share of folds with the mean's sign; 0 for a zero mean), fold map as JSON."""
-    mean = F.avg("mean_daily_rank_ic").over(Window.partitionBy("feature"))
-    df = daily.withColumn("_m", mean)
-    same = F.when(F.col("_m") == 0, 0.0).otherwise((F.signum("mean_daily_rank_ic") == F.signum("_m")).cast("double"))
-    return df.groupBy("feature").agg(
-        F.count("mean_daily_rank_ic").alias("folds_scored"),
-        F.avg("mean_daily_rank_ic").alias("mean_ic"),
+def summary(daily: DataFrame, fold_ic: DataFrame) -> DataFrame:
+    """Per feature over folds, of daily_ic() and ranks.fold_correlations(): folds, means of the daily and of the folds' pooled rank
+    correlations, sign stability of the latter (share of folds with their mean's sign; 0 for a zero mean or without any), and
+    their map as JSON."""
+    met = daily.join(fold_ic, ["fold_id", "feature"], "full").withColumn("_m", F.avg("fold_rank_ic").over(Window.partitionBy("feature")))
+    same = F.when(F.col("_m") == 0, 0.0).otherwise((F.signum("fold_rank_ic") == F.signum("_m")).cast("double"))
+    return met.groupBy("feature").agg(
+        F.countDistinct("fold_id").alias("folds_scored"),
+        F.avg("mean_daily_rank_ic").alias("mean_daily_rank_ic"),
+        F.avg("fold_rank_ic").alias("mean_fold_rank_ic"),
         F.abs(F.avg("mean_daily_rank_ic")).alias("abs_mean_rank_ic"),
-        F.coalesce(F.avg(F.when(F.col("mean_daily_rank_ic").isNotNull(), same)), F.lit(0.0)).alias("sign_stability"),
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fold_id").cast("string"), F.round("mean_daily_rank_ic", 6)))))).alias("fold_ics"),
+        F.coalesce(F.avg(F.when(F.col("fold_rank_ic").isNotNull(), same)), F.lit(0.0)).alias("sign_stability"),
+        F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("fold_id", F.round("fold_rank_ic", 6).alias("ic")))), lambda e: F.struct(e["fold_id"].cast("string"), e["ic"])))).alias("fold_ics"),
     )
 
 
-CORRELATED = "fold_id int, feature_a string, feature_b string, c double"
-
-
-def correlations(matrix: DataFrame, folds: DataFrame, features: list[str], stride: int = 20) -> DataFrame:
-    """|Spearman| of feature pairs per fold on every `stride`-th training date, then mean and maximum over folds.
-
-    Dates are numbered among a fold's distinct dates (few rows), so only the sample's rows meet their fold; a fold's sample
-    is one array of (dates / stride) x names x features numbers.
-    """
-    dates = _in_folds(matrix.select("date").distinct(), folds).select("fold_id", "date")
-    chosen = dates.withColumn("_i", F.row_number().over(Window.partitionBy("fold_id").orderBy("date")) - 1).where(F.col("_i") % stride == 0)
-    rows = matrix.select("date", *(F.round(F.col(f).cast("double"), 9).alias(f) for f in features)).join(F.broadcast(chosen.drop("_i")), "date")
-
-    def judge(part: pa.Table) -> pa.Table:
-        ranks = [average_ranks(part.column(f).to_numpy().astype(float)) for f in features]
-        fold = part.column("fold_id")[0].as_py()
-        out = []
-        for i, a in enumerate(features):
-            for j in range(len(features)):
-                if a < features[j]:
-                    c = correlation(ranks[i], ranks[j])
-                    out.append((fold, a, features[j], None if c is None else abs(c)))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.string(), pa.string(), pa.float64()])], names=["fold_id", "feature_a", "feature_b", "c"])
-
-    per = rows.groupBy("fold_id").applyInArrow(judge, CORRELATED)
+def correlations(matrix: DataFrame, folds: DataFrame, features: list[str], stride: int = 20, most: int = 250_000) -> DataFrame:
+    """|Spearman| of feature pairs per fold on at most `most` rows of every `stride`-th training date, then mean and maximum over
+    folds."""
+    sample = settled(sampled(matrix.select("date", "ticker", *features), folds, stride, most))
+    per = sample_correlations(sample, features).withColumn("c", F.abs("c"))
     return per.groupBy("feature_a", "feature_b").agg(F.count("c").alias("folds"), F.avg("c").alias("mean_abs_corr"), F.max("c").alias("max_abs_corr"))
 
 
-def reject_reasons(found: DataFrame, min_non_null: float = 0.8, min_std: float = 1e-8, min_ic: float = 0.002, min_stability: float = 0.6) -> DataFrame:
+def reject_reasons(found: DataFrame, settings: dict = R.SELECTION, rules: list[R.Rule] = R.REJECTS) -> DataFrame:
     """The first rule a feature breaks (empty if none), and its selection score."""
-    leak = F.lit(False)
-    for t in LEAKAGE_TOKENS:
-        leak = leak | F.lower("feature").contains(t)
-    reason = (
-        F.when(leak, "leakage_name").when(F.coalesce(F.col("finite_pct") < F.col("non_null_pct"), F.lit(False)), "non_finite").when(F.coalesce(F.col("non_null_pct") < min_non_null, F.lit(True)), "excessive_nulls")
-        .when(F.coalesce(F.col("std") < min_std, F.lit(True)), "near_zero_variance").when(F.coalesce(F.col("abs_mean_rank_ic") < min_ic, F.lit(True)), "weak_rank_ic")
-        .when(F.coalesce(F.col("sign_stability") < min_stability, F.lit(True)), "unstable_sign").otherwise("")
-    )
-    return found.select("*", reason.alias("reject_reason"), (F.coalesce("abs_mean_rank_ic", F.lit(0.0)) * F.coalesce("sign_stability", F.lit(0.0)) * F.coalesce("non_null_pct", F.lit(0.0))).alias("selection_score"))
-
-
-def prune(rejects: list[dict], pairs: dict[frozenset, float], limit: int = 64, most: float = 0.95) -> list[str]:
-    """Greedy: best score first, skipping what correlates too much with a chosen one. Over at most some hundred features."""
+    score = F.coalesce("abs_mean_rank_ic", F.lit(0.0)) * F.coalesce("sign_stability", F.lit(0.0)) * F.coalesce("non_null_pct", F.lit(0.0))
+    return found.select("*", R.first_verdict(rules, settings).alias("reject_reason"), score.alias("selection_score"))
+
+
+def prune(rejects: list[dict], pairs: dict[frozenset, float], limit: int = 64, most: float = 0.95) -> tuple[list[str], set[str]]:
+    """(chosen, pruned): greedy, best score first, skipping what correlates too much with a chosen one, until `limit` are chosen.
+    What comes after that is neither. Over at most some hundred features."""
     chosen: list[str] = []
+    pruned: set[str] = set()
     for r in sorted((r for r in rejects if not r["reject_reason"]), key=lambda r: (-r["selection_score"], r["feature"])):
         if len(chosen) >= limit:
             break
-        if all((pairs.get(frozenset((r["feature"], c))) or 0) < most for c in chosen):
+        if any((pairs.get(frozenset((r["feature"], c))) or 0) >= most for c in chosen):
+            pruned.add(r["feature"])
+        else:
             chosen.append(r["feature"])
-    return chosen
+    return chosen, pruned
 
 
-def selected(found: DataFrame, pairs: DataFrame, limit: int = 64, most: float = 0.95) -> DataFrame:
-    """reject_reasons()' rows with `rank` and `selected`, after pruning by the largest correlation of each pair. Both tables
-    hold one row a feature or pair of features."""
+def selected(found: DataFrame, pairs: DataFrame, settings: dict = R.SELECTION) -> DataFrame:
+    """reject_reasons()' rows with `rank` and `selected`, after pruning by the largest correlation of each pair. Features beyond
+    the limit have no reason. Both tables hold one row a feature or pair of features."""
     rows = [r.asDict() for r in found.collect()]
     strongest = {frozenset((r["feature_a"], r["feature_b"])): r["max_abs_corr"] for r in pairs.collect()}
-    rank = {f: i + 1 for i, f in enumerate(prune(rows, strongest, limit, most))}
+    chosen, pruned = prune(rows, strongest, settings["max_selected_features"], settings["correlation_prune_threshold"])
+    rank = {f: i + 1 for i, f in enumerate(chosen)}
     spark = found.sparkSession
-    marks = spark.createDataFrame([(r["feature"], rank.get(r["feature"])) for r in rows], "feature string, rank int")
+    marks = spark.createDataFrame([(r["feature"], rank.get(r["feature"]), r["feature"] in pruned) for r in rows], "feature string, rank int, _pruned boolean")
     out = found.join(F.broadcast(marks), "feature").withColumn("selected", F.col("rank").isNotNull())
-    return out.withColumn("reject_reason", F.when((F.col("reject_reason") == "") & ~F.col("selected"), "redundant_or_beyond_limit").otherwise(F.col("reject_reason")))
+    return out.withColumn("reject_reason", F.when(F.col("_pruned"), "correlation_pruned").otherwise(F.col("reject_reason"))).drop("_pruned")
 
 
 def freeze(chosen: list[str], settings: dict) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, bucket, pearson, row_rank
+from . import rules as R
 
 
 def bucketed(preds: DataFrame, buckets: int = 10, *by: str) -> DataFrame:
@@ -159,26 +160,33 @@ def metrics(preds: DataFrame, by: str, buckets: int = 10, quintiles: int = 5, co
     return out.fillna(0, ["rows", "folds", "dates_below_buckets", "dates_below_quintiles", "top_days"])
 
 
-#: The gate's thresholds.
-THRESHOLDS = {"min_rows": 1_000_000, "min_folds": 20, "min_ic_t_stat": 2.0}
-#: (metric, threshold key, rule): below the threshold, or not positive, blocks.
-GATE = [("rows", "min_rows", "min"), ("folds", "min_folds", "min"), ("ic_t_stat", "min_ic_t_stat", "min"), ("mean_ic", None, "positive"), ("long_short_net", None, "positive"), ("top_net", None, "positive")]
-
-
-def gate(metrics: dict, thresholds: dict, failures: tuple[str, ...] = ()) -> dict:
-    """Rule engine over one row of metrics: FAIL with blockers, PASS_WITH_WARNINGS, or PASS."""
-    blockers, checks = list(failures), {}
-    for name, key, rule in GATE:
-        value = metrics.get(name)
-        if value is None:
-            checks[name] = "missing"
-        elif rule == "min" and value < thresholds[key]:
-            checks[name] = "below"
-        elif rule == "positive" and not value > 0:
-            checks[name] = "failed_positive"
-        else:
-            checks[name] = "ok"
-        if checks[name] != "ok":
-            blockers.append(f"{name}:{checks[name]}")
-    warnings = [w for w, hit in (("few_names", (metrics.get("dates_below_buckets") or 0) > 0), ("score_outliers", (metrics.get("max_abs_score") or 0) > thresholds.get("max_abs_score", float("inf"))), ("high_turnover", (metrics.get("turnover") or 0) > thresholds.get("max_turnover", 1.0)), ("weak_hit_rate", (metrics.get("long_hit_rate") or 1) < thresholds.get("min_hit_rate", 0.0)), ("failed_folds", (metrics.get("failed_folds") or 0) > 0)) if hit]
-    return {"status": "FAIL" if blockers else "PASS_WITH_WARNINGS" if warnings else "PASS", "blockers": blockers, "warnings": warnings, "checks": checks}
+def gate_inputs(preds: DataFrame, by: str = "model", outlier: float = 5.0) -> DataFrame:
+    """The metrics that the gate judges, a row per value of `by`, with the metrics' own warnings and blockers."""
+    found = metrics(preds, by)
+    used = preds.where("score IS NOT NULL AND fwd_ret_5d IS NOT NULL")
+    scores = used.groupBy(by).agg(F.min("score").alias("score_min"), F.max("score").alias("score_max"))
+    by_fold = used.groupBy(by, "fold_id").agg(F.max(F.abs("score")).alias("_m")).where(F.col("_m") > outlier)
+    extreme = by_fold.groupBy(by).agg(F.collect_set(F.concat(F.lit("fold_"), "fold_id", F.lit("_score_outlier"))).alias("_folds"))  # at most a fold each
+    said = lambda n, text: F.when(F.col(n) > 0, text)
+    warned = F.array_compact(F.array(said("missing_rows", "missing_or_null_prediction_rows"), said("dates_below_buckets", "dates_with_too_few_names_for_deciles"), said("dates_below_quintiles", "dates_with_too_few_names_for_quintiles")))
+    blocked = F.array_compact(F.array(F.when(F.col("rows") == 0, "missing_oos_predictions")))
+    met = found.join(scores, by, "left").join(extreme, by, "left")
+    return met.select(
+        by, F.col("rows").alias("total_oos_rows"), F.col("folds").alias("fold_count"), F.col("mean_ic").alias("mean_daily_rank_ic"), F.col("ic_t_stat").alias("rank_ic_t_stat"),
+        F.col("net").alias("long_short_net_return"), F.col("long_net").alias("top_decile_net_return"), F.col("short_net").alias("bottom_decile_net_short_return"), "score_min", "score_max",
+        F.array_union(warned, F.coalesce("_folds", F.array().cast("array<string>"))).alias("metric_warnings"), blocked.alias("metric_blockers"),
+    )
+
+
+def gate(found: DataFrame, settings: dict = R.GATE, rules: dict[str, list[R.Rule]] = R.GATE_RULES, failures: tuple[str, ...] = ()) -> DataFrame:
+    """gate_inputs()' rows (any number) with status (FAIL, PASS_WITH_WARNINGS, PASS), passed, failures in the rules' order after
+    the given ones, warnings by name, recommendation and next_stage. Nothing is collected; without a row there is no verdict."""
+    none = F.array().cast("array<string>")
+    low, high = (F.abs(F.coalesce(c, F.lit(0.0))) for c in ("score_min", "score_max"))
+    facts = found.withColumns({"has_blockers": F.size(F.coalesce("metric_blockers", none)) > 0, "max_abs_score": F.greatest(low, high)})
+    given = F.array(*map(F.lit, failures)).cast("array<string>")
+    carried = F.transform(F.coalesce("metric_warnings", none), lambda w: F.concat(F.lit("metrics_warning:"), w))
+    out = facts.withColumns({"failures": F.concat(given, R.all_verdicts(rules["failures"], settings)), "warnings": F.array_sort(F.array_union(carried, R.all_verdicts(rules["warnings"], settings)))})
+    failed = F.size("failures") > 0
+    out = out.withColumns({"status": F.when(failed, "FAIL").when(F.size("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"), "passed": ~failed})
+    return out.withColumns({"recommendation": F.when(failed, "stop_and_inspect_pipeline_model_data").otherwise("proceed_to_feature_expansion"), "next_stage": F.when(~failed, "feature_expansion")}).drop("has_blockers", "max_abs_score")

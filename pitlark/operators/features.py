@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import SparkOps, average_rank, percent_rank
 from . import catalog as C
+from .rules import SELECTION
 
 OPS = SparkOps()
-LEAKAGE_TOKENS = ("target", "fwd_ret", "next_open", "exit_", "label_", "future")
 
 
 def add_levels(df: DataFrame, levels: list[C.Level]) -> DataFrame:
@@ -107,8 +107,9 @@ def registry(columns: list[str], features: list[str], targets: list[str], metada
     return Registry(features, targets, metadata, excluded)
 
 
-def check_model_inputs(features: list[str], groups: Registry) -> None:
-    bad = [f for f in features if f in {*groups.targets, *groups.excluded, *groups.metadata} or any(t in f.lower() for t in LEAKAGE_TOKENS)]
+def check_model_inputs(features: list[str], groups: Registry, tokens: list[str] = SELECTION["leakage_tokens"]) -> None:
+    """An error where a feature is a target, metadata or excluded, or its name speaks of the future."""
+    bad = [f for f in features if f in {*groups.targets, *groups.excluded, *groups.metadata} or any(t in f.lower() for t in tokens)]
     if bad:
         raise ValueError(f"not to be used as inputs: {bad}")
 

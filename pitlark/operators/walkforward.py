@@ -1,23 +1,19 @@
-"""Walk-forward folds and the ridge baseline, all folds in one pass.
+"""Walk-forward folds and the ridge baseline: all folds are fitted together, each is scored by itself.
 
-A fold's training window is a union of date blocks, the dates that the same folds train on. Every block is read once: tasks
-add up its cross products and value counts by cells in arrays, and a fold's system is the sum of its blocks'. Missing
-values are filled with the fold's median afterwards, from cross products of the gaps. The driver only solves k x k systems.
+A fold's training window is a union of date blocks, the dates that the same folds train on; see moments.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import summed
 from ..functions.expr import percent_rank, row_rank
 from ..sources.store import settled
+from .moments import Training
+from .rules import SELECTION
 
 
 @dataclass(frozen=True)
@@ -42,10 +38,6 @@ def plan(panel: DataFrame, cfg: FoldConfig = FoldConfig()) -> DataFrame:
     return met.groupBy("fold_id").agg(at("a").alias("train_start_date"), at("b").alias("train_end_date"), at("c").alias("test_start_date"), at("d").alias("test_end_date"), F.sum(F.when(train, F.col("rows")).otherwise(0)).alias("train_rows"), F.sum(F.when(test, F.col("rows")).otherwise(0)).alias("test_rows"))
 
 
-#: Cells that a feature's values are counted in on the way to exact medians; they change no result.
-CELLS = 512
-
-
 def plan_summary(folds: DataFrame, panel: DataFrame, cfg: FoldConfig = FoldConfig()) -> DataFrame:
     """One row: folds, first and last dates, rows, and a warning where the history is too short for a fold."""
     dates = panel.agg(F.countDistinct("date").alias("dates"))
@@ -66,132 +58,49 @@ def check_folds(rows: list) -> None:
             raise ValueError(f"folds {a['fold_id']} and {b['fold_id']}: test dates overlap or are out of order")
 
 
-def _fitted(rows: DataFrame, plan_rows: list, features: list[str], alpha: float) -> list[tuple]:
-    """Per fold: its id, the features' medians and weights, and the intercept, from the fold's training rows alone.
-    rows(date, y, features)."""
-    spark, k = rows.sparkSession, len(features)
-    windows = [(r["fold_id"], r["train_start_date"], r["train_end_date"]) for r in plan_rows]
-    blocks: dict[tuple, int] = {}
-    days = []
-    for (day,) in rows.select("date").distinct().collect():  # one row a date
-        folds = tuple(f for f, a, b in windows if a <= day <= b)
-        if folds:
-            days.append((day, blocks.setdefault(folds, len(blocks))))
-    train = rows.where("y IS NOT NULL").join(F.broadcast(spark.createDataFrame(days, "date date, block int")), "date").select("block", "y", *features)
-    # any boundaries give exact medians; these make the cells alike in size
-    grid = [i / CELLS for i in range(1, CELLS)]
-    found = rows.agg(*(F.percentile_approx(f, grid, 2000).alias(f) for f in features)).first()
-    cuts = [np.unique(np.array(found[f] or [0.0])) for f in features]
-
-    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        block = batch.column(0).to_numpy(zero_copy_only=False)
-        return block, np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, k + 2)])
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            block, data = columns(batch)
-            for b in np.unique(block).tolist():
-                x = data[block == b]
-                gap = np.isnan(x[:, 1:]).astype(float)
-                every = np.column_stack([np.nan_to_num(x[:, 1:]), x[:, 0], np.ones(len(x))])
-                counts = np.array([np.bincount(np.searchsorted(c, v[~np.isnan(v)], "right"), minlength=CELLS) for c, v in zip(cuts, x[:, 1:].T)], float)
-                parts = [every.T @ every, gap.T @ every, gap.T @ gap, counts]
-                sums[b] = [p + q for p, q in zip(sums[b], parts)] if b in sums else parts
-        for b, parts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.concatenate([p.ravel() for p in parts]).tobytes()])], ["key", "data"])
-
-    shapes = [(k + 2, k + 2), (k, k + 2), (k, k), (k, CELLS)]
-    edges = np.cumsum([0, *(m * n for m, n in shapes)])
-    totals = {b: [flat[lo:hi].reshape(shape) for lo, hi, shape in zip(edges, edges[1:], shapes)] for b, flat in summed(train.mapInArrow(tally, "key long, data binary")).items()}
-    by_fold = {f: [sum(totals[b][i] for folds, b in blocks.items() if f in folds and b in totals) for i in range(4)] for f, _, _ in windows}
-    by_fold = {f: parts for f, parts in by_fold.items() if not isinstance(parts[0], int)}  # without a training row there is no model
-
-    # the cells that hold a median's one or two middle values, and how many values stand below them
-    middle = {}
-    wanted: dict[int, list[set[int]]] = {b: [set() for _ in features] for b in totals}
-    for f, (_, _, _, counts) in by_fold.items():
-        for j in range(k):
-            n, upto = int(counts[j].sum()), np.cumsum(counts[j])
-            if n:
-                ranks = ((n - 1) // 2, n // 2)
-                cells = [int(np.searchsorted(upto, r, "right")) for r in ranks]
-                middle[f, j] = (ranks, cells, int(upto[cells[0]] - counts[j][cells[0]]))
-                for folds, b in blocks.items():
-                    if f in folds and b in totals:
-                        wanted[b][j] |= set(range(cells[0], cells[1] + 1))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, data = columns(batch)
-            for b in np.unique(block).tolist():
-                x = data[block == b, 1:]
-                for j, cells in enumerate(wanted.get(b, ())):
-                    v = x[~np.isnan(x[:, j]), j]
-                    cell = np.searchsorted(cuts[j], v, "right")
-                    at = np.isin(cell, list(cells))
-                    if at.any():
-                        values, n = np.unique(v[at], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), b)), pa.array(np.full(len(values), j)), pa.array(values), pa.array(n)], ["block", "feature", "value", "n"])
-
-    counted: dict[tuple[int, int], dict[float, int]] = {}
-    picked = train.mapInArrow(pick, "block long, feature long, value double, n long").groupBy("block", "feature", "value").agg(F.sum("n").alias("n"))
-    for r in picked.toLocalIterator():  # about 1 / CELLS of a window's distinct values per fold and feature
-        counted.setdefault((r["block"], r["feature"]), {})[r["value"]] = r["n"]
-    medians = {f: np.zeros(k) for f in by_fold}
-    for (f, j), (ranks, cells, below) in middle.items():
-        pool: dict[float, int] = {}
-        for folds, b in blocks.items():
-            if f in folds:
-                for value, n in counted.get((b, j), {}).items():
-                    if cells[0] <= np.searchsorted(cuts[j], value, "right") <= cells[1]:
-                        pool[value] = pool.get(value, 0) + n
-        values = np.array(sorted(pool))
-        upto = below + np.cumsum([pool[v] for v in values])
-        medians[f][j] = sum(values[np.searchsorted(upto, r, "right")] for r in ranks) / 2
-
-    out = []
-    for f, (gram, holes, both, _) in by_fold.items():
-        m, n = medians[f], gram[k + 1, k + 1]
-        fill = m[:, None] * holes[:, :k]
-        xx = gram[:k, :k] + fill + fill.T + np.outer(m, m) * both
-        xy = gram[:k, k] + m * holes[:, k]
-        mean, y = (gram[:k, k + 1] + m * holes[:, k + 1]) / n, gram[k, k + 1] / n
-        cov = xx - n * np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        w = np.linalg.solve(cov / np.outer(sd, sd) + alpha * np.eye(k), (xy - n * mean * y) / sd) / sd
-        out.append((f, *map(float, m), *map(float, w), float(y - w @ mean)))
-    return out
+class RidgeWalk:
+    """A ridge regression per fold: medians, means and scales from the fold's training rows only.
+
+    Missing values become the median (0 without any), columns are centred and scaled by their population deviation (1 where that
+    is 0), the intercept is not penalized. All folds are fitted together, from sums over blocks of dates; a fold is scored by
+    itself. The rows are read several times: they are written once first, unless `is_settled` says that they are already.
+    """
+
+    def __init__(self, matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "target_class_5d", alpha: float = 1.0, scoring: DataFrame | None = None, is_settled: bool = False):
+        unfit = [f for f in features if f in (target, "fwd_ret_5d", "date", "ticker") or any(t in f.lower() for t in SELECTION["leakage_tokens"])]
+        if unfit:
+            raise ValueError(f"not to be used as inputs: {unfit}")
+        cast = [F.col(f).cast("double").alias(f) for f in features]
+        keep = lambda df: df.select("date", "ticker", "fwd_ret_5d", F.col(target).cast("double").alias("y"), *cast)
+        self.features, self.plan = features, folds.collect()  # one row a fold
+        check_folds(self.plan)
+        rows = keep(matrix) if is_settled else settled(keep(matrix))
+        self.models = Training(rows, folds, features).models(alpha)
+        self.tested = rows if scoring is None else keep(scoring)
+
+    def score(self, *fold_ids: int) -> DataFrame:
+        """fold_id, date, ticker, target, fwd_ret_5d, score and ranks of the folds' test dates; an error where a fold has no model."""
+        for i in fold_ids:
+            if isinstance(self.models[i], Exception):
+                raise self.models[i]
+        k, spark = len(self.features), self.tested.sparkSession
+        parts = [f"{p}_{i}" for p in ("median", "mean", "weight") for i in range(k)]
+        rows = [(r["fold_id"], r["test_start_date"], r["test_end_date"], *(float(v) for part in (m.median, m.mean, m.weight) for v in part), m.level) for r in self.plan if r["fold_id"] in fold_ids for m in [self.models[r["fold_id"]]]]
+        model = F.broadcast(spark.createDataFrame(rows, "fold_id int, test_start_date date, test_end_date date, " + "".join(f"{p} double, " for p in parts) + "level double"))  # one row a fold
+        test = self.tested.join(model, self.tested["date"].between(F.col("test_start_date"), F.col("test_end_date")))
+        score = F.col("level")
+        for i, f in enumerate(self.features):
+            score = score + F.col(f"weight_{i}") * (F.coalesce(F.col(f), F.col(f"median_{i}")) - F.col(f"mean_{i}"))
+        return ranked(test.select("fold_id", "date", "ticker", F.col("y").cast("int").alias("target"), "fwd_ret_5d", score.alias("score")))
 
 
 def ridge_predictions(matrix: DataFrame, folds: DataFrame, features: list[str], target: str = "target_class_5d", alpha: float = 1.0, scoring: DataFrame | None = None, is_settled: bool = False) -> DataFrame:
-    """Out-of-sample scores of a ridge regression per fold: medians and scales from the fold's training rows only.
+    """Out-of-sample scores of RidgeWalk on all folds' test dates, or on the rows of `scoring`. Folds without a training row have none."""
+    walk = RidgeWalk(matrix, folds, features, target, alpha, scoring, is_settled)
+    return walk.score(*(i for i, m in walk.models.items() if not isinstance(m, ValueError)))
 
-    Missing values become the median (0 without any), columns are centred and scaled by their population deviation
-    (1 where that is 0), the intercept is not penalized. Scored are the matrix's rows on the test dates, or those of
-    `scoring`. Output: fold_id, date, ticker, target, fwd_ret_5d, score and ranks. The rows are read several times: they are
-    written once first, unless `is_settled` says that they are already.
-    """
-    spark = matrix.sparkSession
-    cast = [F.col(f).cast("double").alias(f) for f in features]
-    keep = lambda df: df.select("date", "ticker", "fwd_ret_5d", F.col(target).cast("double").alias("y"), *cast)
-    plan_rows = folds.collect()  # one row a fold
-    check_folds(plan_rows)
-    rows = keep(matrix) if is_settled else settled(keep(matrix))
-    solved = _fitted(rows, plan_rows, features, alpha)
-    schema = "fold_id int, " + ", ".join(f"m_{i} double" for i in range(len(features))) + ", " + ", ".join(f"w_{i} double" for i in range(len(features))) + ", b double"
-    ends = spark.createDataFrame([(r["fold_id"], r["test_start_date"], r["test_end_date"]) for r in plan_rows], "fold_id int, test_start_date date, test_end_date date")
-    model = F.broadcast(spark.createDataFrame(solved, schema).join(ends, "fold_id"))  # one row a fold
-    tested = rows if scoring is None else keep(scoring)
-    test = tested.join(model, tested["date"].between(F.col("test_start_date"), F.col("test_end_date")))
-    score = F.col("b")
-    for i, f in enumerate(features):
-        score = score + F.col(f"w_{i}") * F.coalesce(F.col(f), F.col(f"m_{i}"))
-    return ranked(test.select("fold_id", "date", "ticker", F.col("y").cast("int").alias("target"), "fwd_ret_5d", score.alias("score")))
-
-
-def daily_scores(panel: DataFrame, features: list[str], target: str = "target_class_5d", score_date=None) -> DataFrame:
+
+def daily_scores(panel: DataFrame, features: list[str], target: str = "target_class_5d", score_date=None, is_settled: bool = False) -> DataFrame:
     """panel: the scoring matrix (all rows, label-valid or not, with the features). A ridge on all label-valid rows before the score date (the
     last date unless given) scores the eligible rows of that date; an error where there is nothing to train on or to score."""
     last = score_date or panel.agg(F.max("date")).first()[0]
@@ -203,7 +112,7 @@ def daily_scores(panel: DataFrame, features: list[str], target: str = "target_cl
     if not today.limit(1).count():
         raise ValueError("no eligible rows on the score date")
     fold = panel.sparkSession.createDataFrame([(1, span["a"], span["b"], last, last)], "fold_id int, train_start_date date, train_end_date date, test_start_date date, test_end_date date")
-    return ridge_predictions(before, fold, features, target, scoring=today)
+    return ridge_predictions(before, fold, features, target, scoring=today, is_settled=is_settled)
 
 
 def signal_counts(found: DataFrame) -> DataFrame:

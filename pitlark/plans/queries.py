@@ -17,6 +17,8 @@ from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import options as O
 from ..operators import panel as P
+from ..operators import ranks as N
+from ..operators import rules as R
 from ..operators import walkforward as W
 from ..sources import bars as B
 from ..sources.store import settled
@@ -284,14 +286,6 @@ def option_coverage(spark, sf):
     return O.coverage(O.link(_chains(spark, sf), candidates), candidates)
 
 
-DISCOVERED = ["ret_5d", "ret_20d", "rsi_14", "realized_vol_20d", "volume_z_20d", "dist_sma_50d"]
-
-
-def _long(spark, sf):
-    m = X.baseline(_labelled(spark, sf))
-    return D.long_form(m, W.plan(m), DISCOVERED)
-
-
 def _days(spark, sf):
     """What each date says of each feature, and the folds."""
     m = settled(X.baseline(_labelled(spark, sf)))
@@ -309,7 +303,8 @@ def discovery_daily_ic(spark, sf):
 
 
 def discovery_fold_ic(spark, sf):
-    return rounded(D.fold_ic(settled(_long(spark, sf))), ["fold_id"])
+    m = settled(X.baseline(_labelled(spark, sf)))
+    return rounded(N.fold_correlations(m, W.plan(m), X.BASELINE_NAMES), ["fold_id"])
 
 
 def discovery_correlations(spark, sf):
@@ -317,28 +312,30 @@ def discovery_correlations(spark, sf):
     return rounded(D.correlations(m, W.plan(m), X.BASELINE_NAMES), [])
 
 
-def _judged(folds, days):
+def judged(matrix, folds, days, features, settings=R.SELECTION, rules=R.REJECTS):
+    """Every feature with its statistics, the first rule that it breaks and its score."""
     stats = D.feature_stats(days, folds).groupBy("feature").agg(F.avg("non_null_pct").alias("non_null_pct"), F.avg("finite_pct").alias("finite_pct"), F.avg("std").alias("std"))
-    return D.reject_reasons(D.summary(D.daily_ic(days, folds)).join(stats, "feature"))
+    found = D.summary(D.daily_ic(days, folds), N.fold_correlations(matrix, folds, features))
+    return D.reject_reasons(found.join(stats, "feature"), settings, rules)
 
 
 def selection(spark, sf):
-    _, folds, days = _days(spark, sf)
-    return rounded(_judged(folds, days).drop("fold_ics"), [])
+    m, folds, days = _days(spark, sf)
+    return rounded(judged(m, folds, days, X.BASELINE_NAMES).drop("fold_ics"), [])
 
 
 def selected_features(spark, sf):
     """The selection after pruning by correlation, with the maps of fold correlations."""
     m, folds, days = _days(spark, sf)
-    return rounded(D.selected(settled(_judged(folds, days)), D.correlations(m, folds, X.BASELINE_NAMES)), [])
+    return rounded(D.selected(settled(judged(m, folds, days, X.BASELINE_NAMES)), D.correlations(m, folds, X.BASELINE_NAMES)), [])
 
 
 def research_gate(spark, sf):
-    """The gate over the computed metrics of the momentum score: one row."""
-    row = model_metrics(spark, sf).first().asDict()
-    found = E.gate(row | {"long_short_net": row["net"], "turnover": row["top_turnover"]}, E.THRESHOLDS)
-    facts = [(row["model"], found["status"], ";".join(found["blockers"]), ";".join(found["warnings"]), ";".join(f"{k}:{v}" for k, v in found["checks"].items()))]
-    return spark.createDataFrame(facts, "model string, status string, blockers string, warnings string, checks string")
+    """The gate over the controls' scores: the momentum score, random ones, a constant one and the lagged one."""
+    preds = E.control_scores(_settled_preds(spark, sf), (101,))
+    found = E.gate(E.gate_inputs(settled(preds), "control"))
+    joined = {c: F.concat_ws(";", c) for c in ("failures", "warnings")}
+    return rounded(found.drop("metric_warnings", "metric_blockers").withColumns(joined), ["control"])
 
 
 def zero_volume(spark, sf):
@@ -381,7 +378,7 @@ def momentum_signals(spark, sf):
 def signals(spark, sf):
     """Candidates of the last date, scored by a ridge on all rows before it."""
     panel = settled(X.baseline(_labelled(spark, sf), keep_invalid=True))
-    return rounded(W.signals(W.daily_scores(panel, RIDGE_FEATURES), panel), KEYS)
+    return rounded(W.signals(W.daily_scores(panel, RIDGE_FEATURES, is_settled=True), panel), KEYS)
 
 
 _PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, momentum_signals, plan_summary, selected_features, research_gate, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
@@ -403,10 +400,10 @@ def _round(ctes: str, source: str, plain: str, doubles: str) -> str:
 def oracle_sql() -> dict[str, str]:
     r = _round
     q = Q.PREDS
-    long = f"""{Q.BASELINE}, {Q.PLAN[len(Q.LABELLED) + 2:]},
-long AS (SELECT p.fold_id, m.date, m.ticker, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date,
-  LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in DISCOVERED)}) AS u(feature, value))"""
-    every = long.replace(', '.join(f"('{f}', m.{f})" for f in DISCOVERED), ', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)).replace('long AS (', 'long AS MATERIALIZED (').replace('matrix AS (', 'matrix AS MATERIALIZED (')
+    every = f"""{Q.BASELINE.replace('matrix AS (', 'matrix AS MATERIALIZED (')}, {Q.PLAN[len(Q.LABELLED) + 2:]},
+long AS MATERIALIZED (SELECT p.fold_id, m.date, m.ticker, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date,
+  LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value))"""
+    pooled = f"pooled AS MATERIALIZED (SELECT fold_id, feature, {Q.pearson('v', 't')} AS fold_rank_ic FROM (SELECT fold_id, feature, {Q.average_rank('value', 'fold_id, feature')} AS v, {Q.average_rank('target', 'fold_id, feature')} AS t FROM long) GROUP BY 1, 2)"
     # a date's correlation is that of every fold that trains on it
     daily = f"""{Q.BASELINE.replace('matrix AS (', 'matrix AS MATERIALIZED (')}, {Q.PLAN[len(Q.LABELLED) + 2:]},
 every AS (SELECT m.date, round(m.fwd_ret_5d, 9) AS target, u.feature, round(u.value, 9) AS value FROM matrix m, LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value)),
@@ -440,7 +437,7 @@ v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 't
         "fold_plan": f"WITH {Q.PLAN} SELECT * FROM plan",
         "discovery_stats": r(f"{every}, {stats}", "s", "fold_id, feature, rows", "non_null_pct finite_pct std"),
         "discovery_daily_ic": r(daily, "daily", "fold_id, feature, dates", "mean_daily_rank_ic"),
-        "discovery_fold_ic": r(f"{long}, s AS (SELECT fold_id, feature, {Q.pearson('v', 't')} AS mean_fold_rank_ic FROM (SELECT fold_id, feature, {Q.average_rank('value', 'fold_id, feature')} AS v, {Q.average_rank('target', 'fold_id, feature')} AS t FROM long) GROUP BY 1, 2)", "s", "fold_id, feature", "mean_fold_rank_ic"),
+        "discovery_fold_ic": r(f"{every}, {pooled}", "pooled", "fold_id, feature", "fold_rank_ic"),
         "zero_volume": r(f"{Q.BARS}, z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_rows, count(*) AS rows, count(*) FILTER (volume = 0) / count(*) AS zero_pct FROM bars GROUP BY 1)", "z WHERE zero_rows > 0", "ticker, zero_rows, rows", "zero_pct"),
         "gap_impact": f"WITH {Q.GATED}, g AS (SELECT ticker, date FROM (SELECT *, open / nullif(lag(close) OVER ({Q.T}), 0) AS x FROM bars) WHERE x <= 0.55 OR x >= 1.8) SELECT CAST(year(g.date) AS INTEGER) AS gap_year, count(*) AS gaps, count(u.ticker) AS in_research, count(*) FILTER (u.model_eligible) AS eligible, count(*) FILTER (NOT u.model_eligible) AS not_eligible FROM g LEFT JOIN universe u USING (ticker, date) GROUP BY 1",
         "symbol_coverage": f"WITH {Q.GATED}, a AS (SELECT DISTINCT ticker FROM gated), b AS (SELECT DISTINCT ticker FROM universe WHERE model_eligible) SELECT count(*) FILTER (b.ticker IS NOT NULL) AS both, count(*) FILTER (b.ticker IS NULL) AS only_left, CAST(0 AS BIGINT) AS only_right FROM a LEFT JOIN b USING (ticker)",
@@ -501,15 +498,16 @@ per AS (SELECT a.fold_id, a.feature AS feature_a, b.feature AS feature_b, abs({Q
 correlations AS (SELECT feature_a, feature_b, count(c) AS folds, avg(c) AS mean_abs_corr, max(c) AS max_abs_corr FROM per GROUP BY 1, 2)""",
         "correlations", "feature_a, feature_b, folds", "mean_abs_corr max_abs_corr",
     )
-    leak = " OR ".join(f"contains(lower(feature), '{t}')" for t in X.LEAKAGE_TOKENS)
+    leak = " OR ".join(f"contains(lower(feature), '{t}')" for t in ("target", "label", "fwd_ret", "next_open", "exit_close", "exit_date"))
     out["selection"] = r(
-        f"""{daily}, long AS MATERIALIZED (SELECT p.fold_id, u.feature, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date, LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value)), {stats},
-means AS (SELECT feature, avg(mean_daily_rank_ic) AS m FROM daily GROUP BY 1),
-folded AS (SELECT feature, count(mean_daily_rank_ic) AS folds_scored, avg(mean_daily_rank_ic) AS mean_ic, abs(avg(mean_daily_rank_ic)) AS abs_mean_rank_ic, coalesce(avg(CASE WHEN m = 0 THEN 0 ELSE CAST(sign(mean_daily_rank_ic) = sign(m) AS DOUBLE) END) FILTER (mean_daily_rank_ic IS NOT NULL), 0) AS sign_stability FROM daily JOIN means USING (feature) GROUP BY 1),
+        f"""{daily}, long AS MATERIALIZED (SELECT p.fold_id, u.feature, round(m.fwd_ret_5d, 9) AS target, round(u.value, 9) AS value FROM matrix m JOIN plan p ON m.date BETWEEN p.train_start_date AND p.train_end_date, LATERAL (VALUES {', '.join(f"('{f}', m.{f})" for f in X.BASELINE_NAMES)}) AS u(feature, value)), {stats}, {pooled},
+means AS (SELECT feature, avg(fold_rank_ic) AS m FROM pooled GROUP BY 1),
+stable AS (SELECT feature, avg(fold_rank_ic) AS mean_fold_rank_ic, coalesce(avg(CASE WHEN m = 0 THEN 0 ELSE CAST(sign(fold_rank_ic) = sign(m) AS DOUBLE) END) FILTER (fold_rank_ic IS NOT NULL), 0) AS sign_stability FROM pooled JOIN means USING (feature) GROUP BY 1),
+folded AS (SELECT feature, count(DISTINCT fold_id) AS folds_scored, avg(mean_daily_rank_ic) AS mean_daily_rank_ic, abs(avg(mean_daily_rank_ic)) AS abs_mean_rank_ic FROM daily GROUP BY 1),
 shares AS (SELECT feature, avg(non_null_pct) AS non_null_pct, avg(finite_pct) AS finite_pct, avg(std) AS std FROM s GROUP BY 1),
-chosen AS (SELECT *, CASE WHEN {leak} THEN 'leakage_name' WHEN finite_pct < non_null_pct THEN 'non_finite' WHEN coalesce(non_null_pct < 0.8, true) THEN 'excessive_nulls' WHEN coalesce(std < 1e-8, true) THEN 'near_zero_variance' WHEN coalesce(abs_mean_rank_ic < 0.002, true) THEN 'weak_rank_ic' WHEN sign_stability < 0.6 THEN 'unstable_sign' ELSE '' END AS reject_reason,
-  abs_mean_rank_ic * sign_stability * non_null_pct AS selection_score FROM folded JOIN shares USING (feature))""",
-        "chosen", "feature, folds_scored, reject_reason", "mean_ic abs_mean_rank_ic sign_stability non_null_pct finite_pct std selection_score",
+chosen AS (SELECT *, CASE WHEN {leak} THEN 'leakage_name' WHEN non_null_pct < 0.5 THEN 'excessive_nulls' WHEN finite_pct < 0.99 THEN 'non_finite' WHEN coalesce(std <= 1e-12, true) THEN 'near_zero_variance' WHEN coalesce(abs_mean_rank_ic < 0.001, true) THEN 'weak_rank_ic' WHEN sign_stability < 0.5 THEN 'unstable_sign' ELSE '' END AS reject_reason,
+  coalesce(abs_mean_rank_ic, 0) * coalesce(sign_stability, 0) * coalesce(non_null_pct, 0) AS selection_score FROM folded JOIN stable USING (feature) JOIN shares USING (feature))""",
+        "chosen", "feature, folds_scored, reject_reason", "mean_daily_rank_ic mean_fold_rank_ic abs_mean_rank_ic sign_stability non_null_pct finite_pct std selection_score",
     )
     u = lambda seed, k: f"((('0x' || substr(md5(concat_ws('|', '{seed}', '{k}', CAST(date AS VARCHAR), ticker)), 1, 10))::BIGINT + 0.5) / {1 << 40})"
     normal = lambda seed: f"(sqrt(-2 * ln({u(seed, 1)})) * cos(2 * pi() * {u(seed, 2)}))"
@@ -519,8 +517,28 @@ ic AS (SELECT date, {Q.pearson('s', 'r')} AS ic FROM (SELECT date, {Q.average_ra
 s AS (SELECT count(ic) AS dates, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t_stat FROM ic)""",
         "s", "dates", "mean_ic std_ic t_stat",
     )
-    for seed in (101, 202):
-        out["negative_controls"] = out["negative_controls"].replace(f"@{seed}@", f"round({normal(seed)}, 12)")
+    checks = [f"CASE WHEN {m} IS NULL THEN '{m}_missing' WHEN {m} {op} {t} THEN '{m}_{said}' END" for m, op, t, said in (
+        ("total_oos_rows", "<", 1_000_000, "below_threshold"), ("fold_count", "<", 20, "below_threshold"), ("mean_daily_rank_ic", "<=", 0, "failed_positive_threshold"),
+        ("rank_ic_t_stat", "<", 2, "below_threshold"), ("long_short_net_return", "<=", 0, "failed_positive_threshold"), ("top_decile_net_return", "<=", 0, "failed_positive_threshold"))]
+    warned = [f"CASE WHEN {cond} THEN '{said}' END" for cond, said in (
+        ("missing_rows > 0", "metrics_warning:missing_or_null_prediction_rows"), ("dates_below_buckets > 0", "metrics_warning:dates_with_too_few_names_for_deciles"), ("dates_below_quintiles > 0", "metrics_warning:dates_with_too_few_names_for_quintiles"),
+        ("bottom_decile_net_short_return <= 0", "short_leg_net_return_non_positive"), ("greatest(abs(score_min), abs(score_max)) > 5", "extreme_prediction_score"),
+        ("long_short_net_return > 0 AND long_short_net_return < 0.005", "long_short_net_return_positive_but_small"), ("mean_daily_rank_ic < 0.05", "mean_daily_rank_ic_below_0_05"))]
+    given = out["negative_controls"]
+    given = given[given.index("WITH ") + 5 : given.index("\nSELECT control")].replace(given[given.index(" UNION ALL SELECT 'random_202'") : given.index("), used AS")], "")
+    out["research_gate"] = r(
+        f"""{given},
+extremes AS (SELECT control, min(score) AS score_min, max(score) AS score_max FROM used GROUP BY 1),
+outlying AS (SELECT control, list(concat('metrics_warning:fold_', fold_id, '_score_outlier')) AS odd_folds FROM (SELECT control, fold_id FROM used GROUP BY ALL HAVING max(abs(score)) > 5) GROUP BY 1),
+facts AS (SELECT control, rows AS total_oos_rows, folds AS fold_count, mean_ic AS mean_daily_rank_ic, ic_t_stat AS rank_ic_t_stat, net AS long_short_net_return, long_net AS top_decile_net_return, short_net AS bottom_decile_net_short_return, score_min, score_max,
+  missing_rows, dates_below_buckets, dates_below_quintiles, coalesce(odd_folds, []) AS extreme FROM metrics JOIN extremes USING (control) LEFT JOIN outlying USING (control)),
+told AS (SELECT *, list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL) AS f, list_sort(list_filter(list_concat([{', '.join(warned)}], extreme), lambda x: x IS NOT NULL)) AS w FROM facts),
+verdicts AS (SELECT *, array_to_string(f, ';') AS failures, array_to_string(w, ';') AS warnings, CASE WHEN len(f) > 0 THEN 'FAIL' WHEN len(w) > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status, len(f) = 0 AS passed,
+  CASE WHEN len(f) > 0 THEN 'stop_and_inspect_pipeline_model_data' ELSE 'proceed_to_feature_expansion' END AS recommendation, CASE WHEN len(f) = 0 THEN 'feature_expansion' END AS next_stage FROM told)""",
+        "verdicts", "control, total_oos_rows, fold_count, failures, warnings, status, passed, recommendation, next_stage", "mean_daily_rank_ic rank_ic_t_stat long_short_net_return top_decile_net_return bottom_decile_net_short_return score_min score_max",
+    )
+    for name, seed in ((n, s) for n in ("negative_controls", "research_gate") for s in (101, 202)):
+        out[name] = out[name].replace(f"@{seed}@", f"round({normal(seed)}, 12)")
     out["plan_summary"] = f"WITH {Q.PLAN}, n AS (SELECT count(DISTINCT date) AS dates FROM labelled WHERE label_valid_5d) SELECT count(*) AS folds, min(train_start_date) AS first_train_date, max(test_end_date) AS last_test_date, sum(train_rows)::BIGINT AS train_rows, sum(test_rows)::BIGINT AS test_rows, any_value(dates) AS dates, CASE WHEN any_value(dates) < 568 THEN concat('insufficient_history: ', any_value(dates), ' of 568 dates') ELSE '' END AS warning FROM plan, n"
     out["lagged_control_ic"] = r(
         f"""{q}, used AS (SELECT date, score, round(fwd_ret_5d, 9) AS fr FROM (SELECT date, fwd_ret_5d, lag(score) OVER (PARTITION BY ticker ORDER BY date) AS score FROM preds) WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL),

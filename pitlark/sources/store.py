@@ -130,22 +130,6 @@ def select_folds(plan: DataFrame, fold_id: int | None = None, max_folds: int | N
     return plan if max_folds is None else plan.orderBy("fold_id").limit(max_folds)
 
 
-def run_folds(plan: DataFrame, predict, path: str, resume: bool = True) -> DataFrame:
-    """Writes predict(folds) by fold_id and returns a summary per fold of the plan. With resume, folds already there are not
-    computed again; their summary comes from their files. Only partitions that are written are replaced."""
-    spark = plan.sparkSession
-    done = read_or_empty(spark, path, FOLD_PREDICTIONS).select("fold_id").distinct() if resume else spark.createDataFrame([], "fold_id int")
-    done = spark.createDataFrame([(r[0],) for r in done.collect()], "fold_id int")  # one number a fold, fixed before anything is written
-    left = plan.join(done, "fold_id", "left_anti")
-    if left.limit(1).count():
-        predict(left).hint("rebalance", "fold_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold_id").parquet(path)
-    stats = read_or_empty(spark, path, FOLD_PREDICTIONS).groupBy("fold_id").agg(
-        F.count("*").alias("prediction_rows"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-    )
-    flags = done.withColumn("resumed", F.lit(True))
-    return plan.join(stats, "fold_id", "left").join(F.broadcast(flags), "fold_id", "left").withColumns({"resumed": F.coalesce("resumed", F.lit(False)), "prediction_rows": F.coalesce("prediction_rows", F.lit(0))})
-
-
 def provenance(spark: SparkSession, path: str, hash_up_to: int = 25_000_000) -> DataFrame:
     """Size, time and SHA-256 of every file below path; larger files than `hash_up_to` are listed without a hash, unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

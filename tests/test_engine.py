@@ -8,7 +8,6 @@ import pandas as pd
 import pytest
 
 from pitlark.operators import ablation as L
-from pitlark.operators import evaluation as E
 from pitlark.operators import features as X
 from pitlark.operators import panel as P
 from pitlark.operators import walkforward as W
@@ -49,13 +48,9 @@ def test_validation(spark):
     assert B.valid_bars(got).count() == 1
 
 
-def test_gate_and_prune():
-    good = {"rows": 2e6, "folds": 30, "ic_t_stat": 3, "mean_ic": 0.02, "long_short_net": 0.001, "top_net": 0.001}
-    limits = {"min_rows": 1e6, "min_folds": 20, "min_ic_t_stat": 2.0}
-    assert E.gate(good, limits)["status"] == "PASS" and E.gate(good | {"failed_folds": 1}, limits)["status"] == "PASS_WITH_WARNINGS"
-    assert E.gate(good | {"mean_ic": None}, limits)["blockers"] == ["mean_ic:missing"]
-    feats = [{"feature": f, "reject_reason": "", "selection_score": s} for f, s in (("a", 3), ("b", 2), ("c", 1))]
-    assert K.D.prune(feats, {frozenset("ab"): 0.99}) == ["a", "c"]
+def test_prune():
+    feats = [{"feature": f, "reject_reason": "", "selection_score": s} for f, s in (("a", 3), ("b", 2), ("c", 1), ("d", 0))]
+    assert K.D.prune(feats, {frozenset("ab"): 0.99}) == (["a", "c", "d"], {"b"}) and K.D.prune(feats, {frozenset("ac"): 0.99}, 2) == (["a", "b"], set())
 
 
 def test_long_short_gross(spark):

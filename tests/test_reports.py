@@ -64,20 +64,6 @@ def test_manifest_export_and_commands(spark, tmp_path):
     assert {r["size_bytes"]: r["sha256"] for r in S.provenance(spark, str(raw), 10).collect()} == {(raw / "aaa.us.txt").stat().st_size: None}
 
 
-def test_resumed_folds(spark, tmp_path):
-    plan = spark.createDataFrame([(1,), (2,)], "fold_id int")
-    calls = []
-
-    def predict(folds):
-        calls.append(sorted(r[0] for r in folds.collect()))
-        return folds.selectExpr("date'2020-01-01' AS date", "'A' AS ticker", "1 AS target", "0.5D AS fwd_ret_5d", "1D * fold_id AS score", "1D AS rank_pct", "1 AS long_rank", "1 AS short_rank", "fold_id")
-
-    path = str(tmp_path / "p")
-    S.run_folds(S.select_folds(plan, max_folds=1), predict, path).collect()
-    got = {r["fold_id"]: (r["resumed"], r["prediction_rows"], r["score_mean"]) for r in S.run_folds(plan, predict, path).collect()}
-    assert calls == [[1], [2]] and got == {1: (True, 1, 1.0), 2: (False, 1, 2.0)}
-
-
 def test_guard_json_and_empty(spark, tmp_path):
     assert S.guard(f"{tmp_path}/a", str(tmp_path))
     for bad in (str(tmp_path), f"{tmp_path}/../x", f"{tmp_path}/raw_txt/a"):
@@ -134,13 +120,3 @@ def test_controls(spark):
     got = {r["control"]: r for r in E.metrics(E.control_scores(spark.createDataFrame(rows, "fold_id int, date date, ticker string, fwd_ret_5d double, score double")), "control", top=5).collect()}
     assert set(got) == {"active", "random_101", "random_202", "constant", "lagged"} and got["lagged"]["missing_rows"] == 12
     assert got["constant"]["mean_ic"] is None and got["active"]["top_turnover"] == 0 and got["active"]["top_days"] == 4
-
-
-def test_pooled_rank(spark):
-    rng = np.random.default_rng(3)
-    f = pd.DataFrame({"g": rng.integers(0, 3, 900), "x": np.where(rng.random(900) < 0.4, 0.0, rng.integers(-40, 40, 900) / 8)})
-    f.loc[::17, "x"] = np.nan
-    f["id"] = range(len(f))
-    df = spark.createDataFrame(f).selectExpr("id", "g", "nanvl(x, null) AS x")
-    got = D.pooled_rank(df, "x", ["g"], "r", cells=7).orderBy("id").toPandas()["r"]
-    pd.testing.assert_series_equal(got, f.groupby("g")["x"].rank().rename("r"), check_dtype=False)
