@@ -20,6 +20,7 @@ from .plans import queries as K
 from .sources import archives as R
 from .sources import bars as B
 from .sources import folds as L
+from .sources import publish as H
 from .sources import store as S
 
 
@@ -38,7 +39,17 @@ def validate(spark, a):
 
 
 def manifest(spark, a):
-    S.write_csv(R.file_manifest(spark, a.input).orderBy("source_file"), f"{a.output}/manifest")
+    """Raw text files with digests, rows and spans of dates."""
+    found = S.settled(R.file_manifest(spark, a.input))
+    S.write_csv(found.orderBy("source_file"), f"{a.output}/manifest")
+    S.write_json(spark, R.manifest_summary(found).first().asDict(), f"{a.output}/manifest_summary")
+
+
+def listing(spark, a):
+    """A listing of symbols over HTTP (INPUT is the address) to Parquet, with rows by status and state."""
+    found = S.settled(R.fetch_listing(spark, a.input, a.asof, **{k: v for k, v in (("key_env", a.key_env), ("key_file", a.key_file), ("date", a.date), ("pause", a.pause)) if v}))
+    R.listing_export(found).coalesce(1).write.mode("overwrite").parquet(f"{a.output}/listing")
+    S.write_csv(R.listing_counts(found).orderBy("what", "value"), f"{a.output}/listing_counts")
 
 
 def export(spark, a):
@@ -50,7 +61,9 @@ def archives(spark, a):
     found = S.settled(R.inventory(R.read_members(spark, a.input)))
     found.write.mode("overwrite").parquet(f"{a.output}/inventory")
     profile = R.schema_profile(found).orderBy("archive", "kind")
-    S.write_text(spark, S.markdown("Archives", {"members": found.count()}, {"Kinds": profile}), f"{a.output}/report")
+    whole = R.archive_profile(found).first().asDict(recursive=True)
+    S.write_json(spark, whole, f"{a.output}/profile")
+    S.write_text(spark, S.markdown("Archives", {"members": whole["total_inner_files"]}, {"Kinds": profile}), f"{a.output}/report")
 
 
 def panel(spark, a):
@@ -69,7 +82,7 @@ def folds(spark, a):
     matrix, features = spark.read.parquet(a.input), a.features.split(",")
     plan = S.settled(S.select_folds(W.plan(matrix, W.FoldConfig(a.train, a.test, a.test, a.purge)), a.fold_id, a.max_folds, a.start_fold, a.end_fold))
     path = f"{a.output}/predictions"
-    whole = L.Ledger(L.Folder(spark, path)).whole() if a.resume else {}
+    whole = L.Ledger(H.Folder(spark, path)).whole() if a.resume else {}
     left = plan.where(~F.col("fold_id").isin(list(whole)))  # only these are fitted
     walk = W.RidgeWalk(matrix, left, features) if left.limit(1).count() else None
     try:
@@ -130,7 +143,16 @@ def score(spark, a):
 def options(spark, a):
     """One snapshot (--snapshot), or all of a manifest: its files lie in the input folder."""
     if a.snapshot:
-        O.checked(O.normalize(spark.read.csv(a.snapshot, header=True))).write.mode("overwrite").parquet(f"{a.output}/options")
+        raw = spark.read.csv(a.snapshot, header=True)
+        plain = lambda df: df.drop(*(f"broken_{n}" for n in O.HARD_RULES))
+        facts = H.publish(O.flagged(O.normalize(raw)), f"{a.output}/options", O.import_facts(), O.broken_rules, plain)  # one pass checks and writes
+        H.Folder(spark, a.output).copy_from(a.snapshot, f"snapshots/{os.path.basename(a.snapshot)}")
+        summary = {"input": a.snapshot, "schema_columns": O.SCHEMA, "required_core_columns": O.CORE, **facts}
+        if a.candidates:
+            candidates = spark.read.csv(a.candidates, header=True).withColumn("score_date", F.to_date("score_date"))
+            linked = {"linked_rows": F.count_if("is_candidate"), "unlinked_option_rows": F.count_if(~F.col("is_candidate")), "snapshot_matches_score_date_rows": F.count_if("snapshot_matches_score_date")}
+            summary |= H.publish(O.link(spark.read.parquet(f"{a.output}/options"), candidates), f"{a.output}/linked", linked)
+        S.write_json(spark, summary, f"{a.output}/import_summary")
         return
     raw = spark.read.csv(a.input, header=True, pathGlobFilter="*.csv").withColumn("file_path", F.element_at(F.split(F.input_file_name(), "/"), -1))
     good, files = O.import_batch(raw, spark.read.csv(a.manifest, header=True))
@@ -154,13 +176,16 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pitlark")
     subs = top.add_subparsers(required=True)
     made = {}
-    for f in (validate, manifest, export, archives, panel, matrix, folds, select, gate, score, options, query, provenance):
+    for f in (validate, manifest, listing, export, archives, panel, matrix, folds, select, gate, score, options, query, provenance):
         made[f.__name__] = sub = subs.add_parser(f.__name__, help=(f.__doc__ or "").split("\n")[0])
         sub.add_argument("input")
         sub.add_argument("output")
         sub.add_argument("--root", help="folder that outputs must lie in")
         sub.set_defaults(run=f)
     made["validate"].add_argument("--limit", type=int)
+    for name in ("key-env", "key-file", "date", "pause"):
+        made["listing"].add_argument(f"--{name}")
+    made["listing"].add_argument("--asof", required=True)
     for name in ("fold-id", "max-folds", "start-fold", "end-fold"):
         made["folds"].add_argument(f"--{name}", type=int)
     made["matrix"].add_argument("--set", default="baseline", choices=sorted(X.FEATURE_SETS))
@@ -179,6 +204,7 @@ def parser() -> argparse.ArgumentParser:
     one = made["options"].add_mutually_exclusive_group(required=True)
     one.add_argument("--snapshot")
     one.add_argument("--manifest")
+    made["options"].add_argument("--candidates", help="the candidates of a score date, to link a snapshot with")
     made["query"].add_argument("name", choices=sorted(K.queries()))
     return top
 

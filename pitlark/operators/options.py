@@ -47,8 +47,12 @@ def normalize(raw: DataFrame, *keep: str) -> DataFrame:
     })
 
 
-def faults(options: DataFrame, *by: str) -> DataFrame:
-    """How many rows break each hard rule (per `by`, else one row); a snapshot with any is refused. A rule over a null is not broken."""
+#: The hard rules, in order; a snapshot that breaks any is refused.
+HARD_RULES = ["null_core", "call_put", "negative", "negative_volume", "crossed", "expired", "duplicate"]
+
+
+def flagged(options: DataFrame, *by: str) -> DataFrame:
+    """The options with a column per hard rule (broken_<rule>). A rule over a null is not broken."""
     df = options.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*by, *KEY)))
     null = F.lit(False)
     for c in CORE:
@@ -58,7 +62,22 @@ def faults(options: DataFrame, *by: str) -> DataFrame:
         "negative_volume": F.coalesce(F.col("volume") < 0, F.lit(False)) | F.coalesce(F.col("open_interest") < 0, F.lit(False)), "crossed": F.col("ask") < F.col("bid"),
         "expired": F.col("expiration") <= F.col("snapshot_date"), "duplicate": F.col("_copies") > 1,
     }
-    return df.groupBy(*by).agg(*(F.count_if(F.coalesce(cond, F.lit(False))).alias(name) for name, cond in rules.items()))
+    return df.withColumns({f"broken_{name}": F.coalesce(rules[name], F.lit(False)) for name in HARD_RULES}).drop("_copies")
+
+
+def faults(options: DataFrame, *by: str) -> DataFrame:
+    """How many rows break each hard rule (per `by`, else one row)."""
+    return flagged(options, *by).groupBy(*by).agg(*(F.count_if(f"broken_{name}").alias(name) for name in HARD_RULES))
+
+
+def import_facts() -> dict:
+    """What is observed of flagged() options while they are written: rows, how many break each rule, missing optional values, days."""
+    optional = [c for c in SCHEMA if c not in CORE]
+    return {"rows": F.count(F.lit(1)), **{n: F.count_if(f"broken_{n}") for n in HARD_RULES}, **{f"missing_{c}": F.count_if(F.col(c).isNull()) for c in optional}, "first_snapshot_date": F.min("snapshot_date"), "last_snapshot_date": F.max("snapshot_date")}
+
+
+def broken_rules(facts: dict) -> list[str]:
+    return [f"{n}: {facts[n]} rows" for n in HARD_RULES if facts[n]] + ([] if facts["rows"] else ["no rows"])
 
 
 def checked(options: DataFrame) -> DataFrame:

@@ -2,74 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bars as B
-
-MEMBER_SCHEMA = "archive string, archive_sha256 string, member string, size_bytes long, encoding string, lines array<string>, line_count long, failure string"
-#: Data lines of a member that are looked at, and members sent on at a time.
-SAMPLE_LINES, MEMBERS_AT_A_TIME = 2000, 100
-
-
-def _encoding(head: bytes) -> str:
-    for name in ("ascii", "utf-8"):
-        try:
-            head.decode(name)
-            return name
-        except UnicodeDecodeError as e:
-            if name == "utf-8" and e.start >= len(head) - 3:  # a character cut at the sample's end
-                return name
-    return "binary"
-
-
-def _members(batches: Iterator) -> Iterator:
-    import hashlib
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    columns = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            name, digest, rows = path.rsplit("/", 1)[-1], hashlib.sha256(content).hexdigest(), []
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile as e:
-                yield pd.DataFrame([(name, digest, name, len(content), None, [], None, f"BadZipFile: {e}")], columns=columns)
-                continue
-            for info in sorted(archive.infolist(), key=lambda x: x.filename):
-                row = [name, digest, info.filename, info.file_size, None, [], None, None]
-                if info.filename.lower().endswith((".txt", ".dop")):
-                    try:
-                        with archive.open(info) as f:
-                            row[4] = _encoding(f.read(8192))
-                        if row[4] != "binary":
-                            with archive.open(info) as f:  # line by line: a long member is never held whole
-                                count = 0
-                                for line in io.TextIOWrapper(f, row[4], errors="replace"):
-                                    count += 1
-                                    if count <= SAMPLE_LINES + 1:
-                                        row[5].append(line.rstrip("\r\n"))
-                            row[6] = count
-                    except (OSError, RuntimeError, zipfile.BadZipFile, NotImplementedError) as e:
-                        row[7] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-                if len(rows) == MEMBERS_AT_A_TIME:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+from .readers import LISTING_COLUMNS, LISTING_STATES, SAMPLE_LINES, register
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """One row per member of every ZIP archive below path, with its first lines if it is text. Archives are dealt to tasks by
-    Spark's file reader; only the listing itself needs Python. A broken archive is one row with its failure."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(_members, MEMBER_SCHEMA)
+    """One row per member of every ZIP archive below path, with its first lines if it is text, and the archive's digest. A range of
+    an archive's directory is a task; a broken archive or member is one row with its failure."""
+    found = register(spark).read.format("zip_members").load(path)
+    digests = spark.read.format("file_facts").option("suffix", ".zip").load(path).select("path", F.col("sha256").alias("archive_sha256"))
+    return found.join(digests, "path", "left").drop("path")
 
 
 def inventory(members: DataFrame) -> DataFrame:
@@ -120,20 +65,35 @@ def schema_profile(found: DataFrame) -> DataFrame:
     )
 
 
+def archive_profile(found: DataFrame) -> DataFrame:
+    """One row over all members of inventory(): how many of each kind, the first daily and hourly member with columns as reference
+    schemas, the first field list of the other format, rows, symbols, span of dates, and what is there or missing."""
+    order = F.struct("archive", "member")
+    first = lambda kind: F.min_by(F.struct("columns", "delimiter", "encoding", F.col("member").alias("sample_file")), F.when((F.col("kind") == kind) & (F.size("columns") > 0), order))
+    kinds = found.groupBy("kind").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("file_type_counts"))  # a row a kind
+    one = found.agg(
+        F.count("*").alias("total_inner_files"), F.sum("rows").alias("total_sampled_rows"), F.countDistinct(F.when(F.col("kind") == "daily_ascii", F.col("symbol"))).alias("unique_symbols_estimate"),
+        F.min("first_date").alias("earliest"), F.max("last_date").alias("latest"), first("daily_ascii").alias("daily_schema"), first("hourly_ascii").alias("hourly_schema"), first("metastock_dop")["columns"].alias("metastock_dop_fields"),
+        F.count_if(F.col("kind").isin("unknown", "unknown_ascii")).alias("unknown_files_count"), F.coalesce(F.bool_or(F.col("kind").startswith("metastock")), F.lit(False)).alias("metastock_present"), F.count_if(F.col("status") == "FAIL").alias("failures"),
+    )
+    return one.crossJoin(kinds)  # one row each
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Per raw text file: size, SHA-256, rows without the header, raw and clean ticker, span of dates, status. One row per file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
-    lines = F.filter(F.split(F.decode("content", "ISO-8859-1"), "\r\n|\n|\r"), lambda x: x != "")
-    df = files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("_l"))
-    names = F.transform(F.split(F.coalesce(F.try_element_at("_l", F.lit(1)), F.lit("")), ","), lambda c: F.lower(F.regexp_replace(F.trim(c), "[<>]", "")))
-    df = df.withColumns({"_t": F.array_position(names, F.lit("ticker")).cast("int"), "_d": F.array_position(names, F.lit("date")).cast("int")})
-    ok = (F.col("_t") > 0) & (F.col("_d") > 0)
-    cells = F.transform(F.slice("_l", 2, 1 << 30), lambda x: F.split(x, ","))
-    dates = F.array_compact(F.transform(cells, lambda r: F.try_to_timestamp(F.trim(F.try_element_at(r, F.col("_d"))), F.lit("yyyyMMdd")).cast("date")))
-    raw = F.when(ok, F.upper(F.trim(F.try_element_at(F.split(F.try_element_at("_l", F.lit(2)), ","), F.col("_t")))))
-    df = df.select("source_file", "file_size_bytes", "sha256", F.greatest(F.size("_l") - 1, F.lit(0)).alias("row_count"), raw.alias("raw_ticker"), F.when(ok, dates).alias("_dates"), ok.alias("_ok"))
+    """Per raw text file: size, SHA-256, rows without the header, raw and clean ticker, span of dates, status. One row per file, which
+    is read once, in chunks, whatever its size."""
+    df = register(spark).read.format("file_facts").option("suffix", ".txt").load(path)
     stem = F.upper(F.regexp_replace("source_file", r"\.[^.]*$", ""))
-    return df.select("source_file", F.coalesce("raw_ticker", F.lit("")).alias("raw_ticker"), F.coalesce(B.clean_ticker(F.col("raw_ticker")), stem).alias("ticker"), "file_size_bytes", "row_count", F.array_min("_dates").alias("min_date"), F.array_max("_dates").alias("max_date"), "sha256", F.when(F.col("_ok"), "ok").otherwise("error").alias("parse_status"), F.when(F.col("_ok"), "").otherwise("missing columns").alias("error_message"))
+    ok = F.size("missing") == 0
+    return df.select(
+        "source_file", F.coalesce("first_ticker", F.lit("")).alias("raw_ticker"), F.coalesce(B.clean_ticker(F.col("first_ticker")), stem).alias("ticker"), "file_size_bytes", "row_count", "min_date", "max_date", "sha256",
+        F.when(ok, "ok").otherwise("error").alias("parse_status"), F.when(ok, "").otherwise(F.concat(F.lit("missing columns: "), F.array_join("missing", ", "))).alias("error_message"),
+    )
+
+
+def manifest_summary(manifest: DataFrame) -> DataFrame:
+    """One row: files, how many of them parse, and rows."""
+    return manifest.agg(F.count("*").alias("files_scanned"), F.count_if(F.col("parse_status") == "ok").alias("parse_ok"), F.count_if(F.col("parse_status") == "error").alias("parse_error"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows_total"))
 
 
 def strict_export(raw: DataFrame) -> DataFrame:
@@ -147,11 +107,6 @@ def strict_export(raw: DataFrame) -> DataFrame:
     return df.withColumns({"market_year": F.concat_ws("-", "market", F.col("year").cast("string")), "ticker_path": B.safe_path_part(F.col("ticker"))})
 
 
-#: Fixed values of a listing-status file.
-LISTING_COLUMNS = ["symbol", "name", "exchange", "assetType", "ipoDate", "delistingDate", "status"]
-LISTING_STATES = ("active", "delisted")
-
-
 def read_listing(spark: SparkSession, path: str, state: str, asof: str = "", source: str = "listing_status") -> DataFrame:
     """A listing-status CSV as text with its state, source and as-of date; rows blank in every column go, empty cells are ''."""
     if state not in LISTING_STATES:
@@ -161,3 +116,21 @@ def read_listing(spark: SparkSession, path: str, state: str, asof: str = "", sou
         raise ValueError(f"columns are missing: {lacks}")
     df = df.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in LISTING_COLUMNS)).where(F.concat(*LISTING_COLUMNS) != "")
     return df.withColumns({"query_state": F.lit(state), "source": F.lit(source), "source_asof_date": F.lit(asof)})
+
+
+def fetch_listing(spark: SparkSession, url: str, asof: str, source: str = "listing_status", **options: str) -> DataFrame:
+    """The listing of each state over HTTP (see readers.Listing), as read_listing() gives it."""
+    df = register(spark).read.format("listing_status").options(url=url, **options).load()
+    return df.withColumns({"source": F.lit(source), "source_asof_date": F.lit(asof)})
+
+
+def listing_export(listing: DataFrame) -> DataFrame:
+    """The listing with the years of its dates (none where a date is blank or no date), by state, status, symbol and listing date."""
+    year = lambda c: F.year(F.try_to_timestamp(F.when(~F.col(c).isin("", "null", "None"), F.col(c)), F.lit("yyyy-MM-dd"))).cast("int")
+    return listing.withColumns({f"{c}_year": year(c) for c in ("ipoDate", "delistingDate", "source_asof_date")}).orderBy("query_state", "status", "symbol", "ipoDate", "delistingDate")
+
+
+def listing_counts(listing: DataFrame) -> DataFrame:
+    """(what, value, rows): rows by status and by queried state; a missing value is counted as such."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("status", "query_state"))))
+    return listing.select(each.alias("e")).groupBy("e.what", "e.value").agg(F.count("*").alias("rows"))

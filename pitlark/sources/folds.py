@@ -18,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .publish import Folder, data_files
 from .store import json_safe
 
 OUTCOME = "fold_id int, status string, resumed boolean, prediction_rows long, score_mean double, score_std double, score_min double, score_max double, first_date date, last_date date, seconds double, error string"
@@ -32,49 +33,6 @@ class FoldsFailed(RuntimeError):
         self.failed, self.outcomes = failed, outcomes
 
 
-class Folder:
-    """A folder of any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._jvm, self.path = spark._jvm, path.rstrip("/")
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def files(self, name: str = "") -> dict[str, int]:
-        """Names and lengths of the files in a folder; none where it does not exist."""
-        if not self._fs.exists(self._at(name)):
-            return {}
-        return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._at(name)) if s.isFile()}
-
-    def put(self, name: str, text: str) -> None:
-        out = self._fs.create(self._at(name), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._at(name))
-        try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._at(name), True)
-
-    def publish(self, staged: str, name: str) -> None:
-        """Puts a staged folder in a place, instead of what may be there."""
-        old = f"{staged}-before"
-        self._fs.mkdirs(self._at(name).getParent())
-        if self._fs.exists(self._at(name)) and not self._fs.rename(self._at(name), self._at(old)):
-            raise OSError(f"cannot move {self.path}/{name} away")
-        if not self._fs.rename(self._at(staged), self._at(name)):
-            self._fs.rename(self._at(old), self._at(name))
-            raise OSError(f"cannot put {self.path}/{name} in its place")
-        self.delete(old)
-
-
 class Ledger:
     """What happened to folds, below `_ledger`: a file per fold and event, the latest run's in place of earlier ones."""
 
@@ -94,11 +52,7 @@ class Ledger:
     def whole(self) -> dict[int, dict]:
         """The folds that are done and whose files are there as they were written."""
         done = {e["fold_id"]: e for e in self.events() if e["event"] == "done"}
-        return {i: e for i, e in done.items() if e["files"] and e["files"] == _data(self.folder.files(f"fold_id={i}"))}
-
-
-def _data(files: dict[str, int]) -> dict[str, int]:
-    return {n: size for n, size in files.items() if n.endswith(".parquet")}
+        return {i: e for i, e in done.items() if e["files"] and e["files"] == data_files(self.folder.files(f"fold_id={i}"))}
 
 
 def run_folds(plan: DataFrame, score: Callable[[Row], DataFrame], path: str, resume: bool = False, on_error: str = "continue", at_once: int = 4) -> DataFrame:
@@ -148,7 +102,7 @@ def run_folds(plan: DataFrame, score: Callable[[Row], DataFrame], path: str, res
             facts = seen.get
             folder.publish(staged, f"fold_id={i}")
             found = {**{k: facts[k] for k in _SUMMARY}, "seconds": time.time() - began}
-            ledger.tell(i, "done", run=run, files=_data(folder.files(f"fold_id={i}")), **found)
+            ledger.tell(i, "done", run=run, files=data_files(folder.files(f"fold_id={i}")), **found)
             return {**told, **found, "status": "done"}
         except Exception as error:
             folder.delete(staged)

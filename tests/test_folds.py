@@ -6,10 +6,12 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitlark import __main__ as cli
 from pitlark.operators import walkforward as W
 from pitlark.sources import folds as L
+from pitlark.sources import publish as P
 from pitlark.sources import store as S
 
 
@@ -45,7 +47,7 @@ def test_one_of_three_fails_and_is_resumed(spark, plan, tmp_path):
         L.run_folds(plan, score(False), path)
     assert [o["status"] for o in failure.value.outcomes] == ["done", "failed", "done"] and "no such luck" in failure.value.outcomes[1]["error"]
     assert there(spark, path) == {1: 3, 3: 3} and sorted(calls) == [1, 2, 3]
-    events = {(e["fold_id"], e["event"]): e for e in L.Ledger(L.Folder(spark, path)).events()}
+    events = {(e["fold_id"], e["event"]): e for e in L.Ledger(P.Folder(spark, path)).events()}
     assert set(events) == {(1, "started"), (1, "done"), (2, "started"), (2, "failed"), (3, "started"), (3, "done")}
     assert events[3, "done"]["prediction_rows"] == 3 and events[3, "done"]["score_mean"] == 4.0 and "no such luck" in events[2, "failed"]["error"]
     calls.clear()
@@ -114,3 +116,43 @@ def test_the_command_writes_summaries_and_resumes(spark, tmp_path):
     cli.main(["gate", str(tmp_path / "nothing"), str(tmp_path / "judged")])
     verdict = json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "judged/gate")).collect()))
     assert verdict["failures"][0] == "metrics_file_missing"
+
+
+def test_what_is_checked_is_written_in_the_same_pass(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).mapInArrow(counted, "id long")
+    facts = {"rows": F.count(F.lit(1)), "most": F.max("id"), "odd": F.count_if(F.col("id") % 2 == 1)}
+    path = str(tmp_path / "out")
+    got = P.publish(rows, path, facts, then=lambda df: df.where("id < 10"))
+    assert got == {"rows": 1000, "most": 999, "odd": 500} and read.value == 1000 and spark.read.parquet(path).count() == 10 and P.is_whole(spark, path)
+    with pytest.raises(P.Refused, match="500 odd"):
+        P.publish(rows, path, facts, lambda f: [f"{f['odd']} odd"])
+    with pytest.raises(Exception, match="no such luck"):
+        P.publish(spark.range(9).selectExpr("if(id > 5, raise_error('no such luck'), id) AS id"), path, facts)
+    assert spark.read.parquet(path).count() == 10 and [p.name for p in tmp_path.iterdir()] == ["out"]  # as it was, and nothing left behind
+    next((tmp_path / "out").glob("*.parquet")).unlink()
+    assert not P.is_whole(spark, path) and not P.is_whole(spark, str(tmp_path / "none"))
+    P.publish(rows, path, facts)
+    assert P.is_whole(spark, path) and spark.read.parquet(path).count() == 1000
+
+
+def test_a_snapshot_is_imported_whole_or_not_at_all(spark, tmp_path):
+    head = "snapshot_date,underlying_ticker,option_symbol,expiration,strike,call_put,bid,ask,data_source\n"
+    good = tmp_path / "s1.csv"
+    good.write_text(head + "2020-01-02,aaa,O1,2020-01-20,10,call,2,4,s\n2020-01-02,bbb,O2,2020-01-20,10,put,2,4,s\n")
+    (tmp_path / "s2.csv").write_text(head + "2020-01-02,aaa,O1,2020-01-20,10,call,5,4,s\n" * 2)
+    (tmp_path / "c.csv").write_text("ticker,score_date,side\nAAA,2020-01-02,long\n")
+    out = str(tmp_path / "out")
+    cli.main(["options", str(tmp_path), out, "--snapshot", str(good), "--candidates", str(tmp_path / "c.csv"), "--root", str(tmp_path)])
+    told = json.loads("\n".join(r[0] for r in spark.read.text(f"{out}/import_summary").collect()))
+    assert (told["rows"], told["linked_rows"], told["unlinked_option_rows"], told["snapshot_matches_score_date_rows"], told["missing_volume"], told["first_snapshot_date"]) == (2, 1, 1, 1, 2, "2020-01-02")
+    assert (tmp_path / "out/snapshots/s1.csv").read_bytes() == good.read_bytes() and spark.read.parquet(f"{out}/linked").count() == 2
+    with pytest.raises(P.Refused, match="crossed: 2 rows; duplicate: 2 rows"):
+        cli.main(["options", str(tmp_path), out, "--snapshot", str(tmp_path / "s2.csv"), "--root", str(tmp_path)])
+    assert spark.read.parquet(f"{out}/options").count() == 2

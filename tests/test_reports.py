@@ -53,7 +53,7 @@ def test_manifest_export_and_commands(spark, tmp_path):
     got = {r["source_file"]: r for r in R.file_manifest(spark, str(raw)).collect()}
     r = got["aaa.us.txt"]
     assert (r["ticker"], r["raw_ticker"], r["row_count"], r["min_date"], r["max_date"], r["parse_status"]) == ("AAA", "AAA.US", 3, dt.date(2020, 1, 2), dt.date(2021, 1, 5), "ok")
-    assert got["odd.txt"]["parse_status"] == "error" and got["odd.txt"]["ticker"] == "ODD" and len(r["sha256"]) == 64
+    assert got["odd.txt"]["parse_status"] == "error" and got["odd.txt"]["error_message"] == "missing columns: ticker, date" and got["odd.txt"]["ticker"] == "ODD" and len(r["sha256"]) == 64
     (raw / "odd.txt").unlink()
     assert {r["market_year"] for r in R.strict_export(B.read_raw(spark, str(raw))).collect()} == {"US-2020", "US-2021"}
     out = tmp_path / "out"
