@@ -32,7 +32,12 @@ BLOCK = 128
 
 
 def session_key(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_SETTING, KEY.decode()).encode()
+    """The key in the session's settings. Where it is unset, the public one of the tests if the master is local; a cluster gets an
+    error, as anyone can undo what was done with a public key."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_SETTING} to a key of your own")
+    return given.encode() if given else KEY
 
 
 @lru_cache(maxsize=200_000)

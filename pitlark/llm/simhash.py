@@ -9,6 +9,7 @@ Survivors are verified with the exact number of differing bits. Spark splits hot
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -97,12 +98,14 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's stage: words of a shingle, the share of shingles from which texts are one, the bits that fingerprints of such
-#: texts may differ in (10 are expected at 0.8, one pair in 100,000 differs in more), and words of a passage and its least.
-STAGE_WORDS, MIN_SIMILARITY, MAX_APART = 5, 0.8, 22
+#: The pipeline's stage: words of a shingle, the share of shingles from which texts are one, and words of a passage and its least.
+STAGE_WORDS, MIN_SIMILARITY = 5, 0.8
 PASSAGE_WORDS, LEAST_WORDS = 24, 12
-#: Orders by which the passages' common partners are chosen.
-PARTNERS = 3
+#: Texts of so many different shingles and more whose fingerprints differ in more bits are not looked at: of two such texts
+#: that share 0.8, some ten bits differ, and more than 28 with a chance below one in ten million.
+MANY_SHINGLES, MAX_APART = 64, 28
+#: Texts of fewer different shingles have too few passages that an edit leaves alone; they meet by shingles.
+SHORT = 128
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS) -> set[bytes]:
@@ -136,44 +139,70 @@ def _signed(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(data, SEED), "big", signed=True)
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
+def shingle_print(found: list[bytes], words: int, share: float = MIN_SIMILARITY) -> tuple[int, int, list[int]]:
+    """Of the different shingles of a text, each counted once: their fingerprint and number, and of a text that may be
+    alike to one with fewer than SHORT so many least hashes that texts with `share` in common have one in common."""
+    if not found:
+        return 0, 0, []
+    shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words))))
+    codes = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64))
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(codes), 1 << 16):
+        total += np.unpackbits(codes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    n = len(codes)
+    first = codes[: n - math.ceil(share * n) + 1].view(np.int64).tolist() if n * share < SHORT else []
+    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big", signed=True), n, first
+
+
+def _described(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """docs(doc_id, h, text) -> doc_id, h, same (hash of the words), fp and n (of the different shingles), passages (of a short
+    text: shingles)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                rows.append((_signed(b" ".join(found)), fingerprint(text, words), len(found), passages(text)))
+                fp, n, first = shingle_print(found, words, share)
+                rows.append((_signed(b" ".join(found)), fp, n, first + (passages(text) if n >= SHORT or not first else [])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "same", "fp", "n", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], ["doc_id", "h", "same", "fp", "n", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, fp long, n long, passages array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, same long, fp long, n long, passages array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """docs without all but one document of each group of near-duplicates: the one with the smallest doc_id stays.
 
     Near-duplicates have at least `min_similarity` of their five-word shingles in common, checked on the texts. Candidates are
-    the links of the fingerprint range join (3 bits), and each text with one other of those that share a passage with it,
-    by PARTNERS orders over the passages, so no group is expanded into pairs; fingerprints too far apart for the similarity are
-    left out. Texts of equal words are one point. Rows without a doc_id stay (nothing can be said of them). Of rows that
-    repeat a kept doc_id all stay: they are the same document.
+    the links of the fingerprint range join (3 bits), and each text with two others of those that share a passage (short
+    texts: one of their least shingles) with it, that of most copies and that of the smallest doc_id, so no group is expanded
+    into pairs. Pairs whose numbers of shingles alone rule the similarity out are not read, nor are long texts whose
+    fingerprints are as far apart as those of unlike ones. Texts of equal words (null and blank ones, too) are one point,
+    whatever their ids: of several texts with one doc_id each is judged by itself. Rows without a doc_id stay (nothing can be said of them). Of rows that repeat a kept text and its
+    doc_id all stay: they are the same document. Columns of any names and an empty table are taken.
     """
-    rows = materialize(_described(docs, words))
-    points = materialize(rows.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("passages").alias("passages")))
-    me = F.struct("rep", "fp", "n")
-    spots = points.select(F.explode("passages").alias("key"), me.alias("me"))
-    # of a group of copies the same few texts are the partners for all passages, so a member is checked a few times only
-    hubs = spots.groupBy("key").agg(F.min_by("me", F.xxhash64(F.pmod("key", F.lit(PARTNERS)), "me.rep")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    prints = points.groupBy("fp").agg(F.min_by(me, "rep").alias("hub"))
-    far = F.bit_count(F.col("me.fp").bitwiseXOR(F.col("hub.fp")))
-    size = F.least("me.n", "hub.n") >= (min_similarity - 0.1) * F.greatest("me.n", "hub.n") - words  # words, not shingles: with a margin
-    met = spots.join(hubs, "key").where((F.col("me.rep") != F.col("hub.rep")) & (far <= MAX_APART) & size).select(F.col("me.rep").alias("a"), F.col("hub.rep").alias("b"))
-    alike = points.select("fp", "rep").join(prints, "fp").where("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
-    close = near_pairs(prints.select(F.col("hub.rep").alias("rep"), "fp")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = materialize(_described(slim, words, min_similarity))
+    points = rows.where("doc_id IS NOT NULL").groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("passages").alias("passages"), F.count("*").alias("copies"))
+    points = materialize(points.select("same", F.col("at.doc_id").alias("rep"), F.col("at.h").alias("h"), "fp", "n", "passages", "copies"))
+    me = F.struct("same", "fp", "n")
+    spots = points.select(F.explode("passages").alias("key"), me.alias("me"), "rep", "copies")
+    # what others were copied from has most copies or the smallest id, and is the partner for all of its passages
+    common = F.array(F.min_by("me", F.struct(-F.col("copies"), F.xxhash64("me.same"))), F.min_by("me", F.struct("rep", "me.same")))
+    hubs = spots.groupBy("key").agg(F.array_distinct(common).alias("hubs"), F.count("*").alias("c")).where("c > 1").select("key", F.explode("hubs").alias("hub"))
+    spots = spots.select("key", "me")
+    prints = points.groupBy("fp").agg(F.min_by(me, "same").alias("hub"))
+    least, most = F.least("me.n", "hub.n"), F.greatest("me.n", "hub.n")
+    near = (F.bit_count(F.col("me.fp").bitwiseXOR(F.col("hub.fp"))) <= MAX_APART) | (least < MANY_SHINGLES)
+    met = spots.join(hubs, "key").where((F.col("me.same") != F.col("hub.same")) & near & (least >= min_similarity * most)).select(F.col("me.same").alias("a"), F.col("hub.same").alias("b"))
+    alike = points.select("fp", "same").join(prints, "fp").where("same <> hub.same").select(F.col("same").alias("a"), F.col("hub.same").alias("b"))
+    close = near_pairs(prints.select(F.col("hub.same").alias("rep"), "fp")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = materialize(met.unionByName(alike).unionByName(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct().join(points.select("same", F.col("rep").alias("doc_id"), "h"), "same")
+    texts = materialize(slim.join(wanted, ["doc_id", "h"]).groupBy("doc_id", "h", "same").agg(F.first("text").alias("text")))
+    both = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +210,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, min_similari
             yield batch.select(["src", "dst"]).filter(pa.array(found, pa.bool_()))
 
     links = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "text_a", "text_b").mapInArrow(verify, "src long, dst long")
-    classes = points.select("same", "rep").join(connected_components(links), F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    marks = rows.join(classes, "same").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_anti").select(docs.columns)
+    groups = points.select("same", "rep").join(connected_components(links), F.col("same") == F.col("node"), "left").select("same", "rep", F.coalesce("component", "same").alias("component"))
+    groups = materialize(groups)
+    kept = materialize(groups.groupBy("component").agg(F.min("rep").alias("kept")))
+    classes = groups.join(kept, "component").select("same", "kept")
+    marks = rows.join(classes, "same").where("doc_id <> kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    return docs.join(marks, gone, "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pitlark.llm import queries as registered
 from pitlark.llm import decontaminate, language_model, licenses, packing, pages, pii, quality, simhash, toxicity, vectors
 
 #: Names that the operators use themselves.
@@ -55,6 +58,54 @@ def test_other_operators_take_clashing_columns(spark):
     assert vectors.embedding_components(vecs).count() == len(ROWS) and vectors.embedding_components(vecs.limit(0)).count() == 0
 
 
+def test_every_sql_is_sql():
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    found = registered.oracle_sql()
+    assert set(found) <= set(registered.queries())
+    for name, text in found.items():
+        try:
+            db.execute(f"EXPLAIN {text}")
+        except duckdb.Error as error:
+            pytest.fail(f"{name}: {error}")
+
+
+def test_a_cluster_needs_its_own_key():
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="pii.key"):
+        pii.session_key(Session())
+    Context.master = "local[2]"
+    assert pii.session_key(Session()) == pii.KEY
+
+
+def test_pipeline_takes_odd_documents(spark):
+    """Null ids and texts, repeated rows, columns with clashing names, and an empty table, through all stages."""
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(1, "plain words of a text"), (1, "plain words of a text"), (None, "words without an id"), (2, None), (3, ""), (2, "another text of that id")]
+    extra = given.limit(20).withColumns({"h": F.lit(1), "same": F.lit("x"), "kept": F.lit(None).cast("string"), "spans": F.lit(2)})
+    docs = extra.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf)
+            assert out.columns == some.columns, name
+            now = spark.createDataFrame(out.collect(), out.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
+
+
 def test_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -57,6 +57,39 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert want <= kept and len(pairs) > 60 and len(kept - want) <= 0.05 * len(text.keys() - want)
 
 
+def test_near_duplicates_are_told_by_text_not_by_id(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base, "x"), (2, base + " more", "x"), (2, "quite another text of its own", "x"), (3, base, "y"), (1, base, "z"), (4, (base + " ") * 5, "x"), (5, "a b c d e f g h i j", "x"), (6, "a b c d e f g h i j k", "x"), (None, base, "x")]
+    kept = sorted(((r["doc_id"], r["text"], r["component"]) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[6], rows[8]], key=str)
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    """All pairs of 10,000 documents by their shared shingles; the numbers of what is dropped and of what should be."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: simhash.shingle_set(r["text"]) for r in docs.collect()}
+    by, label = {}, {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sorted(sets):
+        common = Counter(j for x in sets[i] for j in by.get(x, ()))
+        for j, n in common.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) and root(i) != root(j):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+        for x in sets[i]:
+            by.setdefault(x, []).append(i)
+    blank = [i for i in sets if not sets[i]]
+    for i in blank:
+        label[i] = min(blank)
+    want = {i for i in sets if root(i) == i}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert want <= kept and len(sets) - len(want) > 500 and len(kept - want) <= 0.01 * (len(sets) - len(want))
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((90, 8))
