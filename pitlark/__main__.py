@@ -14,6 +14,7 @@ from .operators import evaluation as E
 from .operators import features as X
 from .operators import options as O
 from .operators import panel as P
+from .operators import ranks as N
 from .operators import rules as U
 from .operators import walkforward as W
 from .plans import queries as K
@@ -105,6 +106,36 @@ def matrix(spark, a):
     S.write_json(spark, {"features": groups.features, "targets": groups.targets, "metadata": groups.metadata, "excluded": groups.excluded}, f"{a.output}/{a.set}_columns")
 
 
+def discover(spark, a):
+    """A feature matrix to each feature's statistics by fold and over folds, and the correlations between features."""
+    settings, _ = U.configured(a.config, U.SELECTION, U.SELECTION_RULES)
+    found = S.settled(spark.read.parquet(a.input))
+    features = [f for f in a.features.split(",") if not any(t in f.lower() for t in settings["leakage_tokens"])]
+    plan = S.settled(S.select_folds(W.plan(found, W.FoldConfig(a.train, a.test, a.test, a.purge)), max_folds=a.max_folds))
+    days = S.settled(D.by_date(found, features))
+    daily, pooled = S.settled(D.daily_ic(days, plan)), S.settled(N.fold_correlations(found, plan, features))
+    stats = S.settled(D.feature_stats(days, plan))
+    S.write_csv(stats.join(daily, ["fold_id", "feature"], "left").join(pooled, ["fold_id", "feature"], "left").orderBy("fold_id", "feature"), f"{a.output}/discovery_by_fold")
+    over = stats.groupBy("feature").agg(*(F.avg(c).alias(c) for c in ("non_null_pct", "finite_pct", "std")))
+    S.write_csv(D.summary(daily, pooled).join(over, "feature").orderBy("feature"), f"{a.output}/discovery")
+    pairs = D.correlations(found, plan, features, settings["correlation_sample_date_stride"], settings["correlation_sample_rows_per_fold"])
+    S.write_csv(pairs.orderBy(F.desc("max_abs_corr"), "feature_a", "feature_b"), f"{a.output}/correlations")
+    facts = plan.agg(F.count("*").alias("folds_used"), F.sum("train_rows").alias("train_rows"), F.min("train_start_date").alias("min_train_date"), F.max("train_end_date").alias("max_train_date")).first().asDict()
+    S.write_json(spark, {**facts, "features_scored": len(features), "warnings": ["correlations are of a bounded sample of training dates and rows of each fold"]}, f"{a.output}/discovery_summary")
+
+
+def metrics(spark, a):
+    """Predictions by fold to their metrics: over all, by fold, by date and by bucket."""
+    preds = S.settled(spark.read.schema(S.FOLD_PREDICTIONS).parquet(a.input).withColumn("model", F.lit(a.model)))
+    used = preds.where("score IS NOT NULL AND fwd_ret_5d IS NOT NULL")
+    S.write_csv(E.metrics(preds, "model"), f"{a.output}/metrics")
+    S.write_csv(E.fold_metrics(preds).orderBy("fold_id"), f"{a.output}/fold_metrics")
+    S.write_csv(E.rank_ic(used).orderBy("date"), f"{a.output}/rank_ic_by_date")
+    S.write_csv(E.long_short(E.bucketed(used)).orderBy("date"), f"{a.output}/long_short_by_date")
+    S.write_csv(E.bucket_profile(E.bucketed(used)).orderBy("bucket"), f"{a.output}/buckets")
+    S.write_csv(E.score_stats(used), f"{a.output}/score_stats")
+
+
 def select(spark, a):
     """A feature matrix to the selected features: judged by the configured rules, pruned by correlation, and frozen in a manifest."""
     settings, rules = U.configured(a.config, U.SELECTION, U.SELECTION_RULES)
@@ -161,6 +192,7 @@ def options(spark, a):
     if not files.where("status = 'ok'").limit(1).count():
         raise SystemExit("no snapshot could be imported")
     good.write.mode("overwrite").parquet(f"{a.output}/options")
+    S.write_json(spark, O.batch_summary(spark.read.parquet(f"{a.output}/options"), files).first().asDict(), f"{a.output}/import_summary")
 
 
 def query(spark, a):
@@ -176,7 +208,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pitlark")
     subs = top.add_subparsers(required=True)
     made = {}
-    for f in (validate, manifest, listing, export, archives, panel, matrix, folds, select, gate, score, options, query, provenance):
+    for f in (validate, manifest, listing, export, archives, panel, matrix, folds, discover, select, metrics, gate, score, options, query, provenance):
         made[f.__name__] = sub = subs.add_parser(f.__name__, help=(f.__doc__ or "").split("\n")[0])
         sub.add_argument("input")
         sub.add_argument("output")
@@ -190,13 +222,15 @@ def parser() -> argparse.ArgumentParser:
         made["folds"].add_argument(f"--{name}", type=int)
     made["matrix"].add_argument("--set", default="baseline", choices=sorted(X.FEATURE_SETS))
     made["matrix"].add_argument("--scoring", action="store_true")
-    for command in ("folds", "select"):
+    made["discover"].add_argument("--max-folds", type=int)
+    for command in ("folds", "discover", "select"):
         for name, value in (("train", 500), ("test", 63), ("purge", 5)):
             made[command].add_argument(f"--{name}", type=int, default=value)
-    for command in ("select", "gate"):
+    for command in ("discover", "select", "gate"):
         made[command].add_argument("--config", help="settings and rules, YAML or JSON")
-    made["gate"].add_argument("--model", default="baseline")
-    for command in ("folds", "select", "score"):
+    for command in ("metrics", "gate"):
+        made[command].add_argument("--model", default="baseline")
+    for command in ("folds", "discover", "select", "score"):
         made[command].add_argument("--features", default=",".join(K.RIDGE_FEATURES))
     made["folds"].add_argument("--resume", action="store_true", help="leave folds that are whole as they are")
     made["folds"].add_argument("--on-error", default="continue", choices=("continue", "stop"))

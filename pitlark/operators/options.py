@@ -132,3 +132,9 @@ def import_batch(raw: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFr
 
 
 _SEEN = {"underlying": "underlying_ticker", "date": "snapshot_date", "source": "data_source"}
+
+
+def batch_summary(good: DataFrame, files: DataFrame) -> DataFrame:
+    """One row over an import: files by status, the rows of those that are taken, and how many of these lack each optional value."""
+    told = files.agg(F.count("*").alias("files"), F.count_if(F.col("status") == "ok").alias("ok_files"), F.count_if(F.col("status") != "ok").alias("failed_files"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("rows"))), F.lit(0)).alias("rows"))
+    return told.crossJoin(good.agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in SCHEMA if c not in CORE)))  # one row each

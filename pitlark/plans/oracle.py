@@ -175,3 +175,73 @@ few AS (SELECT {key}, count(*) FILTER (n < 10) AS dates_below_buckets, count(*)
 held AS (SELECT {key}, count(*) AS rows, count(DISTINCT fold_id) AS folds, min(date) AS min_date, max(date) AS max_date FROM used GROUP BY 1),
 lost AS (SELECT {key}, count(*) FILTER (score IS NULL OR fwd_ret_5d IS NULL) AS missing_rows FROM given GROUP BY 1),
 metrics AS (SELECT * FROM lost JOIN held USING ({key}) JOIN few USING ({key}) JOIN ics USING ({key}) JOIN portfolio USING ({key}) JOIN top_days USING ({key}) JOIN top_change USING ({key}) JOIN decile_change USING ({key}))"""
+
+
+# Audits over text: the SQL writes the same text and judges it by its own rules.
+def _faulty(rules: dict[str, str]) -> str:
+    return ", ".join(f"count(*) FILTER (coalesce({rule}, false)) AS {name}" for name, rule in rules.items())
+
+
+def _day(c: str) -> str:
+    return f"try_strptime(nullif(trim({c}), ''), '%Y-%m-%d')"
+
+
+def _blank(c: str) -> str:
+    return f"coalesce(trim({c}), '') = ''"
+
+
+RAW_JUDGED = f"""WITH {BARS},
+numbered AS (SELECT *, day(date) AS k, strftime(date, '%Y%m%d') AS told FROM bars),
+once AS (SELECT k, concat(ticker, '.US') AS ticker, concat(lower(ticker), '.us.txt') AS source_file, CASE k WHEN 3 THEN 'X' ELSE 'D' END AS per, CASE k WHEN 11 THEN '20201399' ELSE told END AS date, CASE k WHEN 4 THEN '123000' WHEN 5 THEN '0' ELSE '000000' END AS time,
+  CASE k WHEN 12 THEN 'q' ELSE CAST(open AS VARCHAR) END AS open, CASE k WHEN 8 THEN '0.5' ELSE CAST(high AS VARCHAR) END AS high, CASE k WHEN 14 THEN '-1' ELSE CAST(low AS VARCHAR) END AS low, CAST(close AS VARCHAR) AS close,
+  CASE k WHEN 6 THEN '-1' WHEN 7 THEN 'n/a' ELSE CAST(volume AS VARCHAR) END AS vol, CASE k WHEN 9 THEN 'abc' ELSE '0' END AS openint FROM numbered),
+raw AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE k = 10),
+typed AS (SELECT *, regexp_replace(upper(trim(ticker)), '[.]US$', '') AS p_ticker, CASE WHEN regexp_full_match(date, '\\s*\\d{{8}}\\s*') THEN try_strptime(trim(date), '%Y%m%d') END AS p_date, regexp_replace(trim(coalesce(time, '')), '[.]0$', '') AS t,
+  TRY_CAST(trim(open) AS DOUBLE) AS o, TRY_CAST(trim(high) AS DOUBLE) AS h, TRY_CAST(trim(low) AS DOUBLE) AS l, TRY_CAST(trim(close) AS DOUBLE) AS c, TRY_CAST(trim(vol) AS DOUBLE) AS v, TRY_CAST(trim(openint) AS DOUBLE) AS i FROM raw),
+judged AS (SELECT *, list_filter([CASE WHEN upper(trim(per)) <> 'D' THEN 'bad_per' END, CASE WHEN lpad(t, greatest(6, length(t))::INTEGER, '0') <> '000000' THEN 'bad_time' END, CASE WHEN p_date IS NULL THEN 'bad_date' END,
+  CASE WHEN o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL THEN 'bad_numeric_ohlc' END, CASE WHEN v IS NULL THEN 'bad_numeric_volume' END, CASE WHEN o <= 0 OR h <= 0 OR l <= 0 OR c <= 0 THEN 'bad_ohlc_positive' END, CASE WHEN v < 0 THEN 'bad_volume_negative' END,
+  CASE WHEN o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL OR h < o OR h < l OR h < c OR l > o OR l > h OR l > c THEN 'bad_ohlc_consistency' END,
+  CASE WHEN p_date IS NOT NULL AND count(*) OVER (PARTITION BY source_file, p_ticker, p_date) > 1 THEN 'duplicate_ticker_date' END, CASE WHEN i IS NULL THEN 'bad_numeric_openint' END], lambda x: x IS NOT NULL) AS reasons FROM typed)"""
+RAW_VALIDATION = f"{RAW_JUDGED} SELECT reason, count(*) AS rows, count(DISTINCT date) AS distinct_dates FROM (SELECT date, unnest(reasons) AS reason FROM judged) GROUP BY 1"
+RAW_GAPS = f"""{RAW_JUDGED}, followed AS (SELECT source_file, p_ticker AS ticker, CAST(p_date AS DATE) AS date, o AS open, lag(c) OVER (PARTITION BY source_file, p_ticker ORDER BY p_date) AS prev_close FROM judged WHERE len(reasons) = 0)
+SELECT source_file, ticker, date, round(prev_close, 6) + 0.0 AS prev_close, round(open, 6) + 0.0 AS open, round((open / nullif(prev_close, 0) - 1) * 100, 6) + 0.0 AS gap_pct FROM followed WHERE open / nullif(prev_close, 0) <= 0.55 OR open / nullif(prev_close, 0) >= 1.8"""
+
+
+def master_audit(columns: list[str], days: list[str], flags: list[str], may_be_empty: list[str], words: list[str]) -> str:
+    required = [c for c in columns if c not in may_be_empty + flags]
+    rules = {f"empty_{c}": _blank(c) for c in required}
+    rules |= {f"bad_date_{c}": f"{_day(c)} IS NULL" + (f" AND NOT ({_blank(c)})" if c in may_be_empty else "") for c in days}
+    rules |= {f"bad_flag_{c}": f"lower(trim({c})) NOT IN ({', '.join(repr(w) for w in words)})" for c in flags}
+    rules |= {"duplicate_identity": "copies > 1", "reversed_listing": f"{_day('listing_date')} > {_day('delisting_date')}", "reversed_ticker": f"{_day('ticker_start_date')} > {_day('ticker_end_date')}", "delisted_rows": f"NOT ({_blank('delisting_date')})"}
+    told = ", ".join(f"CASE WHEN k % 7 = 0 THEN 'maybe' ELSE 'No' END AS {c}" for c in flags)
+    return f"""WITH {BARS}, spans AS (SELECT ticker, CAST(substr(ticker, 2, 5) AS INTEGER) AS k, CAST(min(date) AS VARCHAR) AS a, CAST(max(date) AS VARCHAR) AS b FROM bars GROUP BY ticker),
+once AS (SELECT k, CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('P', ticker) END AS permanent_id, concat(ticker, '.US') AS raw_ticker, ticker, 'stock' AS security_type, CASE WHEN k % 3 = 0 THEN 'n/a' ELSE a END AS listing_date, CASE WHEN k % 2 = 0 THEN b ELSE '' END AS delisting_date,
+  CASE WHEN k % 4 = 0 THEN b ELSE a END AS ticker_start_date, CASE WHEN k % 4 = 0 THEN a ELSE b END AS ticker_end_date, 'X' AS exchange, {told}, 's' AS source, '2020-01-01' AS source_asof_date FROM spans),
+master AS (SELECT *, count(*) OVER (PARTITION BY permanent_id, ticker, ticker_start_date) AS copies FROM (SELECT * FROM once UNION ALL SELECT * FROM once WHERE k % 11 = 0))
+SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {_faulty(rules)} FROM master"""
+
+
+def events_audit(columns: list[str], days: list[str], numbers: list[str], kinds: list[str]) -> str:
+    there = columns + ["split_ratio", "cash_amount"]
+    rules = {f"empty_{c}": _blank(c) for c in columns}
+    rules |= {f"bad_date_{c}": f"{_day(c)} IS NULL" for c in days if c in there}
+    rules |= {f"bad_number_{c}": f"NOT ({_blank(c)}) AND coalesce(TRY_CAST(trim({c}) AS DOUBLE) <= 0, true)" for c in numbers if c in there}
+    rules |= {"zero_split_ratio": "trim(split_ratio) = '0'", "unknown_action_type": f"lower(trim(action_type)) NOT IN ({', '.join(repr(w) for w in kinds)})"}
+    absent = "".join(f", CAST(NULL AS BIGINT) AS {n}" for n in [f"bad_date_{c}" for c in days if c not in there] + [f"bad_number_{c}" for c in numbers if c not in there])
+    return f"""WITH {BARS}, numbered AS (SELECT *, day(date) AS k, CAST(date AS VARCHAR) AS told FROM bars),
+events AS (SELECT concat(ticker, '.US') AS raw_ticker, ticker, CASE k WHEN 3 THEN '2020-13-01' WHEN 4 THEN '' ELSE told END AS event_date, CASE k WHEN 5 THEN 'rights' ELSE 'Split' END AS action_type, CASE k WHEN 6 THEN '' ELSE 's' END AS source, told AS source_asof_date,
+  CASE k WHEN 7 THEN '0' ELSE '2' END AS split_ratio, CASE k WHEN 8 THEN '-1' WHEN 9 THEN 'n/a' WHEN 10 THEN '' ELSE '1.5' END AS cash_amount FROM numbered)
+SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {_faulty(rules)}{absent} FROM events"""
+
+
+OPTION_FAULTS = f"""WITH {BARS}, numbered AS (SELECT *, day(date) AS k, CAST(date AS VARCHAR) AS told FROM bars),
+once AS (SELECT k, lower(ticker) AS underlying_ticker, concat(ticker, '_', told) AS option_symbol, 'bars' AS data_source, told AS snapshot_date, CASE k WHEN 3 THEN told ELSE CAST(CAST(date + 30 AS DATE) AS VARCHAR) END AS expiration, CAST(open AS VARCHAR) AS strike,
+  CASE WHEN k = 4 THEN 'X' WHEN k % 2 = 0 THEN 'call' ELSE 'P' END AS call_put, CASE k WHEN 5 THEN '-1' ELSE CAST(low AS VARCHAR) END AS bid, CASE k WHEN 6 THEN '0' WHEN 7 THEN 'n/a' ELSE CAST(high AS VARCHAR) END AS ask FROM numbered),
+raw AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE k = 8),
+typed AS (SELECT upper(trim(underlying_ticker)) AS underlying, nullif(trim(option_symbol), '') AS symbol, nullif(trim(data_source), '') AS source, {_day('snapshot_date')} AS snapshot, {_day('expiration')} AS expires, TRY_CAST(trim(strike) AS DOUBLE) AS strike,
+  CASE upper(trim(call_put)) WHEN 'CALL' THEN 'C' WHEN 'PUT' THEN 'P' ELSE upper(trim(call_put)) END AS side, TRY_CAST(trim(bid) AS DOUBLE) AS bid, TRY_CAST(trim(ask) AS DOUBLE) AS ask FROM raw),
+counted AS (SELECT *, count(*) OVER (PARTITION BY snapshot, source, underlying, symbol, expires, strike, side) AS copies FROM typed)
+SELECT {_faulty({
+    'null_core': 'snapshot IS NULL OR underlying IS NULL OR symbol IS NULL OR expires IS NULL OR strike IS NULL OR side IS NULL OR bid IS NULL OR ask IS NULL OR source IS NULL',
+    'call_put': "side NOT IN ('C', 'P')", 'negative': 'bid < 0 OR ask < 0 OR strike < 0', 'crossed': 'ask < bid', 'expired': 'expires <= snapshot', 'duplicate': 'copies > 1', 'negative_volume': 'false',
+})} FROM counted"""

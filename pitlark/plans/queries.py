@@ -248,12 +248,13 @@ def master_audit(spark, sf):
     k = F.substring("ticker", 2, 5).cast("int")
     bars = B.bars_from_lines(spark, sf).groupBy("ticker").agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"))
     flag = F.when(k % 7 == 0, "maybe").otherwise("No")
-    return A.audit_master(bars.select(
+    text = bars.select(
         F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("P"), "ticker")).alias("permanent_id"), F.concat("ticker", F.lit(".US")).alias("raw_ticker"), "ticker", F.lit("stock").alias("security_type"),
         F.when(k % 3 == 0, "n/a").otherwise(F.col("a")).alias("listing_date"), F.when(k % 2 == 0, F.col("b")).otherwise("").alias("delisting_date"),
         F.when(k % 4 == 0, F.col("b")).otherwise(F.col("a")).alias("ticker_start_date"), F.when(k % 4 == 0, F.col("a")).otherwise(F.col("b")).alias("ticker_end_date"),
         F.lit("X").alias("exchange"), *(flag.alias(c) for c in A.MASTER_FLAGS), F.lit("s").alias("source"), F.lit("2020-01-01").alias("source_asof_date"),
-    ))
+    )
+    return A.audit_master(text.unionByName(text.where(k % 11 == 0)))
 
 
 def corporate_actions_audit(spark, sf):
@@ -278,7 +279,9 @@ def _chains(spark, sf):
 
 
 def option_faults(spark, sf):
-    return O.faults(_chains(spark, sf))
+    """The chains' faults, some options being there twice."""
+    chains = _chains(spark, sf)
+    return O.faults(chains.unionByName(chains.where(F.dayofmonth("snapshot_date") == 8)))
 
 
 def option_coverage(spark, sf):
@@ -339,7 +342,9 @@ def research_gate(spark, sf):
 
 
 def zero_volume(spark, sf):
-    return rounded(A.zero_volume(B.bars_from_lines(spark, sf)), [])
+    """Tickers by the share of their bars without volume: the bars of one day of the month are taken to have none."""
+    bars = B.bars_from_lines(spark, sf)
+    return rounded(A.zero_volume(bars.withColumn("volume", F.when(F.dayofmonth("date") == 13, 0).otherwise(F.col("volume")))), [])
 
 
 def coverage_by_year(spark, sf):
@@ -359,15 +364,26 @@ def symbol_coverage(spark, sf):
     return A.symbol_coverage(gated.select("ticker"), P.universe(gated).where("model_eligible").select("ticker"))
 
 
-def raw_validation(spark, sf):
-    """Bars as raw text with planted defects (by the bar's own values), validated; rows per reason."""
+def _raw_judged(spark, sf):
+    """Bars as raw text with planted defects (by the bar's own values), validated."""
     raw = B.raw_text_of(B.bars_from_lines(spark, sf))
     k = F.dayofmonth(F.to_date("date", "yyyyMMdd"))
     raw = raw.withColumns({
-        "per": F.when(k == 3, "X").otherwise(F.col("per")), "time": F.when(k == 4, "123000").when(k == 5, "0").otherwise(F.col("time")),
+        "_k": k, "per": F.when(k == 3, "X").otherwise(F.col("per")), "time": F.when(k == 4, "123000").when(k == 5, "0").otherwise(F.col("time")),
+        "date": F.when(k == 11, "20201399").otherwise(F.col("date")), "open": F.when(k == 12, "q").otherwise(F.col("open")), "low": F.when(k == 14, "-1").otherwise(F.col("low")),
         "vol": F.when(k == 6, "-1").when(k == 7, "n/a").otherwise(F.col("vol")), "high": F.when(k == 8, "0.5").otherwise(F.col("high")), "openint": F.when(k == 9, "abc").otherwise(F.col("openint")),
     })
-    return B.reject_counts(B.validate(raw))
+    return B.validate(raw.unionByName(raw.where("_k = 10")).drop("_k"))
+
+
+def raw_validation(spark, sf):
+    """Rows per broken rule."""
+    return B.reject_counts(_raw_judged(spark, sf))
+
+
+def raw_gaps(spark, sf):
+    """Split-like gaps between the valid rows of a file."""
+    return rounded(B.file_gaps(_raw_judged(spark, sf)), ["source_file", "ticker", "date"])
 
 
 def momentum_signals(spark, sf):
@@ -381,7 +397,7 @@ def signals(spark, sf):
     return rounded(W.signals(W.daily_scores(panel, RIDGE_FEATURES, is_settled=True), panel), KEYS)
 
 
-_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, signals, momentum_signals, plan_summary, selected_features, research_gate, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
+_PLAIN: dict[str, Query] = {f.__name__: f for f in (flagship_decile_returns, bars, gating, labels, label_reasons, label_counts_by_year, volatility_target, split_gaps, bucket_returns, long_short, rank_ic, ic_summary, score_stats, turnover_top20, lagged_control_ic, random_control_ic, fold_plan, ridge_walk_forward, ridge_fold_metrics, discovery_stats, discovery_daily_ic, discovery_fold_ic, discovery_correlations, selection, zero_volume, coverage_by_year, coverage_by_ticker, gap_impact, symbol_coverage, raw_validation, raw_gaps, signals, momentum_signals, plan_summary, selected_features, research_gate, ablation_by_year, ablation_by_fold, ablation_comparison, fold_metrics, model_metrics, negative_controls, fixed_controls, rows_by_year, class_agreement, feature_null_counts, master_audit, corporate_actions_audit, option_faults, option_coverage)}
 
 
 def queries() -> dict[str, Query]:
@@ -438,7 +454,7 @@ v4 AS {Q._classes('v3', 'fwd_ret_5d_vol_norm60', 'label_valid_5d_vol_norm60', 't
         "discovery_stats": r(f"{every}, {stats}", "s", "fold_id, feature, rows", "non_null_pct finite_pct std"),
         "discovery_daily_ic": r(daily, "daily", "fold_id, feature, dates", "mean_daily_rank_ic"),
         "discovery_fold_ic": r(f"{every}, {pooled}", "pooled", "fold_id, feature", "fold_rank_ic"),
-        "zero_volume": r(f"{Q.BARS}, z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_rows, count(*) AS rows, count(*) FILTER (volume = 0) / count(*) AS zero_pct FROM bars GROUP BY 1)", "z WHERE zero_rows > 0", "ticker, zero_rows, rows", "zero_pct"),
+        "zero_volume": r(f"{Q.BARS}, thinned AS (SELECT * REPLACE (CASE WHEN day(date) = 13 THEN 0 ELSE volume END AS volume) FROM bars), z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_rows, count(*) AS rows, count(*) FILTER (volume = 0) / count(*) AS zero_pct FROM thinned GROUP BY 1)", "z WHERE zero_rows > 0", "ticker, zero_rows, rows", "zero_pct"),
         "gap_impact": f"WITH {Q.GATED}, g AS (SELECT ticker, date FROM (SELECT *, open / nullif(lag(close) OVER ({Q.T}), 0) AS x FROM bars) WHERE x <= 0.55 OR x >= 1.8) SELECT CAST(year(g.date) AS INTEGER) AS gap_year, count(*) AS gaps, count(u.ticker) AS in_research, count(*) FILTER (u.model_eligible) AS eligible, count(*) FILTER (NOT u.model_eligible) AS not_eligible FROM g LEFT JOIN universe u USING (ticker, date) GROUP BY 1",
         "symbol_coverage": f"WITH {Q.GATED}, a AS (SELECT DISTINCT ticker FROM gated), b AS (SELECT DISTINCT ticker FROM universe WHERE model_eligible) SELECT count(*) FILTER (b.ticker IS NOT NULL) AS both, count(*) FILTER (b.ticker IS NULL) AS only_left, CAST(0 AS BIGINT) AS only_right FROM a LEFT JOIN b USING (ticker)",
     }
@@ -484,12 +500,9 @@ fold_preds AS (SELECT p.fold_id, m.date, m.ticker, m.fwd_ret_5d, round(m.ret_20d
         ("negative_controls", "control", "SELECT 'active' AS control, * FROM fold_preds UNION ALL SELECT 'constant', * REPLACE (CAST(0 AS DOUBLE) AS score) FROM fold_preds UNION ALL SELECT 'lagged', * REPLACE (lag(score) OVER (PARTITION BY ticker ORDER BY date, fold_id) AS score) FROM fold_preds" + "".join(f" UNION ALL SELECT 'random_{seed}', * REPLACE (@{seed}@ AS score) FROM fold_preds" for seed in (101, 202))),
     ):
         out[name] = r(f"{scored}, given AS ({source}), used AS (SELECT * FROM given WHERE score IS NOT NULL AND fwd_ret_5d IS NOT NULL), {Q.metric_parts(key)}, {Q.metrics(key)}", "metrics", f"{key}, missing_rows, rows, folds, min_date, max_date, dates_below_buckets, dates_below_quintiles, top_days", "mean_ic ic_t_stat long_gross long_net short_gross short_net gross net long_hit_rate short_hit_rate top_names top_gross top_net top_turnover decile_turnover")
-    c = lambda cond, name: f"count(*) FILTER ({cond}) AS {name}"
-    zero = lambda *names: ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in names)
-    null = lambda *names: ", ".join(f"CAST(NULL AS BIGINT) AS {n}" for n in names)
-    out["master_audit"] = f"WITH {Q.BARS}, t AS (SELECT CAST(substr(ticker, 2, 5) AS INTEGER) AS k, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {c('k % 5 = 0', 'empty_permanent_id')}, {zero(*(f'empty_{x}' for x in A.MASTER_COLUMNS if x not in A.MASTER_OPEN + A.MASTER_FLAGS + ['permanent_id']))}, {c('k % 3 = 0', 'bad_date_listing_date')}, {zero(*(f'bad_date_{x}' for x in A.MASTER_DATES[1:]))}, {', '.join(c('k % 7 = 0', f'bad_flag_{x}') for x in A.MASTER_FLAGS)}, {zero('duplicate_identity', 'reversed_listing')}, {c('k % 4 = 0 AND b > a', 'reversed_ticker')}, {c('k % 2 = 0', 'delisted_rows')} FROM t"
-    out["corporate_actions_audit"] = f"WITH {Q.BARS}, t AS (SELECT day(date) AS k FROM bars) SELECT count(*) AS rows, 0::INTEGER AS missing_columns, {zero('empty_raw_ticker', 'empty_ticker', 'empty_action_type', 'empty_source_asof_date', 'bad_date_source_asof_date')}, {c('k = 4', 'empty_event_date')}, {c('k = 6', 'empty_source')}, {c('k IN (3, 4)', 'bad_date_event_date')}, {null('bad_date_ex_date', 'bad_date_record_date', 'bad_date_pay_date', 'bad_number_adjustment_factor')}, {c('k IN (8, 9)', 'bad_number_cash_amount')}, {c('k = 7', 'zero_split_ratio')}, {c('k = 5', 'unknown_action_type')} FROM t"
-    out["option_faults"] = f"WITH {Q.BARS}, t AS (SELECT *, day(date) AS k FROM bars) SELECT {c('k = 7', 'null_core')}, {c('k = 4', 'call_put')}, {c('k = 5', 'negative')}, {c('k = 6', 'crossed')}, {c('k = 3', 'expired')}, {zero('duplicate', 'negative_volume')} FROM t"
+    out["master_audit"] = Q.master_audit(A.MASTER_COLUMNS, A.MASTER_DATES, A.MASTER_FLAGS, A.MASTER_OPEN, A.FLAG_WORDS)
+    out["corporate_actions_audit"] = Q.events_audit(A.EVENT_COLUMNS, A.EVENT_DATES, A.EVENT_NUMBERS, A.EVENT_TYPES)
+    out["option_faults"] = Q.OPTION_FAULTS
     out["option_coverage"] = f"WITH {Q.BARS} SELECT ticker, max(date) AS score_date, 'long' AS side, count(DISTINCT date) AS snapshots, count(*) AS contracts, string_agg(CAST(date AS VARCHAR), '|' ORDER BY date) AS dates, max(date) AS latest, true AS matches FROM bars GROUP BY 1"
     out["discovery_correlations"] = r(
         f"""{every}, sampled AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY fold_id, feature ORDER BY date) AS d FROM long) WHERE (d - 1) % 20 = 0),
@@ -553,7 +566,7 @@ found AS (SELECT b.*, l.close, l.median_dollar_volume_60, l.zero_volume_count_60
   FROM bucketed b JOIN today l USING (date, ticker) WHERE b.bucket IN (1, 10))""",
         "found", "date, ticker, bucket, CAST(history_bars AS INTEGER) AS history_bars, side, liquid_25m, liquid_50m", "fwd_ret_5d score close median_dollar_volume_60 zero_volume_count_60",
     )
-    out["raw_validation"] = f"WITH {Q.BARS}, planted(k, reason) AS (VALUES (3, 'bad_per'), (4, 'bad_time'), (6, 'bad_volume_negative'), (7, 'bad_numeric_volume'), (8, 'bad_ohlc_consistency'), (9, 'bad_numeric_openint')) SELECT reason, count(*) AS rows, count(DISTINCT date) AS distinct_dates FROM bars JOIN planted ON day(date) = k GROUP BY 1"
+    out["raw_validation"], out["raw_gaps"] = Q.RAW_VALIDATION, Q.RAW_GAPS
     out |= {f"features_{n}": _sql_pick(Q.BASELINE, "matrix", c) for n, c in FAMILIES.items()}
     out |= {f"expanded_{n}": _sql_pick(Q.EXPANDED, "expanded", c) for n, c in EXPANDED_FAMILIES.items()}
     out["features_long_only"] = _sql_pick(Q.LONG_ONLY, "long_only", X.LONG_ONLY_NAMES)

@@ -112,6 +112,16 @@ def valid_bars(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("reasons") == 0).select(F.col("p_date").alias("date"), F.col("ticker").alias("raw_ticker"), F.col("p_ticker").alias("ticker"), *(F.col(f"p_{c}").alias(c) for c in ("open", "high", "low", "close")), F.col("p_vol").cast("long").alias("volume"), F.col("p_openint").cast("long").alias("openint"), "source_file", F.year("p_date").alias("year"))
 
 
+def file_gaps(validated: DataFrame, low: float = 0.55, high: float = 1.8) -> DataFrame:
+    """Of the valid rows of each file and ticker, those that open far from the valid close before, as a split would."""
+    from pyspark.sql import Window
+
+    before = F.lag("p_close").over(Window.partitionBy("source_file", "p_ticker").orderBy("p_date"))
+    rows = validated.where(F.size("reasons") == 0).select("source_file", F.col("p_ticker").alias("ticker"), F.col("p_date").alias("date"), before.alias("prev_close"), F.col("p_open").alias("open"))
+    ratio = F.try_divide("open", "prev_close")
+    return rows.where((ratio <= low) | (ratio >= high)).withColumn("gap_pct", (ratio - 1) * 100)
+
+
 def reject_details(validated: DataFrame) -> DataFrame:
     """One row per broken rule of a row: the file, the row's text and the reason."""
     return validated.where(F.size("reasons") > 0).select("source_file", *RAW_COLUMNS, F.explode("reasons").alias("reason"))

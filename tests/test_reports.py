@@ -93,6 +93,8 @@ def test_options(spark):
     good, files = O.import_batch(raw, spark.createDataFrame(told, O.MANIFEST))
     got = {r["file_path"]: r["reasons"] for r in files.collect()}
     assert got == {"f1": [], "f2": ["crossed"], "f3": ["underlying_mismatch"], "f4": ["null_core"], "f5": ["duplicate"], "f6": ["time_mismatch"], "f7": ["no_rows"], "f8": ["negative"]}
+    told = O.batch_summary(good, files).first()
+    assert (told["files"], told["ok_files"], told["failed_files"], told["rows"], told["missing_volume"]) == (8, 1, 7, 1, 1)
     r = good.first()
     assert good.count() == 1 and (r["mid"], r["DTE"], r["call_put"], r["underlying_ticker"], r["volume"]) == (3.0, 18.0, "P", "AAA", None)
     template = spark.createDataFrame([("2020-01-02", "15:30:00", "AAA", "2020-01-20", "CALL", "10", "1", "2", "s")], ["snapshot_date", "snapshot_time", "underlying", "expiration", "option_type", "strike", "bid", "ask", "source"])
