@@ -36,8 +36,8 @@ MIN_PAGES, MIN_IMPORTANCE = 3, 0.25
 DECAY = 0.9
 #: Elements nested deeper are read as part of the element at this depth, as browsers bound their trees.
 MAX_DEPTH = 400
-#: Removed nodes and contents of all hosts together up to which their list is broadcast.
-MAX_BROADCAST = 1_000_000
+#: Removed nodes and contents of all hosts together, and of one host, up to which their lists are broadcast.
+MAX_BROADCAST, MAX_HOST = 1_000_000, 5_000
 
 #: Elements without content, with raw content, that stand in a line, and that a new one closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,7 +113,8 @@ class Page:
     are ignored. Linear in the page.
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, prior: bool = True):
+        self.prior = prior
         self.nodes: list[list] = [[_number(""), -1, CONTENTS, set()]]
         self.blocks: list[tuple[int, str, bool, bool]] = []
         self.place = {self.nodes[0][0]: 0}
@@ -191,7 +192,7 @@ class Page:
             self.deeper[tag] += 1
             return
         found = attributes_of(raw) if raw.strip() else {}
-        mine, top = _outside(tag, found), self.stack[-1]
+        mine, top = self.prior and _outside(tag, found), self.stack[-1]
         if mine and not top.outside:
             self._flush()
         self.open[tag] += 1
@@ -206,7 +207,7 @@ class Page:
         if tag not in REPEATED:
             holder.like[sign] += 1
             sign += f" {holder.like[sign]}"
-        inside = (top.inside or article) and not mine
+        inside = self.prior and (top.inside or article) and not mine
         plain = inside and (article or top.plain and tag in PLAIN)
         node = _number(f"{self.nodes[holder.node][0]} {sign}")
         if node not in self.place:
@@ -253,7 +254,7 @@ NODE = "struct<node:long,parent:long,judge:int,style:long,texts:int>"
 PARSED = f"page_id long, url string, mark long, prior int, blocks array<struct<node:long,key:long,text:string>>, nodes array<{NODE}>, chains array<array<long>>"
 
 
-def page_trees(pages: DataFrame) -> DataFrame:
+def page_trees(pages: DataFrame, with_prior: bool = True) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, host, mark (hash of the html), prior (blocks that the prior removed), blocks
     that compete, the page's nodes above them, and the chains of nodes that a task sees for the first time."""
     number, whole = pa.int64(), pa.int32()
@@ -265,7 +266,7 @@ def page_trees(pages: DataFrame) -> DataFrame:
         for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
             rows = []
             for text in batch.column(2).to_pylist():
-                page = Page(text or "")
+                page = Page(text or "", with_prior)
                 found, prior = page.competing()
                 used, own = set(), {p for p, _ in found}
                 for p in own:
@@ -331,17 +332,19 @@ def removed_keys(trees: DataFrame, min_pages: int = MIN_PAGES, min_importance: f
     return branches.unionByName(single).distinct()
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, max_broadcast: int = MAX_BROADCAST, with_prior: bool = True) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars, and the numbers of blocks that the prior and the tree
     removed; rows one to one.
 
     Null and empty html give an empty text; a null url is a host of its own (the empty one); repeated pages count once
-    in their host's tree and are answered each; an empty table gives no rows. Text at any depth is kept.
+    in their host's tree and are answered each; an empty table gives no rows. Text at any depth is kept. Without the prior
+    (lists of names and marked articles) the tree alone decides, which tells how much of the work it does.
     """
-    trees = materialize(page_trees(pages))
+    trees = materialize(page_trees(pages, with_prior))
     removed = materialize(removed_keys(trees, min_pages, min_importance))
-    if removed.count() <= max_broadcast:
-        # a list of a checked size goes to the pages
+    total, most = removed.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if total <= max_broadcast and most <= MAX_HOST:
+        # lists of a checked size go to the pages
         lists = removed.groupBy("host").agg(F.collect_set("key").alias("removed"))
         joined = trees.join(F.broadcast(lists), "host", "left")
         gone = lambda b: F.array_contains("removed", b["node"]) | F.array_contains("removed", b["key"])

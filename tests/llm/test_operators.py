@@ -57,6 +57,17 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert want <= kept and len(pairs) > 60 and len(kept - want) <= 0.05 * len(text.keys() - want)
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Documents whose labels were not learnt from: how scores order them, what is caught, and what is accused wrongly."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in toxicity.op4_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in truth]
+    bad, good = [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 0]
+    area = sum((a[0] > b[0]) + 0.5 * (a[0] == b[0]) for a in bad for b in good) / (len(bad) * len(good))
+    caught, wrong = sum(r[1] for r in bad) / len(bad), sum(r[1] for r in good) / len(good)
+    assert len(bad) > 20 and area > 0.9 and caught > 0.7 and wrong < 0.01, (len(bad), len(good), area, caught, wrong)
+
+
 def test_near_duplicates_are_told_by_text_not_by_id(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(1, base, "x"), (2, base + " more", "x"), (2, "quite another text of its own", "x"), (3, base, "y"), (1, base, "z"), (4, (base + " ") * 5, "x"), (5, "a b c d e f g h i j", "x"), (6, "a b c d e f g h i j k", "x"), (None, base, "x")]
