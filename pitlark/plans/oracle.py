@@ -174,7 +174,7 @@ decile_change AS (SELECT {key}, avg(t) AS decile_turnover FROM ({changed('decile
 few AS (SELECT {key}, count(*) FILTER (n < 10) AS dates_below_buckets, count(*) FILTER (n < 5) AS dates_below_quintiles FROM (SELECT {by}, count(*) AS n FROM used GROUP BY {by}) GROUP BY 1),
 held AS (SELECT {key}, count(*) AS rows, count(DISTINCT fold_id) AS folds, min(date) AS min_date, max(date) AS max_date FROM used GROUP BY 1),
 lost AS (SELECT {key}, count(*) FILTER (score IS NULL OR fwd_ret_5d IS NULL) AS missing_rows FROM given GROUP BY 1),
-metrics AS (SELECT * FROM lost JOIN held USING ({key}) JOIN few USING ({key}) JOIN ics USING ({key}) JOIN portfolio USING ({key}) JOIN top_days USING ({key}) JOIN top_change USING ({key}) JOIN decile_change USING ({key}))"""
+metrics AS (SELECT * REPLACE (coalesce(rows, 0) AS rows, coalesce(folds, 0) AS folds, coalesce(dates_below_buckets, 0) AS dates_below_buckets, coalesce(dates_below_quintiles, 0) AS dates_below_quintiles, coalesce(top_days, 0) AS top_days) FROM lost LEFT JOIN held USING ({key}) LEFT JOIN few USING ({key}) LEFT JOIN ics USING ({key}) LEFT JOIN portfolio USING ({key}) LEFT JOIN top_days USING ({key}) LEFT JOIN top_change USING ({key}) LEFT JOIN decile_change USING ({key}))"""
 
 
 # Audits over text: the SQL writes the same text and judges it by its own rules.

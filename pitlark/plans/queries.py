@@ -544,7 +544,7 @@ s AS (SELECT count(ic) AS dates, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic,
 extremes AS (SELECT control, min(score) AS score_min, max(score) AS score_max FROM used GROUP BY 1),
 outlying AS (SELECT control, list(concat('metrics_warning:fold_', fold_id, '_score_outlier')) AS odd_folds FROM (SELECT control, fold_id FROM used GROUP BY ALL HAVING max(abs(score)) > 5) GROUP BY 1),
 facts AS (SELECT control, rows AS total_oos_rows, folds AS fold_count, mean_ic AS mean_daily_rank_ic, ic_t_stat AS rank_ic_t_stat, net AS long_short_net_return, long_net AS top_decile_net_return, short_net AS bottom_decile_net_short_return, score_min, score_max,
-  missing_rows, dates_below_buckets, dates_below_quintiles, coalesce(odd_folds, []) AS extreme FROM metrics JOIN extremes USING (control) LEFT JOIN outlying USING (control)),
+  missing_rows, dates_below_buckets, dates_below_quintiles, coalesce(odd_folds, []) AS extreme FROM metrics LEFT JOIN extremes USING (control) LEFT JOIN outlying USING (control)),
 told AS (SELECT *, list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL) AS f, list_sort(list_filter(list_concat([{', '.join(warned)}], extreme), lambda x: x IS NOT NULL)) AS w FROM facts),
 verdicts AS (SELECT *, array_to_string(f, ';') AS failures, array_to_string(w, ';') AS warnings, CASE WHEN len(f) > 0 THEN 'FAIL' WHEN len(w) > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status, len(f) = 0 AS passed,
   CASE WHEN len(f) > 0 THEN 'stop_and_inspect_pipeline_model_data' ELSE 'proceed_to_feature_expansion' END AS recommendation, CASE WHEN len(f) = 0 THEN 'feature_expansion' END AS next_stage FROM told)""",

@@ -115,7 +115,7 @@ def test_the_command_writes_summaries_and_resumes(spark, tmp_path):
     cli.main(["discover", *command[1:2], str(tmp_path / "found"), *command[3:], "--max-folds", "2"])
     by_fold = spark.read.csv(str(tmp_path / "found/discovery_by_fold"), header=True).collect()
     assert {(r["fold_id"], r["feature"]) for r in by_fold} == {(i, f) for i in "12" for f in ("f1", "f2")} and all(r["fold_rank_ic"] and r["mean_daily_rank_ic"] for r in by_fold)
-    assert spark.read.csv(str(tmp_path / "found/correlations"), header=True).count() == 1 and set(json.loads(spark.read.csv(str(tmp_path / "found/discovery"), header=True, escape='"').first()["fold_ics"])) == {"1", "2"}
+    assert spark.read.csv(str(tmp_path / "found/correlations"), header=True).count() == 1 and set(json.loads(spark.read.csv(str(tmp_path / "found/discovery"), header=True).first()["fold_ics"])) == {"1", "2"}
     cli.main(["gate", str(tmp_path / "out/predictions"), str(tmp_path / "judged")])
     verdict = json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "judged/gate")).collect()))
     assert verdict["status"] == "FAIL" and verdict["total_oos_rows"] == 100 and "total_oos_rows_below_threshold" in verdict["failures"]
