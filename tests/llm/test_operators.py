@@ -68,6 +68,42 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(bad) > 20 and area > 0.9 and caught > 0.7 and wrong < 0.01, (len(bad), len(good), area, caught, wrong)
 
 
+def test_near_duplicates_that_share_passages_only_with_other_texts(spark):
+    """Pairs of alike texts whose common passages all stand in a third, unlike text too (the smallest id, and of most copies); and
+    alike texts around two centres that are just too far apart."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    rows = []
+    for k in range(6):
+        text = draw(450)
+        other = list(text)
+        for at in range(20, 450, 56):
+            other[at] = f"edit{k}"
+        mine = set(simhash.passages(" ".join(text))) & set(simhash.passages(" ".join(other)))
+        third, i = [], 0
+        while i < 450:  # the passages that both have, word for word
+            j = next((j for j in range(i + 1, min(i + 400, 450) + 1) if simhash._signed(" ".join(text[i:j]).encode()) in mine), None)
+            third += [*text[max(0, i - 2) : j], *draw(30 * (j < 450))] if j else []  # the two words before say where it begins
+            i = j or i + 1
+        assert mine and mine <= set(simhash.passages(" ".join(third)))
+        rows += [(10 * k, " ".join(third)), (10 * k + 1, " ".join(third)), (10 * k + 2, " ".join(text)), (10 * k + 3, " ".join(other))]
+    centre = draw(300)
+    second = [w if i % 40 else f"far{i}" for i, w in enumerate(centre)]
+    for k in range(12):
+        base = list(centre if k % 2 else second)
+        for at in rng.integers(0, 300, 2):
+            base[at] = (second if k % 2 else centre)[at] if k % 3 else f"own{k}"
+        rows.append((1000 + k, " ".join(base)))
+    text = dict(rows)
+    label, pairs = {i: i for i in text}, [(a, b) for a in text for b in text if a < b and simhash.similarity(text[a], text[b]) >= 0.8]
+    for _ in text:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all((10 * k + 2, 10 * k + 3) in pairs and (10 * k, 10 * k + 2) not in pairs for k in range(6))
+    kept = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(label.values())
+
+
 def test_near_duplicates_are_told_by_text_not_by_id(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(1, base, "x"), (2, base + " more", "x"), (2, "quite another text of its own", "x"), (3, base, "y"), (1, base, "z"), (4, (base + " ") * 5, "x"), (5, "a b c d e f g h i j", "x"), (6, "a b c d e f g h i j k", "x"), (None, base, "x")]
