@@ -42,6 +42,8 @@ SHORT_ITEM = 8
 BLOCK_ITEMS = 5_000
 #: Words, and pairs, of one array operation; they bound its memory and change no result.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 60_000, 2_048, 20_000
+#: Tasks a core that sum over the corpus.
+TASKS_A_CORE = 4
 #: Terms are told apart by so many numbers when an item's words are counted in a window.
 HASHED = 1_024
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
@@ -150,6 +152,11 @@ def _passages(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.int64), np.cumsum(at % PASSAGE == 0) - 1
 
 
+def _few_tasks(tokens: DataFrame) -> DataFrame:
+    """The words in a few tasks a core: each task's sums have the matrix' width, however few rows it reads."""
+    return tokens.select("words").coalesce(TASKS_A_CORE * tokens.sparkSession.sparkContext.defaultParallelism)
+
+
 def passage_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
     """Number of corpus passages, and of those with each term; summed over the whole corpus."""
 
@@ -161,7 +168,7 @@ def passage_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
             counts[:-1] += np.bincount(cells[np.diff(cells, prepend=-1) > 0] % TERMS, minlength=TERMS)
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([counts.astype(float).tobytes()])], ["key", "data"])
 
-    found = summed(tokens.select("words").mapInArrow(run, "key long, data binary")).get(0, np.zeros(TERMS + 1))
+    found = summed(_few_tasks(tokens).mapInArrow(run, "key long, data binary")).get(0, np.zeros(TERMS + 1))
     return int(found[-1]), found[:-1].astype(np.int64)
 
 
@@ -289,7 +296,10 @@ class Retrieval:
         words = np.full(2 * SLACK + first[-1] * GRAIN, TERMS, np.int64)
         for (_, _, w), f in zip(parts, first):
             words[SLACK + f * GRAIN : SLACK + f * GRAIN + len(w)] = w % TERMS
-        sums = {1: self.images[words[SLACK : SLACK + first[-1] * GRAIN]].reshape(-1, GRAIN, self.images.shape[1]).sum(1)}
+        one = words[SLACK : SLACK + first[-1] * GRAIN].reshape(-1, GRAIN).T
+        sums = {1: self.images.take(one[0], 0)}
+        for column in one[1:]:
+            sums[1] += self.images.take(column, 0)
         for k in (2, 4, 8, 16):
             sums[k] = sums[k // 2][: -(k // 2)] + sums[k // 2][k // 2 :]
         inside = np.concatenate([np.arange(n) < n - gap for n in grains])
@@ -297,12 +307,12 @@ class Retrieval:
         hashed = np.where(words < TERMS, self.one[words] % HASHED, HASHED)
         for w, (owners, _, _, image, bits, least) in self.at.items():
             wide, x, at = w // GRAIN, 0, 0
-            n = len(part) - wide
+            n, step = len(part) - wide, 1 if w < 28 else 2
             for k in (16, 8, 4, 2, 1):  # a window is the sum of windows of 1, 2, 4, ... grains
                 if wide & k:
-                    x, at = x + sums[k][at : at + n], at + k
-            starts = np.nonzero(inside[:n])[0] if w < 28 else np.nonzero(inside[:n] & (np.arange(n) % 2 == 0))[0]
-            x = x[starts]
+                    x, at = x + sums[k][at : at + n : step], at + k
+            there = np.nonzero(inside[:n:step])[0]
+            starts, x = there * step, x[there]
             need = self.min_cosine * np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-6
             reach = np.arange(w + 2 * SLACK)
             for lo in range(0, len(x), WINDOWS_AT_ONCE):

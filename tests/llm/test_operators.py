@@ -553,3 +553,13 @@ def test_page_parser():
     for h in ("<a " * 200_000, "<a title='" * 100_001, '<a b="' * 100_001, "<![CDATA[" * 100_000, "<i>" + "<div>" * 20_000 + "</i>" * 20_000, "<p>" * 50_000, "<b>" * 50_000 + "x" + "</b>" * 50_000, "<"):
         text(h)
     assert time.perf_counter() - began < 30
+
+
+def test_sums_of_the_latent_space_take_few_tasks(spark):
+    """Each task's sums are as wide as the matrix, so many small parts of a corpus are summed by a few tasks a core."""
+    docs = spark.createDataFrame([(i, f"w{i} common words of text {i % 7}") for i in range(300)], "doc_id long, text string")
+    tokens = decontaminate.tokenized(docs.repartition(150))
+    few = decontaminate._few_tasks(tokens)
+    assert few.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and few.count() == 300
+    n, counts = decontaminate.passage_counts(tokens)
+    assert n == 300 and counts.sum() == sum(len(set(decontaminate.numbers_of(decontaminate.words_of(r["text"])) % decontaminate.TERMS)) for r in docs.collect())
