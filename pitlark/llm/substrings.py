@@ -30,7 +30,7 @@ from .common import materialize, table
 
 WINDOW, ANCHOR = 50, 12
 #: Words that are looked at together; a longer text is looked at alone.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -1,5 +1,7 @@
 """Substring dedup against brute force over all windows, and against SQL."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -78,3 +80,15 @@ def test_agrees_with_sql(spark):
     want = db.execute(substrings.sql_substring_dedup())
     assert [d[0] for d in want.description] == mine.columns
     assert sorted(want.fetchall()) == sorted(map(tuple, mine.collect()))
+
+
+def test_words_looked_at_together_take_little_memory():
+    """A task's arrays over one chunk of words stay below 64 MB, as several tasks share an executor's memory."""
+    words = [b"w%d" % (k * 7919 % 30011) for k in range(substrings.CHUNK_WORDS)]
+    ends = np.arange(256, len(words) + 1, 256)
+    substrings._powers.cache_clear()
+    tracemalloc.start()
+    substrings.paths_of(words, ends, substrings.WINDOW, substrings.ANCHOR)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
