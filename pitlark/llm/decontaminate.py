@@ -42,10 +42,10 @@ SHORT_ITEM = 8
 BLOCK_ITEMS = 5_000
 #: Words, and pairs, of one array operation; they bound its memory and change no result.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 60_000, 2_048, 20_000
-#: Tasks a core that sum over the corpus.
-TASKS_A_CORE = 4
-#: Terms are told apart by so many numbers when an item's words are counted in a window.
-HASHED = 1_024
+#: Tasks a core that sum over the corpus, and terms of one row of their sums.
+TASKS_A_CORE, BLOCK_TERMS = 4, 256
+#: Terms are told apart by so many numbers when an item's words are counted in a window, and when their order is looked at.
+KINDS, HASHED = 256, 1_024
 _TABLE = bytes(32 if (c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 
 
@@ -54,19 +54,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-class _Numbers(dict):
-    """Word -> its 32-bit number; forgets all when it grows beyond a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = zlib.crc32(word)
-        return found
-
-
-def numbers_of(words: list[bytes], memo: _Numbers | None = None) -> np.ndarray:
-    memo = _Numbers() if memo is None else memo
-    return np.fromiter(map(memo.__getitem__, words), np.uint32, len(words))
+def numbers_of(words: list[bytes]) -> np.ndarray:
+    """32-bit numbers of words; a table of those seen before is slower than the checksum."""
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 def common_words(masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -81,6 +71,16 @@ def common_words(masks: dict[int, int], length: int, words: list[int]) -> int:
     return length - row.bit_count()
 
 
+def common_bounds(tables: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The same of many pairs at once: tables[rows[i]] gives the places of at most 64 that a word of words[i] matches."""
+    flat, base = tables.ravel(), rows * tables.shape[1]
+    left = np.full(len(rows), ~np.uint64(0))
+    for column in np.ascontiguousarray(words.T):
+        hit = left & flat.take(base + column)
+        left = (left + hit) | (left ^ hit)
+    return np.bitwise_count(~left).astype(np.int64)
+
+
 def masks_of(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words.tolist()):
@@ -124,9 +124,8 @@ def tokenized(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, words (32-bit numbers); the texts are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Numbers()
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-            found = [numbers_of(words_of(t), memo).tobytes() for t in batch.column(1).to_pylist()]
+            found = [numbers_of(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "words"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
@@ -176,32 +175,42 @@ def term_weights(n: int, counts: np.ndarray) -> np.ndarray:
     return np.log((n + 1) / np.maximum(counts, 1)) ** 2
 
 
-def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """What a word adds to a passage's image (TERMS x rank), its weight times the leading right singular directions V of the
-    corpus passages; and the terms' own unit images, V times the singular values.
-
-    z = A^T (A G) for a Gaussian G, one pass over all passages; each task adds up its share, and the shares are
-    dealt by blocks of terms and added as they stream in, so no task holds more than its blocks' sums. z is
-    about V S^2 W for singular values S.
-    """
-    block = 256
+def image_shares(tokens: DataFrame, weight: np.ndarray, rank: int) -> DataFrame:
+    """block, share: each task's share of A^T (A G), by blocks of terms. A's entry is its term's weight over its passage's norm, so
+    weights are multiplied in before and after, not at each word. A stretch's words are summed passage by passage, then,
+    sorted once, term by term."""
     shared = tokens.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        g = np.random.default_rng(7).standard_normal((rank, TERMS)).astype(np.float32)
+        g = (np.random.default_rng(7).standard_normal((rank, TERMS)) * weight).astype(np.float32)
         total = np.zeros((rank, TERMS))
         for term, passage in _stretches(batches):
-            w = weight[term]
-            norm = np.sqrt(np.bincount(passage, w**2))
-            value = (w / np.maximum(norm, 1e-9)[passage]).astype(np.float32)
+            first = np.flatnonzero(np.diff(passage, prepend=-1))
+            squared = np.maximum(np.add.reduceat(weight[term] ** 2, first), 1e-18)
+            order = np.argsort(term.astype(np.uint16), kind="stable")
+            at, places = np.flatnonzero(np.diff(term[order], prepend=-1)), passage[order]
+            terms, x = term[order[at]], np.empty(len(term), np.float32)
             for j in range(rank):
-                y = np.bincount(passage, value * g[j][term]).astype(np.float32)
-                total[j] += np.bincount(term, value * y[passage], TERMS)
-        share = total.T.astype(np.float32)
-        for b in range(0, TERMS, block):
-            if share[b : b + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([share[b : b + block].tobytes()])], ["block", "share"])
+                y = (np.add.reduceat(g[j].take(term, out=x, mode="clip"), first) / squared).astype(np.float32)
+                total[j, terms] += np.add.reduceat(y.take(places, out=x, mode="clip"), at)
+        share = (total * weight).T.astype(np.float32)
+        for b in range(0, TERMS, BLOCK_TERMS):
+            if share[b : b + BLOCK_TERMS].any():
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([share[b : b + BLOCK_TERMS].tobytes()])], ["block", "share"])
+
+    return _few_tasks(tokens).mapInArrow(run, "block long, share binary")
+
+
+def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """What a word adds to a passage's image (TERMS x rank), its weight times the leading right singular directions V of the
+    corpus passages; and the terms' own unit images, V times the singular values.
+
+    z = A^T (A G) for a Gaussian G, one pass over all passages; a few tasks a core add up their shares, and the shares are
+    dealt by blocks of terms and added as they stream in, so no task holds more than its blocks' sums. z is
+    about V S^2 W for singular values S.
+    """
+    block, kind = BLOCK_TERMS, "block long, share binary"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -211,17 +220,16 @@ def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK) -> tup
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.float32).tobytes() for v in sums.values()])], ["block", "share"])
 
-    kind = "block long, share binary"
-    shares = tokens.select("words").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
-    z = np.zeros((TERMS, rank), np.float32)
+    shares = image_shares(tokens, weight, rank).repartition("block").mapInArrow(add, kind)
+    z = np.zeros((TERMS, rank))
     for r in shares.collect():  # TERMS x rank numbers
         z[r["block"] : r["block"] + block] = np.frombuffer(r["share"], np.float32).reshape(-1, rank)
     # left singular vectors and values of z, from the rank x rank products
-    squared, right = np.linalg.eigh((z.T @ z).astype(float))
+    squared, right = np.linalg.eigh(z.T @ z)
     s = np.sqrt(np.maximum(squared, 0))
     kept = s > 1e-3 * max(s[-1], 1e-30)
-    v = z @ np.where(kept, right / np.where(kept, s, 1), 0).astype(np.float32)
-    return v * weight[:, None].astype(np.float32), _unit(v * np.sqrt(s).astype(np.float32))
+    v = z @ np.where(kept, right / np.where(kept, s, 1), 0)
+    return (v * weight[:, None]).astype(np.float32), _unit(v * np.sqrt(s)).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -249,18 +257,21 @@ class Retrieval:
                 pieces += [(k, p % TERMS) for p in _pieces(item.words)]
         self.one = self._related(np.unique(np.concatenate([i.words for i in items]) % TERMS), terms, counts)
         self.masks = [(masks_of(self.one[i.words % TERMS]), masks_of(self.one[i.answer % TERMS])) for i in items]
-        self.at = {}
+        self.at, self.places = {}, {}
         for low, w in zip((0, *WINDOWS), WINDOWS):
             found = [(k, p) for k, p in pieces if low < len(p) <= w]
             if found:
                 image = _unit(np.stack([images[p].sum(0) for _, p in found]))
-                bits = np.zeros((len(found), HASHED), bool)
+                bits = np.zeros((len(found), KINDS), bool)
                 for row, (_, p) in zip(bits, found):
-                    row[self.one[p] % HASHED] = True
+                    row[self.one[p] % KINDS] = True
                 lengths = np.array([len(p) for _, p in found])
                 # so many of the bits a window must share: a bit stands for one place, or for all that its item has too many
                 least = np.ceil(MIN_COMMON * lengths).astype(int) - (lengths - bits.sum(1))
                 self.at[w] = (np.array([k for k, _ in found]), lengths, [masks_of(self.one[p]) for _, p in found], image, _packed(bits), least)
+                self.places[w] = tables = np.zeros((len(found), HASHED + 1), np.uint64)
+                for row, (_, p) in zip(tables, found):
+                    np.bitwise_or.at(row, self.one[p] % HASHED, np.uint64(1) << np.arange(len(p), dtype=np.uint64))
 
     @staticmethod
     def _related(terms: np.ndarray, unit: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -286,10 +297,12 @@ class Retrieval:
                 one[b] = a
         return one
 
-    def candidates(self, parts: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
+    def candidates(self, parts: list[tuple[int, int, np.ndarray]], ordered: bool = False) -> Iterator[tuple]:
         """parts: (text, first word's place, words), stretches of texts. -> (text, item, (window length, piece of its class),
         cosine, window's first word) of the windows whose cosine reaches the bound and that hold enough of the item's words for
-        the order check: a bound on the common subsequence, hashed terms counted, never too few."""
+        the order check: a bound on the common subsequence, hashed terms counted, never too few. If `ordered`, of items of one piece
+        only those that hold enough of hashed terms in order, a closer bound: where most terms count as few, nearly all windows
+        hold an item's."""
         gap = WINDOWS[-1] // GRAIN  # grains without words after each stretch, so that windows end with it
         grains = [-(-len(w) // GRAIN) + gap for _, _, w in parts]
         first = np.cumsum([0, *grains])
@@ -304,16 +317,19 @@ class Retrieval:
             sums[k] = sums[k // 2][: -(k // 2)] + sums[k // 2][k // 2 :]
         inside = np.concatenate([np.arange(n) < n - gap for n in grains])
         part = np.repeat(np.arange(len(parts)), grains)
-        hashed = np.where(words < TERMS, self.one[words] % HASHED, HASHED)
-        for w, (owners, _, _, image, bits, least) in self.at.items():
-            wide, x, at = w // GRAIN, 0, 0
+        one = self.one[words]
+        hashed = np.where(words < TERMS, one % HASHED, HASHED)
+        kinds = np.where(words < TERMS, one % KINDS, KINDS)
+        for w, (owners, lengths, _, image, bits, least) in self.at.items():
+            pieces = np.array([len(self.items[k].words) > w for k in owners])
+            wide, x, at = w // GRAIN, None, 0
             n, step = len(part) - wide, 1 if w < 28 else 2
             for k in (16, 8, 4, 2, 1):  # a window is the sum of windows of 1, 2, 4, ... grains
                 if wide & k:
-                    x, at = x + sums[k][at : at + n : step], at + k
-            there = np.nonzero(inside[:n:step])[0]
-            starts, x = there * step, x[there]
+                    more = sums[k][at : at + n : step]
+                    x, at = more if x is None else x + more, at + k
             need = self.min_cosine * np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-6
+            need[~inside[:n:step]] = np.inf
             reach = np.arange(w + 2 * SLACK)
             for lo in range(0, len(x), WINDOWS_AT_ONCE):
                 dot = x[lo : lo + WINDOWS_AT_ONCE] @ image.T
@@ -321,14 +337,19 @@ class Retrieval:
                 if not len(row):
                     continue
                 windows, row_ = np.unique(row, return_inverse=True)
-                start = starts[windows + lo]
-                held = np.zeros((len(windows), HASHED + 1), bool)
-                held[np.arange(len(windows))[:, None], hashed[(start * GRAIN)[:, None] + reach]] = True
-                held = _packed(held[:, :HASHED])
+                start = (windows + lo) * step
+                near = (start * GRAIN)[:, None] + reach
+                held = np.zeros((len(windows), KINDS + 1), bool)
+                held.ravel()[np.arange(0, held.size, KINDS + 1)[:, None] + kinds[near]] = True
+                held = _packed(held[:, :KINDS])
                 for k in range(0, len(row), PAIRS_AT_ONCE):
                     a, p = row_[k : k + PAIRS_AT_ONCE], piece[k : k + PAIRS_AT_ONCE]
                     count = np.bitwise_count(held[a] & bits[p]).sum(1, dtype=np.int64)
-                    for i in np.nonzero(count >= least[p])[0]:
+                    enough = np.nonzero(count >= least[p])[0]
+                    if ordered and len(enough):
+                        common = common_bounds(self.places[w], p[enough], hashed[near[a[enough]]]) / lengths[p[enough]]
+                        enough = enough[(common >= MIN_COMMON) | pieces[p[enough]]]
+                    for i in enough:
                         s, j = start[a[i]], int(p[i])
                         q = part[s]
                         cosine = dot[row[k + i], j] * self.min_cosine / need[row[k + i] + lo]
@@ -352,7 +373,7 @@ class Retrieval:
                         if np.array_equal(words[at : at + len(mine)], mine):
                             note(d, k, 1.0, 1.0, 1.0, at)
         for stretch in self._stretched(texts):
-            for d, k, (w, p), cosine, start in self.candidates(stretch):
+            for d, k, (w, p), cosine, start in self.candidates(stretch, ordered=True):
                 item, (whole, answers) = self.items[k], self.masks[k]
                 size = len(item.words)
                 lo, hi = max(0, start - SLACK), start + w + SLACK
@@ -372,10 +393,10 @@ class Retrieval:
 
     @staticmethod
     def _stretched(texts: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-        """Texts in lists of bounded size; a long one in stretches that overlap by the longest window."""
-        out, size, wide = [], 0, WORDS_AT_ONCE
+        """Texts in lists of bounded size; a long one in stretches that overlap by the longest window and the words around it."""
+        out, size, wide, over = [], 0, WORDS_AT_ONCE, WINDOWS[-1] + 2 * SLACK
         for d, words in enumerate(texts):
-            for at in range(0, max(1, len(words) - WINDOWS[-1]), wide - WINDOWS[-1]):
+            for at in range(0, max(1, len(words) - over), wide - over):
                 part = words[at : at + wide]
                 if len(part):
                     out.append((d, at, part))
@@ -436,7 +457,7 @@ def search(tokens: DataFrame, finder: Retrieval) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a leak; rows with a null doc_id are judged by nothing and stay."""
-    leaked = find_leaks(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct()
+    leaked = materialize(find_leaks(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct())  # of known size: few are broadcast
     return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -563,3 +563,53 @@ def test_sums_of_the_latent_space_take_few_tasks(spark):
     assert few.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and few.count() == 300
     n, counts = decontaminate.passage_counts(tokens)
     assert n == 300 and counts.sum() == sum(len(set(decontaminate.numbers_of(decontaminate.words_of(r["text"])) % decontaminate.TERMS)) for r in docs.collect())
+    weight = decontaminate.term_weights(n, counts)
+    shares = decontaminate.image_shares(tokens, weight, 4).groupBy("block").count().collect()
+    assert 0 < max(r["count"] for r in shares) <= 4 * spark.sparkContext.defaultParallelism  # 150 before
+    # the shares' sum against the products themselves
+    rows = [np.unique(decontaminate.numbers_of(decontaminate.words_of(r["text"])) % decontaminate.TERMS, return_counts=True) for r in docs.collect()]
+    g, z = np.random.default_rng(7).standard_normal((4, decontaminate.TERMS)), np.zeros((decontaminate.TERMS, 4))
+    for terms, times in rows:
+        value = times * weight[terms] / np.sqrt((times * weight[terms] ** 2).sum())
+        z[terms] += value[:, None] * (g[:, terms] @ value)
+    got = np.zeros_like(z)
+    for r in decontaminate.image_shares(tokens, weight, 4).collect():
+        got[r["block"] : r["block"] + 256] += np.frombuffer(r["share"], np.float32).reshape(-1, 4)
+    assert np.allclose(got, z, atol=1e-4)
+
+
+def test_windows_of_few_kinds_of_words_are_told_apart_by_order():
+    """Where most terms count as one of a few, nearly every window holds an item's kinds of words; what is checked word by word
+    has enough of them in order, and no leak is lost."""
+    rng = np.random.default_rng(11)
+    images = np.ones((decontaminate.TERMS, 2), np.float32)
+    items = [decontaminate.Item(k, rng.integers(0, 6, n, dtype=np.uint32), np.zeros(1, np.uint32)) for k, n in enumerate((12, 30, 48, 64))]
+    texts = [rng.integers(0, 6, 400, dtype=np.uint32) for _ in range(20)]
+    for k in range(4):
+        texts[k][100 : 100 + len(items[k].words)] = items[k].words
+    texts.append(np.concatenate([np.tile(np.array([1, 2], np.uint32), 100), rng.integers(0, 6, decontaminate.WORDS_AT_ONCE, dtype=np.uint32)]))
+    finder = decontaminate.Retrieval(items, images, images, np.zeros(decontaminate.TERMS, int))
+    every = {c for s in finder._stretched(texts) for c in finder.candidates(s)}
+    near = {c for s in finder._stretched(texts) for c in finder.candidates(s, ordered=True)}
+    order = {c for c in every if decontaminate.common_words(finder.masks[c[1]][0], len(items[c[1]].words), texts[c[0]][max(0, c[4] - 8) : c[4] + c[2][0] + 8].tolist()) >= 0.6 * len(items[c[1]].words)}
+    inner = {c for c in order if c[0] < 20}
+    assert inner <= near <= every and {c for c in near if c[0] < 20} == inner
+    # windows that two stretches hold have all the words around them in one of these
+    assert {c[:3] + c[4:] for c in order} == {c[:3] + c[4:] for c in near}
+    assert {(k, k) for k in range(4)} <= set(finder.verified(texts))
+
+
+def test_the_latent_space_does_not_depend_on_how_a_corpus_is_split(spark):
+    """One word all over the corpus has a singular value a thousand times that of the weakest directions kept."""
+    rng = np.random.default_rng(5)
+    rows = [(0, b"\1\0\0\0" * 64)] * 3000
+    groups = [rng.integers(2, 3000, 64, dtype=np.uint32).tobytes() for _ in range(60)]
+    rows += [(k, g) for k, g in enumerate(groups) for _ in range(130 + 2 * k)]
+    tokens = spark.createDataFrame(rows, "doc_id long, words binary")
+    n, counts = decontaminate.passage_counts(tokens)
+    near = []
+    for parts in (3, 24):
+        images, _ = decontaminate.latent_space(tokens.repartition(parts), decontaminate.term_weights(n, counts))
+        some = decontaminate._unit(np.stack([images[np.frombuffer(g, "<u4")].sum(0) for g in groups]))
+        near.append(some @ some.T)
+    assert np.abs(near[0] - near[1]).max() < 1e-3
