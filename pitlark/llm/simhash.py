@@ -261,8 +261,12 @@ def missed_links(points: DataFrame, links: DataFrame, components: DataFrame, sli
     found, rest = compared.where(F.col("alike") >= share).select("a", "b"), compared.where(F.col("alike") < share)
     if rest.isEmpty():
         return found
-    far = F.col("alike") >= share - F.col("x.radius") - F.col("y.radius") - 1e-9
-    met = rest.join(shared.alias("x"), F.col("a") == F.col("x.pivot")).join(shared.alias("y"), (F.col("b") == F.col("y.pivot")) & (F.col("x.key") == F.col("y.key"))).where(far)
+    # members meet only at keys that both pivots' points hold, and only those far enough from their pivot
+    rest = materialize(rest.join(about.select(F.col("pivot").alias("b"), F.col("radius").alias("most")), "b").select("a", "b", F.col("alike").alias("near"), "most"))
+    sides = [cells.join(rest.select(F.col(end).alias("pivot")).distinct(), "pivot", "left_semi").select("key", F.col("pivot").alias(end)) for end in ("a", "b")]
+    met = sides[0].join(sides[1], "key").join(rest, ["a", "b"])
+    met = met.alias("m").join(shared.alias("x"), (F.col("m.key") == F.col("x.key")) & (F.col("a") == F.col("x.pivot")) & (F.col("near") >= share - F.col("x.radius") - F.col("most") - 1e-9))
+    met = met.join(shared.alias("y"), (F.col("m.key") == F.col("y.key")) & (F.col("b") == F.col("y.pivot")) & (F.col("near") >= share - F.col("x.radius") - F.col("y.radius") - 1e-9))
     met = met.groupBy(F.col("x.same").alias("p"), F.col("y.same").alias("q"), F.col("x.n").alias("x"), F.col("y.n").alias("y")).agg(F.count("*").alias("c"))
     met = met.where(enough(F.col("c"), (F.col("x"), F.col("x")), (F.col("y"), F.col("y"))))
     return found.unionByName(_compared(met.select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(0.0).alias("reach")), points, slim, words, share).select("a", "b"))

@@ -613,3 +613,23 @@ def test_the_latent_space_does_not_depend_on_how_a_corpus_is_split(spark):
         some = decontaminate._unit(np.stack([images[np.frombuffer(g, "<u4")].sum(0) for g in groups]))
         near.append(some @ some.T)
     assert np.abs(near[0] - near[1]).max() < 1e-3
+
+
+def test_groups_and_texts_just_beyond_them_are_those_of_brute_force(spark):
+    """The search of pivots' members, where a group has others near it, loses no pair."""
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
+    texts = [" ".join(base)]
+    for k in range(30):  # near copies of the first, and texts a little further from it than a copy
+        words = list(base)
+        for at in rng.choice(120, 1 + k % 8, replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.similarity(texts[i], texts[j]) >= simhash.MIN_SIMILARITY and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert left == {min(i for i in range(len(texts)) if label[i] == x) for x in set(label)}
