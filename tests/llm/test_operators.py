@@ -633,3 +633,45 @@ def test_groups_and_texts_just_beyond_them_are_those_of_brute_force(spark):
             if simhash.similarity(texts[i], texts[j]) >= simhash.MIN_SIMILARITY and label[i] != label[j]:
                 label = [label[j] if x == label[i] else x for x in label]
     assert left == {min(i for i in range(len(texts)) if label[i] == x) for x in set(label)}
+
+
+def joined_rows(spark, since):
+    """The most rows that a join of the executions after the first `since` made; how many executions there are."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, n = 0, int(store.executionsCount())
+    for k in range(since, n):
+        run = store.executionsList(k, 1).apply(0)
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ():
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, n
+
+
+def test_a_group_of_near_copies_does_not_meet_the_texts_around_it_shingle_by_shingle(spark):
+    """Many near copies, and texts made of the same one that are too far from all of them: joins grow with the texts."""
+    rng = np.random.default_rng(23)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 145)]
+    rows = [(10_000 + i, " ".join(f"t{w}" for w in rng.integers(0, 10**6, 60))) for i in range(300)]
+    for k in range(500):
+        words = list(base)
+        for at in rng.choice(145, rng.integers(0, 4) if k % 3 else 4, replace=False):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        since = joined_rows(spark, 1 << 30)[1]
+        kept = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+        most, n = joined_rows(spark, since)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text, label = dict(rows), {i: i for i, _ in rows}
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    for a in range(500):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label = {i: label[b] if x == label[a] else x for i, x in label.items()}
+    assert kept == {min(i for i in text if label[i] == x) for x in set(label.values())}
+    assert n > since and 0 < most < 60 * len(rows), most
