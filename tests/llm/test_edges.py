@@ -89,6 +89,40 @@ def test_a_cluster_needs_its_own_key():
     assert pii.session_key(Session()) == pii.KEY
 
 
+def test_a_cluster_without_a_key_gets_one_drawn_for_the_application(spark, monkeypatch):
+    """Both queries ran into an error there."""
+
+    class Context:
+        def __init__(self, master, name):
+            self.master, self.applicationId = master, name
+
+    class Session:
+        def __init__(self, master, name, key=None):
+            self.sparkContext, self.conf, self.read = Context(master, name), type("Conf", (), {"get": lambda _, k, default=None: key or default})(), spark.read
+
+    monkeypatch.setattr(pii, "_DRAWN", {})
+    sf = "/root/testdata/sf0.001"
+    with pytest.warns(UserWarning, match="pii.key"):
+        first = pii.op3_pii(Session("spark://host:7077", "a"), sf)
+    keys = [pii.query_key(Session("spark://host:7077", "a")), pii._DRAWN["a"]]
+    assert keys[0] == keys[1] != pii.KEY and len(keys[0]) == 32
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = first.collect()
+    assert sum(r["n_values"] for r in rows) > 0 and all(pii.rewrite(r["text"], keys[0], back=True)[0] == texts[r["doc_id"]] for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.personal_data(Session("spark://host:7077", "a"), docs, sf).collect()} == {(r["doc_id"], r["text"]) for r in rows}
+    with pytest.warns(UserWarning, match="pii.key"):
+        assert pii.query_key(Session("yarn", "b")) != keys[0]
+    assert pii.query_key(Session("yarn", "b", "mine")) == b"mine" and pii.query_key(Session("local[2]", "c")) == pii.KEY
+
+
+def test_month_names_with_letters_outside_ascii_are_no_dates():
+    """The long s equals an s where case is ignored, but begins no month's name: that ended the task with an error."""
+    for text in ("on Augu\u017ft 5, 2024", "5 \u017feptember 2024"):
+        assert pii.rewrite(text) == (text, [])
+    assert len(pii.rewrite("on AUGUST 5, 2024 and 5 sept 2024, 5 Sep 2024")[1]) == 2
+
+
 def test_pipeline_takes_odd_documents(spark):
     """Null ids and texts, repeated rows, columns with clashing names, and an empty table, through all stages."""
     sf = "/root/testdata/sf0.001"
