@@ -65,3 +65,34 @@ def test_tickers_stay_whole(width):
     own = [set(t.column("ticker").to_pylist()) for t in tables]
     assert sum(map(len, own)) == len(set().union(*own)) == 5
     assert C.BASELINE_RANKS and list(whole_tickers(iter([]))) == []
+
+
+def test_pooled_ranks_with_heavy_values_and_many_cells(spark, monkeypatch):
+    """Cells of one value, rows without a target, infinite values and packing against pandas."""
+    import pandas as pd
+
+    from pitlark.functions.arrays import packed, unpacked
+    from pitlark.operators import ranks as N
+
+    monkeypatch.setattr(N, "TARGET_ROWS", 40)
+    monkeypatch.setattr(N, "CELL_ROWS", 40)
+    monkeypatch.setattr(N, "TOGETHER", 2)
+    rng = np.random.default_rng(3)
+    n = 2000
+    y = np.where(rng.random(n) < 0.4, 0.25, rng.normal(size=n).round(2))
+    y[rng.random(n) < 0.1] = np.nan
+    data = pd.DataFrame({"date": pd.date_range("2020-01-01", periods=50).repeat(40).date, "fwd_ret_5d": y, "a": rng.normal(size=n) + np.nan_to_num(y), "b": np.where(rng.random(n) < 0.5, 1.0, rng.normal(size=n)), "c": rng.integers(0, 3, n) * 1e11})
+    data.loc[rng.random(n) < 0.2, "a"] = np.nan
+    days = sorted(set(data["date"]))
+    folds = spark.createDataFrame([(1, days[0], days[29]), (2, days[10], days[44])], "fold_id int, train_start_date date, train_end_date date")
+    cell = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in data.itertuples(index=False)], "date date, fwd_ret_5d double, a double, b double, c double")
+    got = {(r["fold_id"], r["feature"]): r["fold_rank_ic"] for r in N.fold_correlations(cell.repartition(4), folds, ["a", "b", "c"]).collect()}
+    for fold, lo, hi in ((1, 0, 29), (2, 10, 44)):
+        mine = data[(data["date"] >= days[lo]) & (data["date"] <= days[hi])]
+        for f in "abc":
+            want = mine[f].round(9).rank().corr(mine["fwd_ret_5d"].round(9).rank())
+            assert abs(got[fold, f] - want) < 1e-10, (fold, f)
+    cuts = N.apart(np.repeat([1.0, 2.0, 3.0], [2, 60, 2]), 20)
+    assert N.alone(cuts)[np.searchsorted(cuts, 2.0)] and not N.alone(cuts)[np.searchsorted(cuts, 3.0)]
+    for x in (np.array([0.1, np.nan, -2.5, 1e-9]), np.array([np.inf, 1e12 / 3, np.nan])):
+        np.testing.assert_array_equal(unpacked(packed(x), len(x)), np.round(x, 9))
